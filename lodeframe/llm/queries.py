@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, simhash
+from . import chat, decontamination, grams, langid, mixing, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,38 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items by document: doc_id, item_id, share, identical."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _judged(scored: DataFrame, modulus: int, remainder: int, threshold: float) -> DataFrame:
+    return scored.select("doc_id", grams.held_out(modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(documents, labels.where(~grams.held_out(4, 2)))
+    return _judged(quality.score(documents, model), 4, 2, 0.7)
+
+
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(~grams.held_out(3, 1)))
+    return _judged(toxicity.score(documents, model), 3, 1, 0.7)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(~grams.held_out(3, 1)))
+    found = langid.identify(documents, model)
+    return found.select("doc_id", grams.held_out(3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -39,5 +67,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_simhash_components, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality, op4_simhash_components, op6_toxicity, op7_language_id, op10_chat_format)}
 ORACLE: dict[str, str] = {}
