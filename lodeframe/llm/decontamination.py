@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, keyed, mix64, slices
+from .common import Vocabulary, checkpoint, id_or_null, keyed, mix64, slices
 from .grams import flat_words
 
 #: Units of measure and money that may follow a number.
@@ -165,6 +165,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_sha
     found = template_windows(keyed(documents), window, sizes, only).drop("n_windows")
     hits = found.join(known, ["size", "hash"])
     hits = hits.select("doc_id", "item", "of", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.filter(F.arrays_zip("kinds", "item_literals", "literals"), lambda s: s["kinds"] != LITERAL).alias("slots"))
+    hits = checkpoint(hits)  # only windows that the benchmark has; read three times below
     slots = hits.select("doc_id", "item", "shift", F.explode("slots").alias("s")).select("doc_id", "item", "shift", F.struct("s.kinds", "s.item_literals").alias("a"), F.col("s.literals").alias("b")).distinct()
     clash = slots.groupBy("doc_id", "item", "shift", "a").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "item", "shift").distinct()
     changed = slots.groupBy("doc_id", "item", "shift").agg(F.bool_or(F.col("a.item_literals") != F.col("b")).alias("changed"))
@@ -174,6 +175,4 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_sha
         (F.count_distinct(F.when(~F.coalesce("changed", F.lit(False)), F.col("item_pos"))) / F.max("of")).alias("as_is"),
     )
     pairs = pairs.where(F.col("share") >= least_share)
-    from .common import id_or_null
-
     return pairs.select(id_or_null("doc_id").alias("doc_id"), id_or_null("item").alias("item_id"), "share", (F.col("as_is") >= least_share).alias("identical"))

@@ -21,6 +21,8 @@ from .grams import Adam, flat_words, gram_hashes, labelled_sample, score_texts
 GRAMS = (4, 5)
 #: Words in a sentence at most, where no mark ends it before.
 LONGEST = 48
+#: Least ratio of document shares at which a feature may carry weight.
+LEAST_LIFT = 5.0
 _EDGE = b"\"'()[]{}<>,;:*_~|#$%&!?.-"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -52,7 +54,26 @@ def _ends(words: list[bytes]) -> np.ndarray:
     return np.fromiter((w[-1] in b".!?" for w in words), bool, len(words))
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1600, dims: int = 1 << 17, rounds: int = 150) -> ToxicityModel:
+def _lift(features: np.ndarray, owners: np.ndarray, bag: np.ndarray, y: np.ndarray, dims: int) -> np.ndarray:
+    """Cautious ratio of the shares of toxic and of other documents that hold each feature.
+
+    bag: document * words + word for every distinct pair.
+    """
+    n_words = int(owners.max()) + 1
+    order = np.argsort(owners, kind="stable")
+    per_word = np.bincount(owners, minlength=n_words)
+    begin = np.cumsum(per_word) - per_word
+    holders = np.zeros((2, dims))
+    for document in range(len(y)):
+        lo, hi = np.searchsorted(bag, [document * n_words, (document + 1) * n_words])
+        word = bag[lo:hi] - document * n_words
+        at = np.repeat(begin[word] - (np.cumsum(per_word[word]) - per_word[word]), per_word[word]) + np.arange(per_word[word].sum())
+        holders[int(y[document]), np.unique(features[order[at]])] += 1
+    toxic, other = np.maximum(holders[1] - 1, 0) / max(1, y.sum()), (holders[0] + 1) / (len(y) - y.sum() + 1)
+    return toxic / other
+
+
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2400, dims: int = 1 << 17, rounds: int = 150) -> ToxicityModel:
     """labels(doc_id, toxic) -> a model learned from at most ``per_class`` labelled documents of either class."""
     rows = labelled_sample(documents, labels, "toxic", per_class).select(F.lower("text").alias("text"), F.col("label").cast("int").alias("label")).collect()
     words, counts = flat_words([r.text.encode() for r in rows])
@@ -67,22 +88,30 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1600, dims: in
     document = np.repeat(np.arange(len(rows)), counts)[starts]
     y = np.array([r.label for r in rows], float)
     n_features = np.maximum(np.bincount(owners, minlength=len(known)), 1)
-    # Words in few documents say little: features are scaled by how many sample documents hold them.
+    # Only features that toxic documents hold more often than chance may carry weight, and none may excuse a sentence.
+    bag = np.unique(np.repeat(np.arange(len(rows)), counts) * np.int64(len(known)) + ids)
+    lift = _lift(features, owners, bag, y, dims)
+    open_features = np.flatnonzero(lift >= LEAST_LIFT)
     lengths = np.diff(np.append(starts, len(ids)))
-    sentence_of = np.repeat(np.arange(len(starts)), lengths)
-    w, adam = {"w": np.zeros(dims), "b": np.array(-6.0)}, Adam(0.08)
+    # A word counts once in a sentence, however often it is repeated there.
+    once = np.unique(np.repeat(np.arange(len(starts)), lengths) * np.int64(len(known)) + ids)
+    sentence_of, ids = once // len(known), once % len(known)
+    able = np.zeros(dims, bool)
+    able[open_features] = True
+    w, adam = {"w": np.where(able, np.log(np.maximum(lift, 1)), 0.0), "b": np.array(-4.0)}, Adam(0.05)
     class_weight = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (1 - y).sum()))
     for _ in range(rounds):
         word = np.bincount(owners, w["w"][features], minlength=len(known)) / np.sqrt(n_features)
-        z = np.clip(np.add.reduceat(word[ids], starts) + w["b"], -30, 30)
+        z = np.clip(np.bincount(sentence_of, word[ids], minlength=len(starts)) + w["b"], -30, 30)
         p = 1 / (1 + np.exp(-z))
         log_none = np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
         none = np.exp(log_none)
         pull = np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0) * class_weight
         dz = -p * pull[document] / len(y)
         dword = np.bincount(ids, dz[sentence_of], minlength=len(known)) / np.sqrt(n_features)
-        grad = np.bincount(features, dword[owners], minlength=dims) + 2e-6 * w["w"]
+        grad = np.where(able, np.bincount(features, dword[owners], minlength=dims) + 1e-5 * w["w"], 0.0)
         adam.step(w, {"w": grad, "b": dz.sum()})
+        w["w"] = np.maximum(w["w"], 0.0)
     return ToxicityModel(w["w"].astype(np.float32), float(w["b"]))
 
 
@@ -110,7 +139,10 @@ def score(documents: DataFrame, model: ToxicityModel, offending: float = 0.5) ->
             if len(ids):
                 weight, ends = vocabulary.table[ids].T
                 starts = _sentence_starts(ends > 0, counts)
-                p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(weight, starts) + model.bias, -30, 30)))
+                heavy = np.flatnonzero(weight)
+                once = np.unique((np.searchsorted(starts, heavy, "right") - 1) * np.int64(len(vocabulary)) + ids[heavy])
+                z = np.bincount(once // len(vocabulary), vocabulary.table[once % len(vocabulary), 0], minlength=len(starts))
+                p = 1 / (1 + np.exp(-np.clip(z + model.bias, -30, 30)))
                 document = np.repeat(np.arange(len(texts)), counts)[starts]
                 out = -np.expm1(np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)))
                 stop = np.append(starts[1:], len(ids))
