@@ -176,3 +176,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_sha
     )
     pairs = pairs.where(F.col("share") >= least_share)
     return pairs.select(id_or_null("doc_id").alias("doc_id"), id_or_null("item").alias("item_id"), "share", (F.col("as_is") >= least_share).alias("identical"))
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_share: float = 0.8) -> DataFrame:
+    """The documents in which no benchmark item leaks, with all their columns."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    hit = leaks(documents.select(key.alias("doc_id"), "text"), benchmark, window, least_share).select(F.col("doc_id").alias("__hit")).distinct()
+    return documents.withColumn("__key", key).join(hit, F.col("__key") == F.col("__hit"), "left_anti").select(*documents.columns)

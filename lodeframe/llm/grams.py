@@ -77,6 +77,23 @@ def score_texts(documents: DataFrame, score, schema: str, lower: bool = False, c
     return rows.mapInArrow(run, f"doc_id long, {schema}")
 
 
+def keep_texts(documents: DataFrame, judge, chunk: int = 1_500_000) -> DataFrame:
+    """The rows whose whole text ``judge(texts: list[bytes]) -> list of booleans`` accepts, with all columns; nothing is shuffled.
+
+    ``judge`` is a factory, as in ``score_texts``; a null text is judged as an empty one.
+    """
+    at = documents.columns.index("text")
+
+    def run(batches):
+        apply = judge()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
+            for i, j in slices(np.fromiter(map(len, texts), np.int64, len(texts)), chunk):
+                yield batch.slice(i, j - i).filter(pa.array(apply(texts[i:j]), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def held_out(modulus: int, remainder: int):
     """Whether a row's crc32(doc_id as text) leaves ``remainder``; a row without an id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder, F.lit(False))

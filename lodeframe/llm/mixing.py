@@ -114,4 +114,33 @@ def mix(
 
     extra = taken_before("first_token + size") - taken_before("first_token")
     taken = F.col("rounds") * F.col("size") + extra
-    return docs.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "first_token", "shard", "quota", "blocks", "rounds", "rest", "start")
+    return docs.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "first_token", "shard", "quota", "blocks", "rounds", "rest", "start", "spread")
+
+
+def mixed_documents(documents: DataFrame, block_tokens: int = 512, **options) -> DataFrame:
+    """The rows of the mix, with the columns of ``documents``: a document as often as it is taken whole, and once more in part.
+
+    The part holds the words of the blocks that are taken once more, joined by blanks; all words of a document make the document
+    itself.  n_chars, where there is such a column, is the new text's length.  A document that gives nothing is left out.
+    """
+    seed = options.get("seed", 7)
+    own, key = ["__id", "__spread"], F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    spread = F.xxhash64(F.lit(seed), key, F.coalesce(F.col("text"), F.lit("")))
+    copy = F.row_number().over(Window.partitionBy(*own).orderBy("__spread"))
+    rows = documents.withColumns({"__id": key, "__spread": spread}).withColumn("__copy", copy)
+    drawn = mix(documents, block_tokens=block_tokens, **options).withColumns({"__id": key, "__spread": F.col("spread")})
+    drawn = drawn.withColumn("__copy", F.row_number().over(Window.partitionBy(*own).orderBy("first_token"))).where("taken > 0")
+    drawn = drawn.select(*own, "__copy", *[F.col(c).alias(f"__{c}") for c in ("size", "taken", "first_token", "rounds", "rest", "start", "blocks")])
+    rows = rows.join(drawn, [*own, "__copy"])
+    part = F.expr("__taken - __rounds * __size")
+    whole = F.col("__rounds") + F.when(part == F.col("__size"), 1).otherwise(0)
+    kinds = F.concat(F.array_repeat(F.lit(True), whole.cast("int")), F.when((part > 0) & (part < F.col("__size")), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    rows = rows.withColumn("__whole", F.explode(kinds))
+    word = f"((__first_token + i) div {block_tokens})"
+    picked = f"(({word} + 1) * __rest + __start) div __blocks - ({word} * __rest + __start) div __blocks = 1"
+    rows = rows.withColumn("__words", F.when(~F.col("__whole"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    text = F.when(F.col("__whole"), F.col("text")).otherwise(F.array_join(F.expr(f"filter(__words, (w, i) -> {picked})"), " "))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in documents.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(documents.dtypes)["n_chars"])))
+    return rows.select(*documents.columns)

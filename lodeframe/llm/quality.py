@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Vocabulary
-from .grams import Adam, flat_words, labelled_sample, score_texts
+from .grams import Adam, flat_words, keep_texts, labelled_sample, score_texts
 
 PASSAGE_WORDS = 64
 _MARKS = b".,;:!?'\"()-|#$%&*@<>=/\\_{}[]~^+"
@@ -194,3 +194,20 @@ def score(documents: DataFrame, model: QualityModel) -> DataFrame:
         return apply
 
     return score_texts(documents, task, "score double, weakest int")
+
+
+def accepted(documents: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
+    """The documents that score ``threshold`` or more, with all their columns."""
+
+    def task():
+        vocabulary = Vocabulary(_word_rows)
+
+        def apply(texts):
+            words, counts = flat_words(texts)
+            ids = vocabulary.ids(words)
+            x, pieces = encode_passages(ids, vocabulary.table, counts) if len(ids) else (np.zeros((0, PASSAGE_FEATURES), np.float32), np.zeros(len(texts), np.int64))
+            return (model.forward(x, pieces)["score"] >= threshold).tolist()
+
+        return apply
+
+    return keep_texts(documents, task)

@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_or_null, keyed, slices
+from .common import NO_ID, checkpoint, id_or_null, keyed, slices
 from .components import connected_components
 
 SEED = 42
@@ -66,7 +66,7 @@ def _fingerprint_batch(texts: list[bytes], shingle: int) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id long, fp long: the fingerprint's bits as a signed number).
+    """documents(doc_id, text) -> (doc_id long, print long: a hash of the text, fp long: the fingerprint's bits as a signed number).
 
     Null and empty texts have fingerprint zero.  A null id comes back as NO_ID.  Other columns are ignored.
     """
@@ -77,9 +77,9 @@ def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.zeros(len(texts), np.uint64)
             for i, j in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 2_000_000):
                 fp[i:j] = _fingerprint_batch(texts[i:j], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "print", "fp"])
 
-    return keyed(documents).mapInArrow(run, "doc_id long, fp long")
+    return keyed(documents).withColumn("print", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, fp long")
 
 
 def _orders(budget: int, rows: int, group_rows: int) -> list[list[tuple[int, int]]]:
@@ -229,6 +229,16 @@ def hamming_links(points: DataFrame, budget: int = 4, group_rows: int = 20_000)
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(traverse, "a long, b long")
 
 
+def _grouped(documents: DataFrame, shingle: int, budget: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, print, fp), and groups (fp, root) of fingerprints with the root of their component."""
+    prints = checkpoint(fingerprints(documents, shingle))
+    points = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    # The nodes are fingerprints, not ids: fingerprints whose documents all lack an id stay apart.
+    roots = connected_components(hamming_links(points.select("fp", F.col("fp").alias("rep")), budget, group_rows))
+    groups = points.join(roots, points.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return prints, groups
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 4, budget: int = 4, group_rows: int = 20_000) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, fp long, fingerprint string, component_id) with one row per input row.
 
@@ -237,12 +247,20 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, budget: int = 4, gro
     smallest id unless its whole component has none, where component_id is null.  Repeated rows share
     their row's result; an empty table gives an empty result; further columns are ignored.
     """
-    prints = checkpoint(fingerprints(documents, shingle))
-    points = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    # The nodes are fingerprints, not ids: fingerprints whose documents all lack an id stay apart.
-    roots = connected_components(hamming_links(points.select("fp", F.col("fp").alias("rep")), budget, group_rows))
-    groups = points.join(roots, points.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    prints, groups = _grouped(documents, shingle, budget, group_rows)
     smallest = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = groups.join(smallest, "root").select("fp", "component_id")
     out = prints.join(named, "fp")
     return out.select(id_or_null("doc_id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_or_null("component_id").alias("component_id"))
+
+
+def keep_one_of_each(documents: DataFrame, shingle: int = 5, budget: int = 4, group_rows: int = 20_000) -> DataFrame:
+    """The document with the smallest id of every component, with all its columns; of repeated rows one stays."""
+    prints, groups = _grouped(documents, shingle, budget, group_rows)
+    own = ["__id", "__print"]
+    kept = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "print")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.print").alias("__print"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__print": F.xxhash64(text)}).join(kept, own)
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("__id"))
+    return rows.withColumn("__place", place).where("__place = 1").select(*documents.columns)
