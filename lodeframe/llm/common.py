@@ -35,10 +35,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write a larger intermediate table once, as Parquet in the shared folder, and read it back."""
+    """Write a larger intermediate table once, as Parquet in the shared folder, and read it back.
+
+    Spark deletes the shuffle files of a finished step when its plan is collected as garbage, which may be long after; asking
+    for that here keeps the disk of one step from adding to the next one's.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -253,7 +253,7 @@ def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_se
     found = stored(segments(texts, window, gram))
     parts = found.where("kind = 1")
     shared = parts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
-    parts = parts.join(shared, "anchor", "left_semi").select("doc_id", "print", "anchor", "start", "size", "content")
+    parts = stored(parts.join(shared, "anchor", "left_semi").select("doc_id", "print", "anchor", "start", "size", "content"))
     content = ["anchor", "size", "content"]
     first = parts.groupBy(*content).agg(F.min(F.struct("doc_id", "print", "start")).alias("first"))
     first = stored(first.select(*content, F.col("first.doc_id").alias("first_doc"), F.col("first.print").alias("print"), F.col("first.start").alias("start")))
