@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +64,10 @@ def write_text(df: DataFrame, path: str, columns: dict[str, str] | None = None,
     head = header_lines(list(columns.values()), fmt)
 
     def with_head(batches):
-        import pyarrow as pa
-
         first = True
         for batch in batches:
             if first and head:
-                yield pa.RecordBatch.from_arrays([pa.array(head)], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array(head)], schema=batch.schema)
             first = False
             yield batch
 
