@@ -2,7 +2,7 @@
 
 Template, one turn after another:  ``### role: text</turn>`` and a line feed.  A turn ends at
 ``</turn>`` and a line feed; its role ends at the first ``: ``.  The parser splits at those marks and
-then drops one backslash before any of ``\\ # / :``, always in this order.
+then drops one backslash before any of backslash, ``#``, ``/`` and blank, from left to right.
 
 A conversation is first rendered as it is and read back.  Where the turns that come back differ
 from the source, its texts are escaped (backslashes doubled, ``##`` and ``</turn>`` broken up by a
@@ -25,11 +25,12 @@ def escape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.regexp_replace(escape(role), ":", "\\\\:")
+    """As ``escape``, and ``: `` is broken up as well."""
+    return F.regexp_replace(escape(role), ":(?= )", ":\\\\")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\#/:])", "$1")
+    return F.regexp_replace(text, r"\\([\\#/ ])", "$1")
 
 
 def render(turns: Column, escaped: bool) -> Column:

@@ -66,18 +66,25 @@ def _templates(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix64(template), literal, kind, np.bincount(text, minlength=len(counts))
 
 
-def _windows(template: np.ndarray, kind: np.ndarray, counts: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of all windows of ``size`` words inside one text with at least ``least`` literal words."""
-    n = len(template)
-    if n < size:
+def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all windows of ``size`` words inside one text.
+
+    A window with fewer than ``least`` literal words would fit almost any list of values; it is hashed with its values.
+    """
+    n = len(template) - size + 1
+    if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n - size + 1, size, np.uint64)
-    literals = np.zeros(n - size + 1, np.int64)
+    h, literals = np.full(n, size, np.uint64), np.zeros(n, np.int64)
+    for k in range(size):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + template[k : n + k])
+        literals += kind[k : n + k] == LITERAL
+    few = np.flatnonzero(literals < least)
+    own = np.full(len(few), size + 1000, np.uint64)
     for k in range(size):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + template[k : n - size + 1 + k])
-        literals += kind[k : n - size + 1 + k] == LITERAL
+        own = mix64(own * np.uint64(0x9E3779B97F4A7C15) + literal[few + k])
+    h[few] = own
     text = np.repeat(np.arange(len(counts)), counts)
-    good = (text[: n - size + 1] == text[size - 1 :]) & (literals >= least)
+    good = text[:n] == text[size - 1 :]
     return np.flatnonzero(good), h[good]
 
 
@@ -104,7 +111,7 @@ def template_windows(texts: DataFrame, window: int, sizes: list[int], only: np.n
                 template, literal, kind, counts = _templates(vocabulary.table[ids], counts)
                 text = np.repeat(np.arange(len(counts)), counts)
                 for size in sizes:
-                    at, h = _windows(template, kind, counts, size, min(3, size))
+                    at, h = _windows(template, literal, kind, counts, size, min(3, size))
                     total = np.bincount(text[at], minlength=len(counts))
                     if only is not None:
                         hit = sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]

@@ -101,7 +101,7 @@ def nearest(
     """vectors(vec_id, column) -> (query_id, rank, vec_id, score): for every row with ``is_query`` the k nearest found among all others.
 
     The index (scale and key ranges) is fitted on at most ``sample_rows`` vectors chosen by a hash of the id; every vector is indexed.
-    A query sees ``2 * reach + 1`` of ``ranges`` key ranges of each curve.  Equal vectors are one point with its k + 1
+    A query sees ``2 * reach + 1`` of ``ranges`` key ranges of each curve; a small table has fewer ranges, of 32 vectors at least.  Equal vectors are one point with its k + 1
     smallest ids, so ties go to the smaller id however many copies there are.  Score is the Euclidean distance in double precision.
     Null, zero, non-finite or odd-sized vectors and rows without an id take no part.  An empty table gives an empty result.
     Further columns are ignored.
@@ -117,8 +117,9 @@ def nearest(
     sample = points.orderBy(F.xxhash64("point"), "point").limit(sample_rows).select("v").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = fit(np.array([r.v for r in sample]), curves, dims, bits, ranges, seed)
     n, m = points.agg(F.count("*"), F.sum(F.col("asks").cast("long"))).first()
+    ranges = max(1, min(ranges, n // 32))
+    index = fit(np.array([r.v for r in sample]), curves, dims, bits, ranges, seed)
     # Key ranges that outgrow a task are cut in cells by a hash; every query cell then meets every point cell of the range.
     point_cells, query_cells = (max(1, -(-int(x) // y)) for x, y in ((2 * n / ranges, cell_rows), (2 * m * (2 * reach + 1) / ranges, cell_queries)))
 

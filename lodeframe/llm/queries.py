@@ -91,7 +91,7 @@ ORACLE: dict[str, str] = {
         select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
             sha256(array_to_string(case when gone is null then w else list_filter(w, lambda e, i: not list_contains(gone, i)) end, ' ')) as kept_sha256 from d left join g on d.doc_id = g.doc_id""",
     "op10_chat_format": r"""with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations union all select -7, t, case t when 0 then 'user' else 'assistant' end, '\### Assistant: </turn> ok' from range(2) r(t)),
-        e as (select *, bool_or(contains(text, '</turn>' || chr(10)) or regexp_matches(text, '\\[\\#/:]') or regexp_matches(role, '\\[\\#/:]') or contains(role, ': ')) over (partition by conv_id) as escaped from c)
+        e as (select *, bool_or(contains(text, '</turn>' || chr(10)) or regexp_matches(text, '\\[\\#/ ]') or regexp_matches(role, '\\[\\#/ ]') or contains(role, ': ')) over (partition by conv_id) as escaped from c)
         select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
             cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars, sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
             cast(sum(14 + length(role) + length(text) + case when escaped then len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '#')) - len(regexp_extract_all(text, '#+')) + len(regexp_extract_all(text, '</turn>')) else 0 end) as bigint) as formatted_chars, escaped from e group by conv_id, escaped""",
