@@ -22,14 +22,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, checkpoint, id_or_null, keyed, slices
+from .common import NO_ID, checkpoint, id_or_null, keyed, mix64, slices
 from .components import connected_components
 
 SEED = 42
+#: Bytes of a similarity sketch.
+SKETCH = 64
 
 
-def _fingerprint_batch(texts: list[bytes], shingle: int) -> np.ndarray:
-    """Unsigned fingerprints of whole texts; bit i is set if it is set in over half of the shingles' hashes."""
+def _fingerprint_batch(texts: list[bytes], shingle: int, sketch: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned fingerprints of whole texts, and their sketches if asked for.
+
+    Bit i of a fingerprint is set if it is set in over half of the shingles' hashes.  A sketch is a byte for each of SKETCH
+    bins: shingles are dealt to bins by their hash, and a bin keeps a byte of its smallest one (0: no shingle).
+    """
     digest, parts, counts = xxhash.xxh64_intdigest, [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         words = text.lower().split()  # on bytes: lower-cases A-Z only and splits at the six ASCII blanks
@@ -44,11 +50,17 @@ def _fingerprint_batch(texts: list[bytes], shingle: int) -> np.ndarray:
             hashes = [digest(joined[i:j], SEED) for i, j in zip((ends - sizes).tolist(), ends[shingle - 1 :].tolist())]
         counts[k] = len(hashes)
         parts.append(np.array(hashes, np.uint64))
-    out = np.zeros(len(texts), np.uint64)
+    out, sketches = np.zeros(len(texts), np.uint64), np.zeros((len(texts), SKETCH), np.uint8)
     full = np.flatnonzero(counts)
     if not len(full):
-        return out
+        return out, sketches
     hashes = np.concatenate(parts)
+    if sketch:
+        least = np.full(len(texts) * SKETCH, np.iinfo(np.uint64).max, np.uint64)
+        mixed = mix64(hashes)
+        np.minimum.at(least, np.repeat(np.arange(len(texts)), counts) * SKETCH + (mixed % np.uint64(SKETCH)).astype(np.int64), mixed // np.uint64(SKETCH))
+        empty = least == np.iinfo(np.uint64).max
+        sketches = np.where(empty, 0, 1 + least % np.uint64(255)).astype(np.uint8).reshape(-1, SKETCH)
     # Eight bits at a time are summed in the eight byte lanes of a word, over runs of at most 255 rows.
     starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
     runs = (counts[full] + 254) // 255
@@ -62,24 +74,25 @@ def _fingerprint_batch(texts: list[bytes], shingle: int) -> np.ndarray:
         for byte in range(8):
             fingerprint |= majority[:, byte] << np.uint64(8 * byte + bit)
     out[full] = fingerprint
-    return out
+    return out, sketches
 
 
-def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
+def fingerprints(documents: DataFrame, shingle: int = 4, sketch: bool = False) -> DataFrame:
     """documents(doc_id, text) -> (doc_id long, print long: a hash of the text, fp long: the fingerprint's bits as a signed number).
 
-    Null and empty texts have fingerprint zero.  A null id comes back as NO_ID.  Other columns are ignored.
+    With ``sketch`` also sketch binary, empty otherwise.  Null and empty texts have fingerprint zero.  A null id comes back as
+    NO_ID.  Other columns are ignored.
     """
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fp = np.zeros(len(texts), np.uint64)
             for i, j in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 2_000_000):
-                fp[i:j] = _fingerprint_batch(texts[i:j], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "print", "fp"])
+                fp, held = _fingerprint_batch(texts[i:j], shingle, sketch)
+                held = pa.array([r.tobytes() for r in held] if sketch else [b""] * (j - i), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(fp.view(np.int64)), held], names=["doc_id", "print", "fp", "sketch"])
 
-    return keyed(documents).withColumn("print", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, fp long")
+    return keyed(documents).withColumn("print", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, fp long, sketch binary")
 
 
 def _orders(budget: int, rows: int, group_rows: int) -> list[list[tuple[int, int]]]:
@@ -97,6 +110,18 @@ def _orders(budget: int, rows: int, group_rows: int) -> list[list[tuple[int, int
     raise AssertionError
 
 
+def _sampled_orders(budget_share: float, rows: int, recall: float = 0.97, seed: int = 17) -> tuple[list[list[tuple[int, int]]], int]:
+    """Bit orders that begin with bits drawn at random, and how many begin them.
+
+    A pair that differs in each bit with probability ``budget_share`` shares the beginning of at least one order with
+    probability ``recall``.  More rows get longer beginnings, which keeps groups small.
+    """
+    depth = next(d for d in (8, 14, 18, 22, 26) if rows / 2.0**d <= 1000 or d == 26)
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - budget_share) ** depth)))
+    rng = np.random.default_rng(seed)
+    return [[(int(b), 1) for b in rng.permutation(64)] for _ in range(tables)], depth
+
+
 def _permuted(values: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     out = np.zeros(len(values), np.uint64)
     for shift, width in order:
@@ -120,11 +145,19 @@ def _merge(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
             labels = further
 
 
-def trie_forest(values: np.ndarray, bounds: np.ndarray, depth: int, budget: int, leaf: int = 64, wave: int = 200_000) -> np.ndarray:
+def _similar(sketches: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Whether the share of equal bins among those that either sketch fills reaches ``least``, less one standard error of that share."""
+    a, b = sketches[left], sketches[right]
+    filled = np.count_nonzero(a | b, axis=1)
+    slack = np.sqrt(least * (1 - least) / np.maximum(filled, 1))
+    return np.count_nonzero((a == b) & (a > 0), axis=1) >= (least - slack) * filled
+
+
+def trie_forest(values: np.ndarray, bounds: np.ndarray, depth: int, budget: int, leaf: int = 64, wave: int = 200_000, confirm=None) -> np.ndarray:
     """Labels of a spanning forest of the links within ``budget`` bits among sorted values of several subtries.
 
     bounds: starts of the subtries and the end; all values of a subtrie share their top ``depth`` bits.
-    A trie node is a range of the sorted values; node pairs are held in waves, deepest first, which bounds memory.
+    ``confirm(left, right)`` may turn links down.  A trie node is a range of the sorted values; node pairs are held in waves, deepest first, which bounds memory.
     """
     labels, ones = np.arange(len(values)), {}
     lo, hi = bounds[:-1], bounds[1:]
@@ -145,7 +178,13 @@ def trie_forest(values: np.ndarray, bounds: np.ndarray, depth: int, budget: int,
                 width = np.repeat(bn[i:j], size)
                 left, right = np.repeat(a0[i:j], size) + k // width, np.repeat(b0[i:j], size) + k % width
                 near = (left < right) & (np.bitwise_count(values[left] ^ values[right]) <= budget)
-                labels = _merge(labels, left[near], right[near])
+                left, right = left[near], right[near]
+                if confirm is not None:
+                    apart = labels[left] != labels[right]
+                    left, right = left[apart], right[apart]
+                    sure = confirm(left, right)
+                    left, right = left[sure], right[sure]
+                labels = _merge(labels, left, right)
         if small.all():
             continue
         alo, ahi, blo, bhi, err = (x[~small] for x in (alo, ahi, blo, bhi, err))
@@ -165,11 +204,22 @@ def trie_forest(values: np.ndarray, bounds: np.ndarray, depth: int, budget: int,
     return labels
 
 
-def hamming_links(points: DataFrame, budget: int = 4, group_rows: int = 20_000) -> DataFrame:
-    """points(fp long, rep long), fingerprints distinct -> edges(a, b) that connect exactly what links within ``budget`` connect."""
-    orders = _orders(budget, points.count(), group_rows)
-    shared = len(orders[0]) - budget
-    depths = [sum(w for _, w in o[:shared]) for o in orders]
+def hamming_links(points: DataFrame, budget: int = 4, group_rows: int = 20_000, similarity: float | None = None) -> DataFrame:
+    """points(fp long, rep long[, sketch]), fingerprints distinct -> edges(a, b) that connect what links within ``budget`` connect.
+
+    With ``similarity``, bit orders are drawn at random and a link must be confirmed by the sketches; without, every
+    link within the budget is found.
+    """
+    rows = points.count()
+    if similarity is None:
+        orders = _orders(budget, rows, group_rows)
+        shared = len(orders[0]) - budget
+        depths = [sum(w for _, w in o[:shared]) for o in orders]
+        points = points.select("fp", "rep", F.lit(b"").alias("sketch"))
+    else:
+        # The angle between the count vectors of two sets of this similarity, as a share of all bits.
+        orders, depth = _sampled_orders(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), rows)
+        depths = [depth] * len(orders)
 
     def spread(batches):
         for batch in batches:
@@ -177,9 +227,9 @@ def hamming_links(points: DataFrame, budget: int = 4, group_rows: int = 20_000)
             for t, order in enumerate(orders):
                 value = _permuted(fp, order)
                 top = (value >> np.uint64(64 - depths[t])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(top), pa.array(value.view(np.int64)), batch.column(1)], names=["t", "top", "value", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(top), pa.array(value.view(np.int64)), batch.column(1), batch.column(2)], names=["t", "top", "value", "rep", "sketch"])
 
-    placed = points.select("fp", "rep").mapInArrow(spread, "t int, top long, value long, rep long")
+    placed = points.select("fp", "rep", "sketch").mapInArrow(spread, "t int, top long, value long, rep long, sketch binary")
     large = placed.groupBy("t", "top").agg(F.count("*").alias("n")).where(F.col("n") > group_rows)
     cells = F.ceil(2 * F.col("n") / group_rows).cast("int")
     own = F.pmod(F.xxhash64("value"), F.col("cells")).cast("int")
@@ -188,21 +238,25 @@ def hamming_links(points: DataFrame, budget: int = 4, group_rows: int = 20_000)
         .withColumn("cells", F.coalesce("cells", F.lit(1)))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        .select("t", "top", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "value", "rep")
+        .select("t", "top", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "value", "rep", "sketch")
     )
 
     def traverse(batches):
         def forest(table):
-            t, top, i, j, value, rep = (c.to_numpy() for c in table.columns)
+            t, top, i, j, value, rep = (c.to_numpy() for c in table.columns[:6])
+            sketch = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(t), -1) if similarity else None
             value = value.view(np.uint64)
             order = np.lexsort((value, j, i, top, t))
             t, top, i, j, value, rep = (x[order] for x in (t, top, i, j, value, rep))
+            sketch = sketch[order] if similarity else None
             for table_no in np.unique(t):
                 own = np.flatnonzero(t == table_no)
                 a, b = own[0], own[-1] + 1
                 new = np.concatenate([[True], (np.diff(top[a:b]) != 0) | (np.diff(i[a:b]) != 0) | (np.diff(j[a:b]) != 0)])
                 bounds = np.concatenate([np.flatnonzero(new), [b - a]])
-                labels = trie_forest(value[a:b], bounds, depths[table_no], budget)
+                own_sketch = sketch[a:b] if similarity else None
+                confirm = (lambda left, right, s=own_sketch: _similar(s, left, right, similarity)) if similarity else None
+                labels = trie_forest(value[a:b], bounds, depths[table_no], budget, confirm=confirm)
                 linked = np.flatnonzero(labels != np.arange(b - a))
                 if len(linked):
                     yield pa.RecordBatch.from_arrays([pa.array(rep[a:b][linked]), pa.array(rep[a:b][labels[linked]])], names=["a", "b"])
@@ -229,12 +283,12 @@ def hamming_links(points: DataFrame, budget: int = 4, group_rows: int = 20_000)
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(traverse, "a long, b long")
 
 
-def _grouped(documents: DataFrame, shingle: int, budget: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(documents: DataFrame, shingle: int, budget: int, group_rows: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, print, fp), and groups (fp, root) of fingerprints with the root of their component."""
-    prints = checkpoint(fingerprints(documents, shingle))
-    points = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    prints = checkpoint(fingerprints(documents, shingle, similarity is not None))
+    points = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
     # The nodes are fingerprints, not ids: fingerprints whose documents all lack an id stay apart.
-    roots = connected_components(hamming_links(points.select("fp", F.col("fp").alias("rep")), budget, group_rows))
+    roots = connected_components(hamming_links(points.select("fp", F.col("fp").alias("rep"), "sketch"), budget, group_rows, similarity))
     groups = points.join(roots, points.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     return prints, groups
 
@@ -254,9 +308,15 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, budget: int = 4, gro
     return out.select(id_or_null("doc_id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_or_null("component_id").alias("component_id"))
 
 
-def keep_one_of_each(documents: DataFrame, shingle: int = 5, budget: int = 4, group_rows: int = 20_000) -> DataFrame:
-    """The document with the smallest id of every component, with all its columns; of repeated rows one stays."""
-    prints, groups = _grouped(documents, shingle, budget, group_rows)
+def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 20, group_rows: int = 20_000) -> DataFrame:
+    """The document with the smallest id of every group of similar ones, with all its columns; of repeated rows one stays.
+
+    Documents link if at most ``budget`` bits of their fingerprints differ and their sketches agree in ``similarity`` of the
+    bins that either fills, an estimate of the Jaccard similarity of their shingles; equal fingerprints link as they are.
+    Fingerprints of sets of similarity 0.8 differ in some 10 of 64 bits, too many for whole blocks to agree, so the trie is read
+    in random bit orders; a pair of that similarity meets in one of them with probability 0.97, more similar ones more surely.
+    """
+    prints, groups = _grouped(documents, shingle, budget, group_rows, similarity)
     own = ["__id", "__print"]
     kept = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "print")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.print").alias("__print"))
