@@ -70,6 +70,9 @@ def score_texts(documents: DataFrame, score, schema: str, lower: bool = False, c
             for i, j in slices(np.fromiter(map(len, texts), np.int64, len(texts)), chunk):
                 columns = apply(texts[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names=names)
+        # Workers outlive their task; what its vocabulary and batches held should not.
+        del apply
+        pa.default_memory_pool().release_unused()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lower(text) if lower else text).alias("text"))
@@ -90,6 +93,8 @@ def keep_texts(documents: DataFrame, judge, chunk: int = 1_500_000) -> DataFrame
             texts = batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
             for i, j in slices(np.fromiter(map(len, texts), np.int64, len(texts)), chunk):
                 yield batch.slice(i, j - i).filter(pa.array(apply(texts[i:j]), pa.bool_()))
+        del apply
+        pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(run, documents.schema)
 

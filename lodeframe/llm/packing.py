@@ -88,7 +88,7 @@ def best_fit_decreasing(sizes: list[int], room: int) -> list[list[int]]:
     return rows
 
 
-def pack(documents: DataFrame, row_tokens: int = 2048, vocabulary: str = VOCABULARY, end: int = END_OF_TEXT, group_tokens: int = 4_000_000) -> DataFrame:
+def pack(documents: DataFrame, row_tokens: int = 2048, vocabulary: str = VOCABULARY, end: int = END_OF_TEXT, group_tokens: int = 1_000_000) -> DataFrame:
     """documents(doc_id, text) -> one output row per packed row of at most ``row_tokens`` tokens.
 
     shard, row      number of the task that packed it and of the row there
@@ -134,7 +134,7 @@ def pack(documents: DataFrame, row_tokens: int = 2048, vocabulary: str = VOCABUL
 
     def run(batches):
         encode = tokenizer(vocabulary).encode_ordinary
-        shard, done, held, pieces = TaskContext.get().partitionId(), 0, 0, []
+        shard, done, held, pieces, out = TaskContext.get().partitionId(), 0, 0, [], None
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 tokens = encode(text.as_py())
@@ -152,6 +152,8 @@ def pack(documents: DataFrame, row_tokens: int = 2048, vocabulary: str = VOCABUL
         if pieces:
             out = rows_of(shard, done, pieces)
             yield from (out.slice(k, 256) for k in range(0, out.num_rows, 256))
+        pieces = out = None
+        pa.default_memory_pool().release_unused()
 
     if not 0 <= end < 65_536 or row_tokens > 65_536:
         raise ValueError("ids and positions are kept in 16 bits")
