@@ -252,7 +252,8 @@ def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_se
     texts = keyed(documents).withColumn("print", F.xxhash64("text"))
     found = stored(segments(texts, window, gram))
     parts = found.where("kind = 1")
-    shared = parts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
+    # Tables of their own: a join straight above an aggregate keeps its partitions, and Spark could not split a frequent anchor's rows.
+    shared = stored(parts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor"))
     parts = stored(parts.join(shared, "anchor", "left_semi").select("doc_id", "print", "anchor", "start", "size", "content"))
     content = ["anchor", "size", "content"]
     first = parts.groupBy(*content).agg(F.min(F.struct("doc_id", "print", "start")).alias("first"))
@@ -261,7 +262,7 @@ def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_se
     copies = parts.join(first.select(*content, "first_doc"), content)
     several = first.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).where("a <> b")
     cuts = F.ceil(F.col("n") / shard_segments).cast("int").alias("cuts")
-    judged = copies.where("doc_id = first_doc").join(several.select("anchor", cuts), "anchor").select("doc_id", "print", "anchor", "start", "size", "cuts")
+    judged = copies.where("doc_id = first_doc").join(stored(several.select("anchor", cuts)), "anchor").select("doc_id", "print", "anchor", "start", "size", "cuts")
     copies = copies.where("doc_id > first_doc").select("doc_id", "print", "start", "size")
 
     def take_segments(doc, text_print, words, ranges):
