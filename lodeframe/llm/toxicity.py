@@ -76,20 +76,24 @@ def _lift(features: np.ndarray, owners: np.ndarray, bag: np.ndarray, y: np.ndarr
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2400, dims: int = 1 << 17, rounds: int = 150) -> ToxicityModel:
     """labels(doc_id, toxic) -> a model learned from at most ``per_class`` labelled documents of either class."""
     rows = labelled_sample(documents, labels, "toxic", per_class).select(F.lower("text").alias("text"), F.col("label").cast("int").alias("label")).collect()
-    words, counts = flat_words([r.text.encode() for r in rows])
     index: dict[bytes, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+    pieces, y = [], np.array([r.label for r in rows], float)
+    for r in rows:  # one text's words at a time, so that only their numbers add up
+        words = r.text.encode().split()
+        pieces.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
+    del rows
+    counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ids = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
     known = list(index)
-    if not known or len({r.label for r in rows}) < 2:
-        share = np.mean([r.label for r in rows]) if rows else 0.0
+    if not known or len(set(y)) < 2:
+        share = y.mean() if len(y) else 0.0
         return ToxicityModel(np.zeros(dims, np.float32), float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6)))))
     features, owners = gram_hashes(_bare(known), GRAMS, dims, whole=True)
     starts = _sentence_starts(_ends(known)[ids], counts)
-    document = np.repeat(np.arange(len(rows)), counts)[starts]
-    y = np.array([r.label for r in rows], float)
+    document = np.repeat(np.arange(len(y)), counts)[starts]
     n_features = np.maximum(np.bincount(owners, minlength=len(known)), 1)
     # Only features that toxic documents hold more often than chance may carry weight, and none may excuse a sentence.
-    bag = np.unique(np.repeat(np.arange(len(rows)), counts) * np.int64(len(known)) + ids)
+    bag = np.unique(np.repeat(np.arange(len(y)), counts) * np.int64(len(known)) + ids)
     lift = _lift(features, owners, bag, y, dims)
     open_features = np.flatnonzero(lift >= LEAST_LIFT)
     lengths = np.diff(np.append(starts, len(ids)))
