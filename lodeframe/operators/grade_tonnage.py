@@ -117,3 +117,11 @@ def theoretical(samples: DataFrame, variable: str, cutoffs: list[float], f: floa
     out = out.groupBy("l.cutoff").agg(F.sum(F.when(here, F.col("w")).otherwise(0.0)).alias("w"), F.sum(F.when(here, F.col("wv")).otherwise(0.0)).alias("wv"))
     grade = F.when(F.col("w") > 0, F.lit(mean) + F.lit(f**0.5) * (F.col("wv") / F.col("w") - F.lit(mean))).otherwise(0.0)
     return out.select("cutoff", (F.col("w") / F.lit(total)).alias("t_frac"), grade.alias("grade"))
+
+
+def cutoff_range(low: float, high: float, step: float) -> list[float]:
+    """Cutoffs from low to high, the end included within a thousandth of a step, to 10 significant digits."""
+    if step <= 0:
+        raise ValueError("the step must be above zero")
+    count = int((high - low) / step + 0.001)
+    return [float(f"{low + k * step:.10g}") for k in range(count + 1)]

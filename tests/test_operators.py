@@ -274,3 +274,8 @@ def test_roles_of_tables():
     assert drillhole.table_role(["HOLEID", "AT", "AZIMUTH", "DIP"]) == "survey"
     assert drillhole.table_role(["BHID", "XCOLLAR", "YCOLLAR", "ZCOLLAR"]) == "collar"
     assert drillhole.table_role(["a"]) is None
+
+
+def test_cutoff_ranges():
+    assert grade_tonnage.cutoff_range(0.0, 0.3, 0.1) == [0.0, 0.1, 0.2, 0.3]
+    assert grade_tonnage.cutoff_range(1.0, 1.0, 0.5) == [1.0]

@@ -158,3 +158,9 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda d: sorted(map(tuple, d.select("group", "count", "sum", "min", "max").collect()))
     assert key(spark.read.parquet(str(out))) == key(running.running_moments(df, "v", "g"))
+
+
+def test_decimals(spark):
+    lines = spark.createDataFrame([("A,B,C",), ("1.25,7,x",), ("3.5,8.125,y",)], "value string")
+    t = text.from_lines(lines, types={"A": "numeric", "B": "numeric", "C": "categorical"})
+    assert {r["column"]: r["decimals"] for r in text.decimals(lines, t).collect()} == {"A": 2, "B": 3}
