@@ -47,12 +47,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files under a table written by ``stored`` once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for f in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of tables written by ``stored`` that no later step reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Vocabulary, id_or_null, keyed, mix64, slices, stored
+from .common import Vocabulary, drop_stored, id_or_null, keyed, mix64, slices, stored
 from .grams import flat_words
 
 _ODD = 0x9E3779B97F4A7C15
@@ -255,6 +255,7 @@ def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_se
     # Tables of their own: a join straight above an aggregate keeps its partitions, and Spark could not split a frequent anchor's rows.
     shared = stored(parts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor"))
     parts = stored(parts.join(shared, "anchor", "left_semi").select("doc_id", "print", "anchor", "start", "size", "content"))
+    drop_stored(shared)
     content = ["anchor", "size", "content"]
     first = parts.groupBy(*content).agg(F.min(F.struct("doc_id", "print", "start")).alias("first"))
     first = stored(first.select(*content, F.col("first.doc_id").alias("first_doc"), F.col("first.print").alias("print"), F.col("first.start").alias("start")))
@@ -262,7 +263,8 @@ def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_se
     copies = parts.join(first.select(*content, "first_doc"), content)
     several = first.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).where("a <> b")
     cuts = F.ceil(F.col("n") / shard_segments).cast("int").alias("cuts")
-    judged = copies.where("doc_id = first_doc").join(stored(several.select("anchor", cuts)), "anchor").select("doc_id", "print", "anchor", "start", "size", "cuts")
+    several = stored(several.select("anchor", cuts))
+    judged = copies.where("doc_id = first_doc").join(several, "anchor").select("doc_id", "print", "anchor", "start", "size", "cuts")
     copies = copies.where("doc_id > first_doc").select("doc_id", "print", "start", "size")
 
     def take_segments(doc, text_print, words, ranges):
@@ -273,6 +275,7 @@ def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_se
     home = F.pmod(F.xxhash64("doc_id", "start"), F.col("cuts")).cast("int")
     cut = cut.withColumn("home", home).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("own", F.col("home") == F.col("part"))
     removed = stored(copies.unionByName(_judge_shards(cut, window)).distinct())
+    drop_stored(parts, first, several)
 
     def drop_spans(doc, text_print, words, ranges):
         merged: list[list[int]] = []
