@@ -88,11 +88,10 @@ def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts
     return np.flatnonzero(good), h[good]
 
 
-def template_windows(texts: DataFrame, window: int, sizes: list[int], only: np.ndarray | None = None) -> DataFrame:
-    """texts(doc_id, text) -> (doc_id, size, pos, hash, kinds array<int>, literals array<long>, n_windows) for every window.
+def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None) -> DataFrame:
+    """texts(doc_id, text) -> (doc_id, pos, hash, kinds array<int>, literals array<long>, n_windows) for every window of ``size`` words.
 
-    n_windows counts the windows of that size in the text.  With ``only``, sorted hashes, other windows are not emitted.
-    Windows shorter than ``window`` serve texts that have no more words than that.
+    n_windows counts the windows of the text.  With ``only``, sorted hashes, other windows are not emitted.
     """
     sieve = None
     if only is not None:
@@ -109,34 +108,32 @@ def template_windows(texts: DataFrame, window: int, sizes: list[int], only: np.n
                 if not len(ids):
                     continue
                 template, literal, kind, counts = _templates(vocabulary.table[ids], counts)
-                text = np.repeat(np.arange(len(counts)), counts)
-                for size in sizes:
-                    at, h = _windows(template, literal, kind, counts, size, min(3, size))
-                    total = np.bincount(text[at], minlength=len(counts))
-                    if only is not None:
-                        hit = sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
-                        at, h = at[hit], h[hit]
-                        hit = np.isin(h, only)
-                        at, h = at[hit], h[hit]
-                    if not len(at):
-                        continue
-                    cover = at[:, None] + np.arange(size)
-                    begin = np.cumsum(counts) - counts
-                    offsets = pa.array(np.arange(0, (len(at) + 1) * size, size, dtype=np.int32))
+                text, begin = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+                at, h = _windows(template, literal, kind, counts, size, min(3, size))
+                total = np.bincount(text[at], minlength=len(counts))
+                if only is not None:
+                    hit = sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
+                    at, h = at[hit], h[hit]
+                    hit = np.isin(h, only)
+                    at, h = at[hit], h[hit]
+                # Without a sieve every window goes out; in portions, as each carries its words.
+                for k in range(0, len(at), 50_000):
+                    part = at[k : k + 50_000]
+                    cover = part[:, None] + np.arange(size)
+                    offsets = pa.array(np.arange(0, (len(part) + 1) * size, size, dtype=np.int32))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).slice(i, j - i).take(pa.array(text[at])),
-                            pa.array(np.full(len(at), size, np.int32)),
-                            pa.array((at - begin[text[at]]).astype(np.int32)),
-                            pa.array(h.view(np.int64)),
+                            batch.column(0).slice(i, j - i).take(pa.array(text[part])),
+                            pa.array((part - begin[text[part]]).astype(np.int32)),
+                            pa.array(h[k : k + 50_000].view(np.int64)),
                             pa.ListArray.from_arrays(offsets, pa.array(kind[cover].ravel().astype(np.int32))),
                             pa.ListArray.from_arrays(offsets, pa.array(literal[cover].ravel().view(np.int64))),
-                            pa.array(total[text[at]].astype(np.int32)),
+                            pa.array(total[text[part]].astype(np.int32)),
                         ],
-                        names=["doc_id", "size", "pos", "hash", "kinds", "literals", "n_windows"],
+                        names=["doc_id", "pos", "hash", "kinds", "literals", "n_windows"],
                     )
 
-    return texts.mapInArrow(run, "doc_id long, size int, pos int, hash long, kinds array<int>, literals array<long>, n_windows int")
+    return texts.mapInArrow(run, "doc_id long, pos int, hash long, kinds array<int>, literals array<long>, n_windows int")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_share: float = 0.8, sieve_limit: int = 2_000_000) -> DataFrame:
@@ -145,32 +142,22 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_sha
     share is the share of an item's template windows that the document holds in consistent alignments; an item leaks at
     ``least_share`` or more.  An alignment is a fixed distance between the places in document and item; it is consistent
     if every value of the item stands for one value in the document.  identical: all values are the item's own.
-    Items shorter than ``window`` are one window; items without words never match.  A null text is empty; null ids
+    Items of fewer than ``window`` words are too short to tell from chance and never match.  A null text is empty; null ids
     are kept as null; repeated rows and ties give one row per pair of ids; further columns are ignored.
 
     The benchmark's window hashes are counted first.  Up to ``sieve_limit`` of them are sent along to drop other windows
     where they arise; beyond that all windows go through the join.
     """
     items = keyed(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
-    lengths = [r[0] for r in items.select(F.size(F.array_distinct(F.split(F.trim("text"), r"\s+"))).alias("n")).where(f"n < {3 * window}").distinct().collect()]
-    known = template_windows(items, window, [window] + ([s for s in range(1, window)] if lengths else []))
-    # A short size is kept for items that have no window of the full size and that it covers whole.
-    full = known.where(F.col("size") == window).select("doc_id").distinct()
-    short = known.where((F.col("size") < window) & (F.col("n_windows") == 1) & (F.col("pos") == 0)).join(full, "doc_id", "left_anti")
-    longest = short.groupBy("doc_id").agg(F.max("size").alias("size"))
-    known = known.where(F.col("size") == window).unionByName(short.join(longest, ["doc_id", "size"]).select(*known.columns))
-    known = known.select(F.col("doc_id").alias("item"), "size", F.col("pos").alias("item_pos"), "hash", F.col("literals").alias("item_literals"), F.col("n_windows").alias("of")).persist()
+    known = template_windows(items, window)
+    known = known.select(F.col("doc_id").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("literals").alias("item_literals"), F.col("n_windows").alias("of")).persist()
     try:
-        distinct = known.select("size", "hash").distinct()
-        n = distinct.count()
-        sizes = sorted(r[0] for r in known.select("size").distinct().collect())
-        only = np.sort(np.array([r[0] for r in distinct.select("hash").collect()], np.int64).view(np.uint64)) if n <= sieve_limit else None
+        distinct = known.select("hash").distinct()
+        only = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)) if distinct.count() <= sieve_limit else None
     finally:
         known.unpersist()
-    if not sizes:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, share double, identical boolean")
-    found = template_windows(keyed(documents), window, sizes, only).drop("n_windows")
-    hits = found.join(known, ["size", "hash"])
+    found = template_windows(keyed(documents), window, only).drop("n_windows")
+    hits = found.join(known, "hash")
     hits = hits.select("doc_id", "item", "of", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.filter(F.arrays_zip("kinds", "item_literals", "literals"), lambda s: s["kinds"] != LITERAL).alias("slots"))
     hits = checkpoint(hits)  # only windows that the benchmark has; read three times below
     slots = hits.select("doc_id", "item", "shift", F.explode("slots").alias("s")).select("doc_id", "item", "shift", F.struct("s.kinds", "s.item_literals").alias("a"), F.col("s.literals").alias("b")).distinct()

@@ -263,9 +263,9 @@ def test_reparameterised_questions_leak(spark, docs):
         16: "so tiny that",
     }
     got = {(r["doc_id"], r["item_id"]): r["identical"] for r in decontamination.leaks(docs(list(texts.items())), bench).collect()}
-    assert got == {(10, 1): True, (11, 1): False, (14, 2): True, (16, 4): True}
+    assert got == {(10, 1): True, (11, 1): False, (14, 2): True}
     kept = decontamination.without_leaks(docs(list(texts.items())), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [12, 13, 15]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [12, 13, 15, 16]
 
 
 def test_slots_must_be_consistent(spark, docs):
