@@ -23,47 +23,71 @@ from .grams import flat_words
 UNITS = frozenset("% ° $ € £ mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds mph kph km/h m/s j kj w kw kwh v a hz khz mhz ghz kb mb gb tb usd eur gbp dollar dollars euro euros pound pounds cent cents meter meters metre metres kilometer kilometers kilometre kilometres mile miles gram grams kilogram kilograms liter liters litre litres degree degrees percent".split())
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?$")
+#: A number with what is attached to it, and what may be attached besides units.
+_ATTACHED, _ALSO = re.compile(r"([-+]?[$€£]?\d[\d.,:/]*)([^\d.,:/].*)$"), frozenset(("am", "pm"))
 _OUTER = re.compile(r"^[^\w%°$€£+-]+|[^\w%°$€£]+$")
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
-_IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS, _BLANK = 1, 2, 4, 8, 16
+_IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS, _BLANK, _IS_NUMBER_WORD, _MARK = 1, 2, 4, 8, 16, 32, 64
+#: Words that one name or number may have; longer runs of capitals are titles, whose words stand for themselves.
+MOST_WORDS = 4
+#: Ways to read a text: capitals that open a sentence as literals, the same as names, and words as they are.
+PLAIN, NAMED, WHOLE = 0, 1, 2
 
 
 def _word_rows(words: list[bytes]) -> np.ndarray:
-    """(hash of the bare lower-cased word, flags) of every word."""
-    out = np.zeros((len(words), 2), np.uint64)
+    """(hash of the bare lower-cased word or of its number, flags, hash and flags of what is attached to the number) of every word."""
+    out = np.zeros((len(words), 4), np.uint64)
     for k, raw in enumerate(words):
         word = raw.decode()
         bare = _OUTER.sub("", word)
         low = bare.lower()
         flags = _ENDS if word.rstrip("\"')]}»”’")[-1:] in tuple(".!?:") else 0
+        flags |= 0 if word[-1:].isalnum() else _MARK
         if not low:
             flags |= _BLANK
-        elif _NUMBER.match(low) or low in NUMBER_WORDS:
+        elif _NUMBER.match(low):
             flags |= _IS_NUMBER
+        elif low in NUMBER_WORDS:
+            flags |= _IS_NUMBER | _IS_NUMBER_WORD
         elif low in UNITS:
             flags |= _IS_UNIT
         elif bare[0].isupper() and not (len(bare) > 1 and bare.isupper()):
             flags |= _IS_CAPITAL
-        out[k] = xxhash.xxh64_intdigest(low.encode(), 1), flags
+        out[k, :2] = xxhash.xxh64_intdigest(low.encode(), 1), flags
     return out
 
 
-def _templates(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, literal hashes and kinds of all words that are not blank, and how many each text has.
-
-    A capital opens a name unless it stands first in its text or after a mark that ends a sentence or a line's label.
-    """
+def _tokens(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Literal hashes, flags and texts of all words that are not blank; what is attached to a number is a word of its own."""
     text = np.repeat(np.arange(len(counts)), counts)
     full = (words[:, 1] & np.uint64(_BLANK)) == 0
-    literal, flags, text = words[full, 0], words[full, 1].astype(np.int64), text[full]
+    words, text = words[full], text[full]
+    parts = 1 + (words[:, 2] > 0)
+    first = np.cumsum(parts) - parts
+    literal, flags = np.repeat(words[:, 0], parts), np.repeat(words[:, 1], parts)
+    two = np.flatnonzero(parts == 2)
+    literal[first[two] + 1], flags[first[two] + 1] = words[two, 2], words[two, 3]
+    return literal, flags.astype(np.int64), np.repeat(text, parts)
+
+
+def _templates(literal: np.ndarray, flags: np.ndarray, text: np.ndarray, n: int, view: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes, literal hashes and kinds of the words of ``n`` texts, and how many each text has.
+
+    A capital opens a name; where it stands first in its text or after a mark that ends a sentence or a line's label it
+    does so in the view NAMED only.  A name or number of several words is one; in the view WHOLE all words are literals.
+    """
+    if view == WHOLE:
+        return mix64(literal), literal, np.zeros(len(literal), np.int64), np.bincount(text, minlength=n)
     first = np.ones(len(text), bool)
     first[1:] = text[1:] != text[:-1]
     before = np.zeros(len(text), np.int64)
     before[1:] = flags[:-1]
     before[first] = _ENDS
-    kind = np.where(flags & _IS_NUMBER, NUMBER, np.where((flags & _IS_UNIT) & ((before & _IS_NUMBER) * 2), UNIT, np.where(((flags & _IS_CAPITAL) > 0) & ((before & _ENDS) == 0), NAME, LITERAL)))
-    template = np.where(kind == LITERAL, literal, kind.astype(np.uint64))
-    return mix64(template), literal, kind, np.bincount(text, minlength=len(counts))
+    name = ((flags & _IS_CAPITAL) > 0) & (((before & _ENDS) == 0) | (view == NAMED))
+    kind = np.where(flags & _IS_NUMBER, NUMBER, np.where((flags & _IS_UNIT) & ((before & _IS_NUMBER) * 2), UNIT, np.where(name, NAME, LITERAL)))
+    value = literal
+    template = np.where(kind == LITERAL, value, kind.astype(np.uint64))
+    return mix64(template), value, kind, np.bincount(text, minlength=n)
 
 
 def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +112,11 @@ def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts
     return np.flatnonzero(good), h[good]
 
 
-def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None) -> DataFrame:
-    """texts(doc_id, text) -> (doc_id, pos, hash, kinds array<int>, literals array<long>, n_windows) for every window of ``size`` words.
+def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None, wholes: list[int] | None = None) -> DataFrame:
+    """texts(doc_id, text) -> (doc_id, view, size, pos, hash, kinds array<int>, literals array<long>, n_windows) for every window of ``size`` words.
 
-    n_windows counts the windows of the text.  With ``only``, sorted hashes, other windows are not emitted.
+    n_windows counts the windows of the text in the view.  With ``only``, sorted hashes, other windows are not emitted.  The
+    view WHOLE has windows of the sizes ``wholes``; without them, those of whole texts that are too short for ``size``.
     """
     sieve = None
     if only is not None:
@@ -107,33 +132,59 @@ def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None
                 ids = vocabulary.ids(words)
                 if not len(ids):
                     continue
-                template, literal, kind, counts = _templates(vocabulary.table[ids], counts)
-                text, begin = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
-                at, h = _windows(template, literal, kind, counts, size, min(3, size))
-                total = np.bincount(text[at], minlength=len(counts))
-                if only is not None:
-                    hit = sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
-                    at, h = at[hit], h[hit]
-                    hit = np.isin(h, only)
-                    at, h = at[hit], h[hit]
-                # Without a sieve every window goes out; in portions, as each carries its words.
-                for k in range(0, len(at), 50_000):
-                    part = at[k : k + 50_000]
-                    cover = part[:, None] + np.arange(size)
-                    offsets = pa.array(np.arange(0, (len(part) + 1) * size, size, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(i, j - i).take(pa.array(text[part])),
-                            pa.array((part - begin[text[part]]).astype(np.int32)),
-                            pa.array(h[k : k + 50_000].view(np.int64)),
-                            pa.ListArray.from_arrays(offsets, pa.array(kind[cover].ravel().astype(np.int32))),
-                            pa.ListArray.from_arrays(offsets, pa.array(literal[cover].ravel().view(np.int64))),
-                            pa.array(total[text[part]].astype(np.int32)),
-                        ],
-                        names=["doc_id", "pos", "hash", "kinds", "literals", "n_windows"],
-                    )
-
-    return texts.mapInArrow(run, "doc_id long, pos int, hash long, kinds array<int>, literals array<long>, n_windows int")
+                tokens, n = _tokens(vocabulary.table[ids], counts), len(counts)
+                short = np.bincount(tokens[2], minlength=n)
+                passes = [(view, size) for view in (PLAIN,)] + [(WHOLE, s) for s in (wholes if wholes is not None else [0])]
+                for view, width in passes:
+                    template, literal, kind, counts = _templates(*tokens, n, view)
+                    if view == PLAIN:
+                        short[counts >= size] = 0
+                    text, begin = np.repeat(np.arange(n), counts), np.cumsum(counts) - counts
+                    if view == WHOLE and wholes is None:
+                        # Texts of one length at a time.
+                        portions = []
+                        for width in np.unique(short[short > 0]).tolist():
+                            at, h = _windows(template, literal, kind, counts, width, 0)
+                            own = short[text[at]] == width
+                            portions.append((width, at[own], _whole(h[own])))
+                    else:
+                        at, h = _windows(template, literal, kind, counts, width, min(3, width) if view != WHOLE else 0)
+                        portions = [(width, at, _whole(h) if view == WHOLE else h + np.uint64(view))]
+                    for width, at, h in portions:
+                        total = np.bincount(text[at], minlength=n)
+                        if only is not None:
+                            hit = sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
+                            at, h = at[hit], h[hit]
+                            hit = np.isin(h, only)
+                            at, h = at[hit], h[hit]
+                        if view == WHOLE:  # one place of each in a text will do
+                            one = np.sort(np.unique(np.stack([text[at].astype(np.uint64), h]), axis=1, return_index=True)[1])
+                            at, h = at[one], h[one]
+                        # Without a sieve every window goes out; in portions, as each carries its words.
+                        for k in range(0, len(at), 50_000):
+                            part = at[k : k + 50_000]
+                            cover = part[:, None] + np.arange(width)
+                            offsets = pa.array(np.arange(0, (len(part) + 1) * width, width, dtype=np.int32))
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    batch.column(0).slice(i, j - i).take(pa.array(text[part])),
+                                    pa.array(np.full(len(part), view, np.int32)),
+                                    pa.array(np.full(len(part), width, np.int32)),
+                                    pa.array((part - begin[text[part]]).astype(np.int32)),
+                                    pa.array(h[k : k + 50_000].view(np.int64)),
+                                    pa.ListArray.from_arrays(offsets, pa.array(kind[cover].ravel().astype(np.int32))),
+                                    pa.ListArray.from_arrays(offsets, pa.array(literal[cover].ravel().view(np.int64))),
+                                    pa.array(total[text[part]].astype(np.int32)),
+                                ],
+                                names=["doc_id", "view", "size", "pos", "hash", "kinds", "literals", "n_windows"],
+                            )
+
+    return texts.mapInArrow(run, "doc_id long, view int, size int, pos int, hash long, kinds array<int>, literals array<long>, n_windows int")
+
+
+def _whole(h: np.ndarray) -> np.ndarray:
+    """Hashes of whole short texts, apart from those of templates."""
+    return mix64(h + np.uint64(WHOLE))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_share: float = 0.8, sieve_limit: int = 2_000_000) -> DataFrame:
@@ -142,7 +193,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_sha
     share is the share of an item's template windows that the document holds in consistent alignments; an item leaks at
     ``least_share`` or more.  An alignment is a fixed distance between the places in document and item; it is consistent
     if every value of the item stands for one value in the document.  identical: all values are the item's own.
-    Items of fewer than ``window`` words are too short to tell from chance and never match.  A null text is empty; null ids
+    Sentences' first capitals are read as literals and as names; the better reading counts.  An item of fewer than ``window``
+    words, names and numbers counted as one each, must stand in the document word for word.  A null text is empty; null ids
     are kept as null; repeated rows and ties give one row per pair of ids; further columns are ignored.
 
     The benchmark's window hashes are counted first.  Up to ``sieve_limit`` of them are sent along to drop other windows
@@ -150,24 +202,26 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_sha
     """
     items = keyed(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
     known = template_windows(items, window)
-    known = known.select(F.col("doc_id").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("literals").alias("item_literals"), F.col("n_windows").alias("of")).persist()
+    known = known.select(F.col("doc_id").alias("item"), "view", "size", F.col("pos").alias("item_pos"), "hash", F.col("literals").alias("item_literals"), F.col("n_windows").alias("of")).persist()
     try:
         distinct = known.select("hash").distinct()
         only = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)) if distinct.count() <= sieve_limit else None
+        wholes = sorted(r[0] for r in known.where(F.col("view") == WHOLE).select("size").distinct().collect())
     finally:
         known.unpersist()
-    found = template_windows(keyed(documents), window, only).drop("n_windows")
-    hits = found.join(known, "hash")
-    hits = hits.select("doc_id", "item", "of", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.filter(F.arrays_zip("kinds", "item_literals", "literals"), lambda s: s["kinds"] != LITERAL).alias("slots"))
+    found = template_windows(keyed(documents), window, only, wholes).drop("n_windows")
+    hits = found.join(known, ["hash", "view", "size"])
+    hits = hits.select("doc_id", "item", "view", "of", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.filter(F.arrays_zip("kinds", "item_literals", "literals"), lambda s: s["kinds"] != LITERAL).alias("slots"))
     hits = checkpoint(hits)  # only windows that the benchmark has; read three times below
-    slots = hits.select("doc_id", "item", "shift", F.explode("slots").alias("s")).select("doc_id", "item", "shift", F.struct("s.kinds", "s.item_literals").alias("a"), F.col("s.literals").alias("b")).distinct()
-    clash = slots.groupBy("doc_id", "item", "shift", "a").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "item", "shift").distinct()
-    changed = slots.groupBy("doc_id", "item", "shift").agg(F.bool_or(F.col("a.item_literals") != F.col("b")).alias("changed"))
-    kept = hits.join(clash, ["doc_id", "item", "shift"], "left_anti").join(changed, ["doc_id", "item", "shift"], "left")
-    pairs = kept.groupBy("doc_id", "item").agg(
+    slots = hits.select("doc_id", "item", "view", "shift", F.explode("slots").alias("s")).select("doc_id", "item", "view", "shift", F.struct("s.kinds", "s.item_literals").alias("a"), F.col("s.literals").alias("b")).distinct()
+    clash = slots.groupBy("doc_id", "item", "view", "shift", "a").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "item", "view", "shift").distinct()
+    changed = slots.groupBy("doc_id", "item", "view", "shift").agg(F.bool_or(F.col("a.item_literals") != F.col("b")).alias("changed"))
+    kept = hits.join(clash, ["doc_id", "item", "view", "shift"], "left_anti").join(changed, ["doc_id", "item", "view", "shift"], "left")
+    pairs = kept.groupBy("doc_id", "item", "view").agg(
         (F.count_distinct("item_pos") / F.max("of")).alias("share"),
         (F.count_distinct(F.when(~F.coalesce("changed", F.lit(False)), F.col("item_pos"))) / F.max("of")).alias("as_is"),
     )
+    pairs = pairs.groupBy("doc_id", "item").agg(F.max("share").alias("share"), F.max("as_is").alias("as_is"))
     pairs = pairs.where(F.col("share") >= least_share)
     return pairs.select(id_or_null("doc_id").alias("doc_id"), id_or_null("item").alias("item_id"), "share", (F.col("as_is") >= least_share).alias("identical"))
 

@@ -2,7 +2,7 @@
 
 import random
 
-from lodeframe.llm import simhash
+from lodeframe.llm import decontamination, simhash
 
 
 def shingle_set(text):
@@ -68,3 +68,14 @@ def test_large_groups_are_compared_in_cells(spark, docs):
             old, new = sorted((got[prints[r["a"]]], got[prints[r["b"]]]), reverse=True)
             got = {k: new if v == old else v for k, v in got.items()}
         assert got == root
+
+
+def leaked(spark, docs, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["identical"] for r in decontamination.leaks(docs(list(enumerate(texts))), bench).collect()}
+
+
+def test_short_items_match_whole(spark, docs):
+    items = ["tiny", "What is 12 times?", "Boston Red Sox", ""]
+    texts = ["so tiny that", "He asked: what is 12 times? Then left.", "what is 13 times", "the Boston Red Sox Club", "red sox of boston", ""]
+    assert leaked(spark, docs, items, texts) == {(0, 0): True, (1, 1): True, (3, 2): True}
