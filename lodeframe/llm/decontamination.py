@@ -43,11 +43,15 @@ def _word_rows(words: list[bytes]) -> np.ndarray:
         low = bare.lower()
         flags = _ENDS if word.rstrip("\"')]}»”’")[-1:] in tuple(".!?:") else 0
         flags |= 0 if word[-1:].isalnum() else _MARK
+        attached = _ATTACHED.match(low)
         if not low:
             flags |= _BLANK
+        elif attached and (attached[2] in UNITS or attached[2] in _ALSO):
+            out[k, 2:] = xxhash.xxh64_intdigest(attached[2].encode(), 1), flags | (_IS_UNIT if attached[2] in UNITS else 0)
+            low, flags = attached[1], _IS_NUMBER
         elif _NUMBER.match(low):
             flags |= _IS_NUMBER
-        elif low in NUMBER_WORDS:
+        elif all(part in NUMBER_WORDS for part in low.split("-")):
             flags |= _IS_NUMBER | _IS_NUMBER_WORD
         elif low in UNITS:
             flags |= _IS_UNIT
@@ -85,7 +89,18 @@ def _templates(literal: np.ndarray, flags: np.ndarray, text: np.ndarray, n: int,
     before[first] = _ENDS
     name = ((flags & _IS_CAPITAL) > 0) & (((before & _ENDS) == 0) | (view == NAMED))
     kind = np.where(flags & _IS_NUMBER, NUMBER, np.where((flags & _IS_UNIT) & ((before & _IS_NUMBER) * 2), UNIT, np.where(name, NAME, LITERAL)))
-    value = literal
+    same = np.zeros(len(text), bool)
+    same[1:] = (kind[1:] == kind[:-1]) & ~first[1:] & ((before[1:] & _MARK) == 0) & ((kind[1:] == NAME) | ((flags[1:] & _IS_NUMBER_WORD) > 0))
+    start = np.flatnonzero(~same)
+    size = np.diff(np.append(start, len(text)))
+    apart = np.repeat(size > MOST_WORDS, size)
+    start = np.flatnonzero(~same | apart)
+    size = np.diff(np.append(start, len(text)))
+    value = literal[start]
+    for k in range(1, MOST_WORDS):
+        more = size > k
+        value[more] = mix64(value[more] * np.uint64(0x9E3779B97F4A7C15) + literal[start[more] + k])
+    kind, text = kind[start], text[start]
     template = np.where(kind == LITERAL, value, kind.astype(np.uint64))
     return mix64(template), value, kind, np.bincount(text, minlength=n)
 
@@ -134,7 +149,7 @@ def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None
                     continue
                 tokens, n = _tokens(vocabulary.table[ids], counts), len(counts)
                 short = np.bincount(tokens[2], minlength=n)
-                passes = [(view, size) for view in (PLAIN,)] + [(WHOLE, s) for s in (wholes if wholes is not None else [0])]
+                passes = [(view, size) for view in (PLAIN, NAMED)] + [(WHOLE, s) for s in (wholes if wholes is not None else [0])]
                 for view, width in passes:
                     template, literal, kind, counts = _templates(*tokens, n, view)
                     if view == PLAIN:

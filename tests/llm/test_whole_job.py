@@ -79,3 +79,24 @@ def test_short_items_match_whole(spark, docs):
     items = ["tiny", "What is 12 times?", "Boston Red Sox", ""]
     texts = ["so tiny that", "He asked: what is 12 times? Then left.", "what is 13 times", "the Boston Red Sox Club", "red sox of boston", ""]
     assert leaked(spark, docs, items, texts) == {(0, 0): True, (1, 1): True, (3, 2): True}
+
+
+def test_reparameterised_names_numbers_and_units_leak(spark, docs):
+    items = [
+        "Natalia sold 48 clips in April. Natalia sold half as many clips in May. How many clips did Natalia sell altogether?",
+        "The road from Boston to the sea is 25 miles long and a cart takes four days for it, so how far is one day from Boston?",
+        "A farmer loads 5kg of grain on a cart and then adds another 12kg of hay, so what weight does the old cart carry now?",
+    ]
+    before = "Nothing of this is asked. "
+    texts = [
+        before + items[0].replace("Natalia", "Kevin"),
+        before + items[1].replace("Boston", "New York").replace("25", "twenty five"),
+        before + items[2].replace("5kg", "7kg").replace("12kg", "30 kg"),
+    ]
+    got = leaked(spark, docs, items, texts)
+    assert got == {(0, 0): False, (1, 1): False, (2, 2): False}
+
+
+def test_first_word_changed_in_one_sentence_still_leaks(spark, docs):
+    item = "The cat sat on the mat all day while it rained outside the house. The dog slept near the warm fire and dreamed of bones until the evening came."
+    assert leaked(spark, docs, [item], [item.replace("The dog", "A dog")]) == {(0, 0): True}
