@@ -108,18 +108,20 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     """(doc_id, text, label) of at most ``per_class`` labelled rows of every class and about ``most`` in all, chosen by a hash of the id.
 
     labels(doc_id, label); rows without an id or a label are left out.  The rows of a class are ranked in ``cells`` cells,
-    so that a common class is not sorted in one task.  The bound makes the sample small enough to be broadcast and collected.
+    so that a common class is not sorted in one task.  An id counts once in a class however often it is repeated in either table;
+    of its texts the smallest is taken.  The bound makes the sample small enough to be broadcast and collected.
     """
     from pyspark.sql import Window
 
     order = F.xxhash64("doc_id")
-    known = labels.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null")
+    known = labels.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null").distinct()
     per_class = max(1, min(per_class, most // max(1, known.select("label").distinct().count())))
     cells = min(cells, per_class)
     place = F.row_number().over(Window.partitionBy("label", F.pmod(order, F.lit(cells))).orderBy(order, "doc_id"))
     chosen = known.withColumn("place", place).where(F.col("place") <= per_class // cells).select("doc_id", "label")
     texts = documents.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label")
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return one.select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label")
 
 
 class Adam:

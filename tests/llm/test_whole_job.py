@@ -2,7 +2,7 @@
 
 import random
 
-from lodeframe.llm import decontamination, simhash
+from lodeframe.llm import decontamination, grams, simhash
 
 
 def shingle_set(text):
@@ -100,3 +100,11 @@ def test_reparameterised_names_numbers_and_units_leak(spark, docs):
 def test_first_word_changed_in_one_sentence_still_leaks(spark, docs):
     item = "The cat sat on the mat all day while it rained outside the house. The dog slept near the warm fire and dreamed of bones until the evening came."
     assert leaked(spark, docs, [item], [item.replace("The dog", "A dog")]) == {(0, 0): True}
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark, docs):
+    rows = [(k, f"text {k}") for k in range(200)] + [(7, f"text 7 {k}") for k in range(400)]
+    labels = spark.createDataFrame([(k % 200, k % 2) for k in range(600)] + [(7, 1)] * 500, "doc_id long, quality int")
+    got = [(r["doc_id"], r["label"]) for r in grams.labelled_sample(docs(rows), labels, "quality", 320).collect()]
+    assert len(got) == len(set(got)) and {label for _, label in got} == {0, 1}
+    assert sum(k == 7 for k, _ in got) == 1
