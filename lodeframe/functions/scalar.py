@@ -84,6 +84,11 @@ def between(x: Column, low, high) -> Column:
     return F.coalesce(x.between(low, high), F.lit(False))
 
 
+def differs(x: Column, y) -> Column:
+    """Whether two values differ; true where one is NULL or NaN, as a comparison for equality is false there."""
+    return ~F.coalesce(x == (y if isinstance(y, Column) else F.lit(y)), F.lit(False)) | F.coalesce(F.isnan(x.try_cast("double")), F.lit(False))
+
+
 def remap(x: Column, mapping: dict, default=None) -> Column:
     out = F.lit(default)
     for k, v in mapping.items():

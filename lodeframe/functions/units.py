@@ -17,11 +17,15 @@ UNIT_SUFFIXES = (
 )
 # What coordinate and block size columns are called, most telling first.
 COORDINATES = {
-    "x": (r"^x$", r"^(xc|xcentre|xcenter|xworld)$", r"^(mid|cent)_?x$", r"^(east|easting|xcoord)$"),
-    "y": (r"^y$", r"^(yc|ycentre|ycenter|yworld)$", r"^(mid|cent)_?y$", r"^(north|northing|ycoord)$"),
-    "z": (r"^z$", r"^(zc|zcentre|zcenter|zworld)$", r"^(mid|cent)_?z$", r"^(elev|elevation|rl|zcoord)$"),
+    "x": (r"^x$", r"^xc$", r"^x[_-]?cent(re|er)?$", r"^mid[_-]?x$", r"^centroid[_-]?x$", r"^east(ing)?$", r"^x[_-]?coord$", r"^xcenter$", r"^xmid$", r"^xblock$"),
+    "y": (r"^y$", r"^yc$", r"^y[_-]?cent(re|er)?$", r"^mid[_-]?y$", r"^centroid[_-]?y$", r"^north(ing)?$", r"^y[_-]?coord$", r"^ycenter$", r"^ymid$", r"^yblock$"),
+    "z": (r"^z$", r"^zc$", r"^z[_-]?cent(re|er)?$", r"^mid[_-]?z$", r"^centroid[_-]?z$", r"^elev(ation)?$", r"^rl$", r"^z[_-]?coord$", r"^zcenter$", r"^zmid$", r"^zblock$", r"^level$", r"^bench$"),
+}
+BLOCK_SIZES = {
+    "dx": (r"^dx$", r"^xinc$", r"^xdis$", r"^xsize$", r"^dimx$", r"^xlen$", r"^x[_-]?dim$", r"^x[_-]?size$", r"^d[_-]?x$", r"^size[_-]?x$"),
+    "dy": (r"^dy$", r"^yinc$", r"^ydis$", r"^ysize$", r"^dimy$", r"^ylen$", r"^y[_-]?dim$", r"^y[_-]?size$", r"^d[_-]?y$", r"^size[_-]?y$"),
+    "dz": (r"^dz$", r"^zinc$", r"^zdis$", r"^zsize$", r"^dimz$", r"^zlen$", r"^z[_-]?dim$", r"^z[_-]?size$", r"^d[_-]?z$", r"^size[_-]?z$"),
 }
-BLOCK_SIZES = {"dx": (r"^dx$", r"^(xinc|xsize|dim_?x)$"), "dy": (r"^dy$", r"^(yinc|ysize|dim_?y)$"), "dz": (r"^dz$", r"^(zinc|zsize|dim_?z)$")}
 
 
 def sniff_unit(name: str) -> str:

@@ -6,26 +6,31 @@ whose stations and intervals are few by nature; holes are spread over the cluste
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
+from ..plans.dataset import Dataset
 
 EPS = 1e-9
+#: Dip beyond which a survey row is not usable.
+MOST_DIP = 90.000001
 BHIDS_PER_CHECK = 200
 #: check -> what it reports
 CHECKS = {
-    "bad-collar": "collars without a hole id or finite coordinates",
-    "dup-collar": "collars after the first of a hole",
-    "orphan-survey": "survey stations of holes without a collar",
-    "orphan-interval": "intervals of holes without a collar",
-    "bad-interval": "intervals with a negative start or without length",
-    "collar-no-intervals": "holes without intervals",
-    "bad-survey": "survey stations with a dip over 90 or a negative depth",
-    "dup-survey-depth": "survey stations at the depth of a later one",
-    "collar-no-survey": "holes without survey, taken as vertical",
-    "past-eoh": "intervals that end beyond the hole, kept",
-    "overlap": "intervals that start before the one above ends, kept",
+    "bad-collar": "collar rows without a hole id or finite coordinates, left out",
+    "dup-collar": "collar rows after the first of a hole, left out",
+    "orphan-survey": "survey rows of holes without a collar, left out",
+    "orphan-interval": "interval rows of holes without a collar, left out",
+    "bad-interval": "interval rows with a negative start or without length, left out",
+    "collar-no-intervals": "holes without intervals, skipped",
+    "bad-survey": "survey rows without finite depth, azimuth and dip, with a dip over 90 or a negative depth, left out",
+    "dup-survey-depth": "survey rows at the depth of a later one, left out",
+    "collar-no-survey": "holes without a usable survey row, taken as vertical",
+    "past-eoh": "holes whose survey, or whose intervals, go beyond their end, kept",
+    "overlap": "holes with overlapping intervals, kept",
 }
 
 
@@ -35,7 +40,7 @@ def _hole(name: str = "bhid") -> Column:
 
 
 def first_collars(collars: DataFrame, order: str | None = None) -> DataFrame:
-    """The first valid collar of every hole: (bhid, x, y, z, eoh).  ``order`` is a row number; without it, ties go by coordinates."""
+    """The first valid collar of every hole: (bhid, x, y, z, eoh).  ``order`` is a column of row numbers; without it, ties go by coordinates."""
     keys = [order] if order else ["x", "y", "z"]
     eoh = finite(F.col("eoh")) if "eoh" in collars.columns else F.lit(None).cast("double")
     rows = collars.select(_hole(), *[finite(F.col(c)).alias(c) for c in "xyz"], eoh.alias("eoh"), *([order] if order else [])).where("bhid is not null and x is not null and y is not null and z is not null")
@@ -49,17 +54,26 @@ def dip_convention(surveys: DataFrame) -> str:
     return "neg-down" if row[0] is not None and row[0] < 0 else "pos-down"
 
 
-def clean_surveys(surveys: DataFrame, collars: DataFrame, convention: str = "pos-down") -> DataFrame:
+def _stations(surveys: DataFrame, convention: str, order: str | None) -> DataFrame:
+    """(bhid, depth, az, dip, ok[, order]) of all survey rows, dips positive down; ok tells a usable row."""
+    sign = -1.0 if convention == "neg-down" else 1.0
+    rows = surveys.select(_hole(), finite(F.col("depth")).alias("depth"), finite(F.col("az")).alias("az"), (finite(F.col("dip")) * sign).alias("dip"), *([order] if order else []))
+    return rows.withColumn("ok", F.coalesce((F.col("depth") >= 0) & F.col("az").isNotNull() & (F.abs("dip") <= MOST_DIP), F.lit(False)))
+
+
+def _depth_order(order: str | None) -> list[str]:
+    return ["depth", order] if order else ["depth", "az", "dip"]
+
+
+def clean_surveys(surveys: DataFrame, collars: DataFrame, convention: str = "pos-down", order: str | None = None) -> DataFrame:
     """Stations (bhid, depth, az, dip, station) of known holes with dip positive down and one station at depth 0.
 
-    Of stations within 1e-9 of depth the last stays; a hole whose first station lies deeper gets one at 0 with the same
-    attitude; a hole without stations hangs vertically.
+    Of stations within 1e-9 of depth the last stays, by ``order``, a column of row numbers, or else by azimuth and dip; a hole whose
+    first station lies deeper gets one at 0 with the same attitude; a hole without stations hangs vertically.
     """
-    sign = -1.0 if convention == "neg-down" else 1.0
-    rows = surveys.select(_hole(), finite(F.col("depth")).alias("depth"), finite(F.col("az")).alias("az"), (finite(F.col("dip")) * sign).alias("dip"))
-    rows = rows.where("bhid is not null and depth >= 0 and abs(dip) <= 90 and az is not null").join(collars.select("bhid"), "bhid", "left_semi")
-    by = Window.partitionBy("bhid").orderBy("depth", "az", "dip")
-    rows = rows.withColumn("next", F.lead("depth").over(by)).where(F.col("next").isNull() | (F.col("next") - F.col("depth") > EPS)).drop("next")
+    rows = _stations(surveys, convention, order).where("bhid is not null and ok").join(collars.select("bhid"), "bhid", "left_semi")
+    by = Window.partitionBy("bhid").orderBy(*_depth_order(order))
+    rows = rows.withColumn("next", F.lead("depth").over(by)).where(F.col("next").isNull() | (F.col("next") - F.col("depth") > EPS)).select("bhid", "depth", "az", "dip")
     top = rows.groupBy("bhid").agg(F.min_by(F.struct("depth", "az", "dip"), "depth").alias("t"))
     top = collars.select("bhid").join(top, "bhid", "left").where(F.col("t").isNull() | (F.col("t.depth") > EPS))
     top = top.select("bhid", F.lit(0.0).alias("depth"), F.coalesce("t.az", F.lit(0.0)).alias("az"), F.coalesce("t.dip", F.lit(90.0)).alias("dip"))
@@ -133,47 +147,49 @@ def clean_intervals(intervals: DataFrame, collars: DataFrame) -> DataFrame:
     return rows.where("bhid is not null and f >= 0 and t > f").join(collars.select("bhid"), "bhid", "left_semi")
 
 
-def validate(collars: DataFrame, surveys: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(check_id, label, count, bhids): what was found and left out or kept, with up to 200 holes per check."""
-    hole = _hole()
-    known = first_collars(collars)
-    good_collar = collars.select(hole, *[finite(F.col(c)).alias(c) for c in "xyz"])
-    bad = F.col("bhid").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
-    extra = good_collar.where(~bad).groupBy("bhid").agg((F.count("*") - 1).alias("n")).where("n > 0")
-    sv = surveys.select(hole, finite(F.col("depth")).alias("depth"), finite(F.col("dip")).alias("dip"))
-    own_sv = sv.join(known.select("bhid"), "bhid", "left_semi")
-    iv = intervals.select(hole, finite(F.col("from")).alias("f"), finite(F.col("to")).alias("t"))
-    own_iv = iv.join(known.select("bhid"), "bhid", "left_semi")
-    wrong = F.coalesce((F.col("f") < 0) | (F.col("t") <= F.col("f")), F.lit(True))
-    good_iv = own_iv.where(~wrong)
-    bad_sv = F.coalesce((F.abs("dip") > 90) | (F.col("depth") < 0), F.lit(True))
-    by_depth = Window.partitionBy("bhid").orderBy("depth", "dip")
-    near = own_sv.where(~bad_sv).withColumn("next", F.lead("depth").over(by_depth)).where(F.col("next") - F.col("depth") <= EPS)
-    by_from = Window.partitionBy("bhid").orderBy("f", "t")
-    over = good_iv.withColumn("above", F.lag("t").over(by_from)).where(F.col("f") < F.col("above") - EPS)
-    past = good_iv.join(known.select("bhid", "eoh"), "bhid").where(F.col("t") > F.col("eoh") + EPS)
-    one = F.lit(1).cast("long").alias("n")
+def validate(collars: DataFrame, surveys: DataFrame, intervals: DataFrame, convention: str = "pos-down", order: str | None = None) -> DataFrame:
+    """(check_id, label, count, holes, bhids): what was left out or is worth knowing, with up to 200 holes per check.
+
+    Every table is read once and dealt by hole once; what each has of a hole is counted there, and the checks are made from
+    those counts, a row per hole.  Checks of surveys, of the hole's end and of overlaps look at holes with intervals only.
+    """
+    good = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull() & F.col("bhid").isNotNull()
+    eoh = finite(F.col("eoh")) if "eoh" in collars.columns else F.lit(None).cast("double")
+    c = collars.select(_hole(), *[finite(F.col(k)).alias(k) for k in "xyz"], eoh.alias("eoh"), *([order] if order else []))
+    first = F.struct(*([order] if order else ["x", "y", "z"]))
+    c = c.groupBy("bhid").agg(F.count_if(good).alias("collars"), F.count_if(~good).alias("bad"), F.min_by(F.struct("eoh"), F.when(good, first))["eoh"].alias("eoh"))
+    s = _stations(surveys, convention, order).withColumn("next", F.lead("depth").over(Window.partitionBy("bhid", "ok").orderBy(*_depth_order(order))))
+    s = s.groupBy("bhid").agg(F.count("*").alias("surveys"), F.count_if("ok").alias("stations"), F.count_if(F.col("ok") & (F.col("next") - F.col("depth") <= EPS)).alias("twice"), F.max(F.when(F.col("ok"), F.col("depth"))).alias("deepest"))
+    i = intervals.select(_hole(), finite(F.col("from")).alias("f"), finite(F.col("to")).alias("t")).withColumn("ok", F.coalesce((F.col("f") >= 0) & (F.col("t") > F.col("f")), F.lit(False)))
+    i = i.withColumn("above", F.lag("t").over(Window.partitionBy("bhid", "ok").orderBy("f", "t")))
+    i = i.groupBy("bhid").agg(F.count("*").alias("intervals"), F.count_if("ok").alias("usable"), F.count_if(F.col("ok") & (F.col("f") < F.col("above") - EPS)).alias("over"), F.max(F.when(F.col("ok"), F.col("t"))).alias("end"))
+    # Rows without a hole id keep a row of their own from each table; they are never equal to each other.
+    rows = c.join(s, "bhid", "full_outer").join(i, "bhid", "full_outer")
+    n = lambda name: F.coalesce(F.col(name), F.lit(0))
+    known, has = n("collars") > 0, n("usable") > 0
+    one = lambda cond: F.coalesce(cond, F.lit(False)).cast("long")
+    ready = known & has
     found = {
-        "bad-collar": good_collar.where(bad).select("bhid", one),
-        "dup-collar": extra,
-        "orphan-survey": sv.join(known.select("bhid"), "bhid", "left_anti").select("bhid", one),
-        "orphan-interval": iv.join(known.select("bhid"), "bhid", "left_anti").select("bhid", one),
-        "bad-interval": own_iv.where(wrong).select("bhid", one),
-        "collar-no-intervals": known.join(good_iv.select("bhid"), "bhid", "left_anti").select("bhid", one),
-        "bad-survey": own_sv.where(bad_sv).select("bhid", one),
-        "dup-survey-depth": near.select("bhid", one),
-        "collar-no-survey": known.join(own_sv.where(~bad_sv).select("bhid"), "bhid", "left_anti").select("bhid", one),
-        "past-eoh": past.select("bhid", one),
-        "overlap": over.select("bhid", one),
+        "bad-collar": n("bad"),
+        "dup-collar": F.greatest(n("collars") - 1, F.lit(0)),
+        "orphan-survey": F.when(~known, n("surveys")).otherwise(0),
+        "orphan-interval": F.when(~known, n("intervals")).otherwise(0),
+        "bad-interval": F.when(known, n("intervals") - n("usable")).otherwise(0),
+        "collar-no-intervals": one(known & ~has),
+        "bad-survey": F.when(ready, n("surveys") - n("stations")).otherwise(0),
+        "dup-survey-depth": F.when(ready, n("twice")).otherwise(0),
+        "collar-no-survey": one(ready & (n("stations") == 0)),
+        "past-eoh": F.when(ready, one(F.col("deepest") > F.col("eoh") + EPS) + one(F.col("end") > F.col("eoh") + EPS)).otherwise(0),
+        "overlap": one(ready & (n("over") > 0)),
     }
-    rows = None
-    for check, df in found.items():
-        df = df.groupBy("bhid").agg(F.sum("n").alias("n")).withColumn("check_id", F.lit(check))
-        rows = df if rows is None else rows.unionByName(df)
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("check_id").orderBy("bhid")))
-    out = rows.groupBy("check_id").agg(F.sum("n").alias("count"), F.sort_array(F.collect_list(F.when(F.col("place") <= BHIDS_PER_CHECK, F.col("bhid")))).alias("bhids"))
+    hits = rows.select("bhid", F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), v.cast("long").alias("n")) for k, v in found.items()])).alias("h")).select("bhid", "h.*").where("n > 0")
+    totals = hits.groupBy("check_id").agg(F.sum("n").alias("count"), F.count("bhid").alias("holes"))
+    # Ranks beyond the limit are dropped before the shuffle, so a check with many holes is not sorted in one task.
+    some = hits.where("bhid is not null").withColumn("place", F.row_number().over(Window.partitionBy("check_id").orderBy("bhid"))).where(F.col("place") <= BHIDS_PER_CHECK)
+    some = some.groupBy("check_id").agg(F.sort_array(F.collect_list("bhid")).alias("bhids"))
     labels = F.create_map(*[F.lit(x) for pair in CHECKS.items() for x in pair])
-    return out.select("check_id", labels[F.col("check_id")].alias("label"), "count", "bhids")
+    out = totals.join(F.broadcast(some), "check_id", "left")  # a row per check
+    return out.select("check_id", labels[F.col("check_id")].alias("label"), "count", "holes", F.coalesce("bhids", F.array().cast("array<string>")).alias("bhids"))
 
 
 def default_length(intervals: DataFrame) -> DataFrame:
@@ -234,22 +250,55 @@ def composite(intervals: DataFrame, length: float, numeric: dict[str, str], cate
     return out.select("bhid", "run", "window", F.col("w0").alias("from"), F.col("w1").alias("to"), "support", "mid", *numeric, *categories, *extra, mixed.alias("mixed"))
 
 
-def process(collars: DataFrame, surveys: DataFrame, intervals: DataFrame, length: float, numeric: dict[str, str], method: str = "minimum-curvature", convention: str | None = None, **rules) -> tuple[DataFrame, DataFrame]:
-    """Validate, desurvey and composite in one lazy plan: (composites with px, py, pz; report)."""
-    known = first_collars(collars)
-    path = desurvey(clean_surveys(surveys, known, convention or dip_convention(surveys)), known, method)
+def process(collars: DataFrame, surveys: DataFrame, intervals: DataFrame, length: float | None, numeric: dict[str, str], method: str = "minimum-curvature", convention: str | None = None, order: str | None = None, **rules) -> tuple[DataFrame, DataFrame]:
+    """Validate, desurvey and composite: (composites with px, py, pz; report).
+
+    Without a length, ``default_length`` is taken, and without a convention ``dip_convention``; each reads one small result.
+    ``order`` names the column of row numbers by which the first collar and the last of equal stations are told.
+    """
+    convention = convention or dip_convention(surveys)
+    length = length or default_length(intervals).first()["length"]
+    known = first_collars(collars, order)
+    path = desurvey(clean_surveys(surveys, known, convention, order), known, method)
     parts = composite(clean_intervals(intervals, known), length, numeric, **rules)
-    return positions(parts, path, "mid"), validate(collars, surveys, intervals)
+    return positions(parts, path, "mid"), validate(collars, surveys, intervals, convention, order)
 
 
-def desurvey_intervals(collars: DataFrame, surveys: DataFrame, intervals: DataFrame, method: str = "minimum-curvature", convention: str = "pos-down") -> DataFrame:
+def desurvey_intervals(collars: DataFrame, surveys: DataFrame, intervals: DataFrame, method: str = "minimum-curvature", convention: str = "pos-down", order: str | None = None) -> DataFrame:
     """Every valid interval with its length and the position of its mid-point."""
-    known = first_collars(collars)
-    path = desurvey(clean_surveys(surveys, known, convention), known, method)
+    known = first_collars(collars, order)
+    path = desurvey(clean_surveys(surveys, known, convention, order), known, method)
     rows = clean_intervals(intervals, known).withColumn("length", F.col("t") - F.col("f")).withColumn("mid", (F.col("f") + F.col("t")) / 2)
     return positions(rows, path, "mid")
 
 
+#: What can be made of a set of drillhole tables, and the column by which its rows are weighed.
+EMITTED = {"collar": None, "composite": "support", "intervals": "length"}
+
+
+def emit(role: str, collars: DataFrame, surveys: DataFrame, intervals: DataFrame, **options) -> Dataset:
+    """A set of drillhole tables as a point dataset with coordinates x, y, z: collars, composites or desurveyed intervals.
+
+    options are those of ``first_collars``, ``process`` or ``desurvey_intervals``.  Composites are weighed by what they cover,
+    intervals by their length.
+    """
+    if role not in EMITTED:
+        raise ValueError(f"unknown role {role!r}")
+    if role == "collar":
+        return Dataset(first_collars(collars, **options))
+    if role == "composite":
+        rows = process(collars, surveys, intervals, **options)[0]
+    else:
+        rows = desurvey_intervals(collars, surveys, intervals, **options).withColumnsRenamed({"f": "from", "t": "to"})
+    return Dataset(rows.withColumnsRenamed({"px": "x", "py": "y", "pz": "z"}), weight=EMITTED[role])
+
+
+def prepared(table: DataFrame, calculated: dict[str, Column | str] | None = None, where: Column | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One drillhole table with calculated columns behind its own and a filter: (rows, counts(total, kept))."""
+    d = Dataset(table, calculated or {}, where)
+    return d.frame(), d.filter_count()
+
+
 def length_histogram(lengths: DataFrame, column: str, n_bins: int = 14) -> DataFrame:
     """(bin, low, high, n) of equal bins between least and largest length."""
     rows = lengths.select(finite(F.col(column)).alias("v")).where("v is not null")
@@ -260,17 +309,20 @@ def length_histogram(lengths: DataFrame, column: str, n_bins: int = 14) -> DataF
     return rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.lit(low) + F.col("bin") * step).alias("low"), (F.lit(low) + (F.col("bin") + 1) * step).alias("high"), "n")
 
 
-def merge(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge(a: DataFrame, b: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Two interval tables(bhid, from, to, ...) on their common break points: (segments, report(check_id, count)).
 
-    Break points closer than 1e-9 are one.  A segment takes the first interval of either table that covers its mid-point; where
-    neither does it is dropped.  Columns of b that clash with one of a get the suffix _2.
+    Break points closer than 1e-9 are one.  A segment takes the first interval of either table that covers its mid-point, by start
+    and then by ``order``, a column of row numbers, or else by end and values; where neither covers it is dropped.  Columns of b that
+    clash with one of a get the suffix _2 and are counted as column-collision.
     """
 
     def table(df: DataFrame, tag: str) -> DataFrame:
-        others = [c for c in df.columns if c not in ("bhid", "from", "to")]
-        return df.select(_hole(), finite(F.col("from")).alias("f"), finite(F.col("to")).alias("t"), F.struct(*[F.col(c) for c in others] or [F.lit(None).cast("string").alias("_")]).alias(tag)).where("bhid is not null and t > f")
+        others = [c for c in df.columns if c not in own]
+        held = F.struct(*[F.col(c) for c in others] or [F.lit(None).cast("string").alias("_")]).alias(tag)
+        return df.select(_hole(), finite(F.col("from")).alias("f"), finite(F.col("to")).alias("t"), held, *([F.col(order).alias("at")] if order else [])).where("bhid is not null and t > f")
 
+    own = ("bhid", "from", "to", *([order] if order else []))
     ta, tb = table(a, "a"), table(b, "b")
     cuts = None
     for t in (ta, tb):
@@ -284,7 +336,7 @@ def merge(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def cover(seg: DataFrame, t: DataFrame, tag: str) -> DataFrame:
         hit = seg.join(t.withColumnRenamed("bhid", "h"), (F.col("bhid") == F.col("h")) & (F.col("f") <= F.col("mid")) & (F.col("mid") <= F.col("t")))
-        hit = hit.groupBy("bhid", "from").agg(F.min_by(tag, F.struct("f", "t", tag)).alias(tag), F.count("*").alias(f"n_{tag}"))
+        hit = hit.groupBy("bhid", "from").agg(F.min_by(tag, F.struct("f", "at") if order else F.struct("f", "t", tag)).alias(tag), F.count("*").alias(f"n_{tag}"))
         return seg.join(hit, ["bhid", "from"], "left")
 
     out = cover(cover(segments, ta, "a"), tb, "b").where("a is not null or b is not null")
@@ -296,50 +348,79 @@ def merge(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     report = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), F.col(f"`{k}`").alias("count")) for k in tallies])).alias("r")).select("r.*")
     only = lambda x, y, k: x.join(y, "bhid", "left_anti").agg(F.count("*").alias("count")).select(F.lit(k).alias("check_id"), "count")
     report = report.unionByName(only(holes_a, holes_b, "hole-only-a")).unionByName(only(holes_b, holes_a, "hole-only-b"))
-    names_a = [c for c in a.columns if c not in ("bhid", "from", "to")]
-    names_b, taken = [], {"bhid", "from", "to", *names_a}
+    names_a = [c for c in a.columns if c not in own]
+    names_b, taken = [], {*own, *names_a}
     for c in b.columns:
-        if c in ("bhid", "from", "to"):
+        if c in own:
             continue
-        name = c
-        while name in taken:
-            name += "_2" if name == c else "2"
+        tries = (name for name in (c, f"{c}_2", *(f"{c}_2{k}" for k in range(2, len(a.columns) + len(b.columns) + 3))))
+        name = next(name for name in tries if name not in taken)
         taken.add(name)
         names_b.append((c, name))
+    renamed_columns = sum(c != n for c, n in names_b)
+    report = report.unionByName(report.sparkSession.createDataFrame([("column-collision", renamed_columns)], "check_id string, count long"))
     segments = out.select("bhid", "from", "to", *[F.col(f"a.`{c}`").alias(c) for c in names_a], *[F.col(f"b.`{c}`").alias(n) for c, n in names_b])
     return segments, report
 
 
-# Header names by which the roles of drillhole columns are recognised.
+# Header names by which the roles of drillhole columns are recognised, most telling first, and words in file names.
 ROLE_NAMES = {
-    "bhid": ("bhid", "holeid", "hole_id", "hole", "dhid", "drillhole", "id"),
-    "x": ("x", "xcollar", "east", "easting"), "y": ("y", "ycollar", "north", "northing"), "z": ("z", "zcollar", "elev", "elevation", "rl"),
-    "eoh": ("eoh", "depth_max", "maxdepth", "total_depth", "length"), "depth": ("at", "depth", "distance"), "az": ("azimuth", "az", "brg", "bearing"),
-    "dip": ("dip", "inclination", "incl"), "from": ("from", "depth_from", "fromdepth"), "to": ("to", "depth_to", "todepth"),
-}
+    "bhid": ("bhid", "holeid", "hole_id", "dhid", "hole", "dhno", "name", "id", "furo"),
+    "x": ("x", "east", "easting", "xcollar", "x_collar", "xc"),
+    "y": ("y", "north", "northing", "ycollar", "y_collar", "yc"),
+    "z": ("z", "elev", "elevation", "rl", "zcollar", "z_collar", "zc", "cota"),
+    "eoh": ("eoh", "depth", "maxdepth", "td", "total_depth", "totaldepth", "max_depth", "length"),
+    "depth": ("at", "depth", "dist", "distance", "md"),
+    "az": ("az", "azim", "azimuth", "brg", "bearing", "azi", "azimute"),
+    "dip": ("dip", "incl", "inclination", "plunge"),
+    "from": ("from", "depfrom", "from_m", "depth_from", "de"),
+    "to": ("to", "depto", "to_m", "depth_to", "ate"),
+}
+FILE_WORDS = {"intervals": ("assay", "sample", "interval", "lith"), "survey": ("survey", "desv"), "collar": ("collar", "colar")}
+#: Roles that a table needs and those it may have besides, the most telling kind of table first.
+TABLES = {"intervals": (("bhid", "from", "to"), ()), "survey": (("bhid", "az", "dip"), ("depth",)), "collar": (("bhid", "x", "y", "z"), ("eoh",))}
+#: Least share of numbers among a column's values that makes it numeric.
+NUMERIC_SHARE = 0.7
+
+
+def _plain(name: str) -> str:
+    return re.sub(r"[^a-z0-9]", "", name.lower())
+
+
+def map_columns(columns: list[str], kind: str | None = None) -> dict[str, str]:
+    """role -> column by known header names, whatever their case and punctuation; of a kind of table, or of all roles."""
+    held: dict[str, str] = {}
+    for c in columns:
+        held.setdefault(_plain(c), c)
+    roles = [r for part in TABLES[kind] for r in part] if kind else list(ROLE_NAMES)
+    hits = {r: next((held[_plain(n)] for n in ROLE_NAMES[r] if _plain(n) in held), None) for r in roles}
+    return {r: c for r, c in hits.items() if c is not None}
 
 
-def map_columns(columns: list[str]) -> dict[str, str]:
-    """role -> column by known header names."""
-    low = {c.strip().lower(): c for c in columns}
-    return {role: low[n] for role, names in ROLE_NAMES.items() for n in names if n in low and n == next(m for m in names if m in low)}
+def table_role(columns: list[str], file: str = "") -> str | None:
+    """What a table with these columns is: intervals, survey, collar or nothing known; the file's name decides where columns do not."""
+    for kind, (needed, _) in TABLES.items():
+        if set(needed) <= map_columns(columns, kind).keys():
+            return kind
+    return next((kind for kind, words in FILE_WORDS.items() if any(w in _plain(file) for w in words)), None)
 
 
-def table_role(columns: list[str]) -> str | None:
-    """What a table with these columns is: intervals, survey, collar or nothing known."""
-    m = map_columns(columns)
-    if {"bhid", "from", "to"} <= m.keys():
-        return "intervals"
-    if {"bhid", "az", "dip"} <= m.keys():
-        return "survey"
-    return "collar" if {"bhid", "x", "y", "z"} <= m.keys() else None
+def renamed(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """The table with the roles of its kind as column names; without a kind, ``table_role`` tells it."""
+    kind = kind or table_role(df.columns)
+    return df.withColumnsRenamed({c: role for role, c in map_columns(df.columns, kind).items() if c != role})
 
 
-def renamed(df: DataFrame) -> DataFrame:
-    """The table with known roles as column names."""
-    return df.withColumnsRenamed({c: role for role, c in map_columns(df.columns).items() if c != role})
+def typed_columns(df: DataFrame) -> DataFrame:
+    """Text columns of an interval table as doubles where at least 70 % of their values, over all rows, are numbers."""
+    others = [c for c, kind in df.dtypes if kind == "string" and c not in ("bhid", "from", "to")]
+    if not others:
+        return df
+    texts = {c: F.trim(F.col(c)) for c in others}
+    shares = df.agg(*[F.try_divide(F.count_if((t != "") & t.try_cast("double").isNotNull()), F.count_if(t != "")).alias(f"s{k}") for k, t in enumerate(texts.values())]).first()
+    return df.withColumns({c: finite(t.try_cast("double")) for k, (c, t) in enumerate(texts.items()) if (shares[f"s{k}"] or 0) >= NUMERIC_SHARE})
 
 
-def collar_points(collars: DataFrame) -> DataFrame:
+def collar_points(collars: DataFrame, order: str | None = None) -> DataFrame:
     """Valid collars as a point dataset."""
-    return first_collars(collars)
+    return first_collars(collars, order)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import finite
 from ..plans.prefix import running_totals
 
-AXIS_SCHEMA = "axis string, origin double, max double, size double, count long, extent double, regularity double, sub_sizes array<double>"
+AXIS_SCHEMA = "axis string, origin double, max double, size double, count long, extent double, regularity double, sub_sizes array<double>, sub_count long"
+#: Least share of an axis' gaps that makes a gap a block size, and how many explicit sub-block sizes are listed.
+LEAST_SHARE, SUB_SIZES = 0.02, 50
 
 
 def _coordinates(df: DataFrame, axes: dict[str, str]) -> DataFrame:
@@ -23,18 +25,16 @@ def spacing(df: DataFrame, axes: dict[str, str], decimals: int = 6) -> DataFrame
     return gaps.groupBy("axis", "gap").agg(F.count("*").alias("n"))
 
 
-def block_size(gaps: list[tuple[float, int]]) -> tuple[float | None, list[float]]:
+def block_size(gaps: list[tuple[float, int]], total: int | None = None) -> tuple[float | None, list[float]]:
     """Block size and sub-block sizes from a gap histogram, commonest first (ties: the smaller gap).
 
-    Gaps of over 2 % of all count.  With several, the largest is the parent if at least one other divides it
-    nearly evenly; else the commonest gap is the size.
+    Gaps of over 2 % of ``total`` count, the number of all gaps, which may be more than those given.  With several, the largest is the
+    parent if at least one other divides it nearly evenly; else the commonest gap is the size.
     """
     if not gaps:
         return None, []
-    if len(gaps) == 1:
-        return gaps[0][0], []
-    total = sum(n for _, n in gaps)
-    often = [g for g, n in gaps if n > 0.02 * total]
+    total = sum(n for _, n in gaps) if total is None else total
+    often = [g for g, n in gaps if n > LEAST_SHARE * total]
     if len(often) == 1:
         return often[0], []
     if not often:
@@ -45,29 +45,34 @@ def block_size(gaps: list[tuple[float, int]]) -> tuple[float | None, list[float]
 
 
 def axes_geometry(df: DataFrame, axes: dict[str, str], decimals: int = 6, sizes: dict[str, str] | None = None) -> DataFrame:
-    """One row per axis: origin, max, size, count, extent, regularity, sub_sizes.
+    """One row per axis: origin, max, size, count, extent, regularity, sub_sizes, sub_count.
 
-    Only the 200 commonest gaps of each axis reach the driver, which decides on them.  sizes: axis -> column of explicit block
-    sizes, which win: the largest is the block, smaller ones are sub-blocks.
+    Of the gaps only the commonest and those of over 2 % of all, at most 49, reach the driver, which decides on them.  sizes: axis ->
+    column of explicit block sizes, which win: the largest is the block, smaller ones are sub-blocks; sub_sizes lists the largest
+    ``SUB_SIZES`` of them, sub_count tells how many there are, and ``explicit_sizes`` has them all.
     """
     spark = df.sparkSession
-    common = spacing(df, axes, decimals).withColumn("place", F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("n"), "gap")))
-    common = common.withColumn("all", F.sum("n").over(Window.partitionBy("axis"))).where("place <= 200").collect()
+    gaps = spacing(df, axes, decimals)
+    totals = gaps.groupBy("axis").agg(F.sum("n").alias("all"), F.min_by("gap", F.struct(-F.col("n"), "gap")).alias("commonest"))
+    often = gaps.join(F.broadcast(totals), "axis").where((F.col("n") > LEAST_SHARE * F.col("all")) | (F.col("gap") == F.col("commonest"))).collect()  # a row an axis
     ends = {r["axis"]: r for r in _coordinates(df, axes).groupBy("axis").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).collect()}
     given = {}
     for axis, column in (sizes or {}).items():
-        found = df.select(finite(F.col(column)).alias("d")).where("d > 0").groupBy("d").count().orderBy(F.desc("d")).limit(50).collect()
-        if found:
-            given[axis] = (found[0]["d"], sorted(r["d"] for r in found[1:]))
+        found = df.select(finite(F.col(column)).alias("d")).where("d > 0").groupBy("d").count()
+        top = found.orderBy(F.desc("d")).limit(SUB_SIZES + 1).collect()
+        if top:
+            given[axis] = (top[0]["d"], sorted(r["d"] for r in top[1:]), found.count() - 1)
     out = []
     for axis in axes:
         if axis not in ends:
-            out.append((axis, None, None, None, 0, None, 1.0, []))
+            out.append((axis, None, None, None, 0, None, 1.0, [], 0))
             continue
-        e, gaps = ends[axis], sorted((r for r in common if r["axis"] == axis), key=lambda r: r["place"])
-        size, subs = given.get(axis) or block_size([(r["gap"], r["n"]) for r in gaps])
+        e, own = ends[axis], sorted((r for r in often if r["axis"] == axis), key=lambda r: (-r["n"], r["gap"]))
+        total = own[0]["all"] if own else 0
+        size, subs = block_size([(r["gap"], r["n"]) for r in own], total)
+        size, subs, n_subs = given.get(axis) or (size, subs, len(subs))
         count = round((e["high"] - e["low"]) / size) + 1 if size else e["n"]
-        out.append((axis, e["low"], e["high"], size, count, count * size if size else e["high"] - e["low"], gaps[0]["n"] / gaps[0]["all"] if gaps else 1.0, subs))
+        out.append((axis, e["low"], e["high"], size, count, count * size if size else e["high"] - e["low"], own[0]["n"] / total if own else 1.0, subs, n_subs))
     return spark.createDataFrame(out, AXIS_SCHEMA)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
+from ..plans.levels import levels_passed
 from .statistics import group_key, valid_weight, value_of
 
 BINS = 10_000
@@ -64,6 +65,30 @@ def bins(df: DataFrame, grades: dict[str, tuple[float, float]], group: str | Non
     return rows.groupBy("c.variable", *keys, "c.bin", "c.low", "c.step").agg(F.sum("t").alias("t"), F.sum(F.col("c.g") * F.col("t")).alias("gt"))
 
 
+GROUPS = 200
+
+
+def bin_curve(binned: DataFrame, n_bins: int = BINS, groups: int = GROUPS) -> DataFrame:
+    """(variable, [group,] bin, cutoff, tonnage, grade, metal[, overflow]) at the lower edge of every one of the bins, empty ones included.
+
+    Tonnage and metal are those of the bin and all above it.  Of groups the ``groups`` with most tonnes are listed (ties: the smaller
+    name) and overflow tells that there are more; a curve without groups is of all rows.
+    """
+    keys = [c for c in binned.columns if c in ("variable", "group")]
+    heads = binned.groupBy(*keys).agg(F.first("low").alias("low"), F.first("step").alias("step"), F.sum("t").alias("of"))
+    if "group" in keys:
+        by = Window.partitionBy("variable").orderBy(F.desc("of"), "group")
+        heads = heads.withColumn("place", F.row_number().over(by)).where(F.col("place") <= groups + 1)
+        heads = heads.withColumn("overflow", F.max("place").over(Window.partitionBy("variable")) > groups).where(F.col("place") <= groups)
+    dense = heads.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+    rows = dense.join(binned.select(*keys, "bin", "t", "gt"), [*keys, "bin"], "left")
+    above = Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # ``n_bins`` rows
+    t, m = F.sum(F.coalesce("t", F.lit(0.0))).over(above), F.sum(F.coalesce("gt", F.lit(0.0))).over(above)
+    rows = rows.withColumn("tonnage", t).withColumn("metal", m)
+    flag = ["overflow"] if "group" in keys else []
+    return rows.select(*keys, "bin", (F.col("low") + F.col("bin") * F.col("step")).alias("cutoff"), "tonnage", F.when(F.col("tonnage") > 0, F.col("metal") / F.col("tonnage")).otherwise(0.0).alias("grade"), "metal", *flag)
+
+
 def at_cutoffs(binned: DataFrame, cutoffs: list[float], n_bins: int = BINS, grade_factor: float = 1.0, tonnage_divisor: float = 1.0, metal_divisor: float = 1.0) -> DataFrame:
     """(variable, [group,] cutoff, tonnage, grade, metal, pct, grade_exact) at user cutoffs, from the bins alone.
 
@@ -95,9 +120,10 @@ def exact(df: DataFrame, grade: str, cutoffs: list[float], group: str | None = N
     """
     tonnes, _ = tonnage(**spec)
     keys = ["group"] if group else []
-    levels = F.array(*[F.lit(float(c)) for c in sorted(cutoffs)])
+    cutoffs = sorted(float(c) for c in cutoffs)
+    levels = F.array(*[F.lit(c) for c in cutoffs])
     rows = df.select(*([group_key(group).alias("group")] if group else []), tonnes.alias("t"), value_of(grade).alias("g")).where("t is not null and g is not null")
-    sums = rows.withColumn("reached", F.size(F.filter(levels, lambda c: c <= F.col("g")))).groupBy(*keys, "reached").agg(F.sum("t").alias("t"), F.sum(F.col("g") * F.col("t")).alias("m"))
+    sums = rows.withColumn("reached", levels_passed(cutoffs, lambda c: c <= F.col("g"))).groupBy(*keys, "reached").agg(F.sum("t").alias("t"), F.sum(F.col("g") * F.col("t")).alias("m"))
     out = sums.select(*keys, "reached", "t", "m", F.posexplode(levels).alias("i", "cutoff"))
     here = F.col("reached") > F.col("i")
     out = out.groupBy(*keys, "cutoff").agg(F.sum(F.when(here, F.col("t")).otherwise(0.0)).alias("tonnage"), F.sum(F.when(here, F.col("m")).otherwise(0.0)).alias("metal"))
@@ -110,8 +136,10 @@ def theoretical(samples: DataFrame, variable: str, cutoffs: list[float], f: floa
     total, mean = rows.agg(F.sum("w"), F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w"))).first()
     if total is None:
         return samples.sparkSession.createDataFrame([(float(c), 0.0, 0.0) for c in cutoffs], "cutoff double, t_frac double, grade double")
-    levels = F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.lit(mean + (c - mean) / max(f, 1e-6) ** 0.5).alias("x")) for c in sorted(cutoffs)])
-    sums = rows.withColumn("over", F.size(F.filter(levels, lambda c: c["x"] < F.col("v")))).groupBy("over").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("wv"))
+    cutoffs = sorted(float(c) for c in cutoffs)
+    levels = F.array(*[F.struct(F.lit(c).alias("cutoff")) for c in cutoffs])
+    shrunk = [mean + (c - mean) / max(f, 1e-6) ** 0.5 for c in cutoffs]
+    sums = rows.withColumn("over", levels_passed(shrunk, lambda x: x < F.col("v"))).groupBy("over").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("wv"))
     out = sums.select("over", "w", "wv", F.posexplode(levels).alias("i", "l"))
     here = F.col("over") > F.col("i")
     out = out.groupBy("l.cutoff").agg(F.sum(F.when(here, F.col("w")).otherwise(0.0)).alias("w"), F.sum(F.when(here, F.col("wv")).otherwise(0.0)).alias("wv"))

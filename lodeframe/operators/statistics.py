@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, normal_score
+from ..plans.levels import levels_passed
 from ..plans.prefix import running_totals
+from ..plans.storage import small
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -43,48 +45,44 @@ def _unfold(wide: DataFrame, keys: list[str], variables: list[str]) -> DataFrame
 def moments(df: DataFrame, variables: list[str], weight: str | None = None, group: str | None = None, skip_zeros: tuple[str, ...] = (), skip_negatives: tuple[str, ...] = ()) -> DataFrame:
     """(variable[, group], count, nulls, zeros, sum_w, min, max, mean, std, skew, kurt, cv).
 
-    Unweighted: sample standard deviation, and skewness and kurtosis corrected for sample size.  Weighted: population
-    forms.  std needs 2 values, skew 3 and kurt 4.  Power sums are taken about the mean, which costs a second
-    aggregation over the same scan but no shuffle of rows: both are partially aggregated in place.
+    Unweighted: sample standard deviation, and skewness and kurtosis corrected for sample size, in one partially aggregated pass.
+    Weighted: population forms, whose power sums about the mean cost a second pass; the means of few groups are sent to
+    all tasks, those of many are joined by a shuffle.  std needs 2 values, skew 3 and kurt 4.
     """
     keys = ["group"] if group else []
-    w = valid_weight(weight)
     values = {v: value_of(v, v in skip_zeros, v in skip_negatives) for v in variables}
-    base = df.select(*([group_key(group).alias("group")] if group else []), w.alias("__w"), *[c.alias(f"__v{i}") for i, c in enumerate(values.values())]).where("__w is not null")
-    first = base.groupBy(*keys).agg(
-        *[
-            F.struct(
-                F.count(v).alias("count"),
-                F.count_if(v.isNull()).alias("nulls"),
-                F.count_if(v == 0).alias("zeros"),
-                F.sum(F.when(v.isNotNull(), F.col("__w"))).alias("sum_w"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.try_divide(F.sum(v * F.col("__w")), F.sum(F.when(v.isNotNull(), F.col("__w")))).alias("mean"),
-            ).alias(f"__{i}")
-            for i, v in ((i, F.col(f"__v{i}")) for i in range(len(variables)))
-        ]
-    )
-    if group:
-        means = first.select(F.col("group").alias("__g"), *[F.col(f"__{i}.mean").alias(f"__m{i}") for i in range(len(variables))])
-        centred = base.join(means, F.col("group") == F.col("__g"))
-    else:
-        centred = base.crossJoin(F.broadcast(first.select(*[F.col(f"__{i}.mean").alias(f"__m{i}") for i in range(len(variables))])))  # one row
-    d = [F.col(f"__v{i}") - F.col(f"__m{i}") for i in range(len(variables))]
-    second = centred.groupBy(*keys).agg(*[F.struct(*[F.sum(F.col("__w") * F.pow(x, F.lit(p))).alias(f"m{p}") for p in (2, 3, 4)]).alias(f"__{i}") for i, x in enumerate(d)])
-    a, b = _unfold(first, keys, variables), _unfold(second, keys, variables)
-    n, m2, m3, m4, W = F.col("count").cast("double"), F.col("m2"), F.col("m3"), F.col("m4"), F.col("sum_w")
+    base = df.select(*([group_key(group).alias("group")] if group else []), valid_weight(weight).alias("__w"), *[c.alias(f"__v{i}") for i, c in enumerate(values.values())]).where("__w is not null")
+    w = F.col("__w")
+
+    def plain(v: Column) -> list[Column]:
+        return [
+            F.count(v).alias("count"), F.count_if(v.isNull()).alias("nulls"), F.count_if(v == 0).alias("zeros"), F.sum(F.when(v.isNotNull(), w)).alias("sum_w"),
+            F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w))).alias("mean"),
+        ]
+
+    def shape(v: Column) -> list[Column]:
+        return [F.stddev_samp(v).alias("s"), F.when(F.max(v) > F.min(v), F.skewness(v)).alias("g1"), F.when(F.max(v) > F.min(v), F.kurtosis(v)).alias("g2")]
+
+    columns = [F.col(f"__v{i}") for i in range(len(variables))]
+    first = base.groupBy(*keys).agg(*[F.struct(*plain(v), *(shape(v) if weight is None else [])).alias(f"__{i}") for i, v in enumerate(columns)])
+    n = F.col("count").cast("double")
     if weight is None:
-        std = F.sqrt(F.try_divide(m2, n - 1))
-        skew = F.try_divide(F.sqrt(n) * m3, F.pow(m2, F.lit(1.5))) * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
-        g2 = F.try_divide(n * m4, m2 * m2) - 3
-        kurt = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+        out = _unfold(first, keys, variables)
+        std, skew = F.col("s"), F.col("g1") * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
+        kurt, varies = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6), F.col("max") > F.col("min")
     else:
-        std = F.sqrt(F.try_divide(m2, W))
-        skew = F.try_divide(F.sqrt(W) * m3, F.pow(m2, F.lit(1.5)))
-        kurt = F.try_divide(W * m4, m2 * m2) - 3
-    out = a.join(b, [*keys, "variable"])
-    out = out.withColumn("std", F.when(n >= 2, std)).withColumn("skew", F.when((n > 2) & (m2 > 0), skew)).withColumn("kurt", F.when((n > 3) & (m2 > 0), kurt))
+        means = [F.col(f"__{i}.mean").alias(f"__m{i}") for i in range(len(variables))]
+        if group:
+            centred = base.join(small(first.select(F.col("group").alias("__g"), *means)), F.col("group") == F.col("__g"))
+        else:
+            centred = base.crossJoin(F.broadcast(first.select(*means)))  # one row
+        d = [v - F.col(f"__m{i}") for i, v in enumerate(columns)]
+        second = centred.groupBy(*keys).agg(*[F.struct(*[F.sum(w * F.pow(x, F.lit(p))).alias(f"m{p}") for p in (2, 3, 4)]).alias(f"__{i}") for i, x in enumerate(d)])
+        out = _unfold(first, keys, variables).join(_unfold(second, keys, variables), [*keys, "variable"])
+        m2, m3, m4, W = F.col("m2"), F.col("m3"), F.col("m4"), F.col("sum_w")
+        std, skew = F.sqrt(F.try_divide(m2, W)), F.try_divide(F.sqrt(W) * m3, F.pow(m2, F.lit(1.5)))
+        kurt, varies = F.try_divide(W * m4, m2 * m2) - 3, m2 > 0
+    out = out.withColumn("std", F.when(n >= 2, std)).withColumn("skew", F.when((n > 2) & varies, skew)).withColumn("kurt", F.when((n > 3) & varies, kurt))
     cv = F.when((F.col("mean") != 0) & (F.col("std") != 0), F.abs(F.col("std") / F.col("mean") * 100))
     return out.withColumn("cv", cv).select("variable", *keys, "count", "nulls", "zeros", "sum_w", "min", "max", "mean", "std", "skew", "kurt", "cv")
 
@@ -105,6 +103,18 @@ def weighted_cells(df: DataFrame, variable: str, weight: str | None = None, grou
     return rows.groupBy(*(["group"] if group else []), "value").agg(F.sum("w").alias("c"))
 
 
+def _at_levels(cells: DataFrame, keys: list[str], at: tuple[float, ...], low, high) -> DataFrame:
+    """Each cell with those of the levels q between its bounds: rows are as many as levels (and groups), not cells times levels.
+
+    low and high: whether the weight q * total lies before the cell's lower and before its upper bound.
+    """
+    qs = sorted({float(q) for q in at})
+    before = F.when(F.col("prev_value").isNull(), F.lit(0)).otherwise(levels_passed(qs, low))
+    upto = F.when(F.col("last"), F.lit(len(qs))).otherwise(levels_passed(qs, high))
+    rows = cells.withColumn("__i", before).withColumn("__n", upto - F.col("__i")).where("__n > 0")
+    return rows.withColumn("q", F.explode(F.slice(F.array(*[F.lit(q) for q in qs]), F.col("__i") + 1, F.col("__n")))).drop("__i", "__n")
+
+
 def quantiles(df: DataFrame, variable: str, at: tuple[float, ...] = QUANTILES, weight: str | None = None, group: str | None = None) -> DataFrame:
     """([group,] q, value): interpolated between the mid-points of the distinct values' weights.
 
@@ -114,22 +124,23 @@ def quantiles(df: DataFrame, variable: str, at: tuple[float, ...] = QUANTILES, w
     keys = ["group"] if group else []
     cells = running_totals(weighted_cells(df, variable, weight, group), keys, "value", "c")
     cells = cells.withColumn("mid", F.col("cum") - F.col("c") / 2).withColumn("prev_mid", F.col("cum") - F.col("c") - F.col("prev_amount") / 2)
-    q = F.explode(F.array(*[F.lit(float(x)) for x in at]))
-    hit = cells.withColumn("q", q).withColumn("t", F.col("q") * F.col("total"))
-    # Of all cells the one that the target falls before, or the last one: a single row per quantile survives the aggregate.
-    inside = (F.col("t") < F.col("mid")) & (F.col("prev_mid").isNull() | (F.col("t") >= F.col("prev_mid")))
-    at_cell = F.when(F.col("prev_mid").isNull() | (F.col("q") <= 0), F.col("value")).otherwise(F.col("prev_value") + (F.col("value") - F.col("prev_value")) * (F.col("t") - F.col("prev_mid")) / (F.col("mid") - F.col("prev_mid")))
-    out = hit.groupBy(*keys, "q").agg(F.min("value").alias("lowest"), F.max("value").alias("highest"), F.max(F.when(inside, at_cell)).alias("v"))
-    value = F.when(F.col("q") <= 0, F.col("lowest")).when(F.col("q") >= 1, F.col("highest")).otherwise(F.coalesce("v", "highest"))
-    return out.select(*keys, "q", value.alias("value"))
+    # A level at a bound is met by both neighbours, whatever the rounding of sums; they agree there.
+    slack = F.col("total") * 1e-12
+    rows = _at_levels(cells, keys, at, lambda q: q * F.col("total") < F.col("prev_mid") - slack, lambda q: q * F.col("total") < F.col("mid") + slack)
+    part = F.try_divide(F.col("q") * F.col("total") - F.col("prev_mid"), F.col("mid") - F.col("prev_mid"))
+    between = F.col("prev_value") + (F.col("value") - F.col("prev_value")) * F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
+    value = F.when(F.col("prev_value").isNull() | (F.col("last") & (F.col("q") >= 1)), F.col("value")).otherwise(between)
+    return rows.groupBy(*keys, "q").agg(F.max(value).alias("value"))
 
 
 def step_percentiles(df: DataFrame, variable: str, at: tuple[float, ...], weight: str | None = None, group: str | None = None) -> DataFrame:
     """([group,] q, value): the first value whose cumulative weight reaches q of the total, without interpolation."""
     keys = ["group"] if group else []
     cells = running_totals(weighted_cells(df, variable, weight, group), keys, "value", "c")
-    rows = cells.withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in at])))
-    return rows.groupBy(*keys, "q").agg(F.coalesce(F.min(F.when(F.col("cum") >= F.col("q") * F.col("total"), F.col("value"))), F.max("value")).alias("value"))
+    slack = F.col("total") * 1e-12
+    rows = _at_levels(cells, keys, at, lambda q: q * F.col("total") <= F.col("cum") - F.col("c") - slack, lambda q: q * F.col("total") <= F.col("cum") + slack)
+    reached = F.when((F.col("cum") >= F.col("q") * F.col("total")) | F.col("last"), F.col("value"))
+    return rows.groupBy(*keys, "q").agg(F.min(reached).alias("value"))
 
 
 def approximate_quantiles(df: DataFrame, variable: str, at: tuple[float, ...] = QUANTILES, group: str | None = None, accuracy: int = 10_000) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.levels import levels_passed
 from ..plans.prefix import running_totals
 from .statistics import quantiles, valid_weight, value_of, weighted_cells
 
@@ -16,9 +17,10 @@ def at_caps(df: DataFrame, variable: str, caps: list[float], weight: str | None
 
     Rows are summed once by how many caps they exceed; the table per cap is a running total of those few sums.
     """
-    levels = F.array(*[F.lit(float(c)) for c in sorted(caps)])
+    caps = sorted(float(c) for c in caps)
+    levels = F.array(*[F.lit(c) for c in caps])
     rows = df.select(value_of(variable).alias("v"), valid_weight(weight).alias("w")).where("v is not null and w is not null")
-    sums = rows.withColumn("over", F.size(F.filter(levels, lambda c: c < F.col("v")))).groupBy("over")
+    sums = rows.withColumn("over", levels_passed(caps, lambda c: c < F.col("v"))).groupBy("over")
     sums = sums.agg(F.count("*").alias("k"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("s"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("ss"))
     out = sums.select("*", F.posexplode(levels).alias("i", "cap"))
     under = F.col("over") <= F.col("i")

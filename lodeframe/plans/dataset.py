@@ -10,8 +10,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import truthy
+from ..functions.scalar import finite, truthy
 from ..operators.statistics import valid_weight
+from ..sources.sinks import TextFormat, write_text
+from ..sources.text import TextTable
 
 Expression = str | Column
 
@@ -39,19 +41,30 @@ class Dataset:
             df = df.withColumn(name, column(e))
         return df
 
+    @staticmethod
+    def passes(df: DataFrame, e: Expression | None) -> Column:
+        """Whether a row passes a filter, by the truth of its value whatever its type; no filter passes all."""
+        if e is None:
+            return F.lit(True)
+        kind = df.select(column(e).alias("c")).dtypes[0][1]
+        return truthy(column(e), "boolean" if kind == "boolean" else "string" if kind == "string" else "number")
+
     def frame(self, local: Expression | None = None) -> DataFrame:
         """Rows that pass the global filter and, after it, a local one."""
         df = self.with_calculated()
         for e in (self.where, local):
-            if e is not None:
-                kind = df.select(column(e).alias("c")).dtypes[0][1]
-                df = df.where(truthy(column(e), "boolean" if kind == "boolean" else "string" if kind == "string" else "number"))
+            df = df if e is None else df.where(self.passes(df, e))
         return df
 
     def filter_count(self) -> DataFrame:
         """(total, kept) in one pass."""
         df = self.with_calculated()
-        return df.agg(F.count("*").alias("total"), F.count_if(column(self.where) if self.where is not None else F.lit(True)).alias("kept"))
+        return df.agg(F.count("*").alias("total"), F.count_if(self.passes(df, self.where)).alias("kept"))
+
+    def column_types(self, overrides: dict[str, str] | None = None) -> dict[str, str]:
+        """numeric or categorical by each column's type, calculated ones included; numbers and booleans are numeric; overrides win."""
+        numbers = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+        return {c: "numeric" if kind in numbers or kind.startswith("decimal") else "categorical" for c, kind in self.with_calculated().dtypes} | (overrides or {})
 
     def filter_estimate(self, share: float = 0.01, seed: int = 1) -> DataFrame:
         """(total, kept, kept_pct) of a seeded sample of rows."""
@@ -81,15 +94,31 @@ class Dataset:
             for edge, value in reversed(steps):
                 pick = F.when(F.col("__u") < edge, F.lit(value)).otherwise(pick)
             drawn = drawn.withColumn(c, pick).drop("__u")
-        return drawn.agg(F.count("*").alias("draws"), (F.count_if(column(self.where)) * 100.0 / F.count("*")).alias("kept_pct"))
+        return drawn.agg(F.count("*").alias("draws"), (F.count_if(self.passes(drawn, self.where)) * 100.0 / F.count("*")).alias("kept_pct"))
 
-    def health(self) -> DataFrame:
-        """(check_name, n): rows read, kept by the filter, and left out by weight among those kept."""
+    def health(self, source: TextTable | None = None, axes: dict[str, str] | None = None) -> DataFrame:
+        """(check_name, n): rows read, kept by the filter and left out by weight, columns without a value, and coordinates without one.
+
+        With the text table that the dataset was read from also values that were no number, ragged rows and comments.
+        """
         df = self.with_calculated()
-        ok = F.coalesce(column(self.where), F.lit(False)) if self.where is not None else F.lit(True)
-        wide = df.agg(F.count("*").alias("rows"), F.count_if(ok).alias("kept"), F.count_if(ok & valid_weight(self.weight).isNull()).alias("weight_excluded"))
+        ok = self.passes(df, self.where)
+        types = self.column_types()
+        known = {c: finite(F.col(f"`{c}`")) if types[c] == "numeric" else F.when(F.col(f"`{c}`").cast("string") != "", F.lit(1)) for c in df.columns}
+        empty = [F.when(F.count(F.when(ok, v)) == 0, 1).otherwise(0) for v in known.values()]
+        lost = [F.count_if(finite(F.col(c)).isNull()) for c in (axes or {}).values()]
+        wide = df.agg(
+            F.count("*").alias("rows"), F.count_if(ok).alias("kept"), F.count_if(ok & valid_weight(self.weight).isNull()).alias("weight_excluded"),
+            sum(empty, F.lit(0)).cast("long").alias("empty_columns"), sum(lost, F.lit(0)).cast("long").alias("coordinates_ignored"),
+        )
+        if source is not None:
+            wide = wide.crossJoin(F.broadcast(source.counters().select("parse_fails", "ragged_rows", "comment_count")))  # one row each
         return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("n")) for c in wide.columns])).alias("r")).select("r.*")
 
+    def export(self, path: str, columns: dict[str, str] | None = None, fmt: TextFormat | None = None) -> None:
+        """The filtered table with its calculated columns as delimited text."""
+        write_text(self.frame(), path, columns, fmt)
+
     def problems(self) -> list[str]:
         """What Spark's analysis finds wrong with each expression, with near names of unknown columns; no rows are read."""
         found, df = [], self.base
@@ -114,8 +143,11 @@ class Dataset:
         return f"{name}: {error.getCondition() or error}" + (f": {unknown}" if unknown else "") + (f"; near: {', '.join(near)}" if near else "")
 
     def recipe(self) -> str:
-        """The dataset's recipe as JSON, without its data."""
-        return json.dumps({"calculated": {k: str(v) for k, v in self.calculated.items()}, "where": None if self.where is None else str(self.where), "weight": self.weight, "columns": self.columns}, sort_keys=True)
+        """The dataset's recipe as JSON, without its data; expressions must be SQL text, as a Column cannot be read back."""
+        for name, e in {**self.calculated, "filter": self.where}.items():
+            if isinstance(e, Column):
+                raise TypeError(f"{name} is a Column; a recipe holds SQL text")
+        return json.dumps({"calculated": self.calculated, "where": self.where, "weight": self.weight, "columns": self.columns}, sort_keys=True)
 
     @staticmethod
     def from_recipe(base: DataFrame, recipe: str) -> "Dataset":

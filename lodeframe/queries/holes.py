@@ -46,31 +46,17 @@ def _path(spark: SparkSession, sf_dir: str, method: str = "minimum-curvature") -
     return drillhole.desurvey(drillhole.clean_surveys(surveys(spark, sf_dir), known), known, method)
 
 
-@query(f"""with {_I}, o as (select cast(o_orderkey as varchar) bhid from orders where o_orderstatus <> 'P'), k as (select i.* from i semi join o on i.bhid = o.bhid), d as (select *, lag(t) over (partition by bhid order by f, t) above from k)
-    select 'orphan-interval' as check_id, count(*) as "count", count(distinct bhid) as holes from (select * from i anti join o on i.bhid = o.bhid)
-    union all select 'orphan-survey', 3 * count(*), count(*) from orders where o_orderstatus = 'P'
-    union all select 'past-eoh', count(*), count(distinct bhid) from k where t > 5 union all select 'overlap', count(*), count(distinct bhid) from d where f < above - 1e-9
-    union all select 'collar-no-intervals', count(*), count(*) from (select * from o anti join i on i.bhid = o.bhid) having count(*) > 0""")
+@query(f"""with {_I}, {_S}, o as (select cast(o_orderkey as varchar) bhid from orders where o_orderstatus <> 'P'), k as (select i.* from i semi join o on i.bhid = o.bhid), d as (select *, lag(t) over (partition by bhid order by f, t) above from k), r as (select distinct bhid from k),
+    h as (select 'orphan-interval' as check_id, bhid, count(*) n from (select * from i anti join o on i.bhid = o.bhid) group by 2 union all select 'orphan-survey', cast(o_orderkey as varchar), 3 from orders where o_orderstatus = 'P'
+        union all select 'past-eoh', bhid, 1 from r union all select 'past-eoh', bhid, 1 from k where t > 5 group by 2 union all select 'overlap', bhid, 1 from d where f < above - 1e-9 group by 2
+        union all select 'collar-no-intervals', bhid, 1 from (select * from o anti join i on i.bhid = o.bhid)),
+    u as (select distinct check_id, bhid from h), l as (select *, row_number() over (partition by check_id order by bhid) p from u)
+    select h.check_id, cast(sum(n) as bigint) as "count", count(distinct bhid) as holes, any_value(ids) as bhids from h join (select check_id, string_agg(bhid, ' ' order by bhid) ids from l where p <= 200 group by 1) x on h.check_id = x.check_id group by 1""")
 def dh_validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hole's survey reaches 6, beyond its end at 5; three orders of four statuses are collars."""
     known = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("bhid"))
     report = drillhole.validate(collars(spark, sf_dir).join(known, "bhid", "left_semi"), surveys(spark, sf_dir), intervals(spark, sf_dir))
-    holes = _holes_per_check(spark, sf_dir, known)
-    return report.join(holes, "check_id").select("check_id", "count", "holes")
-
-
-def _holes_per_check(spark: SparkSession, sf_dir: str, known: DataFrame) -> DataFrame:
-    """Distinct holes of every check that can occur here, counted apart from the operator's list of at most 200 ids."""
-    iv, sv = intervals(spark, sf_dir), surveys(spark, sf_dir)
-    own = iv.join(known, "bhid", "left_semi")
-    from pyspark.sql import Window
-
-    over = own.withColumn("above", F.lag("to").over(Window.partitionBy("bhid").orderBy("from", "to"))).where(F.col("from") < F.col("above") - 1e-9)
-    found = {"orphan-interval": iv.join(known, "bhid", "left_anti"), "orphan-survey": sv.join(known, "bhid", "left_anti"), "past-eoh": own.where(F.col("to") > 5), "overlap": over, "collar-no-intervals": known.join(iv, "bhid", "left_anti")}
-    out = None
-    for k, df in found.items():
-        row = df.agg(F.count_distinct("bhid").alias("holes")).withColumn("check_id", F.lit(k))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return report.select("check_id", "count", "holes", F.array_join("bhids", " ").alias("bhids"))
 
 
 @query("""select cast(l_orderkey as varchar) as bhid, count(*) as n from lineitem anti join (select o_orderkey from orders where o_orderstatus <> 'P') o on l_orderkey = o_orderkey group by 1""")
@@ -89,6 +75,20 @@ def dh_desurvey_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_path(spark, sf_dir, "balanced-tangential"), x=6, y=6, z=6).select("bhid", "d0", "x", "y", "z")
 
 
+_TANGENT = _PATH.replace("0.5 * dl * (tx + nx) * rf", "dl * nx").replace("0.5 * dl * (ty + ny) * rf", "dl * ny").replace("0.5 * dl * (tz + nz) * rf", "dl * nz")
+
+
+@query(f"""with {_TANGENT} select bhid, d0, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from p""")
+def dh_desurvey_tangential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_path(spark, sf_dir, "tangential"), x=6, y=6, z=6).select("bhid", "d0", "x", "y", "z")
+
+
+@query("""with d as (select if(o_orderkey % 3 = 0, 1, -1) * (60 + month(o_orderdate)) dip from orders), s as (select dip, row_number() over (order by dip) - 1 i, count(*) over () n from d where dip <> 0) select case when dip < 0 then 'neg-down' else 'pos-down' end as convention from s where i = n // 2""")
+def dh_dip_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dips = table(spark, sf_dir, "orders").select((F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(-1) * (60 + F.month("o_orderdate"))).cast("double").alias("dip"))
+    return spark.createDataFrame([(drillhole.dip_convention(dips),)], "convention string")
+
+
 @query(f"""with {_PATH}, {_I}, q as (select bhid, f, (f + t) / 2 mid from i) select q.bhid, f, mid, {_at('x', 'mid')} as px, {_at('y', 'mid')} as py, {_at('z', 'mid')} as pz from q join p on q.bhid = p.bhid and (mid >= d0 or d0 = 0) and (d1 is null or mid < d1)""")
 def dh_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = intervals(spark, sf_dir).select("bhid", F.col("from").alias("f"), ((F.col("from") + F.col("to")) / 2).alias("mid"))
@@ -123,10 +123,10 @@ def dh_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, support=6, mid=6, l_discount=9, l_quantity=4).drop("run", "mixed")
 
 
-@query(f"""with {_ONE}, {_windows(3.0)} select bhid, k as "window", w0 as "from", w1 as "to", round(sum(l_discount * len * l_quantity) / sum(len * l_quantity), 9) as l_discount, round(sum(l_quantity * len) / sum(len), 9) as l_quantity from o group by bhid, k, w0, w1 having sum(len) / (w1 - w0) >= 0.6""")
+@query(f"""with {_ONE}, {_windows(3.0)} select bhid, k as "window", w0 as "from", w1 as "to", round(sum(l_discount * len * l_quantity) / sum(len * l_quantity), 11) as l_discount, round(sum(l_quantity * len) / sum(len), 11) as l_quantity from o group by bhid, k, w0, w1 having sum(len) / (w1 - w0) >= 0.6""")
 def dh_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drillhole.composite(_single(spark, sf_dir), 3.0, {"l_discount": "mean", "l_quantity": "mean"}, density="l_quantity", min_coverage=0.6)
-    return rounded(rows, l_discount=9, l_quantity=9).select("bhid", "window", "from", "to", "l_discount", "l_quantity")
+    return rounded(rows, l_discount=11, l_quantity=11).select("bhid", "window", "from", "to", "l_discount", "l_quantity")
 
 
 @query(f"""with {_ONE}, {_windows(2.0, 'l_returnflag')} select bhid, cast(run as bigint) as run, k as "window", w0 as "from", w1 as "to", round(sum(l_discount * len) / sum(len), 9) as l_discount, any_value(l_returnflag) as l_returnflag from o group by bhid, run, k, w0, w1""")
@@ -141,9 +141,19 @@ def dh_composite_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("bhid", "window", "from", "l_returnflag", "mixed")
 
 
-@query("""select cast(1.0 as double) as length""")
+@query(f"""with {_PATH}, {_ONE}, {_windows(2.0)}, k as (select bhid, k as win, w0, w1, sum(len) support, sum(len * (lo + hi) / 2) / sum(len) mid, sum(l_discount * len) / sum(len) l_discount from o group by bhid, k, w0, w1)
+    select k.bhid, win as "window", w0 as "from", w1 as "to", round(support, 6) as support, round(l_discount, 11) as l_discount, {_at('x', 'mid')} as x, {_at('y', 'mid')} as y, {_at('z', 'mid')} as z from k join p on k.bhid = p.bhid and (mid >= d0 or d0 = 0) and (d1 is null or mid < d1)""")
+def dh_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from three tables to a weighed point dataset."""
+    iv = _single(spark, sf_dir).withColumnsRenamed({"f": "from", "t": "to"})
+    points = drillhole.emit("composite", collars(spark, sf_dir), surveys(spark, sf_dir), iv, length=2.0, numeric={"l_discount": "mean"}, convention="pos-down")
+    return rounded(points.frame().select("bhid", "window", "from", "to", points.weight, "l_discount", "x", "y", "z"), support=6, l_discount=11, x=6, y=6, z=6)
+
+
+@query("""select coalesce(arg_min(length, (-n, length)), 1.0) as length from (select round(t - f, 2) length, count(*) n from (select cast(l_linenumber - 1 as double) f, l_linenumber - 1 + l_quantity / 7.0 t from lineitem) where t > f group by 1)""")
 def dh_default_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drillhole.default_length(intervals(spark, sf_dir))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 1).cast("double").alias("from"), (F.col("l_linenumber") - 1 + F.col("l_quantity") / 7.0).alias("to"))
+    return drillhole.default_length(rows)
 
 
 @query("""with v as (select l_quantity / 7.0 v from lineitem), s as (select min(v) lo, (max(v) - min(v)) / 14 step from v) select bin, round(lo + bin * step, 6) as low, round(lo + (bin + 1) * step, 6) as high, n from (select cast(least(floor((v - lo) / step), 13) as int) bin, any_value(lo) lo, any_value(step) step, count(*) n from v, s group by 1)""")
@@ -165,7 +175,7 @@ def dh_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with a as (select distinct cast(l_orderkey as varchar) bhid, cast(l_linenumber - 1 as double) f, cast(l_linenumber as double) t from lineitem), b as (select * from a where t > 2), c as (select bhid, f d from a union select bhid, t from a), s as (select bhid, d f, lead(d) over (partition by bhid order by d) t from c), m as (select *, (f + t) / 2 mid from s where t is not null),
     j as (select m.bhid, m.f, count(a.f) na, count(b.f) nb from m left join a on m.bhid = a.bhid and a.f <= mid and mid <= a.t left join b on m.bhid = b.bhid and b.f <= mid and mid <= b.t group by 1, 2), h as (select distinct bhid from b)
     select 'gap-a' as check_id, count(*) filter (na = 0 and nb > 0) as "count" from j union all select 'gap-b', count(*) filter (na > 0 and nb = 0 and bhid in (select bhid from h)) from j union all select 'overlap-a', count(*) filter (na > 1) from j union all select 'overlap-b', count(*) filter (nb > 1) from j
-    union all select 'hole-only-a', count(*) from (select distinct bhid from a where bhid not in (select bhid from h)) union all select 'hole-only-b', 0""")
+    union all select 'hole-only-a', count(*) from (select distinct bhid from a where bhid not in (select bhid from h)) union all select 'hole-only-b', 0 union all select 'column-collision', 1""")
 def dh_merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = intervals(spark, sf_dir).select("bhid", "from", "to").distinct().withColumn("va", F.lit(1))
-    return drillhole.merge(a, a.where("to > 2").withColumnRenamed("va", "vb"))[1]
+    a = intervals(spark, sf_dir).select("bhid", "from", "to").distinct().withColumn("v", F.lit(1))
+    return drillhole.merge(a, a.where("to > 2"))[1]

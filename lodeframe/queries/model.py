@@ -73,9 +73,14 @@ def percentile_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.step_percentiles(block_model(spark, sf_dir), "l_extendedprice", (0.1, 0.5, 0.9), group="l_returnflag")
 
 
-@query()
+@query("""select l_returnflag as "group", q, true as within from lineitem, (select unnest([cast(0.1 as double), 0.25, 0.5, 0.75, 0.9]) q) group by 1, 2""")
 def quantiles_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.approximate_quantiles(block_model(spark, sf_dir), "l_extendedprice", group="l_returnflag")
+    """Whether each sketched quantile lies within a thousandth of the rows of its exact rank."""
+    df = block_model(spark, sf_dir)
+    found = statistics.approximate_quantiles(df, "l_extendedprice", group="l_returnflag")
+    ranked = df.select(F.col("l_returnflag").alias("group"), F.col("l_extendedprice").alias("v")).join(F.broadcast(found), "group")  # five rows a group of three
+    shares = ranked.groupBy("group", "q").agg((F.count_if(F.col("v") < F.col("value")) / F.count("*")).alias("below"), (F.count_if(F.col("v") <= F.col("value")) / F.count("*")).alias("upto"))
+    return shares.select("group", "q", ((F.col("below") <= F.col("q") + 0.001) & (F.col("upto") >= F.col("q") - 0.001)).alias("within"))
 
 
 @query("""select v as "value", round(sum(c) over (order by v) / sum(c) over (), 8) as share from (select l_quantity v, cast(count(*) as double) c from lineitem group by 1)""")
@@ -138,30 +143,51 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select 'event_type' as "column", event_type as "value", n, cast(row_number() over (order by n desc, event_type) as int) as place, round(n * 100.0 / sum(n) over (), 6) as share,
-    round(sum(n) over (order by n desc, event_type rows unbounded preceding) * 100.0 / sum(n) over (), 6) as cumulative from (select event_type, count(*) n from events group by 1)""")
+    round(sum(n) over (order by n desc, event_type rows unbounded preceding) * 100.0 / sum(n) over (), 6) as cumulative, false as overflow from (select event_type, count(*) n from events group by 1)""")
 def category_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(categories.pareto(table(spark, sf_dir, "events"), ["event_type"]), share=6, cumulative=6)
 
 
-@query("""with c as (select event_type v, count(*) n from events group by 1), s as (select *, n * 1.0 / sum(n) over () as s, sum(n) over () as t, coalesce(sum(n) over (order by n desc, v rows between unbounded preceding and 1 preceding), 0) as before from c)
-    select 'event_type' as "column", count(*) as "distinct", cast(max(t) as bigint) as "rows", cast(0 as bigint) as nulls, arg_min(v, (-n, v)) as dominant, round(max(s) * 100, 6) as dominant_pct, round(-sum(s * log2(s)), 6) as entropy,
-    round(log2(count(*)), 6) as max_entropy, cast(floor(-sum(s * log2(s)) / log2(count(*)) * 100 + 0.5) as bigint) as diversity_pct, count(*) filter (before < 0.8 * t) as covering_80 from s""")
+def _summary_sql(column: str, table: str) -> str:
+    return f"""with c as (select cast({column} as varchar) v, count(*) n from {table} group by 1), s as (select *, n * 1.0 / sum(n) over () as s, sum(n) over () as t, coalesce(sum(n) over (order by n desc, v rows between unbounded preceding and 1 preceding), 0) as before from c)
+    select '{column}' as "column", count(*) as "distinct", cast(max(t) as bigint) as "rows", cast(0 as bigint) as nulls, arg_min(v, (-n, v)) as dominant, round(max(s) * 100, 6) as dominant_pct, round(-sum(s * log2(s)), 6) as entropy,
+    round(log2(count(*)), 6) as max_entropy, cast(floor(-sum(s * log2(s)) / log2(count(*)) * 100 + 0.5) as bigint) as diversity_pct, count(*) filter (before < 0.8 * t) as covering_80 from s"""
+
+
+@query(_summary_sql("event_type", "events"))
 def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(categories.summary(table(spark, sf_dir, "events"), ["event_type"]), dominant_pct=6, entropy=6, max_entropy=6)
 
 
+@query(_summary_sql("l_partkey", "lineitem"))
+def category_summary_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More values than a listing shows: the summary is over all of them."""
+    return rounded(categories.summary(table(spark, sf_dir, "lineitem"), ["l_partkey"]), dominant_pct=6, entropy=6, max_entropy=6)
+
+
+@query("""with c as (select cast(l_partkey as varchar) v, count(*) n from lineitem group by 1), r as (select *, cast(row_number() over (order by n desc, v) as int) place, sum(n) over () t, sum(n) over (order by n desc, v rows unbounded preceding) u, count(*) over () k from c)
+    select 'l_partkey' as "column", v as "value", n, place, round(n * 100.0 / t, 6) as share, round(u * 100.0 / t, 6) as cumulative, k > 500 as overflow from r where place <= 500""")
+def category_pareto_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(categories.pareto(table(spark, sf_dir, "lineitem"), ["l_partkey"]), share=6, cumulative=6)
+
+
+@query("""with c as (select p_brand v, count(*) n from part group by 1), r as (select *, row_number() over (order by n desc, v) i, count(*) over () k from c) select 'p_brand' as "column", v as "value", n, false as overflow from r where k <= 30 or i <= 20""")
+def category_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categories.shown(categories.counts(table(spark, sf_dir, "part"), ["p_brand"]))
+
+
 @query("""select 'l_linestatus' as "column", l_returnflag as "group", l_linestatus as "value", count(*) as n, false as overflow from lineitem group by 2, 3""")
 def grouped_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categories.counts(block_model(spark, sf_dir), ["l_linestatus"], "l_returnflag")
 
 
-@query("""select coalesce(nullif(l_returnflag, 'N'), '∅') as a, l_linestatus as b, count(*) as n, cast(count(*) as double) as w from lineitem group by 1, 2""")
+@query("""select coalesce(nullif(l_returnflag, 'N'), '∅') as a, l_linestatus as b, count(*) as n, cast(count(*) as double) as w, false as overflow from lineitem group by 1, 2""")
 def crosstab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = block_model(spark, sf_dir).withColumn("l_returnflag", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
     return categories.crosstab(df, "l_returnflag", "l_linestatus")
 
 
-@query("""select l_returnflag as a, cast(l_linenumber as varchar) as b, count(*) as n, round(sum(l_discount), 4) as w from lineitem where l_discount > 0 group by 1, 2""")
+@query("""select l_returnflag as a, cast(l_linenumber as varchar) as b, count(*) as n, round(sum(l_discount), 4) as w, false as overflow from lineitem where l_discount > 0 group by 1, 2""")
 def crosstab_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(categories.crosstab(block_model(spark, sf_dir), "l_returnflag", "l_linenumber", "l_discount"), w=4)
 
@@ -169,12 +195,12 @@ def crosstab_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select a, b, n as "count", round(n * 100.0 / sum(n) over (partition by a), 6) as row_pct, round(n * 100.0 / sum(n) over (partition by b), 6) as col_pct, round(n * 100.0 / sum(n) over (), 6) as total_pct
     from (select l_returnflag a, l_linestatus b, count(*) n from lineitem group by 1, 2)""")
 def crosstab_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(categories.crosstab_shares(categories.crosstab(block_model(spark, sf_dir), "l_returnflag", "l_linestatus")), row_pct=6, col_pct=6, total_pct=6)
+    return rounded(categories.crosstab_shares(categories.crosstab_cells(block_model(spark, sf_dir), "l_returnflag", "l_linestatus")), row_pct=6, col_pct=6, total_pct=6)
 
 
 @query("""select l_returnflag as a, l_linestatus as b, count(*) as total from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())""")
 def crosstab_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories.margins(categories.crosstab(block_model(spark, sf_dir), "l_returnflag", "l_linestatus"))
+    return categories.margins(categories.crosstab_cells(block_model(spark, sf_dir), "l_returnflag", "l_linestatus"))
 
 
 @query("""with c as (select o_orderstatus a, l_linestatus b, cast(count(*) as double) n from lineitem join orders on l_orderkey = o_orderkey group by 1, 2), t as (select sum(n) total, sum(case when a = b then n else 0 end) d from c),
@@ -182,7 +208,30 @@ def crosstab_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     select total, round(po, 8) as po, round(pe, 8) as pe, round((po - pe) / (1 - pe), 8) as kappa, case when (po - pe) / (1 - pe) < 0 then 'poor' when (po - pe) / (1 - pe) < 0.2 then 'slight' when (po - pe) / (1 - pe) < 0.4 then 'fair' else 'more' end as band from p""")
 def crosstab_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rounded(categories.agreement(categories.crosstab(rows, "o_orderstatus", "l_linestatus")), po=8, pe=8, kappa=8)
+    return rounded(categories.agreement(categories.crosstab_cells(rows, "o_orderstatus", "l_linestatus")), po=8, pe=8, kappa=8)
+
+
+_MANY = "c as (select cast(l_partkey as varchar) a, cast(l_suppkey as varchar) b, count(*) n, cast(count(*) as double) w from lineitem group by 1, 2)"
+
+
+@query(f"""with {_MANY}, x as (select a, row_number() over (order by sum(n) desc, a) i from c group by a), y as (select b, row_number() over (order by sum(n) desc, b) i from c group by b)
+    select a, b, n, w, (select count(*) > 200 from x) or (select count(*) > 200 from y) as overflow from c where a in (select a from x where i <= 200) and b in (select b from y where i <= 200)""")
+def crosstab_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More labels than a table lists: the listing is cut and says so."""
+    return categories.crosstab(block_model(spark, sf_dir), "l_partkey", "l_suppkey")
+
+
+@query(f"""with {_MANY} select a, null as b, sum(n)::bigint as total from c group by 1 union all select null, b, sum(n)::bigint from c group by 2 union all select null, null, sum(n)::bigint from c""")
+def crosstab_many_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The margins of the same are of all labels."""
+    return categories.margins(categories.crosstab_cells(block_model(spark, sf_dir), "l_partkey", "l_suppkey"))
+
+
+@query("""select count(*) as total, count(*) filter (k) as kept, count(*) filter (k and l_discount > 0) as placed, count(*) filter (k and l_returnflag = 'N') as a_missing, cast(0 as bigint) as b_missing, count(*) filter (k and l_discount <= 0) as weight_excluded,
+    round(coalesce(sum(l_discount) filter (k and l_discount > 0), 0), 4) as weight_total, count(distinct l_returnflag) filter (k and l_discount > 0) as a_labels, count(distinct l_partkey) filter (k and l_discount > 0) as b_labels, false as a_overflow, count(distinct l_partkey) filter (k and l_discount > 0) > 200 as b_overflow from (select *, l_quantity > 10 k from lineitem)""")
+def crosstab_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = block_model(spark, sf_dir).withColumn("l_returnflag", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
+    return rounded(categories.crosstab_tallies(df, "l_returnflag", "l_partkey", "l_discount", F.col("l_quantity") > 10), weight_total=4)
 
 
 @query("""with a as (select o_orderpriority v, count(*) n from orders group by 1), b as (select c_mktsegment v, count(*) n from customer group by 1)
@@ -237,6 +286,18 @@ def gt_density_const(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grade_tonnage.at_cutoffs(cells, list(_CUTOFFS)), **_GT)
 
 
+@query("""with s as (select min(l_discount) - 0.001 * (max(l_discount) - min(l_discount)) lo, max(l_discount) + 0.001 * (max(l_discount) - min(l_discount)) hi from lineitem),
+    b as (select l_returnflag g, cast(greatest(least(floor((l_discount - lo) / ((hi - lo) / 10000)), 9999), 0) as int) bin, sum(l_quantity) t, sum(l_discount * l_quantity) m from lineitem, s group by 1, 2),
+    d as (select g, cast(k as int) bin from (select distinct g from b), range(10000) r(k)), j as (select d.g, d.bin, coalesce(t, 0) t, coalesce(m, 0) m from d left join b on d.g = b.g and d.bin = b.bin),
+    c as (select g, bin, sum(t) over w t, sum(m) over w m from j window w as (partition by g order by bin desc))
+    select 'l_discount' as variable, g as "group", bin, round(lo + bin * ((hi - lo) / 10000), 8) as cutoff, round(t, 4) as tonnage, round(case when t > 0 then m / t else 0 end, 6) as grade, round(m, 4) as metal, false as overflow from c, s""")
+def gt_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve at every bin, by group."""
+    df = block_model(spark, sf_dir)
+    cells = grade_tonnage.bins(df, {"l_discount": grade_tonnage.grade_range(df, "l_discount")}, "l_returnflag", density="l_quantity")
+    return rounded(grade_tonnage.bin_curve(cells), cutoff=8, tonnage=4, grade=6, metal=4)
+
+
 @query("""select cutoff, round(sum(case when l_discount >= cutoff then l_quantity else 0 end), 4) as tonnage, round(sum(case when l_discount >= cutoff then l_quantity * l_discount else 0 end), 4) as metal,
     round(sum(case when l_discount >= cutoff then l_quantity * l_discount else 0 end) / sum(case when l_discount >= cutoff then l_quantity else 0 end), 6) as grade from lineitem, (select unnest([cast(0.0 as double), 0.02, 0.045, 0.08]) cutoff) group by 1""")
 def gt_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,11 +397,15 @@ def geometry_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.spacing(block_model(spark, sf_dir), {a: a for a in "xyz"})
 
 
-@query(f"""with {BM}, d as (select 'y' axis, y v from bm union select 'z', z from bm), g as (select axis, v - lag(v) over (partition by axis order by v) gap from d), h as (select axis, gap, count(*) n from g where gap is not null group by 1, 2),
-    t as (select axis, arg_max(gap, (n, -gap)) size, max(n) / sum(n) reg from h group by 1) select d.axis, min(v) as origin, max(v) as "max", any_value(size) as size, cast(round((max(v) - min(v)) / any_value(size)) + 1 as bigint) as "count",
-    (round((max(v) - min(v)) / any_value(size)) + 1) * any_value(size) as extent, any_value(reg) as regularity from d join t on d.axis = t.axis group by 1""")
+@query(f"""with {BM}, d as (select 'x' axis, x v from bm union select 'y', y from bm union select 'z', z from bm), g as (select axis, v - lag(v) over (partition by axis order by v) gap from d), h as (select axis, gap, count(*) n from g where gap is not null group by 1, 2),
+    o as (select *, sum(n) over (partition by axis) t from h), k as (select axis, arg_max(gap, (n, -gap)) common, max(n) / any_value(t) reg, count(*) filter (n > 0.02 * t) many, max(gap) filter (n > 0.02 * t) parent from o group by 1),
+    s as (select k.axis, list(gap order by gap) filter (gap < parent and round(parent / gap) >= 2 and abs(parent / gap - round(parent / gap)) <= 0.05) subs from o join k on o.axis = k.axis where n > 0.02 * t group by 1),
+    c as (select k.axis, case when many = 1 then parent when many > 1 and len(subs) > 0 then parent else common end size, case when many > 1 and len(subs) > 0 then subs else [] end subs, reg from k left join s on k.axis = s.axis)
+    select d.axis, min(v) as origin, max(v) as "max", any_value(size) as size, cast(round((max(v) - min(v)) / any_value(size)) + 1 as bigint) as "count", (round((max(v) - min(v)) / any_value(size)) + 1) * any_value(size) as extent, any_value(reg) as regularity,
+    array_to_string(any_value(subs), ',') as sub_sizes, cast(len(any_value(subs)) as bigint) as sub_count from d join c on d.axis = c.axis group by 1""")
 def geometry_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.axes_geometry(block_model(spark, sf_dir), {a: a for a in "yz"}).drop("sub_sizes")
+    found = geometry.axes_geometry(block_model(spark, sf_dir), {a: a for a in "xyz"})
+    return found.withColumn("sub_sizes", F.array_join(F.transform("sub_sizes", lambda x: x.cast("string")), ","))
 
 
 @query("""select d as size, n, cast(round(max(d) over () / d) as bigint) as ratio from (select cast(l_linenumber as double) d, count(*) n from lineitem group by 1)""")

@@ -29,9 +29,11 @@ def calcols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.groupBy("l_returnflag").agg(F.sum("net").alias("net"), F.sum("metal").alias("metal"), F.count_if(F.col("rich") == "rich").alias("n_rich")), net=2, metal=4)
 
 
-@query("""select 'rows' as check_name, count(*) as n from lineitem union all select 'kept', count(*) filter (l_tax > 0.02) from lineitem union all select 'weight_excluded', count(*) filter (l_tax > 0.02 and l_discount <= 0) from lineitem""")
+@query("""select 'rows' as check_name, count(*) as n from lineitem union all select 'kept', count(*) filter (l_tax > 0.02) from lineitem union all select 'weight_excluded', count(*) filter (l_tax > 0.02 and l_discount <= 0) from lineitem
+    union all select 'empty_columns', cast((count(nullif(l_tax, l_tax)) = 0) as bigint) from lineitem union all select 'coordinates_ignored', count(*) filter (l_linenumber = 7) from lineitem""")
 def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Dataset(block_model(spark, sf_dir), where="l_tax > 0.02", weight="l_discount").health()
+    df = block_model(spark, sf_dir).withColumns({"z": F.when(F.col("l_linenumber") != 7, F.col("z")), "none": F.lit("")})
+    return Dataset(df, where="l_tax > 0.02", weight="l_discount").health(axes={a: a for a in "xyz"})
 
 
 _V = "(l_extendedprice / 1000 - 50)"
@@ -67,10 +69,19 @@ def text_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(F.col("l_linestatus") == "F", F.lit("high")).otherwise(F.col("l_quantity").cast("string"))
     body = li.select(F.concat_ws(",", F.col("l_orderkey").cast("string"), number, "l_returnflag", F.when(F.col("l_linenumber") == 7, F.lit("more"))).alias("value"))
     head = spark.createDataFrame([("# made from lineitem",), ("HOLE,GRADE,ROCK",)], "value string")
-    return text.from_lines(head.unionByName(body), ",", {"HOLE": "numeric", "GRADE": "numeric", "ROCK": "categorical"}, ["HOLE", "GRADE", "ROCK"]).counters()
+    return text.from_lines(head.unionByName(body), ",", {"HOLE": "numeric", "GRADE": "numeric", "ROCK": "categorical"}).counters()
 
 
-@query("""select count(*) as n, min(row_id) as "first", max(row_id) as "last", count(distinct row_id) as "distinct" from (select row_number() over (order by l_orderkey, l_linenumber, l_partkey) - 1 as row_id from lineitem)""")
+_ROW_ID = "(select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey) - 1 as row_id from lineitem)"
+
+
+@query(f"""select count(*) as n, min(row_id) as "first", max(row_id) as "last", count(distinct row_id) as "distinct", round(sum(l_extendedprice), 2) as price, count(distinct l_shipdate) as days from {_ROW_ID}""")
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text.with_row_id(block_model(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_partkey"])
-    return rows.agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count_distinct("row_id").alias("distinct"))
+    rows = text.with_row_id(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"])
+    out = rows.agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count_distinct("row_id").alias("distinct"), F.sum("l_extendedprice").alias("price"), F.count_distinct("l_shipdate").alias("days"))
+    return rounded(out, price=2)
+
+
+@query(f"""select row_id, l_orderkey, l_linenumber, l_partkey from {_ROW_ID}""")
+def row_id_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.with_row_id(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"]).select("row_id", "l_orderkey", "l_linenumber", "l_partkey")

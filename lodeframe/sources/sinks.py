@@ -74,6 +74,12 @@ def write_text(df: DataFrame, path: str, columns: dict[str, str] | None = None,
     lines.mapInArrow(with_head, "value string").write.option("lineSep", fmt.line_end).text(path)
 
 
+def write_tables(tables: dict[str, DataFrame], path: str, fmt: TextFormat | None = None) -> None:
+    """Several tables, such as those of a set of drillholes, each as text in a folder of its own name."""
+    for name, df in tables.items():
+        write_text(df, f"{path.rstrip('/')}/{name}", fmt=fmt)
+
+
 def bounding_box_obj(df: DataFrame, axes: dict[str, str], padding: dict[str, float] | None = None) -> str:
     """Wavefront OBJ text of the box around all finite coordinates, padded by half a block per axis if given."""
     row = df.agg(*[f(finite(F.col(c))).alias(f"{k}{a}") for a, c in axes.items() for k, f in (("lo", F.min), ("hi", F.max))]).first()

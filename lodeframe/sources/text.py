@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import COORDINATES, guess_roles
+from ..plans.storage import checkpoint, spare_names
 
 # Texts that mean no value in a numeric column, candidates for the delimiter, and the limits of the sample.
 SENTINELS = ("", "NA", "NaN", "na", "nan", "N/A", "n/a", "null", "NULL", "*", "-", "-999", "-99", "#N/A", "VOID", "void", "-1.0e+32", "-1e+32", "1e+31", "-9999", "-99999")
 DELIMITERS = (",", "\t", ";", "|", " ")
-SNIFF_LINES, TYPE_ROWS, NUMERIC_SHARE = 20, 100, 0.8
+SNIFF_LINES, TYPE_ROWS, KNOWN_VALUES, NUMERIC_SHARE = 20, 100, 20, 0.8
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -84,33 +85,58 @@ def typed(fields: Column, header: list[str], types: dict[str, str]) -> tuple[lis
     return columns, F.filter(F.array(*failed) if failed else F.array().cast("array<string>"), lambda n: n.isNotNull())
 
 
-def from_lines(lines: DataFrame, delimiter: str | None = None, types: dict[str, str] | None = None, header: list[str] | None = None) -> TextTable:
+def from_lines(lines: DataFrame, delimiter: str | None = None, types: dict[str, str] | None = None, header: list[str] | None = None, file: str | None = None) -> TextTable:
     """lines(value) -> typed table.  Lines that start with ``#`` are comments, blank lines are skipped, the first other line is the header.
 
-    The header line is told apart by its text, wherever Spark's partitions put it; files that repeat it drop every repeat.
-    Fields are split at each delimiter (quotes do not protect it), trimmed and freed of one outer quote; a line with another
-    number of fields than the header is ragged.
+    The header is dropped by its place, so that equal lines further down are rows; with ``file``, a column that names the file of
+    a line, every file has a header.  With ``header`` given the table has none and every line is a row.  Fields are split at each delimiter
+    (quotes do not protect it), trimmed and freed of one outer quote; a line with another number of fields than the header is ragged.
+
+    A column's type is told by the first ``TYPE_ROWS`` rows; where they hold fewer than ``KNOWN_VALUES`` values of it, one
+    aggregate over all rows decides, so that a column that fills up late is not taken for numeric.  ``types`` sets types outright.
     """
     text = F.regexp_replace("value", "\r$", "")
-    lines = lines.select(text.alias("value"))
+    lines = lines.select(text.alias("value"), *([F.col(file).alias("__file")] if file else []), F.monotonically_increasing_id().alias("__at"))
     body = lines.where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
-    head = [r["value"] for r in body.limit(TYPE_ROWS + 1).collect()]
+    head = body.select("value", "__at").limit(TYPE_ROWS + 1).collect()
     if not head:
         raise ValueError("the table has no header line")
-    delimiter = delimiter or sniff_delimiter(head)
-    names = header or [bare(f) for f in head[0].split(delimiter)]
-    sample = [[bare(f) for f in line.split(delimiter)] for line in head[1:] if line != head[0]]
-    found = {n: column_type([row[i] for row in sample if i < len(row)]) for i, n in enumerate(names)} | (types or {})
+    first = [r["value"] for r in head]
+    delimiter = delimiter or sniff_delimiter(first)
+    names = header or [bare(f) for f in first[0].split(delimiter)]
     fields = F.transform(F.split("value", re.escape(delimiter), -1), lambda f: F.regexp_replace(F.trim(f), "^[\"']|[\"']$", ""))
+    if header:
+        rows = body
+    elif file:
+        rows = body.join(body.groupBy("__file").agg(F.min("__at").alias("__at")).select("__at"), "__at", "left_anti")
+    else:
+        rows = body.where(F.col("__at") != head[0]["__at"])
+    rows = rows.select(fields.alias("__f"))
+    sample = [[bare(f) for f in line.split(delimiter)] for line in (first if header else first[1:])]
+    values = {n: [row[i] for row in sample if i < len(row)] for i, n in enumerate(names)}
+    found = {n: column_type(v) for n, v in values.items()} | (types or {})
+    late = [n for n, v in values.items() if n not in (types or {}) and sum(x not in SENTINELS for x in v) < KNOWN_VALUES]
+    if late and len(first) > TYPE_ROWS:
+        found |= _types_by_all_rows(rows, names, late)
     columns, failed = typed(F.col("__f"), names, found)
-    rows = body.where(F.col("value") != head[0]).select(fields.alias("__f"))
     frame = rows.select(*columns, (F.size("__f") != len(names)).alias("__ragged"), failed.alias("__failed"))
     return TextTable(frame, names, found, delimiter, guess_roles([n for n in names if found[n] == "numeric"], COORDINATES), lines.where(F.startswith("value", F.lit("#"))))
 
 
+def _types_by_all_rows(rows: DataFrame, names: list[str], wanted: list[str]) -> dict[str, str]:
+    """Types of some columns by the share of numbers among all their values, in one aggregate."""
+    counts = []
+    for k, n in enumerate(wanted):
+        raw = F.get("__f", F.lit(names.index(n)))
+        known = raw.isNotNull() & ~raw.isin(*SENTINELS)
+        counts += [F.count_if(known).alias(f"k{k}"), F.count_if(known & F.regexp_like(raw, F.lit(NUMBER))).alias(f"n{k}")]
+    got = rows.agg(*counts).first()
+    return {n: "numeric" if got[f"n{k}"] == got[f"k{k}"] or got[f"n{k}"] > NUMERIC_SHARE * got[f"k{k}"] else "categorical" for k, n in enumerate(wanted)}
+
+
 def read_text(spark: SparkSession, path: str, **options) -> TextTable:
-    """A delimited text file or folder as a typed table."""
-    return from_lines(spark.read.text(path), **options)
+    """A delimited text file, or a folder of files that each begin with the header, as a typed table."""
+    return from_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")), file="file", **options)
 
 
 def read_quoted(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
@@ -129,12 +155,19 @@ def decimals(lines: DataFrame, table: TextTable) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """A dense row number by an order of columns, for operators that join computed weights back; range-partitioned, not in one task.
+    """A dense row number from 0 by an order of columns, for operators that join computed weights back.
 
-    Each range of the order is numbered in a task of its own and shifted by the sizes of the ranges before it.
+    Rows that are equal in ``order`` go by a hash of all columns, so reruns agree and only rows equal throughout change places.  The table
+    is dealt by ranges of that order, sorted in each and written to a checkpoint with each row's range and place; numbers are made from
+    what was written, so ranges that are sampled anew when something is computed again cannot mix.  A row per range is sent to all tasks.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))
-    before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return ranged.join(before, "__p").withColumn(name, F.col("__before") + place - 1).drop("__p", "__before")
+    tie, at, part = spare_names(df, "tie", "at", "part")
+    hashable = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    ranged = df.withColumn(tie, F.xxhash64(*hashable)).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
+    # monotonically_increasing_id holds the partition above 33 bits of the place in it.
+    placed = checkpoint(ranged.drop(tie).withColumn(at, F.monotonically_increasing_id()))
+    placed = placed.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = before.withColumnRenamed("before", tie)
+    return placed.join(F.broadcast(before), part).withColumn(name, F.col(tie) + F.col(at)).select(*[c for c in df.columns if c != name], name)

@@ -253,9 +253,9 @@ def test_composites_by_hand(spark):
 
 
 def test_validation_finds_every_defect(spark):
-    c = frame(spark, [("A", 0.0, 0.0, 0.0, 10.0), ("A", 1.0, 1.0, 1.0, 10.0), ("B", None, 0.0, 0.0, 10.0), ("C", 0.0, 0.0, 0.0, 10.0)], "bhid string, x double, y double, z double, eoh double")
+    c = frame(spark, [("A", 0.0, 0.0, 0.0, 10.0), ("A", 1.0, 1.0, 1.0, 10.0), ("B", None, 0.0, 0.0, 10.0), ("C", 0.0, 0.0, 0.0, 10.0), ("D", 0.0, 0.0, 0.0, 10.0)], "bhid string, x double, y double, z double, eoh double")
     s = frame(spark, [("A", 0.0, 0.0, 60.0), ("A", 0.0, 0.0, 61.0), ("A", 5.0, 0.0, 95.0), ("Z", 0.0, 0.0, 60.0)], "bhid string, depth double, az double, dip double")
-    i = intervals(spark, [("A", 0.0, 2.0, 1.0, "x"), ("A", 1.0, 3.0, 1.0, "x"), ("A", 9.0, 12.0, 1.0, "x"), ("A", 5.0, 5.0, 1.0, "x"), ("Z", 0.0, 1.0, 1.0, "x")])
+    i = intervals(spark, [("A", 0.0, 2.0, 1.0, "x"), ("A", 1.0, 3.0, 1.0, "x"), ("A", 9.0, 12.0, 1.0, "x"), ("A", 5.0, 5.0, 1.0, "x"), ("Z", 0.0, 1.0, 1.0, "x"), ("D", 0.0, 1.0, 1.0, "x")])
     got = {r["check_id"]: r["count"] for r in drillhole.validate(c, s, i).collect()}
     assert got == {"bad-collar": 1, "dup-collar": 1, "orphan-survey": 1, "orphan-interval": 1, "bad-interval": 1, "collar-no-intervals": 1, "bad-survey": 1, "dup-survey-depth": 1, "collar-no-survey": 1, "past-eoh": 1, "overlap": 1}
 
@@ -266,14 +266,115 @@ def test_merge_keeps_length_and_reports(spark):
     seg, report = drillhole.merge(a, b)
     got = sorted((r["bhid"], r["from"], r["to"], r["v"], r["v_2"]) for r in seg.collect() if r["bhid"] == "A" and r["v"] is not None)
     assert got == [("A", 0.0, 1.0, 1, None), ("A", 1.0, 2.0, 1, 7), ("A", 2.0, 3.0, 2, 7), ("A", 3.0, 4.0, 2, None)]
-    assert {r["check_id"]: r["count"] for r in report.collect()} == {"gap-a": 1, "gap-b": 2, "overlap-a": 0, "overlap-b": 0, "hole-only-a": 1, "hole-only-b": 0}
+    assert {r["check_id"]: r["count"] for r in report.collect()} == {"gap-a": 1, "gap-b": 2, "overlap-a": 0, "overlap-b": 0, "hole-only-a": 1, "hole-only-b": 0, "column-collision": 1}
+
+
+def test_survey_deeper_than_the_hole_and_rows_without_a_hole(spark):
+    c = frame(spark, [("A", 0.0, 0.0, 0.0, 10.0), (None, 0.0, 0.0, 0.0, 10.0)], "bhid string, x double, y double, z double, eoh double")
+    s = frame(spark, [("A", 0.0, 0.0, 60.0), ("A", 11.0, 0.0, 61.0), (None, 0.0, 0.0, 1.0)], "bhid string, depth double, az double, dip double")
+    i = intervals(spark, [("A", 0.0, 12.0, 1.0, "x"), (None, 0.0, 1.0, 1.0, "x")])
+    got = {r["check_id"]: (r["count"], r["holes"], r["bhids"]) for r in drillhole.validate(c, s, i).collect()}
+    assert got == {"bad-collar": (1, 0, []), "orphan-survey": (1, 0, []), "orphan-interval": (1, 0, []), "past-eoh": (2, 1, ["A"])}
+
+
+def test_first_rows_win_by_order_of_reading(spark):
+    c = frame(spark, [("A", 9.0, 9.0, 9.0, 7), ("A", 1.0, 1.0, 1.0, 8)], "bhid string, x double, y double, z double, at long")
+    assert drillhole.first_collars(c, "at").first()["x"] == 9.0 and drillhole.first_collars(c.withColumn("at", -F.col("at")), "at").first()["x"] == 1.0
+    s = frame(spark, [("A", 0.0, 50.0, 80.0, 1), ("A", 0.0, 10.0, 10.0, 2)], "bhid string, depth double, az double, dip double, at long")
+    assert drillhole.clean_surveys(s, drillhole.first_collars(c, "at"), order="at").first()["dip"] == 10.0
+    a = frame(spark, [("A", 0.0, 2.0, 5, 1), ("A", 0.0, 1.0, 6, 2)], "bhid string, `from` double, `to` double, v int, at long")
+    seg, report = drillhole.merge(a, a.withColumnRenamed("v", "w").where("at = 1"), "at")
+    assert {r["v"] for r in seg.collect()} == {5} and {r["check_id"]: r["count"] for r in report.collect()}["column-collision"] == 0
+
+
+def test_suffixes_of_clashing_columns(spark):
+    row = frame(spark, [("A", 0.0, 1.0, 1, 2)], "bhid string, `from` double, `to` double, v int, v_2 int")
+    assert drillhole.merge(row, row)[0].columns == ["bhid", "from", "to", "v", "v_2", "v_22", "v_2_2"]
+
+
+def test_emitted_datasets_carry_their_weight(spark):
+    c, s = collar(spark, "A"), frame(spark, [("A", 0.0, 0.0, 90.0)], "bhid string, depth double, az double, dip double")
+    i = intervals(spark, [("A", 0.0, 1.0, 1.0, "x"), ("A", 1.0, 2.0, 3.0, "x"), ("A", 2.0, 3.0, 5.0, "x")])
+    comp = drillhole.emit("composite", c, s, i, length=None, numeric={"v": "mean"})
+    assert comp.weight == "support" and sorted((r["z"], r["v"]) for r in comp.frame().collect()) == [(-2.5, 5.0), (-1.5, 3.0), (-0.5, 1.0)]
+    iv = drillhole.emit("intervals", c, s, i)
+    assert iv.weight == "length" and {"x", "y", "z", "from", "to", "length", "rock"} <= set(iv.frame().columns) and drillhole.emit("collar", c, s, i).frame().count() == 1
+    rows, n = drillhole.prepared(i, {"w": "v * 2"}, "w > 2")
+    assert rows.columns[-1] == "w" and rows.count() == 2 and n.first().asDict() == {"total": 3, "kept": 2}
+
+
+def test_columns_of_interval_tables_are_typed(spark):
+    df = frame(spark, [("A", "1.5", "x", None), ("A", "2", "3", ""), ("A", "3e1", "y", ""), ("B", "high", "4", "")], "bhid string, fe string, rock string, none string")
+    assert dict(drillhole.typed_columns(df).dtypes) == {"bhid": "string", "fe": "double", "rock": "string", "none": "string"}
+
+
+def test_summary_and_listings_of_many_categories(spark):
+    df = spark.range(60_000).select((F.col("id") % 600).cast("string").alias("k"), (F.col("id") % 300).alias("a"), (F.col("id") % 2).alias("b"))
+    r = categories.summary(df, ["k"]).first()
+    assert (r["distinct"], r["nulls"], r["covering_80"]) == (600, 0, 480) and r["entropy"] == pytest.approx(math.log2(600)) and r["diversity_pct"] == 100
+    p = categories.pareto(df, ["k"])
+    assert p.count() == 500 and p.where("overflow").count() == 500
+    listed = categories.crosstab(df, "a", "b")
+    assert listed.agg(F.sum("n")).first()[0] == 40_000 and listed.where("overflow").count() == listed.count()
+    cells = categories.crosstab_cells(df, "a", "b")
+    assert categories.margins(cells).where("a is null and b is null").first()["total"] == 60_000 and categories.agreement(cells).first()["total"] == 60_000
+    t = categories.crosstab_tallies(df, "a", "b").first()
+    assert (t["total"], t["placed"], t["a_labels"], t["a_overflow"], t["b_overflow"]) == (60_000, 60_000, 300, True, False)
+
+
+def test_category_orders(spark):
+    df = frame(spark, [("b", 5), ("a", 5), ("c", 9), ("∅", 1)], "value string, n long")
+    got = {m: [r["value"] for r in categories.in_order(df, m, ["b", "zz"]).collect()] for m in ("count-desc", "count-asc", "alpha", "missing-last", "custom")}
+    assert got == {"count-desc": ["c", "a", "b", "∅"], "count-asc": ["∅", "a", "b", "c"], "alpha": ["a", "b", "c", "∅"], "missing-last": ["a", "b", "c", "∅"], "custom": ["b", "c", "a", "∅"]}
+    many = spark.range(31).select(F.col("id").cast("string").alias("value"), F.col("id").alias("n"))
+    assert categories.shown(many).count() == 20 and categories.shown(many.where("id > 0") if "id" in many.columns else many.where("n > 0")).count() == 30
+
+
+def test_levels_passed_counts_like_a_loop(spark):
+    from lodeframe.plans.levels import levels_passed
+
+    for n in (0, 1, 5, 8, 9, 64, 99, 230):
+        levels = sorted({round(k * 0.37 % 7, 6) for k in range(n)})
+        rows = [(x / 10,) for x in range(-5, 80)] + [(v,) for v in levels[:5]] + [(None,)]
+        got = frame(spark, rows, "v double").select("v", levels_passed(levels, lambda c: c <= F.col("v")).alias("k")).collect()
+        assert all(r["k"] == (0 if r["v"] is None else sum(x <= r["v"] for x in levels)) for r in got)
+
+
+def test_weights_that_sum_unevenly_lose_no_level(spark):
+    df = spark.range(1000).select((F.col("id") % 10).cast("double").alias("v"), F.lit(0.1).alias("w"))
+    at = tuple(k / 20 for k in range(21))
+    for f in (statistics.quantiles, statistics.step_percentiles):
+        got = {r["q"]: r["value"] for r in f(df, "v", at, "w").collect()}
+        assert sorted(got) == list(at) and [got[q] for q in at] == sorted(got.values())
+
+
+def test_empty_bins_are_in_the_curve(spark):
+    df = frame(spark, [(1.0, "a"), (3.0, "a"), (2.0, "b")], "g double, k string")
+    cells = grade_tonnage.bins(df, {"g": (1.0, 3.0)}, "k", n_bins=4)
+    got = sorted((r["group"], r["bin"], r["tonnage"], r["metal"]) for r in grade_tonnage.bin_curve(cells, 4).collect())
+    assert got == [("a", 0, 2.0, 4.0), ("a", 1, 1.0, 3.0), ("a", 2, 1.0, 3.0), ("a", 3, 1.0, 3.0), ("b", 0, 1.0, 2.0), ("b", 1, 1.0, 2.0), ("b", 2, 1.0, 2.0), ("b", 3, 0.0, 0.0)]
+    few = grade_tonnage.bin_curve(cells, 4, groups=1)
+    assert {r["group"] for r in few.collect()} == {"a"} and few.where("overflow").count() == 4
+
+
+def test_irregular_gaps_do_not_pass_for_blocks(spark):
+    # Over 200 different gaps; the share of a gap is of all of them.
+    v, rows = 0.0, []
+    for k in range(1500):
+        v += 10.0 if k % 3 == 0 else 0.001 * k
+        rows.append((round(v, 3), 1.0, 1.0))
+    g = geometry.axes_geometry(frame(spark, rows, "x double, y double, z double"), {"x": "x"}, sizes=None).first()
+    assert g["size"] == 10.0 and g["sub_sizes"] == [] and g["regularity"] < 0.5
+    d = geometry.axes_geometry(spark.range(300).select(F.col("id").cast("double").alias("x"), (F.col("id") % 70 + 1).cast("double").alias("d")), {"x": "x"}, sizes={"x": "d"}).first()
+    assert d["size"] == 70.0 and d["sub_count"] == 69 and len(d["sub_sizes"]) == 50
 
 
 def test_roles_of_tables():
     assert drillhole.table_role(["BHID", "FROM", "TO", "Fe"]) == "intervals"
     assert drillhole.table_role(["HOLEID", "AT", "AZIMUTH", "DIP"]) == "survey"
     assert drillhole.table_role(["BHID", "XCOLLAR", "YCOLLAR", "ZCOLLAR"]) == "collar"
-    assert drillhole.table_role(["a"]) is None
+    assert drillhole.table_role(["a"]) is None and drillhole.table_role(["a"], "assays_2020.csv") == "intervals"
+    assert drillhole.map_columns(["Hole-ID", "MD", "Azim", "Plunge"], "survey") == {"bhid": "Hole-ID", "depth": "MD", "az": "Azim", "dip": "Plunge"}
 
 
 def test_cutoff_ranges():

@@ -24,6 +24,23 @@ def test_text_rules(spark, tmp_path):
     assert t.counters().first().asDict() == {"rows": 5, "ragged_rows": 2, "parse_fails": 2, "comment_count": 1}
 
 
+def test_a_column_that_fills_up_late_is_typed_by_all_rows(spark):
+    lines = ["A,B,C"] + [f"{k},,1" for k in range(150)] + [f"{k},rock{k},2" for k in range(50)]
+    t = text.from_lines(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1))
+    assert t.types == {"A": "numeric", "B": "categorical", "C": "numeric"}
+    assert t.data().where("B is not null").count() == 50 and t.counters().first()["parse_fails"] == 0
+
+
+def test_lines_like_the_header_are_rows(spark, tmp_path):
+    bare = spark.createDataFrame([("a,b",)] * 3, "value string")
+    assert text.from_lines(bare, header=["A", "B"]).data().count() == 3
+    assert text.from_lines(bare).data().count() == 2
+    for name in ("1.csv", "2.csv"):
+        (tmp_path / name).write_text("# c\nA,B\n1,2\nA,B\n3,4\n")
+    t = text.read_text(spark, str(tmp_path))
+    assert t.counters().first().asDict() == {"rows": 6, "ragged_rows": 0, "parse_fails": 0, "comment_count": 2}
+
+
 def test_sniffing():
     assert text.sniff_delimiter(["a;b;c", "1;2,5;3"]) == ";"
     assert text.sniff_delimiter(["a\tb", "1\t2"]) == "\t"
@@ -148,6 +165,46 @@ def test_row_ids_are_dense(spark):
     assert sorted((r["row_id"], r["v"]) for r in got) == [(k, k) for k in range(101)]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_row_ids_hold_for_all_columns_and_reruns(spark, adaptive):
+    df = spark.range(40_000).select((F.col("id") * 7919 % 997).alias("v"), (F.col("id") % 5).alias("w"), F.col("id").cast("string").alias("s"), F.lit(1).alias("at"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        a, b = (text.with_row_id(df.repartition(n), ["v", "w"]) for n in (3, 17))
+        r = a.agg(F.count_distinct("row_id").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count_distinct("s").alias("s"), F.sum("at").alias("at")).first()
+        assert tuple(r) == (40_000, 0, 39_999, 40_000, 40_000)
+        assert a.join(b, "s").where(a.row_id != b.row_id).count() == 0
+        assert a.alias("x").join(a.alias("y"), F.expr("x.row_id + 1 = y.row_id")).where("(x.v, x.w) > (y.v, y.w)").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert text.with_row_id(df.limit(0), ["v"]).count() == 0
+
+
+def test_health_tells_what_reading_lost(spark):
+    lines = spark.createDataFrame([("# c",), ("X,FE,NONE",), ("1,2,",), ("NA,high,",), ("3,4,,5",)], "value string").coalesce(1)
+    t = text.from_lines(lines, types={"X": "numeric", "FE": "numeric", "NONE": "categorical"})
+    got = {r["check_name"]: r["n"] for r in Dataset(t.data(), where="X > 0 or FE is null", weight="FE").health(t, {"x": "X"}).collect()}
+    assert got == {"rows": 3, "kept": 3, "weight_excluded": 1, "empty_columns": 1, "coordinates_ignored": 1, "parse_fails": 1, "ragged_rows": 1, "comment_count": 1}
+
+
+def test_exports_of_datasets_and_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "v double, k string")
+    Dataset(df, {"w": "v * 2"}, "v > 1").export(str(tmp_path / "one"), {"k": "K", "w": "W"})
+    assert [tuple(r) for r in text.read_quoted(spark, str(tmp_path / "one")).collect()] == [("b", "4")]
+    sinks.write_tables({"collar": df, "survey": df.limit(1)}, str(tmp_path / "all"))
+    assert text.read_quoted(spark, str(tmp_path / "all" / "survey")).count() == 1
+
+
+def test_recipes_hold_text_only(spark):
+    with pytest.raises(TypeError):
+        Dataset(spark.range(1), {"w": F.col("id") * 2}).recipe()
+    types = Dataset(spark.range(1), {"b": "id > 0", "s": "cast(id as string)"}).column_types({"id": "categorical"})
+    assert types == {"id": "categorical", "b": "numeric", "s": "categorical"}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     df = spark.range(100).select((F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).cast("string").alias("g"))
