@@ -2,48 +2,34 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import checkpoint, shared_dir, small, spare_names
+
+__all__ = ["NO_ID", "WORD", "Vocabulary", "checkpoint", "drop_stored", "id_or_null", "keyed", "mix64", "shared_dir", "slices", "small", "spare_names", "stored"]
+
 #: One word: a run of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands in for a null id inside an operator, and sorts after every other id.
 NO_ID = 2**63 - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        held = sc._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else os.path.join(tempfile.gettempdir(), f"lodeframe-{os.getpid()}")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a replicated checkpoint in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write a larger intermediate table once, as Parquet in the shared folder, and read it back.
 
-    Spark deletes the shuffle files of a finished step when its plan is collected as garbage, which may be long after; asking
-    for that here keeps the disk of one step from adding to the next one's.
+    The shuffle files of this step are deleted with its end, so that the disk of one step does not add to the next one's.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark._jvm.System.gc()
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}", spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,6 @@ from .common import Vocabulary
 from .grams import Adam, flat_words, keep_texts, labelled_sample, score_texts
 
 PASSAGE_WORDS = 64
-_MARKS = b".,;:!?'\"()-|#$%&*@<>=/\\_{}[]~^+"
 WORD_FEATURES = 16
 PASSAGE_FEATURES = WORD_FEATURES + 8
 
