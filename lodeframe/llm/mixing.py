@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from ..sources.text import with_row_id
+from .common import WORD, checkpoint, small, spare_names
 
 
 def token_count(text: Column) -> Column:
@@ -21,26 +22,54 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, ceiling: float) -> DataFrame:
+def _water_level(sources: DataFrame, total: float, held: int) -> float:
+    """Level L at which the sum of least(most, weight * L) over sources(most, weight, full_at) is ``total``; infinite if all are full before.
+
+    Sources are full in order of full_at = most / weight.  At most ``held`` of those levels reach the driver: of a longer list
+    the sums between approximate percentiles tell the stretch that holds L, and the search goes on in it.
+    """
+    rows = sources.where("weight > 0 and most > 0").groupBy("full_at").agg(F.sum("most").alias("most"), F.sum("weight").alias("weight"))
+    full, open_weight = 0.0, rows.agg(F.sum("weight")).first()[0] or 0.0
+    while True:
+        n = rows.limit(held + 1).count()
+        if n <= held:
+            stretches = sorted((r["full_at"], r["most"], r["weight"]) for r in rows.collect())
+        else:
+            cuts = rows.agg(F.percentile_approx("full_at", [k / 256 for k in range(1, 256)], 10_000)).first()[0]
+            no = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("full_at")))
+            sums = rows.groupBy(no.alias("no")).agg(F.max("full_at").alias("full_at"), F.min("full_at").alias("least"), F.sum("most").alias("most"), F.sum("weight").alias("weight"))
+            stretches = sorted((r["full_at"], r["most"], r["weight"], r["least"]) for r in sums.collect())
+        for stretch in stretches:
+            end, most, weight = stretch[:3]
+            # Were all up to this end full, the others would stand at a level of at least the end.
+            rest = open_weight - weight
+            if n <= held:
+                if (total - full) / open_weight <= end:
+                    return (total - full) / open_weight
+            elif full + most + rest * end >= total:
+                rows = rows.where((F.col("full_at") >= stretch[3]) & (F.col("full_at") <= end))
+                break
+            full, open_weight = full + most, rest
+            if open_weight <= 1e-9 * weight:
+                return float("inf")
+        else:
+            return (total - full) / open_weight if open_weight > 0 else float("inf")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, ceiling: float, held: int = 100_000) -> DataFrame:
     """sizes(source, source_size) -> (source, source_size, source_no, target).
 
     Sources take the weights in turn, in code point order with null last.  ``share`` times all sizes
-    is dealt by weight; what would exceed ``ceiling`` times a source's size is dealt again by weight.
-    Filling ends where the ratio of ceiling to weight, taken in rising order, passes the common level.
+    is dealt by weight; what would exceed ``ceiling`` times a source's size is dealt again by weight, which comes to one level
+    per unit of weight for all sources that are not full.  Sources are numbered and levels found without gathering them anywhere.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = sizes.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    ranked = with_row_id(sizes.withColumn("__none", F.col("source").isNull()), ["__none", "source"], "source_no").drop("__none")
+    ranked = ranked.withColumn("source_no", F.col("source_no") + 1)
     ranked = ranked.withColumn("weight", F.element_at(cycle, ((F.col("source_no") - 1) % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("most", F.col("source_size") * F.lit(float(ceiling))).withColumn("full_at", F.col("most") / F.col("weight"))
-    by_level = Window.orderBy("full_at", "source_no")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    # With the sources before this one full, all others share the rest at this level per unit of weight.
-    level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    ranked = ranked.withColumn("level", level)
-    fits = F.when(F.col("level") <= F.col("full_at"), F.col("level"))
-    final = F.first(fits, ignorenulls=True).over(by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.least("most", F.col("weight") * F.coalesce(final, F.lit(float("inf"))))
+    total = (ranked.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    target = F.least("most", F.col("weight") * F.lit(_water_level(ranked, total, held)))
     return ranked.select("source", "source_size", "source_no", target.alias("target"))
 
 
@@ -48,8 +77,8 @@ def sainte_lague(parties: DataFrame, seats: int) -> DataFrame:
     """parties(party long, votes double) -> (party, quota long): ``seats`` seats by the highest quotients votes / (2 s + 1).
 
     A divisor a little too large gives most seats at once, as every quotient above it wins; only the few
-    quotients between it and a divisor a little too small are ranked, so rows stay in proportion to parties.
-    Equal quotients go to the smaller party.
+    quotients between it and a divisor a little too small are ranked, so rows stay in proportion to parties, and they are ranked
+    in ranges of quotients, not in one task.  Equal quotients go to the smaller party.
     """
     parties = parties.where("votes > 0")
     n, total = parties.agg(F.count("*"), F.sum("votes")).first()
@@ -59,8 +88,8 @@ def sainte_lague(parties: DataFrame, seats: int) -> DataFrame:
     most = F.floor(F.col("votes") * F.lit((seats + n) / total) + 0.5) + 1
     known = parties.select("party", "votes", sure.cast("long").alias("sure"), most.cast("long").alias("most"))
     left = seats - known.agg(F.sum("sure")).first()[0]
-    open_seats = known.withColumn("seat", F.explode(F.sequence("sure", "most"))).withColumn("quotient", F.col("votes") / (2 * F.col("seat") + 1))
-    won = open_seats.withColumn("place", F.row_number().over(Window.orderBy(F.desc("quotient"), "party"))).where(F.col("place") <= left)
+    open_seats = known.withColumn("seat", F.explode(F.sequence("sure", "most"))).select("party", (-F.col("votes") / (2 * F.col("seat") + 1)).alias("behind"))
+    won = with_row_id(open_seats, ["behind", "party"], "place").where(F.col("place") < left)
     extra = won.groupBy("party").agg(F.count("*").alias("extra"))
     return known.join(extra, "party", "left").select("party", (F.col("sure") + F.coalesce("extra", F.lit(0))).alias("quota"))
 
@@ -86,7 +115,8 @@ def mix(
     docs = checkpoint(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count(F.col("text")).alias("size"), spread.alias("spread")))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, ceiling)
-    targets = checkpoint(targets.join(sizes.select("source", F.ceil(F.col("n") / shard_docs).alias("shards")), F.expr("true") & targets.source.eqNullSafe(sizes.source)).select(targets["*"], "shards"))
+    shards = sizes.select(F.col("source").alias("__source"), F.ceil(F.col("n") / shard_docs).alias("shards"))
+    targets = small(targets.join(shards, F.col("source").eqNullSafe(F.col("__source"))).drop("__source"))
 
     docs = docs.join(targets, docs.source.eqNullSafe(targets.source)).select(docs["*"], "source_no", "source_size", "target", "shards")
     docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "spread"), F.col("shards")))
@@ -121,26 +151,32 @@ def mixed_documents(documents: DataFrame, block_tokens: int = 512, **options) ->
     """The rows of the mix, with the columns of ``documents``: a document as often as it is taken whole, and once more in part.
 
     The part holds the words of the blocks that are taken once more, joined by blanks; all words of a document make the document
-    itself.  n_chars, where there is such a column, is the new text's length.  A document that gives nothing is left out.
+    itself.  n_chars, where there is such a column, is the new text's length.  A document that gives nothing is left out, as are
+    null and empty texts, which have no words.  Rows equal in id and text are told apart by their place among each other.  A null id or
+    source is kept; an empty table gives an empty result; any further columns are kept, whatever their names.
     """
     seed = options.get("seed", 7)
-    own, key = ["__id", "__spread"], F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    spread = F.xxhash64(F.lit(seed), key, F.coalesce(F.col("text"), F.lit("")))
-    copy = F.row_number().over(Window.partitionBy(*own).orderBy("__spread"))
-    rows = documents.withColumns({"__id": key, "__spread": spread}).withColumn("__copy", copy)
-    drawn = mix(documents, block_tokens=block_tokens, **options).withColumns({"__id": key, "__spread": F.col("spread")})
-    drawn = drawn.withColumn("__copy", F.row_number().over(Window.partitionBy(*own).orderBy("first_token"))).where("taken > 0")
-    drawn = drawn.select(*own, "__copy", *[F.col(c).alias(f"__{c}") for c in ("size", "taken", "first_token", "rounds", "rest", "start", "blocks")])
-    rows = rows.join(drawn, [*own, "__copy"])
-    part = F.expr("__taken - __rounds * __size")
-    whole = F.col("__rounds") + F.when(part == F.col("__size"), 1).otherwise(0)
-    kinds = F.concat(F.array_repeat(F.lit(True), whole.cast("int")), F.when((part > 0) & (part < F.col("__size")), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    rows = rows.withColumn("__whole", F.explode(kinds))
-    word = f"((__first_token + i) div {block_tokens})"
-    picked = f"(({word} + 1) * __rest + __start) div __blocks - ({word} * __rest + __start) div __blocks = 1"
-    rows = rows.withColumn("__words", F.when(~F.col("__whole"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
-    text = F.when(F.col("__whole"), F.col("text")).otherwise(F.array_join(F.expr(f"filter(__words, (w, i) -> {picked})"), " "))
+    own_id, spread, copy, whole, words = spare_names(documents, "__id", "__spread", "__copy", "__whole", "__words")
+    drawn_names = dict(zip(("size", "taken", "first_token", "rounds", "rest", "start", "blocks"), spare_names(documents, *(f"__{c}" for c in ("size", "taken", "first_token", "rounds", "rest", "start", "blocks")))))
+    size, taken, first, rounds, rest, start, blocks = drawn_names.values()
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    hashed = F.xxhash64(F.lit(seed), key, F.coalesce(F.col("text"), F.lit("")))
+    own = [own_id, spread]
+    rows = documents.withColumns({own_id: key, spread: hashed}).withColumn(copy, F.row_number().over(Window.partitionBy(*own).orderBy(F.col("source").asc_nulls_last())))
+    drawn = mix(documents, block_tokens=block_tokens, **options)
+    # Copies of a document lie next to each other in the line of their source; within one source they are numbered in that order.
+    drawn = drawn.select(key.alias(own_id), F.col("spread").alias(spread), F.col("source").alias(whole), *[F.col(c).alias(n) for c, n in drawn_names.items()])
+    drawn = drawn.withColumn(copy, F.row_number().over(Window.partitionBy(*own).orderBy(F.col(whole).asc_nulls_last(), first))).where(f"{taken} > 0").drop(whole)
+    rows = rows.join(drawn, [*own, copy])
+    part = F.expr(f"{taken} - {rounds} * {size}")
+    times = F.col(rounds) + F.when(part == F.col(size), 1).otherwise(0)
+    kinds = F.concat(F.array_repeat(F.lit(True), times.cast("int")), F.when((part > 0) & (part < F.col(size)), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    rows = rows.withColumn(whole, F.explode(kinds))
+    word = f"(({first} + i) div {block_tokens})"
+    picked = f"(({word} + 1) * {rest} + {start}) div {blocks} - ({word} * {rest} + {start}) div {blocks} = 1"
+    rows = rows.withColumn(words, F.when(~F.col(whole), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    text = F.when(F.col(whole), F.col("text")).otherwise(F.array_join(F.expr(f"filter({words}, (w, i) -> {picked})"), " "))
     rows = rows.withColumn("text", text)
     if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(documents.dtypes)["n_chars"])))
+        rows = rows.withColumn("n_chars", F.when(F.col(whole), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(documents.dtypes)["n_chars"])))
     return rows.select(*documents.columns)

@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """Blocks of 16 words, so that a source of a few dozen words meets its target too."""
+    return mixing.mix(table(spark, sf_dir, "documents"), block_tokens=16).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
