@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,13 @@ def pack(documents: DataFrame, row_tokens: int = 2048, vocabulary: str = VOCABUL
     Each document's tokens are followed by ``end``; a document without tokens (null or empty text) gives no segment.  Pieces of
     one document in order of ``starts`` restore its tokens.  Repeated rows are packed each; an empty table gives
     an empty result; further columns are ignored.  A lost task packs the same documents again in the same way.
+
+    Rows are packed from what one task reads, in groups of ``group_tokens``: which documents share a row, and how many last rows of
+    a group stay part-filled, follows from the table's files and their order; ``fill`` tells the share in use.  ``vocabulary`` is
+    a file of the driver, which Spark hands to every executor once.
     """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    ranks = os.path.basename(vocabulary)
 
     def rows_of(shard: int, first: int, pieces: list[tuple]) -> pa.RecordBatch:
         sizes = [len(p[2]) for p in pieces]
@@ -133,7 +140,7 @@ def pack(documents: DataFrame, row_tokens: int = 2048, vocabulary: str = VOCABUL
     ramp = np.arange(row_tokens).astype("<u2")
 
     def run(batches):
-        encode = tokenizer(vocabulary).encode_ordinary
+        encode = tokenizer(SparkFiles.get(ranks)).encode_ordinary
         shard, done, held, pieces, out = TaskContext.get().partitionId(), 0, 0, [], None
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -161,6 +168,12 @@ def pack(documents: DataFrame, row_tokens: int = 2048, vocabulary: str = VOCABUL
     return rows.mapInArrow(run, "shard int, row long, n_tokens int, ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>")
 
 
+def fill(packed: DataFrame) -> DataFrame:
+    """(rows, tokens, share): rows packed, tokens in use, and their share of all places."""
+    out = packed.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.sum(F.octet_length("ids") / 2).alias("places"))
+    return out.select("rows", "tokens", F.try_divide(F.col("tokens"), F.col("places")).alias("share"))
+
+
 def write_packed(packed: DataFrame, path: str) -> None:
     """Write packed rows as Parquet: one fixed-width binary row of ids per row of the matrix, next to its lengths and positions."""
     packed.write.option("compression", "zstd").parquet(path)
