@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Vectors are projected to a few random directions, shifted, and ordered along a Hilbert curve; this is
-done for several curves with directions and shifts of their own.  Each ordering is cut into key ranges
-of about equal size.  A query looks at its own range and the neighbouring ones of every curve; what it
-finds there is ranked by exact distance and the lists of all curves are merged.
+Vectors are projected to a few random directions, shifted, and ordered along a Hilbert curve; this is done for several
+curves with directions and shifts of their own.  The orders are range-partitioned by Spark, which gives every vector its exact
+place on every curve however many vectors have one key.  A query looks at a window of places around its own on each
+curve; what it finds there is ranked by exact distance and the lists of all curves are merged.
+
+How wide the windows must be, and of how many curves, depends on the vectors.  It is measured: the true neighbours of a few
+queries are found in one scan, and the cheapest windows that would have caught the wanted share of them are taken.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.text import with_row_id
 from .common import checkpoint
 
 
@@ -43,44 +47,106 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 @dataclass
-class CurveIndex:
-    """Directions, scale and key ranges of every curve."""
+class Curves:
+    """Directions, scale and shift of every curve."""
 
     directions: np.ndarray  # curves x size x dims
     centre: np.ndarray  # curves x dims
     scale: np.ndarray
     shift: np.ndarray
     bits: int
-    cuts: np.ndarray  # curves x (ranges - 1)
 
-    def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
+    def keys(self, x: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place on the curve at ``bits`` bits a coordinate, and inside the cell at as many further bits."""
         # Four deviations to each side plus the shift fill the grid; what lies further out is set to its edge.
         unit = ((x @ self.directions[curve] - self.centre[curve]) / self.scale[curve] + 4) / 9 + self.shift[curve] / 9
-        top = 1 << self.bits
-        return hilbert_keys(np.clip(unit * top, 0, top - 1).astype(np.int64), self.bits)
+        top = 1 << 2 * self.bits
+        cell = np.clip(unit * top, 0, top - 1).astype(np.int64)
+        return hilbert_keys(cell >> self.bits, self.bits), hilbert_keys(cell & ((1 << self.bits) - 1), self.bits)
 
 
-def fit(sample: np.ndarray, curves: int = 12, dims: int = 6, bits: int = 8, ranges: int = 50, seed: int = 5) -> CurveIndex:
+def fit(sample: np.ndarray, curves: int = 8, dims: int = 6, bits: int = 10, seed: int = 5) -> Curves:
     rng, size = np.random.default_rng(seed), sample.shape[1]
     dims = min(dims, size)
     directions = np.stack([np.linalg.qr(rng.normal(size=(size, size)))[0][:, :dims] for _ in range(curves)])
     y = np.einsum("ns,csd->cnd", sample, directions)
-    index = CurveIndex(directions, y.mean(1), np.maximum(y.std(1), 1e-12), rng.random((curves, dims)), bits, np.zeros((curves, ranges - 1), np.uint64))
-    for c in range(curves):
-        keys = np.sort(index.keys(sample, c))
-        index.cuts[c] = keys[(np.arange(1, ranges) * len(keys)) // ranges]
-    return index
+    return Curves(directions, y.mean(1), np.maximum(y.std(1), 1e-12), rng.random((curves, dims)), bits)
+
+
+def windows(apart: np.ndarray, n: int, wanted: float, least: int) -> tuple[int, int]:
+    """(curves, reach) of least work that catch ``wanted`` of the pairs; apart: pairs x curves, distances of places.
+
+    A window holds ``reach`` places to either side.  Where the windows would show a query as much as the whole table, one
+    window over all of it is taken.
+    """
+    best = (n, 1, n)
+    for c in range(1, apart.shape[1] + 1 if len(apart) else 0):
+        near = np.sort(apart[:, :c].min(1))
+        reach = max(int(near[min(len(near) - 1, int(np.ceil(wanted * len(near))))]), least)
+        best = min(best, (c * (2 * reach + 1), c, reach))
+    return best[1], best[2]
 
 
 def _usable(vectors: DataFrame, column: str) -> DataFrame:
     """(vec_id, v array<double>) of rows with an id and a finite, non-zero vector of the commonest length."""
-    v = F.col(column).cast("array<double>")
+    kind = dict(vectors.dtypes)[column]
+    v = F.col(column) if kind in ("array<float>", "array<double>") else F.col(column).cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     # Adding zero turns -0.0 into 0.0, so that equal vectors have one form.
-    return rows.where(F.size("v") == (common["n"] if common else 0)).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    return rows.where(F.size("v") == (common["n"] if common else 0)).withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast(kind[6:-1] if kind == "array<float>" else "double")))
+
+
+def _vectors(column) -> np.ndarray:
+    """Rows of an array column as a matrix of doubles."""
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1)
+
+
+def _closest(queries: np.ndarray, x: np.ndarray, point: np.ndarray, hidden, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the query, point, distance) of the ``most`` nearest of every query, by exact distance and then by point.
+
+    hidden: None, or a mask queries x points of what a query does not see.
+    """
+    out = []
+    for i in range(0, len(queries), 256):
+        part = queries[i : i + 256]
+        rough = (x**2).sum(1) - 2 * part @ x.T
+        if hidden is not None:
+            rough[hidden[i : i + 256]] = np.inf
+        few = min(len(x), 2 * most + 8)
+        near = np.argpartition(rough, few - 1, axis=1)[:, :few]
+        exact = np.sqrt(((part[:, None] - x[near]) ** 2).sum(2))
+        exact[np.isinf(np.take_along_axis(rough, near, 1))] = np.inf
+        order = np.lexsort((point[near], exact), axis=1)[:, :most]
+        chosen, score = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+        seen = np.isfinite(score)
+        out.append((np.repeat(np.arange(i, i + len(part)), seen.sum(1)), point[chosen][seen], score[seen]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _probe(points: DataFrame, probes: list, most: int) -> list:
+    """(probe number, point) pairs: the true ``most`` nearest others of a few probes(point, x), found in one scan of all points."""
+    own, x0 = np.array([p["point"] for p in probes]), np.stack([np.frombuffer(p["x"]) for p in probes])
+
+    def scan(batches):
+        best = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            point = batch.column(0).to_numpy()
+            new = _closest(x0, _vectors(batch.column(1)), point, own[:, None] == point[None, :], most)
+            q, p, d = (np.concatenate(c) for c in zip(best, new))
+            order = np.lexsort((p, d, q))
+            q, p, d = q[order], p[order], d[order]
+            first = np.searchsorted(q, q)  # place of each probe's first row
+            best = tuple(c[np.arange(len(q)) - first < most] for c in (q, p, d))
+        yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), pa.array(best[2])], names=["probe", "point", "score"])
+
+    found = points.select("point", "x").mapInArrow(scan, "probe long, point long, score double")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "point"))
+    return found.withColumn("place", rank).where(F.col("place") <= most).select("probe", "point").collect()
 
 
 def nearest(
@@ -88,89 +154,106 @@ def nearest(
     is_query: Column,
     k: int = 10,
     column: str = "embedding",
-    curves: int = 12,
+    curves: int = 8,
     dims: int = 6,
-    bits: int = 8,
-    ranges: int = 50,
-    reach: int = 3,
+    bits: int = 10,
+    wanted: float = 0.95,
+    probes: int = 64,
+    least_reach: int = 128,
+    range_rows: int = 8192,
+    cell_queries: int = 4096,
     sample_rows: int = 5000,
-    cell_rows: int = 4096,
-    cell_queries: int = 512,
     seed: int = 5,
 ) -> DataFrame:
     """vectors(vec_id, column) -> (query_id, rank, vec_id, score): for every row with ``is_query`` the k nearest found among all others.
 
-    The index (scale and key ranges) is fitted on at most ``sample_rows`` vectors chosen by a hash of the id; every vector is indexed.
-    A query sees ``2 * reach + 1`` of ``ranges`` key ranges of each curve; a small table has fewer ranges, of 32 vectors at least.  Equal vectors are one point with its k + 1
-    smallest ids, so ties go to the smaller id however many copies there are.  Score is the Euclidean distance in double precision.
-    Null, zero, non-finite or odd-sized vectors and rows without an id take no part.  An empty table gives an empty result.
-    Further columns are ignored.
+    The scale of the curves is fitted on at most ``sample_rows`` vectors, and the windows on the true neighbours of at most ``probes``
+    queries, both chosen by a hash of the id; every vector is indexed.  ``wanted`` is the share of those neighbours that the windows must
+    hold.  Equal vectors are one point with its k + 1 smallest ids, so ties go to the smaller id however many copies there are.
+    Score is the Euclidean distance in double precision.  Null, zero, non-finite or odd-sized vectors and rows without an id take
+    no part.  An empty table gives an empty result.  Further columns are ignored.
+
+    Every point goes to its range of ``range_rows`` places on each curve, every query to the ranges that its window meets, so rows grow
+    with points and with windows, not with points times queries.  In a range points are held and queries stream past them; a
+    range that many queries meet is dealt to several tasks by the query.
     """
-    spark = vectors.sparkSession
     rows = _usable(vectors, column)
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     points = ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("point", F.element_at("ids", 1))
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = checkpoint(queries.join(points.select("v", "point"), "v").select("query_id", "point"))
-    wanted = asked.select("point").distinct().withColumn("asks", F.lit(True))
-    points = checkpoint(points.join(wanted, "point", "left").select("point", "v", "ids", F.coalesce("asks", F.lit(False)).alias("asks")))
-    sample = points.orderBy(F.xxhash64("point"), "point").limit(sample_rows).select("v").collect()
+    wanted_points = asked.select("point").distinct().withColumn("asks", F.lit(True))
+
+    def packed(batches):
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2), batch.column(3)], names=["point", "x", "ids", "asks"])
+
+    points = points.join(wanted_points, "point", "left").select("point", "v", "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
+    points = checkpoint(points.mapInArrow(packed, "point long, x binary, ids array<bigint>, asks boolean"))
+    by_hash = points.select("point", "x", "asks").orderBy(F.xxhash64("point"), "point")
+    sample = by_hash.limit(sample_rows).select("x").collect()
     if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n, m = points.agg(F.count("*"), F.sum(F.col("asks").cast("long"))).first()
-    ranges = max(1, min(ranges, n // 32))
-    index = fit(np.array([r.v for r in sample]), curves, dims, bits, ranges, seed)
-    # Key ranges that outgrow a task are cut in cells by a hash; every query cell then meets every point cell of the range.
-    point_cells, query_cells = (max(1, -(-int(x) // y)) for x, y in ((2 * n / ranges, cell_rows), (2 * m * (2 * reach + 1) / ranges, cell_queries)))
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index = fit(np.stack([np.frombuffer(r["x"]) for r in sample]), curves, dims, bits, seed)
 
     def place(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float)
-            point, asks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            packed = np.array([v.tobytes() for v in x], object)
+            if not batch.num_rows:
+                continue
+            x, asks = _vectors(batch.column(1)), batch.column(2)
             for c in range(curves):
-                at = np.searchsorted(index.cuts[c], index.keys(x, c), "right")
-                cell = (point * 2654435761 % 1000003) % point_cells
-                for q in range(query_cells):
-                    yield _rows(c, at, cell, q, False, point, packed)
-                own = np.flatnonzero(asks)
-                qcell = (point[own] * 2654435761 % 1000003) % query_cells
-                for step in range(-reach, reach + 1):
-                    to = at[own] + step
-                    ok = (to >= 0) & (to < ranges)
-                    for p in range(point_cells):
-                        yield _rows(c, to[ok], np.full(ok.sum(), p), qcell[ok], True, point[own][ok], packed[own][ok])
-
-    def _rows(curve, at, cell, qcell, asks, point, packed):
-        n = len(point)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, curve, np.int32)), pa.array(at.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(np.broadcast_to(qcell, n).astype(np.int32)), pa.array(np.full(n, asks)), pa.array(point), pa.array(packed, pa.binary())],
-            names=["curve", "at", "cell", "qcell", "asks", "point", "x"],
-        )
-
-    placed = points.select("point", "v", "asks").mapInArrow(place, "curve int, at int, cell int, qcell int, asks boolean, point long, x binary")
-
-    def rerank(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        point = table.column("point").to_numpy()
-        x = np.frombuffer(b"".join(table.column("x").to_pylist())).reshape(len(point), -1)
-        q, base = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out: list[np.ndarray] = []
-        for i in range(0, len(q), 256):
-            part = q[i : i + 256]
-            if not len(base):
-                break
-            rough = (x[base] ** 2).sum(1) - 2 * x[part] @ x[base].T
-            most = min(len(base), 2 * k + 8)
-            near = np.argpartition(rough, most - 1, axis=1)[:, :most]
-            exact = np.sqrt(((x[part][:, None] - x[base][near]) ** 2).sum(2))
-            order = np.lexsort((point[base][near], exact), axis=1)[:, : k + 1]
-            chosen = np.take_along_axis(near, order, 1)
-            out.append((np.repeat(point[part], chosen.shape[1]), point[base][chosen].ravel(), np.take_along_axis(exact, order, 1).ravel()))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(columns, names=["q", "point", "score"])
-
-    found = placed.groupBy("curve", "at", "cell", "qcell").applyInArrow(rerank, "q long, point long, score double")
+                high, low = (pa.array(key.astype(np.int64)) for key in index.keys(x, c))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), high, low, batch.column(0), asks], names=["curve", "high", "low", "point", "asks"])
+
+    n, m = points.agg(F.count("*"), F.sum(F.col("asks").cast("long"))).first()
+    places = points.select("point", "x", "asks").mapInArrow(place, "curve int, high long, low long, point long, asks boolean")
+    # Curve c holds the row numbers from c * n, so a row's place on its curve is the rest.
+    places = with_row_id(places, ["curve", "high", "low", "point"], "at").select("curve", "point", (F.col("at") - F.col("curve") * F.lit(n)).alias("at"))
+
+    chosen = by_hash.where("asks").limit(probes).collect()
+    pairs = _probe(points, chosen, k) if chosen else []
+    known = sorted({p["point"] for p in chosen} | {p["point"] for p in pairs})
+    where = {(r["curve"], r["point"]): r["at"] for r in places.where(F.col("point").isin(known)).collect()}
+    apart = np.array([[abs(where[c, chosen[p["probe"]]["point"]] - where[c, p["point"]]) for c in range(curves)] for p in pairs])
+    used, reach = windows(apart, n, wanted, least_reach)
+
+    ranges = -(-n // range_rows)
+    cells = max(1, round(m * min(n, range_rows + 2 * reach) / n / cell_queries))
+    own = places.where(F.col("curve") < used).join(points.select("point", "x", "asks"), "point")
+    cell_of = F.pmod(F.xxhash64("point"), F.lit(cells)).cast("int")
+    side = lambda cell, asks, to: own.where(F.col("asks") if asks else F.lit(True)).select("curve", F.explode(to).alias("range"), cell.alias("cell"), F.lit(asks).alias("asks"), "at", "point", "x")
+    base = side(F.lit(0), False, F.array((F.col("at") / range_rows).cast("long"))).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    first, last = (F.least(F.greatest(F.floor((F.col("at") + d) / range_rows), F.lit(0)), F.lit(ranges - 1)) for d in (-reach, reach))
+    ask = side(cell_of, True, F.sequence(first, last))
+    keys = ["curve", "range", "cell"]
+    placed = base.unionByName(ask).repartition(*keys).sortWithinPartitions(*keys, "asks")
+
+    def look(batches):
+        """Points of a range come before its queries."""
+        key, held, x, at, point = None, [], None, None, None
+        for batch in batches:
+            group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
+            asks = batch.column(3).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1) | (asks[1:] != asks[:-1])]))
+            for i, j in zip(new, np.append(new[1:], len(asks))):
+                part = batch.slice(i, j - i)
+                if tuple(group[i]) != key:
+                    key, held, x = tuple(group[i]), [], None
+                if not asks[i]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if x is None:
+                    table = pa.Table.from_batches(held)
+                    at, point, x = table.column("at").to_numpy(), table.column("point").to_numpy(), _vectors(table.column("x").combine_chunks())
+                q_at, q_point = part.column(4).to_numpy(), part.column(5).to_numpy()
+                hidden = np.abs(q_at[:, None] - at[None, :]) > reach
+                q, p, d = _closest(_vectors(part.column(6)), x, point, hidden if hidden.any() else None, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(q_point[q]), pa.array(p), pa.array(d)], names=["q", "point", "score"])
+
+    found = placed.select(*keys, "asks", "at", "point", "x").mapInArrow(look, "q long, point long, score double")
     found = found.groupBy("q", "point").agg(F.min("score").alias("score"))
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("score", "point"))).where(F.col("place") <= k + 1)
     found = found.join(points.select("point", "ids"), "point").select("q", "score", F.explode("ids").alias("vec_id"))

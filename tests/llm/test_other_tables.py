@@ -32,7 +32,7 @@ def test_recall_on_vectors_without_structure(spark):
     x = rng.normal(size=(3000, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = found(neighbours.nearest(df, F.col("vec_id") % 100 == 0, cell_rows=50, cell_queries=5))
+    got = found(neighbours.nearest(df, F.col("vec_id") % 100 == 0, range_rows=500, cell_queries=5))
     want = brute(list(range(3000)), x.astype(float), range(0, 3000, 100))
     assert all(len(v) == 10 for v in got.values()) and set(got) == set(want)
     assert np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 10 for q in want]) >= 0.9
@@ -42,13 +42,35 @@ def test_recall_on_vectors_without_structure(spark):
             assert s == pytest.approx(np.sqrt(((x[q].astype(float) - x[i].astype(float)) ** 2).sum()), rel=1e-12)
 
 
+def test_windows_on_clustered_vectors_are_narrow_and_recall_holds(spark, monkeypatch):
+    """Blobs of a few dimensions, one with a third of all rows: a query is compared with a few percent of them."""
+    rng, n = np.random.default_rng(6), 8000
+    centres, spans = rng.normal(size=(80, 32)), rng.normal(size=(80, 3, 32)) * 0.1
+    who = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 80, n))
+    x = centres[who] + np.einsum("nd,ndk->nk", rng.normal(size=(n, 3)), spans[who])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    chosen, windows = [], neighbours.windows
+    monkeypatch.setattr(neighbours, "windows", lambda *a: chosen.append(windows(*a)) or chosen[-1])
+    got = found(neighbours.nearest(df, F.col("vec_id") % 100 == 0, range_rows=512, least_reach=32))
+    want = brute(list(range(n)), x, range(0, n, 100))
+    assert np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 10 for q in want]) >= 0.9
+    curves, reach = chosen[0]
+    assert curves * (2 * reach + 1) < 0.15 * n
+
+
+def test_windows_take_the_least_work():
+    apart = np.array([[5, 900], [900, 6], [7, 8], [9, 1]])
+    assert neighbours.windows(apart, 10_000, 1.0, 1) == (2, 7) and neighbours.windows(apart[:, :1], 1000, 1.0, 1) == (1, 1000)
+    assert neighbours.windows(np.zeros((0, 2)), 50, 0.9, 1) == (1, 50) and neighbours.windows(apart, 10_000, 0.5, 20)[1] == 20
+
+
 def test_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(40)]
     rows += [(100 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(60)]
     rows += [(200, None), (300, [0.0] * 4), (400, [1.0, None, 2.0, 3.0]), (500, [float("nan")] * 4), (600, [float("inf"), 0.0, 0.0, 0.0]), (700, [1.0]), (None, [1.0, 2.0, 3.0, 4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    got = found(neighbours.nearest(df, F.col("vec_id") % 100 == 0, reach=50))
+    got = found(neighbours.nearest(df, F.col("vec_id") % 100 == 0))
     good = [(i, v) for i, v in rows if i is not None and i < 200]
     want = brute([i for i, _ in good], np.array([v for _, v in good]), [0, 100])
     assert set(got) == {0, 100}
