@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import checkpoint, mix64, slices
 
 
 def flat_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -104,12 +104,13 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, most: int = 20_000, cells: int = 32) -> DataFrame:
-    """(doc_id, text, label) of at most ``per_class`` labelled rows of every class and about ``most`` in all, chosen by a hash of the id.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, most: int = 20_000, cells: int = 32, most_bytes: int = 32_000_000) -> DataFrame:
+    """(doc_id, text, label) of at most ``per_class`` labelled rows of every class, about ``most`` in all and ``most_bytes`` of text, chosen by a hash of the id.
 
     labels(doc_id, label); rows without an id or a label are left out.  The rows of a class are ranked in ``cells`` cells,
     so that a common class is not sorted in one task.  An id counts once in a class however often it is repeated in either table;
-    of its texts the smallest is taken.  The bound makes the sample small enough to be broadcast and collected.
+    of its texts the smallest is taken.  Where the texts are more than ``most_bytes``, the longest are left out.  These bounds, which hold
+    for the learning of models only, make the sample small enough to be broadcast and collected.
     """
     from pyspark.sql import Window
 
@@ -121,6 +122,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     chosen = known.withColumn("place", place).where(F.col("place") <= per_class // cells).select("doc_id", "label")
     texts = documents.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    one = checkpoint(one.select("doc_id", "text", "label", F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("doc_id", "label").alias("hash")))
+    sizes = sorted((r["bytes"], r["hash"]) for r in one.select("bytes", "hash").collect())  # two numbers a row of the sample
+    fit = int(np.searchsorted(np.cumsum([n for n, _ in sizes]), most_bytes, "right"))
+    if fit < len(sizes):
+        one = one.where(F.struct("bytes", "hash") < F.struct(*[F.lit(x).cast("long").alias(c) for x, c in zip(sizes[fit], ("bytes", "hash"))]))
     return one.select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label")
 
 

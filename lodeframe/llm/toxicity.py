@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from .common import Vocabulary
 from .grams import Adam, flat_words, gram_hashes, labelled_sample, score_texts
 
-GRAMS = (4, 5)
+GRAMS = (5, 6, 7)
 #: Words in a sentence at most, where no mark ends it before.
 LONGEST = 48
 #: Least ratio of document shares at which a feature may carry weight.
-LEAST_LIFT = 5.0
+LEAST_LIFT = 3.0
 _EDGE = b"\"'()[]{}<>,;:*_~|#$%&!?.-"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -73,40 +73,75 @@ def _lift(features: np.ndarray, owners: np.ndarray, bag: np.ndarray, y: np.ndarr
     return toxic / other
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2400, dims: int = 1 << 17, rounds: int = 150) -> ToxicityModel:
-    """labels(doc_id, toxic) -> a model learned from at most ``per_class`` labelled documents of either class."""
-    rows = labelled_sample(documents, labels, "toxic", per_class).select(F.lower("text").alias("text"), F.col("label").cast("int").alias("label")).collect()
+def sentence_words(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, words binary, sentence binary, word binary): what learning needs of a lower-cased text.
+
+    words: its different words, joined by blanks; sentence and word: as 32-bit numbers, every pair of a sentence and one of those words in it.
+    """
+
+    def task():
+        def apply(found):
+            names, sentences, ids = [], [], []
+            for text in found:
+                words = text.split()
+                index: dict[bytes, int] = {}
+                at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+                starts = _sentence_starts(_ends(words), np.array([len(words)]))
+                lengths = np.diff(np.append(starts, len(words)))
+                once = np.unique(np.repeat(np.arange(len(starts)), lengths) * np.int64(max(1, len(index))) + at)
+                names.append(b" ".join(index))
+                sentences.append((once // max(1, len(index))).astype("<u4").tobytes())
+                ids.append((once % max(1, len(index))).astype("<u4").tobytes())
+            return [pa.array(x, pa.binary()) for x in (names, sentences, ids)]
+
+        return apply
+
+    return score_texts(texts, task, "words binary, sentence binary, word binary", lower=True)
+
+
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2400, dims: int = 1 << 17, rounds: int = 400) -> ToxicityModel:
+    """labels(doc_id, toxic) -> a model learned from at most ``per_class`` labelled documents of either class.
+
+    The words of the sample's sentences reach the driver, within the bound of bytes of ``labelled_sample``; texts do not.
+    """
+    sample = labelled_sample(documents, labels, "toxic", per_class)
+    # The label rides along as the id of the rows.
+    rows = sentence_words(sample.select(F.col("label").cast("long").alias("doc_id"), "text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["words"], r["word"]))
     index: dict[bytes, int] = {}
-    pieces, y = [], np.array([r.label for r in rows], float)
-    for r in rows:  # one text's words at a time, so that only their numbers add up
-        words = r.text.encode().split()
-        pieces.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
-    del rows
-    counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    ids = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
-    known = list(index)
+    sentence_of, document, ids, n_sentences = [], [], [], 0
+    for k, r in enumerate(rows):
+        own = np.fromiter((index.setdefault(w, len(index)) for w in r["words"].split()), np.int64)
+        ids.append(own[np.frombuffer(r["word"], "<u4")] if len(own) else own)
+        sentence = np.frombuffer(r["sentence"], "<u4").astype(np.int64)
+        sentence_of.append(sentence + n_sentences)
+        document.append(np.full(int(sentence.max(initial=-1)) + 1, k))
+        n_sentences += len(document[-1])
+    y = np.array([r["doc_id"] for r in rows], float)
+    return learn(list(index), *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, sentence_of, document)), y, dims, rounds)
+
+
+def learn(known: list[bytes], ids: np.ndarray, sentence_of: np.ndarray, document: np.ndarray, y: np.ndarray, dims: int, rounds: int) -> ToxicityModel:
+    """known words, pairs of words and sentences (ids, sentence_of), each sentence's document, each document's label -> a model."""
     if not known or len(set(y)) < 2:
         share = y.mean() if len(y) else 0.0
         return ToxicityModel(np.zeros(dims, np.float32), float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6)))))
     features, owners = gram_hashes(_bare(known), GRAMS, dims, whole=True)
-    starts = _sentence_starts(_ends(known)[ids], counts)
-    document = np.repeat(np.arange(len(y)), counts)[starts]
     n_features = np.maximum(np.bincount(owners, minlength=len(known)), 1)
     # Only features that toxic documents hold more often than chance may carry weight, and none may excuse a sentence.
-    bag = np.unique(np.repeat(np.arange(len(y)), counts) * np.int64(len(known)) + ids)
+    bag = np.unique(document[sentence_of] * np.int64(len(known)) + ids)
     lift = _lift(features, owners, bag, y, dims)
-    open_features = np.flatnonzero(lift >= LEAST_LIFT)
-    lengths = np.diff(np.append(starts, len(ids)))
-    # A word counts once in a sentence, however often it is repeated there.
-    once = np.unique(np.repeat(np.arange(len(starts)), lengths) * np.int64(len(known)) + ids)
-    sentence_of, ids = once // len(known), once % len(known)
-    able = np.zeros(dims, bool)
-    able[open_features] = True
+    able = lift >= LEAST_LIFT
+    # Words without such a feature weigh nothing; their sentences stay, at the bias.
+    bears = able[features]
+    features, owners = features[bears], owners[bears]
+    heavy = np.isin(ids, owners)
+    ids, sentence_of = ids[heavy], sentence_of[heavy]
     w, adam = {"w": np.where(able, np.log(np.maximum(lift, 1)), 0.0), "b": np.array(-4.0)}, Adam(0.05)
     class_weight = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (1 - y).sum()))
     for _ in range(rounds):
         word = np.bincount(owners, w["w"][features], minlength=len(known)) / np.sqrt(n_features)
-        z = np.clip(np.bincount(sentence_of, word[ids], minlength=len(starts)) + w["b"], -30, 30)
+        z = np.clip(np.bincount(sentence_of, word[ids], minlength=len(document)) + w["b"], -30, 30)
         p = 1 / (1 + np.exp(-z))
         log_none = np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
         none = np.exp(log_none)
