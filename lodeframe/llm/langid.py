@@ -58,40 +58,69 @@ class LanguageModel:
         return best, p[rows, best], unsure
 
 
-def _document_grams(texts: list[bytes], dims: int) -> np.ndarray:
-    """Share of every n-gram in each text."""
-    out = np.zeros((len(texts), dims), np.float32)
-    for k, text in enumerate(texts):
-        features, _ = gram_hashes(text.split(), GRAMS, dims)
-        if len(features):
-            out[k] = np.bincount(features, minlength=dims) / len(features)
-    return out
-
-
-def fit(documents: DataFrame, per_language: int = 400, dims: int = 8192, rounds: int = 250) -> LanguageModel:
-    """documents(doc_id, text, lang) -> a model learned from at most ``per_language`` documents of each non-null language."""
-    rows = labelled_sample(documents, documents.select("doc_id", "lang"), "lang", per_language).select(F.lower("text").alias("text"), "label").where("text <> ''").collect()
-    languages = sorted({r.label for r in rows})
+def gram_counts(texts: DataFrame, dims: int) -> DataFrame:
+    """(doc_id, text) -> (doc_id, at binary, n binary): numbers of the n-gram features of a lower-cased text and how often each occurs, as 32-bit numbers."""
+
+    def task():
+        def apply(found):
+            at, n = [], []
+            for text in found:
+                features, counts = np.unique(gram_hashes(text.split(), GRAMS, dims)[0], return_counts=True)
+                at.append(features.astype("<u4").tobytes())
+                n.append(counts.astype("<u4").tobytes())
+            return [pa.array(at, pa.binary()), pa.array(n, pa.binary())]
+
+        return apply
+
+    return score_texts(texts, task, "at binary, n binary", lower=True)
+
+
+def fit(documents: DataFrame, per_language: int = 400, dims: int = 8192, epochs: int = 80, batch: int = 256, seed: int = 13) -> LanguageModel:
+    """documents(doc_id, text, lang) -> a model learned from at most ``per_language`` documents of each non-null language.
+
+    Counts of the sample's n-grams reach the driver, not texts.  They are kept as they are, few per text, and spread out to all
+    features for one batch of texts at a time.
+    """
+    sample = labelled_sample(documents, documents.select("doc_id", "lang"), "lang", per_language).where("text <> ''")
+    languages = sorted(r["label"] for r in sample.select("label").distinct().collect())
+    number = F.array_position(F.array(*[F.lit(v) for v in languages]), F.col("label")) - 1 if languages else F.lit(0)
+    # The language's number rides along as the id of the rows.
+    rows = sorted(gram_counts(sample.select(number.alias("doc_id"), "text"), dims).collect(), key=lambda r: (r["doc_id"], r["at"], r["n"]))
     code = codewords(len(languages))
-    x = _document_grams([r.text.encode() for r in rows], dims)
-    scale = 1 / np.maximum(np.sqrt((x**2).mean(0)) if len(rows) else np.ones(dims), 1e-4).astype(np.float32)
-    y = code[[languages.index(r.label) for r in rows]] if rows else np.zeros((0, code.shape[1]))
-    x *= scale
+    y = code[[r["doc_id"] for r in rows]] if rows else np.zeros((0, code.shape[1]))
+    at = [np.frombuffer(r["at"], "<u4").astype(np.int64) for r in rows]
+    share = [(n := np.frombuffer(r["n"], "<u4").astype(float)) / max(1.0, n.sum()) for r in rows]
+    squares = np.bincount(np.concatenate(at), np.concatenate(share) ** 2, minlength=dims) / len(rows) if rows else np.ones(dims)
+    scale = 1 / np.maximum(np.sqrt(squares), 1e-4)
+
+    def spread(chosen: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(chosen), dims), np.float32)
+        for k, row in enumerate(chosen):
+            x[k, at[row]] = share[row] * scale[at[row]]
+        return x
+
+    def batches(order: np.ndarray):
+        return (order[k : k + batch] for k in range(0, len(order), batch))
+
     w = {"w": np.zeros((dims, code.shape[1]), np.float32), "b": np.zeros(code.shape[1], np.float32)}
-    adam = Adam(0.01)
-    for _ in range(rounds if len(languages) > 1 else 0):
-        pull = -y / (1 + np.exp(np.clip(y * (x @ w["w"] + w["b"]), -30, 30)))
-        adam.step(w, {"w": (x.T @ pull.astype(np.float32)) / len(y) + 1e-4 * w["w"], "b": pull.mean(0).astype(np.float32)})
-    right = ((x @ w["w"] + w["b"]) * y > 0).mean(0) if len(rows) else np.ones(code.shape[1])
+    rng, adam = np.random.default_rng(seed), Adam(0.01)
+    for _ in range(epochs if len(languages) > 1 else 0):
+        for chosen in batches(rng.permutation(len(rows))):
+            x, own = spread(chosen), y[chosen]
+            pull = -own / (1 + np.exp(np.clip(own * (x @ w["w"] + w["b"]), -30, 30)))
+            adam.step(w, {"w": (x.T @ pull.astype(np.float32)) / len(own) + 1e-4 * w["w"], "b": pull.mean(0).astype(np.float32)})
+    right = sum(((spread(c) @ w["w"] + w["b"]) * y[c] > 0).sum(0) for c in batches(np.arange(len(rows)))) / len(rows) if rows else np.ones(code.shape[1])
     weight = np.maximum(2 * right - 1, 0.05)
-    return LanguageModel(languages, code, w["w"] * scale[:, None], w["b"], weight)
+    return LanguageModel(languages, code, (w["w"] * scale[:, None]).astype(np.float32), w["b"], weight)
 
 
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, lang_pred, score, ambiguous), a row per input row.
 
     Whole texts are scored: a text's margin for a bit is the mean over all its n-grams.  A null, empty or letterless
-    text, or a model without languages, gives ``und`` with score 0.  Repeated rows score alike; further columns are ignored.
+    text, or a model without languages, gives ``und`` with score 0.  Of codewords that are equally near, the first language by
+    code point is taken and the row is ambiguous.  Repeated rows score alike; an empty table gives an empty result; further columns
+    are ignored.
     """
     dims, bits = model.weights.shape
 
