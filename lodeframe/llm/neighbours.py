@@ -99,9 +99,9 @@ def _usable(vectors: DataFrame, column: str) -> DataFrame:
     return rows.where(F.size("v") == (common["n"] if common else 0)).withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast(kind[6:-1] if kind == "array<float>" else "double")))
 
 
-def _vectors(column) -> np.ndarray:
-    """Rows of an array column as a matrix of doubles."""
-    return np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1)
+def _vectors(column, kind: type) -> np.ndarray:
+    """Rows of a binary column of numbers of ``kind`` as a matrix of doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(float)
 
 
 def _closest(queries: np.ndarray, x: np.ndarray, point: np.ndarray, hidden, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,9 +126,9 @@ def _closest(queries: np.ndarray, x: np.ndarray, point: np.ndarray, hidden, most
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _probe(points: DataFrame, probes: list, most: int) -> list:
+def _probe(points: DataFrame, probes: list, most: int, kind: type) -> list:
     """(probe number, point) pairs: the true ``most`` nearest others of a few probes(point, x), found in one scan of all points."""
-    own, x0 = np.array([p["point"] for p in probes]), np.stack([np.frombuffer(p["x"]) for p in probes])
+    own, x0 = np.array([p["point"] for p in probes]), np.stack([np.frombuffer(p["x"], kind) for p in probes]).astype(float)
 
     def scan(batches):
         best = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
@@ -136,7 +136,7 @@ def _probe(points: DataFrame, probes: list, most: int) -> list:
             if not batch.num_rows:
                 continue
             point = batch.column(0).to_numpy()
-            new = _closest(x0, _vectors(batch.column(1)), point, own[:, None] == point[None, :], most)
+            new = _closest(x0, _vectors(batch.column(1), kind), point, own[:, None] == point[None, :], most)
             q, p, d = (np.concatenate(c) for c in zip(best, new))
             order = np.lexsort((p, d, q))
             q, p, d = q[order], p[order], d[order]
@@ -160,7 +160,7 @@ def nearest(
     wanted: float = 0.95,
     probes: int = 64,
     least_reach: int = 128,
-    range_rows: int = 8192,
+    range_rows: int = 1024,
     cell_queries: int = 4096,
     sample_rows: int = 5000,
     seed: int = 5,
@@ -177,7 +177,7 @@ def nearest(
     with points and with windows, not with points times queries.  In a range points are held and queries stream past them; a
     range that many queries meet is dealt to several tasks by the query.
     """
-    rows = _usable(vectors, column)
+    rows, kind = _usable(vectors, column), np.float32 if dict(vectors.dtypes)[column] == "array<float>" else np.float64
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     points = ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("point", F.element_at("ids", 1))
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct()
@@ -186,7 +186,7 @@ def nearest(
 
     def packed(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float)
+            x = np.array(batch.column(1).to_pylist(), kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2), batch.column(3)], names=["point", "x", "ids", "asks"])
 
     points = points.join(wanted_points, "point", "left").select("point", "v", "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
@@ -195,13 +195,13 @@ def nearest(
     sample = by_hash.limit(sample_rows).select("x").collect()
     if not sample:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = fit(np.stack([np.frombuffer(r["x"]) for r in sample]), curves, dims, bits, seed)
+    index = fit(np.stack([np.frombuffer(r["x"], kind) for r in sample]).astype(float), curves, dims, bits, seed)
 
     def place(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, asks = _vectors(batch.column(1)), batch.column(2)
+            x, asks = _vectors(batch.column(1), kind), batch.column(2)
             for c in range(curves):
                 high, low = (pa.array(key.astype(np.int64)) for key in index.keys(x, c))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), high, low, batch.column(0), asks], names=["curve", "high", "low", "point", "asks"])
@@ -212,7 +212,7 @@ def nearest(
     places = with_row_id(places, ["curve", "high", "low", "point"], "at").select("curve", "point", (F.col("at") - F.col("curve") * F.lit(n)).alias("at"))
 
     chosen = by_hash.where("asks").limit(probes).collect()
-    pairs = _probe(points, chosen, k) if chosen else []
+    pairs = _probe(points, chosen, k, kind) if chosen else []
     known = sorted({p["point"] for p in chosen} | {p["point"] for p in pairs})
     where = {(r["curve"], r["point"]): r["at"] for r in places.where(F.col("point").isin(known)).collect()}
     apart = np.array([[abs(where[c, chosen[p["probe"]]["point"]] - where[c, p["point"]]) for c in range(curves)] for p in pairs])
@@ -247,10 +247,10 @@ def nearest(
                     continue
                 if x is None:
                     table = pa.Table.from_batches(held)
-                    at, point, x = table.column("at").to_numpy(), table.column("point").to_numpy(), _vectors(table.column("x").combine_chunks())
+                    at, point, x = table.column("at").to_numpy(), table.column("point").to_numpy(), _vectors(table.column("x"), kind)
                 q_at, q_point = part.column(4).to_numpy(), part.column(5).to_numpy()
                 hidden = np.abs(q_at[:, None] - at[None, :]) > reach
-                q, p, d = _closest(_vectors(part.column(6)), x, point, hidden if hidden.any() else None, k + 1)
+                q, p, d = _closest(_vectors(part.column(6), kind), x, point, hidden if hidden.any() else None, k + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(q_point[q]), pa.array(p), pa.array(d)], names=["q", "point", "score"])
 
     found = placed.select(*keys, "asks", "at", "point", "x").mapInArrow(look, "q long, point long, score double")
