@@ -196,7 +196,10 @@ def score(documents: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def accepted(documents: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
-    """The documents that score ``threshold`` or more, with all their columns."""
+    """The documents that score ``threshold`` or more, with all their columns.
+
+    A null or empty text gets the model's prior; repeated rows score alike; an empty table gives an empty result.
+    """
 
     def task():
         vocabulary = Vocabulary(_word_rows)

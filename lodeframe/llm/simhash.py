@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, checkpoint, id_or_null, keyed, mix64, slices
+from .common import NO_ID, checkpoint, id_or_null, keyed, mix64, slices, spare_names
 from .components import connected_components
 
 SEED = 42
@@ -46,10 +46,14 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
 
 
 def _fingerprint_batch(texts: list[bytes], shingle: int) -> np.ndarray:
-    """Unsigned fingerprints of whole texts: bit i is set if it is set in over half of the shingles' hashes."""
-    parts = [_shingles(text, shingle) for text in texts]
+    """Unsigned fingerprints of whole texts."""
+    return _majorities([_shingles(text, shingle) for text in texts])
+
+
+def _majorities(parts: list[np.ndarray]) -> np.ndarray:
+    """A fingerprint for each array of hashes: bit i is set if it is set in over half of them."""
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(parts), np.uint64)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
@@ -86,12 +90,16 @@ def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
     return keyed(documents).mapInArrow(run, "doc_id long, fp long")
 
 
-def _shingle_set(text: bytes, shingle: int) -> np.ndarray:
+def _different(hashes: np.ndarray) -> np.ndarray:
     """Sorted hashes of the different shingles of a text; a text without words has one, zero."""
-    hashes = np.unique(_shingles(text, shingle))
+    hashes = np.unique(hashes)
     return hashes if len(hashes) else np.zeros(1, np.uint64)
 
 
+def _shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    return _different(_shingles(text, shingle))
+
+
 def _bands(hashes: np.ndarray) -> np.ndarray:
     """A hash for each band of the minimum hashes of a set."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -104,19 +112,21 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def banded(documents: DataFrame, shingle: int) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id long, print long: a hash of the text, n int: its different shingles, bands array<long>)."""
+    """documents(doc_id, text) -> (doc_id long, print long: a hash of the text, fp long: its fingerprint, n int: its different shingles, bands array<long>)."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for i, j in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 2_000_000):
-                sets = [_shingle_set(t, shingle) for t in texts[i:j]]
+                parts = [_shingles(t, shingle) for t in texts[i:j]]
+                fp = pa.array(_majorities(parts).view(np.int64))
+                sets = [_different(h) for h in parts]
                 bands = np.concatenate([_bands(h) for h in sets]).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands))
                 n = pa.array(np.fromiter(map(len, sets), np.int32, len(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), n, bands], names=["doc_id", "print", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), fp, n, bands], names=["doc_id", "print", "fp", "n", "bands"])
 
-    return keyed(documents).withColumn("print", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, n int, bands array<bigint>")
+    return keyed(documents).withColumn("print", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, fp long, n int, bands array<bigint>")
 
 
 def _orders(budget: int, rows: int, group_rows: int) -> list[list[tuple[int, int]]]:
@@ -269,10 +279,17 @@ def hamming_links(points: DataFrame, budget: int = 4, group_rows: int = 20_000)
 def band_links(texts: DataFrame) -> DataFrame:
     """texts(print, bands) -> edges(a, b): the texts that share a band, each linked to the smallest of them."""
     rows = texts.select("print", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("print").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
+    least = checkpoint(rows.groupBy("band").agg(F.min("print").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low"))
     return rows.join(least, "band").where("print <> low").select(F.col("print").alias("a"), F.col("low").alias("b"))
 
 
+def trie_links(texts: DataFrame, budget: int, group_rows: int = 20_000) -> DataFrame:
+    """texts(print, fp) -> edges(a, b) that connect the texts whose fingerprints the trie join connects, equal ones included."""
+    points = checkpoint(texts.groupBy("fp").agg(F.min("print").alias("rep")))
+    own = texts.join(points, "fp").where("print <> rep").select(F.col("print").alias("a"), F.col("rep").alias("b"))
+    return own.unionByName(hamming_links(points, budget, group_rows))
+
+
 def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of all pairs of sets, held as sorted arrays, whose Jaccard similarity reaches ``similarity``.
 
@@ -312,7 +329,8 @@ def jaccard_links(documents: DataFrame, candidates: DataFrame, shingle: int, sim
     All texts of one root are compared, each once however often it is repeated.  A root of more than ``group_rows`` texts or
     ``group_shingles`` shingles is cut in cells that meet pairwise.
     """
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
+    # Written before it is joined back: between two tables as they lie Spark can split the rows of a large root.
+    sizes = checkpoint(candidates.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1"))
     cells = F.greatest(F.lit(1), F.when(F.col("rows") > group_rows, F.ceil(2 * F.col("rows") / group_rows)), F.when(F.col("shingles") > group_shingles, F.ceil(2 * F.col("shingles") / group_shingles))).cast("int")
     chosen = candidates.join(sizes.select("root", cells.alias("cells")), "root").select("print", "root", "cells")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -371,28 +389,34 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, budget: int = 4, gro
     their row's result; an empty table gives an empty result; further columns are ignored.
     """
     prints, groups = _grouped(documents, shingle, budget, group_rows)
-    smallest = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # Written before it is joined back: between two tables as they lie Spark can split the rows of a large component.
+    smallest = checkpoint(groups.groupBy("root").agg(F.min("rep").alias("component_id")))
     named = groups.join(smallest, "root").select("fp", "component_id")
     out = prints.join(named, "fp")
     return out.select(id_or_null("doc_id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_or_null("component_id").alias("component_id"))
 
 
-def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 4) -> DataFrame:
     """The document with the smallest id of every group of similar ones, with all its columns; of repeated rows one stays.
 
     Documents link if the Jaccard similarity of their sets of shingles is at least ``similarity``, which is always checked on
-    the sets.  Candidates are texts that share a band of minimum hashes; all texts that shared bands connect are compared.
-    Two texts of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8, and more above.
+    the sets.  Candidates are what the trie join of SimHash fingerprints connects within ``budget`` bits, and, as two texts
+    of similarity 0.8 differ in about 10 of 64 bits, beyond any budget that a join can bear, texts that share a band of minimum hashes:
+    at similarity s with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9996 at 0.8 and more above, whatever the number of documents.
+    All texts that candidates connect are compared.
+
+    A null text is an empty one, and texts without words are copies of each other; a null id is larger than any other and is
+    kept as null.  Of rows equal in id and text one stays.  An empty table gives an empty result; further columns are kept.
     """
     prints = banded(documents, shingle)
-    texts = checkpoint(prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bands").alias("bands")))
-    near = connected_components(band_links(texts))
-    candidates = texts.join(near, texts["print"] == near.node, "left").select("print", F.coalesce("root", "print").alias("root"), "n")
+    texts = checkpoint(prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands")))
+    near = connected_components(trie_links(texts, budget).unionByName(band_links(texts)))
+    candidates = checkpoint(texts.join(near, texts["print"] == near.node, "left").select("print", F.coalesce("root", "print").alias("root"), "n"))
     roots = connected_components(jaccard_links(documents, candidates, shingle, similarity))
-    own = ["__id", "__print"]
+    own_id, own_print, place = spare_names(documents, "__id", "__print", "__place")
     kept = texts.join(roots, texts["print"] == roots.node, "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min(F.struct("doc_id", "print")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.print").alias("__print"))
+    kept = kept.select(F.col("k.doc_id").alias(own_id), F.col("k.print").alias(own_print))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__print": F.xxhash64(text)}).join(kept, own)
-    place = F.row_number().over(Window.partitionBy(*own).orderBy("__id"))
-    return rows.withColumn("__place", place).where("__place = 1").select(*documents.columns)
+    rows = documents.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), own_print: F.xxhash64(text)}).join(kept, [own_id, own_print])
+    first = F.row_number().over(Window.partitionBy(own_id, own_print).orderBy(own_id))
+    return rows.withColumn(place, first).where(F.col(place) == 1).select(*documents.columns)
