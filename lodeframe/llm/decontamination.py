@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, checkpoint, id_or_null, keyed, mix64, slices
+from .common import Vocabulary, checkpoint, id_or_null, keyed, mix64, slices, spare_names
 from .grams import flat_words
 
 #: Units of measure and money that may follow a number.
@@ -30,6 +30,10 @@ LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS, _BLANK, _IS_NUMBER_WORD, _MARK = 1, 2, 4, 8, 16, 32, 64
 #: Words that one name or number may have; longer runs of capitals are titles, whose words stand for themselves.
 MOST_WORDS = 4
+#: How many times its nominal length a window may reach for literal words, and how many it should hold.
+REACH, LEAST_LITERALS = 3, 3
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
 #: Ways to read a text: capitals that open a sentence as literals, the same as names, and words as they are.
 PLAIN, NAMED, WHOLE = 0, 1, 2
 
@@ -105,30 +109,45 @@ def _templates(literal: np.ndarray, flags: np.ndarray, text: np.ndarray, n: int,
     return mix64(template), value, kind, np.bincount(text, minlength=n)
 
 
-def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of all windows of ``size`` words inside one text.
+def _run_hashes(values: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    """A hash for each run of values, the same wherever the run stands."""
+    powers, inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(values), x, np.uint64))]) for x in (_ODD, _INVERSE))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values + np.uint64(salt)) * powers[:-1])])
+    return mix64((total[start + size] - total[start]) * inverse[start] + size.astype(np.uint64))
 
-    A window with fewer than ``least`` literal words would fit almost any list of values; it is hashed with its values.
+
+def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts: np.ndarray, size: int, least: int, item: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and hashes of windows inside one text.
+
+    A window of few literal words would fit almost any list of values, so each reaches from its start over ``size`` words and on
+    until it holds ``least`` literal ones, over ``REACH`` times ``size`` words at most.  Where that many do not come, ``size`` words are
+    hashed with their values; a document has such a window at every start with too few literals, as the item may end where it goes on.
     """
-    n = len(template) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, literals = np.full(n, size, np.uint64), np.zeros(n, np.int64)
-    for k in range(size):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + template[k : n + k])
-        literals += kind[k : n + k] == LITERAL
-    few = np.flatnonzero(literals < least)
-    own = np.full(len(few), size + 1000, np.uint64)
-    for k in range(size):
-        own = mix64(own * np.uint64(0x9E3779B97F4A7C15) + literal[few + k])
-    h[few] = own
-    text = np.repeat(np.arange(len(counts)), counts)
-    good = text[:n] == text[size - 1 :]
-    return np.flatnonzero(good), h[good]
+    n, ends = len(template), np.cumsum(counts)
+    end = np.repeat(ends, counts)
+    start = np.arange(n)
+    inside = start + size <= end
+    if not least:
+        start = start[inside]
+        return start, np.full(len(start), size), _run_hashes(template, start, np.full(len(start), size), 1)
+    places = np.flatnonzero(kind == LITERAL)
+    enough = np.searchsorted(places, start) + least - 1
+    reach = np.where(enough < len(places), np.concatenate([places, [0]])[np.minimum(enough, len(places))] + 1, n + 1)
+    until = np.maximum(reach, start + size)
+    rich = (until <= end) & (until - start <= REACH * size)
+    poor = inside & (reach > start + size)
+    if item:
+        # The last words of an item that has better windows need none of their own.
+        better = np.bincount(np.repeat(np.arange(len(counts)), counts), rich, minlength=len(counts)) > 0
+        poor &= ~rich & ~(np.repeat(better, counts) & (until > end))
+    a, b = start[rich], start[poor]
+    lengths = np.concatenate([until[rich] - a, np.full(len(b), size)])
+    hashes = np.concatenate([_run_hashes(template, a, lengths[: len(a)], 1), _run_hashes(literal, b, lengths[len(a) :], 2)])
+    return np.concatenate([a, b]), lengths, hashes
 
 
 def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None, wholes: list[int] | None = None) -> DataFrame:
-    """texts(doc_id, text) -> (doc_id, view, size, pos, hash, kinds array<int>, literals array<long>, n_windows) for every window of ``size`` words.
+    """texts(doc_id, text) -> (doc_id, view, size, pos, hash, kinds array<int>, literals array<long>, n_windows) for every window of ``size`` words or more.
 
     n_windows counts the windows of the text in the view.  With ``only``, sorted hashes, other windows are not emitted.  The
     view WHOLE has windows of the sizes ``wholes``; without them, those of whole texts that are too short for ``size``.
@@ -159,27 +178,27 @@ def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None
                         # Texts of one length at a time.
                         portions = []
                         for width in np.unique(short[short > 0]).tolist():
-                            at, h = _windows(template, literal, kind, counts, width, 0)
+                            at, long, h = _windows(template, literal, kind, counts, width, 0, True)
                             own = short[text[at]] == width
-                            portions.append((width, at[own], _whole(h[own])))
+                            portions.append((width, at[own], long[own], _whole(h[own])))
                     else:
-                        at, h = _windows(template, literal, kind, counts, width, min(3, width) if view != WHOLE else 0)
-                        portions = [(width, at, _whole(h) if view == WHOLE else h + np.uint64(view))]
-                    for width, at, h in portions:
+                        at, long, h = _windows(template, literal, kind, counts, width, min(LEAST_LITERALS, width) if view != WHOLE else 0, wholes is None)
+                        portions = [(width, at, long, _whole(h) if view == WHOLE else h + np.uint64(view))]
+                    for width, at, long, h in portions:
                         total = np.bincount(text[at], minlength=n)
                         if only is not None:
-                            hit = sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
-                            at, h = at[hit], h[hit]
-                            hit = np.isin(h, only)
-                            at, h = at[hit], h[hit]
+                            hit = np.flatnonzero(sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+                            hit = hit[np.isin(h[hit], only)]
+                            at, long, h = at[hit], long[hit], h[hit]
                         if view == WHOLE:  # one place of each in a text will do
                             one = np.sort(np.unique(np.stack([text[at].astype(np.uint64), h]), axis=1, return_index=True)[1])
-                            at, h = at[one], h[one]
+                            at, long, h = at[one], long[one], h[one]
                         # Without a sieve every window goes out; in portions, as each carries its words.
                         for k in range(0, len(at), 50_000):
-                            part = at[k : k + 50_000]
-                            cover = part[:, None] + np.arange(width)
-                            offsets = pa.array(np.arange(0, (len(part) + 1) * width, width, dtype=np.int32))
+                            part, size_of = at[k : k + 50_000], long[k : k + 50_000]
+                            offsets = np.concatenate([[0], np.cumsum(size_of)])
+                            cover = np.repeat(part - offsets[:-1], size_of) + np.arange(offsets[-1])
+                            offsets = pa.array(offsets.astype(np.int32))
                             yield pa.RecordBatch.from_arrays(
                                 [
                                     batch.column(0).slice(i, j - i).take(pa.array(text[part])),
@@ -187,8 +206,8 @@ def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None
                                     pa.array(np.full(len(part), width, np.int32)),
                                     pa.array((part - begin[text[part]]).astype(np.int32)),
                                     pa.array(h[k : k + 50_000].view(np.int64)),
-                                    pa.ListArray.from_arrays(offsets, pa.array(kind[cover].ravel().astype(np.int32))),
-                                    pa.ListArray.from_arrays(offsets, pa.array(literal[cover].ravel().view(np.int64))),
+                                    pa.ListArray.from_arrays(offsets, pa.array(kind[cover].astype(np.int32))),
+                                    pa.ListArray.from_arrays(offsets, pa.array(literal[cover].view(np.int64))),
                                     pa.array(total[text[part]].astype(np.int32)),
                                 ],
                                 names=["doc_id", "view", "size", "pos", "hash", "kinds", "literals", "n_windows"],
@@ -242,7 +261,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_sha
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_share: float = 0.8) -> DataFrame:
-    """The documents in which no benchmark item leaks, with all their columns."""
+    """The documents in which no benchmark item leaks, with all their columns.
+
+    A null or empty text holds no item and is kept; rows equal in id and text stay or go together; a null id is kept as null.  An
+    empty table gives an empty result, an empty benchmark keeps all rows; further columns are kept, whatever their names.
+    """
+    own, hit = spare_names(documents, "__key", "__hit")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
-    hit = leaks(documents.select(key.alias("doc_id"), "text"), benchmark, window, least_share).select(F.col("doc_id").alias("__hit")).distinct()
-    return documents.withColumn("__key", key).join(hit, F.col("__key") == F.col("__hit"), "left_anti").select(*documents.columns)
+    hits = leaks(documents.select(key.alias("doc_id"), "text"), benchmark, window, least_share).select(F.col("doc_id").alias(hit)).distinct()
+    return documents.withColumn(own, key).join(hits, F.col(own) == F.col(hit), "left_anti").select(*documents.columns)
