@@ -104,7 +104,7 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, most: int = 20_000, cells: int = 32, most_bytes: int = 32_000_000) -> DataFrame:
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, most: int = 20_000, cells: int = 32, most_bytes: int = 16_000_000) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` labelled rows of every class, about ``most`` in all and ``most_bytes`` of text, chosen by a hash of the id.
 
     labels(doc_id, label); rows without an id or a label are left out.  The rows of a class are ranked in ``cells`` cells,

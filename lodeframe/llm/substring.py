@@ -242,12 +242,15 @@ def _cut_words(texts: DataFrame, wanted: DataFrame, schema: str, use) -> DataFra
     return joined.mapInArrow(run, schema)
 
 
-def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_segments: int = 4000) -> DataFrame:
+def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_segments: int = 4000, collapse: bool = True) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, spans array<struct<start, end>>), a row per input row.
 
     spans are the removed word ranges.  Null and empty texts have no words.  Rows of one doc_id are no reference to each
     other, and each keeps a row of its own.  Rows without an id count as later than all others and are no reference to each
     other.  An empty table gives an empty result; further columns are ignored.
+
+    Without ``collapse`` every occurrence goes through the automata; the result is the same.  With it, occurrences of one content are told
+    by a 64-bit hash among those that share their anchor, so a false match takes a collision within one anchor's contents, not in the corpus.
     """
     texts = keyed(documents).withColumn("print", F.xxhash64("text"))
     found = stored(segments(texts, window, gram))
@@ -256,9 +259,8 @@ def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_se
     shared = stored(parts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor"))
     parts = stored(parts.join(shared, "anchor", "left_semi").select("doc_id", "print", "anchor", "start", "size", "content"))
     drop_stored(shared)
-    content = ["anchor", "size", "content"]
-    first = parts.groupBy(*content).agg(F.min(F.struct("doc_id", "print", "start")).alias("first"))
-    first = stored(first.select(*content, F.col("first.doc_id").alias("first_doc"), F.col("first.print").alias("print"), F.col("first.start").alias("start")))
+    content = ["anchor", "size", "content"] if collapse else ["anchor", "size", "content", "doc_id", "print", "start"]
+    first = stored(parts.groupBy(*content).agg(F.min("doc_id").alias("first_doc")))
     # Copies of a content whose first document is smaller go whole; of each content the first document's occurrences are judged.
     copies = parts.join(first.select(*content, "first_doc"), content)
     several = first.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).where("a <> b")

@@ -223,6 +223,8 @@ def test_substrings_equal_brute_force(docs, shard):
     rows += [(98, "a " * 300), (99, "a " * 200), (97, None), (96, "")]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.deduplicate(docs(rows), 20, 7, shard).collect()}
     assert got == brute_substrings(rows, 20)
+    alone = substring.deduplicate(docs(rows), 20, 7, shard, collapse=False).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in alone} == got
 
 
 def test_substrings_of_odd_rows(odd):
