@@ -136,8 +136,8 @@ def test_quality_passage_by_passage(corpus):
 def test_sample_is_bounded_in_bytes(docs, spark):
     rows = [(k, ("w" * (k + 1))) for k in range(100)] + [(200, "z" * 1_000_000)]
     labels = spark.createDataFrame([(k, 1) for k, _ in rows], "doc_id long, y int")
-    got = grams.labelled_sample(docs(rows), labels, "y", 1000, cells=1, most_bytes=1000).collect()
+    got = grams.labelled_sample(docs(rows), labels, "y", 1000, most_bytes=1000).collect()
     assert sum(len(r["text"]) for r in got) <= 1000 and max(len(r["text"]) for r in got) == 44 and len(got) == 44
     tied = docs([(k, "w" * 10) for k in range(20)])
-    assert grams.labelled_sample(tied, labels, "y", 1000, cells=1, most_bytes=105).count() == 10
+    assert grams.labelled_sample(tied, labels, "y", 1000, most_bytes=105).count() == 10
     assert grams.labelled_sample(docs(rows).where(F.lit(False)), labels, "y", 10).count() == 0
