@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
+from ..plans.levels import levels_passed
 
 
 @dataclass
@@ -63,20 +66,58 @@ def _cells(points: DataFrame, sweep: Sweep, sizes: list[float], b) -> DataFrame:
     return points.withColumn("c", F.explode(F.array(*combos)))
 
 
+def _breaks(low: float, extent: float, size: float, offsets: int) -> tuple[list[float], list[list[int]]]:
+    """Where cells of any offset begin along a short axis, and the cell of each offset in every stretch between.
+
+    Used where an axis is shorter than two steps between origins, so breaks are about as few as offsets.
+    """
+    own = []
+    for k in range(offsets):
+        origin = low - 0.01 - k * min(size / offsets, 0.5 * extent)
+        first = math.floor((low - origin) / size)
+        count = math.floor((low + extent - origin) / size) - first
+        own.append((first, [origin + (first + m) * size for m in range(1, count + 1)]))
+    places = sorted({x for _, xs in own for x in xs})
+    return places, [[first + sum(x <= p for x in xs) for p in [-math.inf, *places]] for first, xs in own]
+
+
 def curve(df: DataFrame, axes: dict[str, str], variable: str, sweep: Sweep) -> DataFrame:
     """(size, mean): declustered mean at every cell size, and the naive mean at size 0.
 
     A point weighs one over its cell's count and the number of filled cells, so a size's mean is the mean over
-    offsets of the mean of cell means: cells are summed where the points lie and points never travel.
+    offsets of the mean of cell means.  The origins of one size lie a step of size / offsets apart: points are summed once in cells of
+    that step, a row a size, and only those sums meet the cells of all offsets.
     """
     points = _points(df, axes, variable, [])
     b = _bounds(points)
     naive = df.sparkSession.createDataFrame([(0.0, b["mean"])], "size double, mean double")
     if (b["n"] or 0) < 2:
         return naive
-    filled = _cells(points, sweep, sweep.sizes, b).groupBy("c").agg(F.avg("__v").alias("m"))
-    per = filled.groupBy("c.size", "c.offset").agg(F.avg("m").alias("m"))
-    return naive.unionByName(per.groupBy("size").agg(F.avg("m").alias("mean")))
+    n, factors = sweep.offsets, dict(zip("xyz", (1.0, *sweep.anisotropy)))
+    steps, tables = [], {a: [] for a in "xyz"}  # tables: for each size, the cells of every offset by stretch, or none
+    for i, size in enumerate(sweep.sizes):
+        fine = []
+        for a, factor in factors.items():
+            low, extent, s = b["lo" + a], b["hi" + a] - b["lo" + a], size * factor
+            if s / n <= 0.5 * extent:
+                fine.append(F.floor((F.col("__" + a) - F.lit(low - 0.01)) / F.lit(s / n)).alias(a))
+                tables[a].append([])
+            else:
+                places, cells = _breaks(low, extent, s, n)
+                fine.append(levels_passed(places, lambda x, a=a: x <= F.col("__" + a)).cast("long").alias(a))
+                tables[a].append(cells)
+        steps.append(F.struct(F.lit(i).alias("i"), *fine))
+    summed = points.withColumn("f", F.explode(F.array(*steps))).groupBy("f").agg(F.sum("__v").alias("v"), F.count("*").alias("n"))
+    rows = summed.select("f.*", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+
+    def cell(a: str) -> Column:
+        known = F.from_json(F.lit(json.dumps(tables[a])), "array<array<array<bigint>>>")
+        own = F.get(F.get(F.get(known, F.col("i")), F.col("k")), F.col(a).cast("int"))
+        return F.coalesce(own, F.floor((F.col(a) + F.col("k")) / F.lit(n))).alias("c" + a)
+
+    filled = rows.select("i", "k", *[cell(a) for a in "xyz"], "v", "n").groupBy("i", "k", "cx", "cy", "cz").agg((F.sum("v") / F.sum("n")).alias("m"))
+    per = filled.groupBy("i", "k").agg(F.avg("m").alias("m")).groupBy("i").agg(F.avg("m").alias("mean"))
+    return naive.unionByName(per.select(F.get(F.array(*[F.lit(float(s)) for s in sweep.sizes]), F.col("i")).alias("size"), "mean"))
 
 
 def best_size(curve_points: DataFrame, largest: bool = False) -> float:

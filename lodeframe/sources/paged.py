@@ -80,11 +80,14 @@ def read_header(page: bytes) -> Header:
     raise ValueError("not a paged binary table")
 
 
-def decode_pages(content: bytes, header: Header, first: int, count: int) -> dict[str, pa.Array]:
-    """Columns of ``count`` pages from page ``first`` (data pages count from 1); a truncated last page gives the records it holds."""
+def decode_pages(content: bytes, header: Header, first: int, count: int, skipped: int = 0) -> dict[str, pa.Array]:
+    """Columns of ``count`` pages from page ``first`` (data pages count from 1); a truncated last page gives the records it holds.
+
+    ``content`` begins with page ``skipped`` of the file.
+    """
     size, per, width = header.word, header.per_page, header.record_words
     page_bytes = PAGE_WORDS * size
-    chunk = content[first * page_bytes : (first + count) * page_bytes]
+    chunk = content[(first - skipped) * page_bytes : (first - skipped + count) * page_bytes]
     raw = np.frombuffer(chunk[: len(chunk) // size * size], np.dtype((np.void, size)))
     rows = []
     for p in range(count):
@@ -105,13 +108,60 @@ def decode_pages(content: bytes, header: Header, first: int, count: int) -> dict
     return out
 
 
-def read_paged(spark: SparkSession, path: str, pages_per_batch: int = 1024) -> DataFrame:
-    """A paged binary file or several of one layout as a typed table; a file is decoded in batches of pages."""
+#: Bytes up to which a file is decoded whole by one task; larger ones are dealt out by pages.
+WHOLE_BYTES = 64_000_000
+_PAGES = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+
+
+def _pages(spark: SparkSession, path: str, page_bytes: int):
+    """(page number, page) of one file; Spark splits the file between pages and each task reads its own part."""
+    keys = ("org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable")
+    return spark.sparkContext.newAPIHadoopFile(path, _PAGES, *keys, conf={f"{_PAGES}.recordLength": str(page_bytes)})
+
+
+def _by_pages(spark: SparkSession, path: str, length: int, columns: dict[str, list[Field]], schema: str) -> DataFrame:
+    """One large file, decoded where its pages are read."""
+    first = b"".join(bytes(page) for _, page in _pages(spark, path, PAGE_WORDS * 4).take(2))
+    header = read_header(first)
+    page_bytes = PAGE_WORDS * header.word
+    if length % page_bytes:
+        raise ValueError(f"{path} ends inside a page; a truncated file must be of at most {WHOLE_BYTES} bytes")
+
+    def run(batches):
+        for batch in batches:
+            numbers, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            data = [k for k, n in enumerate(numbers) if 1 <= n < max(header.last_page, 2)]
+            i = 0
+            while i < len(data):  # runs of neighbouring pages
+                j = i + 1
+                while j < len(data) and numbers[data[j]] == numbers[data[j - 1]] + 1:
+                    j += 1
+                chunk = b"".join(pages[k] for k in data[i:j])
+                found = decode_pages(chunk, header, numbers[data[i]], j - i, numbers[data[i]])
+                yield pa.RecordBatch.from_arrays([found[n] for n in columns], names=list(columns))
+                i = j
+
+    rows = _pages(spark, path, page_bytes).map(lambda kv: (kv[0], bytes(kv[1])))
+    return spark.createDataFrame(rows, "page long, bytes binary", verifySchema=False).mapInArrow(run, schema)
+
+
+def read_paged(spark: SparkSession, path: str, pages_per_batch: int = 1024, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """A paged binary file or several of one layout as a typed table.
+
+    Files of up to ``whole_bytes`` are decoded one to a task, in batches of pages, and may end inside a page; larger ones are
+    split by Spark between pages, so that no file has to fit in one task.
+    """
     files = spark.read.format("binaryFile").load(path)
-    head = files.select(F.substring("content", 1, PAGE_WORDS * 8).alias("page")).first()
-    if head is None:
+    sizes = files.select("path", "length").orderBy("length", "path")  # lists files, reads none
+    least = sizes.first()
+    if least is None:
         raise ValueError(f"no file at {path}")
-    columns = read_header(bytes(head["page"])).columns()
+    large = sizes.where(F.col("length") > whole_bytes).collect()
+    if least["length"] <= whole_bytes:
+        head = bytes(files.where(F.col("length") == least["length"]).select(F.substring("content", 1, PAGE_WORDS * 8).alias("page")).first()["page"])
+    else:
+        head = b"".join(bytes(page) for _, page in _pages(spark, least["path"], PAGE_WORDS * 4).take(2))
+    columns = read_header(head).columns()
     schema = ", ".join(f"`{n}` {'double' if f[0].numeric else 'string'}" for n, f in columns.items())
 
     def run(batches):
@@ -124,4 +174,7 @@ def read_paged(spark: SparkSession, path: str, pages_per_batch: int = 1024) -> D
                     found = decode_pages(data, header, first, min(pages_per_batch, last - first))
                     yield pa.RecordBatch.from_arrays([found[n] for n in columns], names=list(columns))
 
-    return files.select("content").mapInArrow(run, schema)
+    out = files.where(F.col("length") <= whole_bytes).select("content").mapInArrow(run, schema)
+    for f in large:
+        out = out.unionByName(_by_pages(spark, f["path"], f["length"], columns, schema))
+    return out

@@ -196,6 +196,25 @@ def test_declustering_against_brute_force(spark):
     assert [got[i] for i in range(len(pts))] == pytest.approx(want) and sum(got.values()) == pytest.approx(len(pts))
 
 
+def test_declustering_of_a_flat_and_a_short_axis(spark):
+    """An axis without extent and one shorter than a step between origins, against the sum over every offset."""
+    rng = random.Random(10)
+    pts = [(rng.uniform(0, 100), rng.choice([0.0, 3.0, 4.5, 7.0]), rng.uniform(0, 9)) for _ in range(60)]
+    df = frame(spark, [(*p[:2], 5.0, p[2]) for p in pts], "x double, y double, z double, v double")
+    sweep = declustering.Sweep.between(2.0, 50.0, 6, offsets=4, anisotropy=(1.5, 1.0))
+    for r in declustering.curve(df, {a: a for a in "xyz"}, "v", sweep).where("size > 0").collect():
+        means = []
+        for k in range(4):
+            cells = {}
+            for x, y, v in pts:
+                key = []
+                for p, lo, hi, s in ((x, min(q[0] for q in pts), max(q[0] for q in pts), r["size"]), (y, 0.0, 7.0, 1.5 * r["size"]), (5.0, 5.0, 5.0, r["size"])):
+                    key.append(math.floor((p - (lo - 0.01 - k * min(s / 4, 0.5 * (hi - lo)))) / s))
+                cells.setdefault(tuple(key), []).append(v)
+            means.append(sum(sum(c) / len(c) for c in cells.values()) / len(cells))
+        assert r["mean"] == pytest.approx(sum(means) / 4)
+
+
 def test_section_bounds_are_inclusive(spark):
     df = frame(spark, [(1.0, 2.0, 5.0), (1.0, 2.0, 5.5), (1.0, 2.0, 5.6), (None, 2.0, 5.0)], "x double, y double, z double")
     assert section.slab(df, "z", 5.0, 1.0, {a: a for a in "xyz"}).count() == 2

@@ -95,6 +95,10 @@ def test_paged_binary(spark, tmp_path, size, order):
     (tmp_path / "m.dm").write_bytes(paged_file(size, order, rows))
     got = sorted((tuple(r) for r in paged.read_paged(spark, str(tmp_path / "m.dm")).collect()), key=lambda r: (r[0] is None, r[0]))
     assert len(got) == 401 and got[1] == (1.0, "HEMATITE", 2.5) and got[-1] == (None, "CGA", 2.5)
+    (tmp_path / "n.dm").write_bytes(paged_file(size, order, rows[:5]))
+    for limit in (0, 2 * 512 * size, 10**9):  # both files by pages, one of them, none
+        both = paged.read_paged(spark, str(tmp_path), whole_bytes=limit).collect()
+        assert len(both) == 406 and sorted({tuple(r) for r in both}, key=lambda r: (r[0] is None, r[0])) == got
 
 
 def test_truncated_page_gives_what_it_holds(spark, tmp_path):
