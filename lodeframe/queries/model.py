@@ -298,6 +298,13 @@ def gt_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grade_tonnage.bin_curve(cells), cutoff=8, tonnage=4, grade=6, metal=4)
 
 
+@query("""select cutoff, round(sum(case when l_discount >= cutoff then l_quantity else 0 end), 4) as tonnage from lineitem, (select unnest([cast(0.01 as double), 0.03, 0.05, 0.07, 0.09]) cutoff) group by 1""")
+def gt_cutoff_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cutoffs by range and step, the end included."""
+    cutoffs = grade_tonnage.cutoff_range(0.01, 0.09, 0.02)
+    return rounded(grade_tonnage.exact(block_model(spark, sf_dir), "l_discount", cutoffs, density="l_quantity"), tonnage=4).select("cutoff", "tonnage")
+
+
 @query("""select cutoff, round(sum(case when l_discount >= cutoff then l_quantity else 0 end), 4) as tonnage, round(sum(case when l_discount >= cutoff then l_quantity * l_discount else 0 end), 4) as metal,
     round(sum(case when l_discount >= cutoff then l_quantity * l_discount else 0 end) / sum(case when l_discount >= cutoff then l_quantity else 0 end), 6) as grade from lineitem, (select unnest([cast(0.0 as double), 0.02, 0.045, 0.08]) cutoff) group by 1""")
 def gt_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,10 +385,10 @@ def topcut_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with m as (select (select "value" from ({_quantile_sql('l_extendedprice', '1', (0.5,)).replace('round(coalesce(', '(coalesce(').replace(', max(v)), 6)', ', max(v)))')})) lo, (select max(l_extendedprice) from lineitem) hi),
-    caps as (select lo + (hi - lo) * k / 20 cap from m, range(21) t(k)), r as (select cap, l_extendedprice v, least(l_extendedprice, cap) c from lineitem, caps)
+    caps as (select lo + (hi - lo) * k / 220 cap from m, range(221) t(k)), r as (select cap, l_extendedprice v, least(l_extendedprice, cap) c from lineitem, caps)
     select round(cap, 4) as cap, count(*) filter (v > cap) as n_capped, round(avg(c), 4) as mean, round(stddev_samp(c) / avg(c), 6) as cv, round((sum(v) - sum(c)) / sum(v) * 100, 6) as metal_removed_pct from r group by r.cap""")
 def topcut_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(topcut.cap_curve(block_model(spark, sf_dir), "l_extendedprice", 21), cap=4, mean=4, cv=6, metal_removed_pct=6).select("cap", "n_capped", "mean", "cv", "metal_removed_pct")
+    return rounded(topcut.cap_curve(block_model(spark, sf_dir), "l_extendedprice"), cap=4, mean=4, cv=6, metal_removed_pct=6).select("cap", "n_capped", "mean", "cv", "metal_removed_pct")
 
 
 # Section, geometry, declustering
@@ -423,11 +430,11 @@ def loop_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SWEEP = declustering.Sweep.between(10.0, 130.0, 6, offsets=4)
 
 
-def _declus_cells(sizes) -> str:
+def _declus_cells(sizes, offsets: int = 4) -> str:
     s = ", ".join(f"cast({x!r} as double)" for x in sizes)
-    axis = lambda a: f"floor(({a} - (lo{a} - 0.01 - (k - 1) * least(size / 4, 0.5 * (hi{a} - lo{a})))) / size)"
+    axis = lambda a: f"floor(({a} - (lo{a} - 0.01 - (k - 1) * least(size / {offsets}, 0.5 * (hi{a} - lo{a})))) / size)"
     return f"""p as (select l_orderkey, l_partkey px, l_suppkey py, cast(l_partkey as double) x, cast(l_suppkey as double) y, l_extendedprice v, row_number() over () rid from lineitem), b as (select min(x) lox, max(x) hix, min(y) loy, max(y) hiy, avg(v) naive, count(*) n from p),
-        c as (select rid, v, size, k, {axis('x')} cx, {axis('y')} cy from p, b, (select unnest([{s}]) size), (select unnest([1, 2, 3, 4]) k))"""
+        c as (select rid, v, size, k, {axis('x')} cx, {axis('y')} cy from p, b, (select unnest([{s}]) size), (select unnest(generate_series(1, {offsets})) k))"""
 
 
 @query(f"""with {_declus_cells(_SWEEP.sizes)} select cast(0 as double) as size, round(naive, 4) as mean from b union all select size, round(avg(m), 4) from (select size, k, avg(m) m from (select size, k, cx, cy, avg(v) m from c group by 1, 2, 3, 4) group by 1, 2) group by 1""")
@@ -435,6 +442,15 @@ def declus_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(declustering.curve(block_model(spark, sf_dir), {"x": "x", "y": "y"}, "l_extendedprice", _SWEEP), mean=4)
 
 
+#: As many sizes and origins as a sweep has by default; y is shorter than two steps between the origins of most sizes.
+_WIDE = declustering.Sweep.between(7.3, 900.1, offsets=8)
+
+
+@query(f"""with {_declus_cells(_WIDE.sizes, 8)} select cast(0 as double) as size, round(naive, 4) as mean from b union all select size, round(avg(m), 4) from (select size, k, avg(m) m from (select size, k, cx, cy, avg(v) m from c group by 1, 2, 3, 4) group by 1, 2) group by 1""")
+def declus_curve_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(declustering.curve(block_model(spark, sf_dir), {"x": "x", "y": "y"}, "l_extendedprice", _WIDE), mean=4)
+
+
 @query(f"""with {_declus_cells((70.0,)).replace('l_orderkey, l_partkey px', 'l_orderkey, l_linenumber, l_partkey px')}, n as (select *, count(*) over (partition by k, cx, cy) cn from c), f as (select k, count(distinct (cx, cy)) cells from c group by 1)
     select round(weight, 6) as weight, count(*) as n from (select rid, sum(1.0 / cn / cells) * (select n from b) / 4 as weight from n join f using (k) group by rid) group by 1""")
 def declus_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

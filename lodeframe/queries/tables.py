@@ -85,3 +85,67 @@ def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select row_id, l_orderkey, l_linenumber, l_partkey from {_ROW_ID}""")
 def row_id_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.with_row_id(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"]).select("row_id", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as lines of text: quoted clerks with the delimiter in them, prices of one or two decimals."""
+    o = table(spark, sf_dir, "orders")
+    clerk = F.concat(F.lit('"clerk, ""'), F.col("o_custkey").cast("string"), F.lit('"""'))
+    price = F.when(F.col("o_orderkey") % 2 == 0, F.format_string("%.2f", "o_totalprice")).otherwise(F.format_string("%.1f", "o_totalprice"))
+    return o.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), clerk, price).alias("value"))
+
+
+@query("""select cast(o_orderkey as varchar) as "KEY", 'clerk, "' || o_custkey || '"' as "CLERK" from orders""")
+def text_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes protect delimiters and are doubled inside."""
+    head = spark.createDataFrame([("KEY,CLERK,PRICE",)], "value string")
+    return text.parse_quoted(head.unionByName(_lines(spark, sf_dir))).select("KEY", "CLERK")
+
+
+@query("""select 'KEY' as "column", 0 as decimals union all select 'PRICE', 2""")
+def text_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.concat_ws(";", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.format_string("%.2f", "o_totalprice")).otherwise(F.format_string("%.1f", "o_totalprice"))).alias("value"))
+    lines = spark.createDataFrame([("KEY;PRICE",)], "value string").unionByName(o)
+    return text.decimals(lines, text.from_lines(lines))
+
+
+@query("""select count(*) > 0 as sampled, true as near from lineitem""")
+def filter_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the kept share of a fifth of the rows lies within three points of that of all."""
+    d = Dataset(block_model(spark, sf_dir), where="l_quantity > 25 and l_discount >= 0.05")
+    both = d.filter_estimate(0.2).crossJoin(F.broadcast(d.filter_count().select(F.col("total").alias("n"), F.col("kept").alias("k"))))  # one row each
+    return both.select((F.col("total") > 0).alias("sampled"), (F.abs(F.col("kept_pct") - F.col("k") * 100.0 / F.col("n")) < 3).alias("near"))
+
+
+@query("""select true as near""")
+def filter_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether independent draws come within three points of the share kept, as the two columns here are independent."""
+    d = Dataset(block_model(spark, sf_dir), where="l_quantity > 25 and l_returnflag = 'R'")
+    both = d.marginal_estimate(["l_quantity"], ["l_returnflag"], 20_000).crossJoin(F.broadcast(d.filter_count()))  # one row each
+    return both.select((F.abs(F.col("kept_pct") - F.col("kept") * 100.0 / F.col("total")) < 3).alias("near"))
+
+
+@query("""select 'w: UNRESOLVED_COLUMN.WITH_SUGGESTION: l_quantty; near: l_quantity' as told""")
+def expression_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = Dataset(table(spark, sf_dir, "lineitem"), {"w": "l_quantty * 2"}).problems()
+    return spark.createDataFrame([(t,) for t in told], "told string")
+
+
+@query("""select * from (values ('dear', 'numeric'), ('l_orderkey', 'numeric'), ('l_returnflag', 'categorical'), ('l_tax', 'categorical')) t(name, "type")""")
+def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_tax")
+    found = Dataset(df, {"dear": "l_orderkey > 9"}).column_types({"l_tax": "categorical"})
+    return spark.createDataFrame(sorted(found.items()), "name string, type string")
+
+
+@query("""select count(*) filter (l_returnflag <> 'R') as differs, count(*) filter (l_tax is null or l_tax <> 0.02 or l_discount = 0) as differs_or_none, count(*) filter (l_quantity % 7 <> 0) as remainders, round(sum(abs(l_quantity - 25)), 4) as absolute, round(sum(log2(l_quantity)), 4) as log_2, round(sum(log10(l_quantity)), 4) as log_10,
+    round(sum(exp(l_discount)), 4) as exponentials, cast(sum(floor(l_extendedprice / 1000)) as bigint) as floors, cast(sum(ceil(l_extendedprice / 1000)) as bigint) as ceilings, cast(sum(sign(l_quantity - 25)) as bigint) as signs, round(sum(power(l_quantity, 1.5)), 2) as powers, count(*) filter (l_tax > 0) as numbers, round(sum(sin(l_quantity) + cos(l_tax) + atan2(l_tax, l_quantity)), 4) as angles from lineitem""")
+def scalar_functions_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, q, t = block_model(spark, sf_dir), F.col("l_quantity"), F.col("l_tax")
+    out = df.agg(
+        F.count_if(scalar.differs(F.col("l_returnflag"), "R")).alias("differs"), F.count_if(scalar.differs(F.when(F.col("l_discount") != 0, t), 0.02)).alias("differs_or_none"), F.count_if(F.try_mod(q, F.lit(7)) != 0).alias("remainders"),
+        F.sum(F.abs(q - 25)).alias("absolute"), F.sum(F.log2(q)).alias("log_2"), F.sum(F.log10(q)).alias("log_10"), F.sum(F.exp("l_discount")).alias("exponentials"),
+        F.sum(scalar.floor(F.col("l_extendedprice") / 1000)).cast("long").alias("floors"), F.sum(scalar.ceil(F.col("l_extendedprice") / 1000)).cast("long").alias("ceilings"), F.sum(F.signum(q - 25)).cast("long").alias("signs"),
+        F.sum(scalar.power(q, 1.5)).alias("powers"), F.count_if(scalar.isnum(F.when(t > 0, t).otherwise(F.lit(float("nan"))))).alias("numbers"), F.sum(F.sin(q) + F.cos(t) + F.atan2(t, q)).alias("angles"),
+    )
+    return rounded(out, absolute=4, log_2=4, log_10=4, exponentials=4, powers=2, angles=4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from dataclasses import dataclass, field
 
@@ -144,6 +145,19 @@ def read_quoted(spark: SparkSession, path: str, delimiter: str = ",") -> DataFra
     return spark.read.csv(path, sep=delimiter, header=True, quote='"', escape='"', comment="#", mode="PERMISSIVE")
 
 
+def parse_quoted(lines: DataFrame, delimiter: str = ",") -> DataFrame:
+    """The same for lines(value), such as those of an archive's member; the first line that is no comment is the header."""
+    lines = lines.select(F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("at"))
+    body = lines.where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
+    head = body.first()
+    if head is None:
+        raise ValueError("the table has no header line")
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    names = next(csv.reader([head["value"]], delimiter=delimiter, quotechar='"'))
+    schema = ", ".join(f"`{n.strip().replace('`', '``')}` string" for n in names)
+    return body.where(F.col("at") != head["at"]).select(F.from_csv("value", schema, options).alias("r")).select("r.*")
+
+
 def decimals(lines: DataFrame, table: TextTable) -> DataFrame:
     """(column, decimals): most digits after the point in each numeric column."""
     text = F.split("value", re.escape(table.delimiter), -1)
