@@ -73,3 +73,22 @@ def test_stages_take_effect(spark, corpus):
 def test_run_gives_packed_rows(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     assert {"ids", "cu_seqlens", "position_ids"} <= set(out.columns) and out.count() > 0
+
+
+def test_stages_take_odd_rows(spark, corpus, docs, tmp_path):
+    """Nulls in every column, blank, repeated and very long texts, and no rows at all."""
+    path, _, items = corpus
+    long = " ".join(f"Word{k % 977} goes{k % 13}." for k in range(20_000))
+    rows = [(None, None, None, None), (1, None), (2, ""), (3, " \n"), (4, "A few plain words stand here."), (4, "A few plain words stand here."), (None, "A few plain words stand here too."), (5, long), (6, long, None), (7, f"Then {items[0]} again.")]
+    df = docs(rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_duplicates"](spark, df, path)
+    assert near.columns == df.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in near.collect() if r["doc_id"] is not None) == [(False, k) for k in (1, 4, 5, 7)]
+    clean = stages["decontamination"](spark, df, path)
+    assert clean.count() == len(rows) - 1 and clean.where("doc_id = 7").count() == 0
+    mixed = stages["mixing"](spark, df, path)
+    assert mixed.columns == df.columns and {r["doc_id"] for r in mixed.collect()} <= {None, 4, 5, 6, 7}
+    assert stages["packing"](spark, df, path).count() > 0 and set(r["doc_id"] for r in stages["quality"](spark, df, path).collect()) <= {None, *range(1, 8)}
+    for stage in stages.values():
+        assert stage(spark, df.limit(0), path).count() == 0

@@ -60,6 +60,36 @@ def test_mix_meets_targets(docs):
     assert again == {r["doc_id"]: r["taken"] for r in got}
 
 
+@pytest.mark.parametrize("held", [3, 100_000])
+def test_targets_of_many_sources(spark, held):
+    """The level is found in stretches of a list too long to be held, as in one that is held."""
+    rng = random.Random(9)
+    sizes = {f"s{k:04d}": rng.choice([0, 1, 7, rng.randrange(1, 10**6)]) for k in range(700)} | {None: 50}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = fill(sizes, (5, 2, 1), 1.5, 2.0)
+    got = {r["source"]: (r["target"], r["source_no"]) for r in mixing.source_targets(df, (5.0, 2.0, 1.0), 1.5, 2.0, held).collect()}
+    assert {s: t for s, (t, _) in got.items()} == pytest.approx(want)
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1][1])] == sorted(s for s in sizes if s) + [None]
+
+
+def test_a_small_source_meets_its_target_with_small_blocks(docs):
+    rows = [(k, "w " * 40, "big") for k in range(200)] + [(500, "x " * 30, "small")]
+    got = [r for r in mixing.mix(docs(rows), block_tokens=16).collect() if r["source"] == "small"]
+    assert abs(got[0]["taken"] - got[0]["target"]) <= 16
+
+
+def test_columns_with_names_of_inner_ones_come_back_as_they_were(spark, docs):
+    rng = random.Random(10)
+    df = docs([(k % 25, babble(rng, 40) if k < 25 else "same words in some of the rows here", rng.choice("ab")) for k in range(30)])
+    names = ["__id", "__spread", "__copy", "__whole", "__words", "__size", "__taken", "__print", "__place", "__key", "__hit", "root", "node"]
+    df = df.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    bench = spark.createDataFrame([(1, "same words in some of the rows here")], "item_id long, text string")
+    for out in (mixing.mixed_documents(df), simhash.keep_one_of_each(df), decontamination.without_leaks(df, bench)):
+        assert out.columns == df.columns
+        held = out.collect()
+        assert held and all(r[n] == f"{n}{r['doc_id']}" for r in held for n in names)
+
+
 def test_sainte_lague_equals_seat_by_seat(spark):
     rng = random.Random(5)
     votes = [rng.choice([0.0, 1.0, 7.5, rng.uniform(0, 1000)]) for _ in range(25)]
@@ -448,3 +478,12 @@ def test_packed_rows_restore_every_document(docs, odd):
         restored[doc] = encode.decode(tokens[:-1])
     assert restored == {i: t for i, t in rows if t}
     assert packing.pack(odd).agg(F.sum("n_tokens")).first()[0] > 30_000 and packing.pack(odd.limit(0)).count() == 0
+
+
+def test_packed_rows_are_written_as_they_are(spark, docs, tmp_path):
+    packed = packing.pack(docs([(k, "some words to pack " * 30) for k in range(9)]), 256)
+    packing.write_packed(packed, str(tmp_path / "packed"))
+    key = lambda d: sorted(map(tuple, d.select("shard", "row", "n_tokens", "ids").collect()))
+    assert key(spark.read.parquet(str(tmp_path / "packed"))) == key(packed)
+    r, none = packing.fill(packed).first(), packing.fill(packed.limit(0)).first()
+    assert r["share"] == pytest.approx(r["tokens"] / (256 * r["rows"])) and tuple(none) == (0, 0, None)
