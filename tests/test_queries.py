@@ -44,3 +44,11 @@ def test_query_equals_sql(spark, duck, name):
     for a, b in zip(rows, expected):
         for x, y in zip(a, b):
             assert x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6)), (name, a, b)
+
+
+def test_only_missing_optional_parts_are_passed_over():
+    import __spark_entry__ as entry
+
+    gone = lambda name: entry._gone(ModuleNotFoundError("no module", name=name))
+    assert gone("lodeframe.llm") and gone("lodeframe.llm.queries") and gone("corpus_pipeline")
+    assert not gone("tiktoken") and not gone("lodeframe.sources") and not gone(None)
