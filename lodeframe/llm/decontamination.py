@@ -28,6 +28,8 @@ _ATTACHED, _ALSO = re.compile(r"([-+]?[$€£]?\d[\d.,:/]*)([^\d.,:/].*)$"), fro
 _OUTER = re.compile(r"^[^\w%°$€£+-]+|[^\w%°$€£]+$")
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS, _BLANK, _IS_NUMBER_WORD, _MARK = 1, 2, 4, 8, 16, 32, 64
+#: Number words and units with their flags.
+_SPECIAL = {w: _IS_UNIT for w in UNITS} | {w: _IS_NUMBER | _IS_NUMBER_WORD for w in NUMBER_WORDS}
 #: Words that one name or number may have; longer runs of capitals are titles, whose words stand for themselves.
 MOST_WORDS = 4
 #: How many times its nominal length a window may reach for literal words, and how many it should hold.
@@ -38,30 +40,59 @@ _INVERSE = pow(_ODD, -1, 1 << 64)
 PLAIN, NAMED, WHOLE = 0, 1, 2
 
 
+def _word(raw: bytes) -> tuple[bytes, int, bytes, int]:
+    """(bare lower-cased word or its number, flags, what is attached to the number, its flags) of any word."""
+    word = raw.decode()
+    bare = _OUTER.sub("", word)
+    low = bare.lower()
+    flags = _ENDS if word.rstrip("\"')]}»”’")[-1:] in tuple(".!?:") else 0
+    flags |= 0 if word[-1:].isalnum() else _MARK
+    attached = _ATTACHED.match(low)
+    if not low:
+        flags |= _BLANK
+    elif attached and (attached[2] in UNITS or attached[2] in _ALSO):
+        return attached[1].encode(), _IS_NUMBER, attached[2].encode(), flags | (_IS_UNIT if attached[2] in UNITS else 0)
+    elif _NUMBER.match(low):
+        flags |= _IS_NUMBER
+    elif all(part in NUMBER_WORDS for part in low.split("-")):
+        flags |= _IS_NUMBER | _IS_NUMBER_WORD
+    elif low in UNITS:
+        flags |= _IS_UNIT
+    elif bare[0].isupper() and not (len(bare) > 1 and bare.isupper()):
+        flags |= _IS_CAPITAL
+    return low.encode(), flags, b"", 0
+
+
 def _word_rows(words: list[bytes]) -> np.ndarray:
-    """(hash of the bare lower-cased word or of its number, flags, hash and flags of what is attached to the number) of every word."""
-    out = np.zeros((len(words), 4), np.uint64)
+    """(hash of the bare lower-cased word or of its number, flags, hash and flags of what is attached to the number) of every word.
+
+    Most words are letters with a mark behind them at most; they need none of the patterns.
+    """
+    hashes, kinds, others = [], [], []
+    digest, capital = xxhash.xxh64_intdigest, _IS_CAPITAL
     for k, raw in enumerate(words):
         word = raw.decode()
-        bare = _OUTER.sub("", word)
-        low = bare.lower()
-        flags = _ENDS if word.rstrip("\"')]}»”’")[-1:] in tuple(".!?:") else 0
-        flags |= 0 if word[-1:].isalnum() else _MARK
-        attached = _ATTACHED.match(low)
-        if not low:
-            flags |= _BLANK
-        elif attached and (attached[2] in UNITS or attached[2] in _ALSO):
-            out[k, 2:] = xxhash.xxh64_intdigest(attached[2].encode(), 1), flags | (_IS_UNIT if attached[2] in UNITS else 0)
-            low, flags = attached[1], _IS_NUMBER
-        elif _NUMBER.match(low):
-            flags |= _IS_NUMBER
-        elif all(part in NUMBER_WORDS for part in low.split("-")):
-            flags |= _IS_NUMBER | _IS_NUMBER_WORD
-        elif low in UNITS:
-            flags |= _IS_UNIT
-        elif bare[0].isupper() and not (len(bare) > 1 and bare.isupper()):
-            flags |= _IS_CAPITAL
-        out[k, :2] = xxhash.xxh64_intdigest(low.encode(), 1), flags
+        core = word.rstrip(".,;:!?")
+        if not core.isalpha():
+            low, flags, rest, more = _word(raw)
+            if rest:
+                others.append((k, digest(rest, 1), more))
+            hashes.append(digest(low, 1))
+            kinds.append(flags)
+            continue
+        low, flags = core.lower(), 0
+        if core is not word and len(core) < len(word):
+            flags = _MARK | (_ENDS if word[-1] in ".!?:" else 0)
+        if low in _SPECIAL:
+            flags |= _SPECIAL[low]
+        elif low != core and core[0].isupper() and (len(core) == 1 or not core.isupper()):
+            flags |= capital
+        hashes.append(digest(low.encode(), 1))
+        kinds.append(flags)
+    out = np.zeros((len(words), 4), np.uint64)
+    out[:, 0], out[:, 1] = np.array(hashes, np.uint64), np.array(kinds, np.uint64)
+    for k, rest, more in others:
+        out[k, 2:] = rest, more
     return out
 
 
@@ -109,11 +140,20 @@ def _templates(literal: np.ndarray, flags: np.ndarray, text: np.ndarray, n: int,
     return mix64(template), value, kind, np.bincount(text, minlength=n)
 
 
-def _run_hashes(values: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
-    """A hash for each run of values, the same wherever the run stands."""
-    powers, inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(values), x, np.uint64))]) for x in (_ODD, _INVERSE))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values + np.uint64(salt)) * powers[:-1])])
-    return mix64((total[start + size] - total[start]) * inverse[start] + size.astype(np.uint64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of _ODD and of its inverse, grown as they are needed
+
+
+def _run_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of all values before each place, weighed by place; ``_run_hashes`` takes runs out of them."""
+    if len(_powers[0]) < len(values):
+        for k, base in enumerate((_ODD, _INVERSE)):
+            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * len(values), base, np.uint64))])
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers[0][: len(values)])])
+
+
+def _run_hashes(sums: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    """A hash for each run of scrambled values, the same wherever the run stands."""
+    return mix64((sums[start + size] - sums[start]) * _powers[1][start] + (size.astype(np.uint64) << np.uint64(8)) + np.uint64(salt))
 
 
 def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts: np.ndarray, size: int, least: int, item: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,9 +169,10 @@ def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts
     inside = start + size <= end
     if not least:
         start = start[inside]
-        return start, np.full(len(start), size), _run_hashes(template, start, np.full(len(start), size), 1)
-    places = np.flatnonzero(kind == LITERAL)
-    enough = np.searchsorted(places, start) + least - 1
+        return start, np.full(len(start), size), _run_hashes(_run_sums(template), start, np.full(len(start), size), 1)
+    is_literal = kind == LITERAL
+    places = np.flatnonzero(is_literal)
+    enough = np.cumsum(is_literal) - is_literal + least - 1  # the place that completes the literal words of a window
     reach = np.where(enough < len(places), np.concatenate([places, [0]])[np.minimum(enough, len(places))] + 1, n + 1)
     until = np.maximum(reach, start + size)
     rich = (until <= end) & (until - start <= REACH * size)
@@ -142,7 +183,7 @@ def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts
         poor &= ~rich & ~(np.repeat(better, counts) & (until > end))
     a, b = start[rich], start[poor]
     lengths = np.concatenate([until[rich] - a, np.full(len(b), size)])
-    hashes = np.concatenate([_run_hashes(template, a, lengths[: len(a)], 1), _run_hashes(literal, b, lengths[len(a) :], 2)])
+    hashes = np.concatenate([_run_hashes(_run_sums(template), a, lengths[: len(a)], 1), _run_hashes(_run_sums(literal), b, lengths[len(a) :], 2)])
     return np.concatenate([a, b]), lengths, hashes
 
 

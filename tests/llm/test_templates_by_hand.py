@@ -105,6 +105,17 @@ def leaks(documents, items):
     return out
 
 
+def test_plain_words_are_read_like_any_others():
+    rng = random.Random(12)
+    stems = ["word", "Word", "WORD", "W", "w", "twelve", "Twelve", "km", "Km", "g", "twenty-five", "12kg", "3.5", "9am", "é", "Éa", "don't", "", "x7", "%", "Aé"]
+    words = [rng.choice(["", "", "(", "\""]) + rng.choice(stems) + rng.choice(["", "", ".", ",", "?!", ".)", ":", ";", "\u201d"]) for _ in range(3000)]
+    words = [w.encode() for w in words if w]
+    got = dc._word_rows(words)
+    for row, w in zip(got.tolist(), words):
+        low, flags, rest, more = dc._word(w)
+        assert row == [dc.xxhash.xxh64_intdigest(low, 1), flags, dc.xxhash.xxh64_intdigest(rest, 1) if rest else 0, more], w
+
+
 FORMS = [
     "{a} has {n} red marbles in a bag. {b} gives {m} more marbles to {a} each week. How many marbles does {a} hold after {p} weeks?",
     "A train leaves {a} at {n} am and reaches {b} after {m} hours. How far is it from {a} to {b} if it drives {p} km in each hour of the trip?",
