@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, grams, langid, mixing, neighbours, packing, quality, simhash, substring, toxicity
+from . import chat, decontamination, fim, grams, langid, mixing, neighbours, packing, quality, simhash, substring, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +80,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality, op4_simhash_components, op5_pack_tokens, op6_toxicity, op7_language_id, op8_substring_dedup, op9_nearest, op10_chat_format)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50)
+    text = fim.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality, op4_simhash_components, op5_pack_tokens, op6_toxicity, op7_language_id, op8_substring_dedup, op9_nearest, op10_chat_format, op11_fill_in_middle, op12_whitening)}
 #: SQL where it can express the result.  XXH64, learned scores, byte-pair tokens and an approximate index have none; tests/llm
 #: holds those queries against brute-force versions instead.
 ORACLE: dict[str, str] = {
@@ -96,4 +106,11 @@ ORACLE: dict[str, str] = {
         select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
             cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars, sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
             cast(sum(14 + length(role) + length(text) + case when escaped then len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '#')) - len(regexp_extract_all(text, '#+')) + len(regexp_extract_all(text, '</turn>')) else 0 end) as bigint) as formatted_chars, escaped from e group by conv_id, escaped""",
+    "op11_fill_in_middle": r"""with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') u, sha256('7:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+        e as (select *, len(u) n, ('0x' || substr(h, 1, 8))::bigint h1, ('0x' || substr(h, 9, 8))::bigint h2, ('0x' || substr(h, 17, 8))::bigint h3, ('0x' || substr(h, 25, 8))::bigint h4 from d),
+        f as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+            case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end form from e),
+        g as (select *, array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:], '') s from f)
+        select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+            sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256 from g""",
 }
