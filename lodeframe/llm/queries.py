@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fim, grams, langid, mixing, neighbours, packing, quality, simhash, substring, toxicity, whitening
+from . import chat, decontamination, descent, fim, grams, langid, mixing, neighbours, packing, quality, simhash, substring, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +90,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality, op4_simhash_components, op5_pack_tokens, op6_toxicity, op7_language_id, op8_substring_dedup, op9_nearest, op10_chat_format, op11_fill_in_middle, op12_whitening)}
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality, op4_simhash_components, op5_pack_tokens, op6_toxicity, op7_language_id, op8_substring_dedup, op9_nearest, op10_chat_format, op11_fill_in_middle, op12_whitening, op13_embedding_dedup)}
 #: SQL where it can express the result.  XXH64, learned scores, byte-pair tokens and an approximate index have none; tests/llm
 #: holds those queries against brute-force versions instead.
 ORACLE: dict[str, str] = {
