@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import finite, normal_score
 from ..plans.levels import levels_passed
 from ..plans.prefix import running_totals
-from ..plans.storage import small
+from .states import COMPRESSION, EXACT_VALUES, digest_states, merge_digests, merge_moments, moment_states
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -45,48 +45,57 @@ def _unfold(wide: DataFrame, keys: list[str], variables: list[str]) -> DataFrame
 def moments(df: DataFrame, variables: list[str], weight: str | None = None, group: str | None = None, skip_zeros: tuple[str, ...] = (), skip_negatives: tuple[str, ...] = ()) -> DataFrame:
     """(variable[, group], count, nulls, zeros, sum_w, min, max, mean, std, skew, kurt, cv).
 
-    Unweighted: sample standard deviation, and skewness and kurtosis corrected for sample size, in one partially aggregated pass.
-    Weighted: population forms, whose power sums about the mean cost a second pass; the means of few groups are sent to
-    all tasks, those of many are joined by a shuffle.  std needs 2 values, skew 3 and kurt 4.
+    Unweighted: sample standard deviation, and skewness and kurtosis corrected for sample size, by Spark's own aggregates.
+    Weighted: population forms, from states of central moments that tasks make and merge (``states``).  Either way every row is read
+    once.  std needs 2 values, skew 3 and kurt 4.
     """
+    if weight is not None:
+        return moments_of(merge_moments(states_of_moments(df, variables, weight, group, skip_zeros, skip_negatives)))
     keys = ["group"] if group else []
-    values = {v: value_of(v, v in skip_zeros, v in skip_negatives) for v in variables}
-    base = df.select(*([group_key(group).alias("group")] if group else []), valid_weight(weight).alias("__w"), *[c.alias(f"__v{i}") for i, c in enumerate(values.values())]).where("__w is not null")
+    base = _values(df, variables, None, group, skip_zeros, skip_negatives)
     w = F.col("__w")
 
     def plain(v: Column) -> list[Column]:
         return [
             F.count(v).alias("count"), F.count_if(v.isNull()).alias("nulls"), F.count_if(v == 0).alias("zeros"), F.sum(F.when(v.isNotNull(), w)).alias("sum_w"),
             F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w))).alias("mean"),
+            F.stddev_samp(v).alias("s"), F.when(F.max(v) > F.min(v), F.skewness(v)).alias("g1"), F.when(F.max(v) > F.min(v), F.kurtosis(v)).alias("g2"),
         ]
 
-    def shape(v: Column) -> list[Column]:
-        return [F.stddev_samp(v).alias("s"), F.when(F.max(v) > F.min(v), F.skewness(v)).alias("g1"), F.when(F.max(v) > F.min(v), F.kurtosis(v)).alias("g2")]
-
-    columns = [F.col(f"__v{i}") for i in range(len(variables))]
-    first = base.groupBy(*keys).agg(*[F.struct(*plain(v), *(shape(v) if weight is None else [])).alias(f"__{i}") for i, v in enumerate(columns)])
+    wide = base.groupBy(*keys).agg(*[F.struct(*plain(F.col(f"__v{i}"))).alias(f"__{i}") for i in range(len(variables))])
     n = F.col("count").cast("double")
-    if weight is None:
-        out = _unfold(first, keys, variables)
-        std, skew = F.col("s"), F.col("g1") * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
-        kurt, varies = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6), F.col("max") > F.col("min")
-    else:
-        means = [F.col(f"__{i}.mean").alias(f"__m{i}") for i in range(len(variables))]
-        if group:
-            centred = base.join(small(first.select(F.col("group").alias("__g"), *means)), F.col("group") == F.col("__g"))
-        else:
-            centred = base.crossJoin(F.broadcast(first.select(*means)))  # one row
-        d = [v - F.col(f"__m{i}") for i, v in enumerate(columns)]
-        second = centred.groupBy(*keys).agg(*[F.struct(*[F.sum(w * F.pow(x, F.lit(p))).alias(f"m{p}") for p in (2, 3, 4)]).alias(f"__{i}") for i, x in enumerate(d)])
-        out = _unfold(first, keys, variables).join(_unfold(second, keys, variables), [*keys, "variable"])
-        m2, m3, m4, W = F.col("m2"), F.col("m3"), F.col("m4"), F.col("sum_w")
-        std, skew = F.sqrt(F.try_divide(m2, W)), F.try_divide(F.sqrt(W) * m3, F.pow(m2, F.lit(1.5)))
-        kurt, varies = F.try_divide(W * m4, m2 * m2) - 3, m2 > 0
-    out = out.withColumn("std", F.when(n >= 2, std)).withColumn("skew", F.when((n > 2) & varies, skew)).withColumn("kurt", F.when((n > 3) & varies, kurt))
+    out = _unfold(wide, keys, variables)
+    skew = F.col("g1") * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
+    kurt = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)
+    return _shown(out, keys, F.col("s"), skew, kurt, F.col("max") > F.col("min"))
+
+
+def _values(df: DataFrame, variables: list[str], weight: str | None, group: str | None, skip_zeros: tuple[str, ...] = (), skip_negatives: tuple[str, ...] = ()) -> DataFrame:
+    """([group,] __w, __v0, __v1, ...) of the rows with a valid weight."""
+    values = [value_of(v, v in skip_zeros, v in skip_negatives).alias(f"__v{i}") for i, v in enumerate(variables)]
+    return df.select(*([group_key(group).alias("group")] if group else []), valid_weight(weight).alias("__w"), *values).where("__w is not null")
+
+
+def _shown(rows: DataFrame, keys: list[str], std: Column, skew: Column, kurt: Column, varies: Column) -> DataFrame:
+    n = F.col("count")
+    out = rows.withColumn("std", F.when(n >= 2, std)).withColumn("skew", F.when((n > 2) & varies, skew)).withColumn("kurt", F.when((n > 3) & varies, kurt))
     cv = F.when((F.col("mean") != 0) & (F.col("std") != 0), F.abs(F.col("std") / F.col("mean") * 100))
     return out.withColumn("cv", cv).select("variable", *keys, "count", "nulls", "zeros", "sum_w", "min", "max", "mean", "std", "skew", "kurt", "cv")
 
 
+def states_of_moments(df: DataFrame, variables: list[str], weight: str | None = None, group: str | None = None, skip_zeros: tuple[str, ...] = (), skip_negatives: tuple[str, ...] = ()) -> DataFrame:
+    """States of the variables' central moments by weight, several rows of each: to be kept, joined with those of other data and merged."""
+    return moment_states(_values(df, variables, weight, group, skip_zeros, skip_negatives), variables, group is not None)
+
+
+def moments_of(states: DataFrame) -> DataFrame:
+    """Merged states -> the columns of ``moments``, in population forms."""
+    keys = ["group"] if "group" in states.columns else []
+    m2, m3, m4, w = (F.col(c) for c in ("m2", "m3", "m4", "w"))
+    out = states.withColumn("mean", F.when(F.col("count") > 0, finite(F.col("m1")))).withColumn("sum_w", F.when(F.col("count") > 0, w))
+    return _shown(out, keys, finite(F.sqrt(F.try_divide(m2, w))), finite(F.try_divide(F.sqrt(w) * m3, F.pow(m2, F.lit(1.5)))), finite(F.try_divide(w * m4, m2 * m2) - 3), m2 > 0)
+
+
 def group_key(name: str) -> Column:
     """Text of a group: whole numbers without a fraction, NULL as empty text."""
     c = F.col(name)
@@ -121,8 +130,12 @@ def quantiles(df: DataFrame, variable: str, at: tuple[float, ...] = QUANTILES, w
     A value's mid-point is the weight below it plus half its own.  Below the first mid-point it is the first value,
     from the last on the last.
     """
-    keys = ["group"] if group else []
-    cells = running_totals(weighted_cells(df, variable, weight, group), keys, "value", "c")
+    return quantiles_of(weighted_cells(df, variable, weight, group), ["group"] if group else [], at)
+
+
+def quantiles_of(cells: DataFrame, keys: list[str], at: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """cells(keys, value, c) -> (keys, q, value), the same of values with weights that are known already."""
+    cells = running_totals(cells, keys, "value", "c")
     cells = cells.withColumn("mid", F.col("cum") - F.col("c") / 2).withColumn("prev_mid", F.col("cum") - F.col("c") - F.col("prev_amount") / 2)
     # A level at a bound is met by both neighbours, whatever the rounding of sums; they agree there.
     slack = F.col("total") * 1e-12
@@ -143,14 +156,48 @@ def step_percentiles(df: DataFrame, variable: str, at: tuple[float, ...], weight
     return rows.groupBy(*keys, "q").agg(F.min(reached).alias("value"))
 
 
+def digest(df: DataFrame, variables: list[str], weight: str | None = None, group: str | None = None, exact_values: int = EXACT_VALUES, compression: float = COMPRESSION) -> DataFrame:
+    """(variable[, group], mean, weight, exact): the variables' distributions as centroids, in one pass over the rows.
+
+    Up to ``exact_values`` distinct values a digest holds each of them; beyond that, centroids whose weight is bounded by
+    4 W q (1 - q) / ``compression``, so tails keep single values.  Digests of several tables, or of a table and what was added later, are
+    merged with ``merge_digests(a.unionByName(b))``; the result does not depend on how rows were dealt to tasks while it is exact,
+    and beyond that within its bound.
+    """
+    states = digest_states(_values(df, variables, weight, group), variables, group is not None, exact_values, compression)
+    return merge_digests(states, exact_values, compression)
+
+
+def digest_quantiles(digested: DataFrame, at: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(variable[, group], q, value): a digest's quantiles, interpolated as in ``quantiles`` and equal to those while it is exact."""
+    keys = [c for c in ("variable", "group") if c in digested.columns]
+    return quantiles_of(digested.select(*keys, F.col("mean").alias("value"), F.col("weight").alias("c")), keys, at)
+
+
 def approximate_quantiles(df: DataFrame, variable: str, at: tuple[float, ...] = QUANTILES, group: str | None = None, accuracy: int = 10_000) -> DataFrame:
-    """([group,] q, value) from a mergeable sketch: one partial aggregate, no sort; relative rank error 1 / accuracy."""
+    """([group,] q, value) from Spark's own sketch, for a column without weights: one partial aggregate, no sort; relative rank error 1 / accuracy."""
     keys = ["group"] if group else []
     rows = df.select(*([group_key(group).alias("group")] if group else []), value_of(variable).alias("v"))
     out = rows.groupBy(*keys).agg(F.percentile_approx("v", [float(x) for x in at], accuracy).alias("p"))
     return out.select(*keys, F.posexplode("p").alias("i", "value")).select(*keys, F.element_at(F.array(*[F.lit(float(x)) for x in at]), F.col("i") + 1).alias("q"), "value")
 
 
+def shares_at(cells: DataFrame, values: tuple[float, ...], keys: list[str] = [], log: bool = False) -> DataFrame:  # noqa: B006
+    """cells(keys, value, c), of ``weighted_cells`` or of a digest -> (keys, at, share): cumulative share of weight at given values.
+
+    Between two distinct values the share is interpolated; at or below the first one it is 0, from the last one on 1.  log: values
+    of 0 or less are no points, but their weight counts.
+    """
+    cells = running_totals(cells, keys, "value", "c")
+    if log:
+        cells = cells.where("value > 0").withColumn("prev_value", F.when(F.col("prev_value") > 0, F.col("prev_value")))
+    rows = _at_levels(cells, keys, values, lambda x: x <= F.col("prev_value"), lambda x: x <= F.col("value"))
+    share, below = F.col("cum") / F.col("total"), (F.col("cum") - F.col("c")) / F.col("total")
+    part = F.try_divide(F.col("q") - F.col("prev_value"), F.col("value") - F.col("prev_value"))
+    at = F.when(F.col("q") > F.col("value"), share).when(F.col("prev_value").isNull(), F.when(F.col("q") <= F.col("value"), 0.0)).otherwise(below + part * (share - below))
+    return rows.select(*keys, F.col("q").alias("at"), at.alias("share"))
+
+
 def cdf_points(df: DataFrame, variable: str, weight: str | None = None, log: bool = False) -> DataFrame:
     """(value, share): cumulative share of weight at every distinct value; log leaves out values of 0 or less but keeps their weight."""
     cells = running_totals(weighted_cells(df, variable, weight), [], "value", "c")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import categories, declustering, geometry, grade_tonnage, section, statistics, swath, topcut
+from ..operators.states import merge_digests, merge_moments
 from .registry import BM, block_model, query, rounded, table
 
 GRADES = ("l_discount", "l_tax", "l_extendedprice")
@@ -37,6 +38,23 @@ def moments_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.moments(block_model(spark, sf_dir), list(GRADES), "l_quantity"), sum_w=4, **_DIGITS)
 
 
+def _grouped_weighted_sql(v: str, w: str, g: str) -> str:
+    """Weighted moments of every group about its own mean."""
+    return f"""select '{v}' as variable, r.g as "group", count(*) as "count", cast(0 as bigint) as nulls, count(*) filter ({v} = 0) as zeros, round(sum({w}), 4) as sum_w, min({v}) as min, max({v}) as max,
+        round(any_value(m), 6) as mean, round(sqrt(sum({w} * ({v} - m) ** 2) / sum({w})), 6) as std,
+        round(sqrt(sum({w})) * sum({w} * ({v} - m) ** 3) / sum({w} * ({v} - m) ** 2) ** 1.5, 5) as skew,
+        round(sum({w}) * sum({w} * ({v} - m) ** 4) / sum({w} * ({v} - m) ** 2) ** 2 - 3, 5) as kurt, round(abs(sqrt(sum({w} * ({v} - m) ** 2) / sum({w})) / any_value(m) * 100), 5) as cv
+        from (select *, {g} g from lineitem) r join (select {g} g, sum({v} * {w}) / sum({w}) m from lineitem group by 1) x on r.g = x.g group by r.g"""
+
+
+@query(" union all ".join(_grouped_weighted_sql(v, "l_quantity", "l_returnflag") for v in GRADES))
+def moments_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States made of two parts of the table, kept apart and merged, by group and weight."""
+    bm = block_model(spark, sf_dir)
+    parts = [statistics.states_of_moments(bm.where(half), list(GRADES), "l_quantity", "l_returnflag") for half in ("l_linenumber <= 3", "l_linenumber > 3")]
+    return rounded(statistics.moments_of(merge_moments(parts[0].unionByName(parts[1]))), sum_w=4, **_DIGITS)
+
+
 @query(_moments_sql("l_discount", None, v="nullif(l_discount, 0)"))
 def moments_colfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.moments(block_model(spark, sf_dir), ["l_discount"], skip_zeros=("l_discount",), skip_negatives=("l_discount",)), **_DIGITS)
@@ -83,6 +101,38 @@ def quantiles_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("group", "q", ((F.col("below") <= F.col("q") + 0.001) & (F.col("upto") >= F.col("q") - 0.001)).alias("within"))
 
 
+_Q13 = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+@query(" union all ".join(f"select '{v}' as variable, q, \"value\" from ({_quantile_sql(v, '1', _Q13)})" for v in ("l_quantity", "l_discount")))
+def quantiles_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of two parts of the table, merged; with few distinct values they are exact."""
+    bm = block_model(spark, sf_dir)
+    parts = [statistics.digest(bm.where(half), ["l_quantity", "l_discount"]) for half in ("l_linenumber <= 3", "l_linenumber > 3")]
+    return rounded(statistics.digest_quantiles(merge_digests(parts[0].unionByName(parts[1])), _Q13), value=6)
+
+
+@query(f"""select g as "group", q, "value" as exact, true as within from (select 'A' g, * from ({_quantile_sql('l_extendedprice', 'l_quantity', _Q13, "(select * from lineitem where l_returnflag = 'A')")}) union all select 'N', * from ({_quantile_sql('l_extendedprice', 'l_quantity', _Q13, "(select * from lineitem where l_returnflag = 'N')")}) union all select 'R', * from ({_quantile_sql('l_extendedprice', 'l_quantity', _Q13, "(select * from lineitem where l_returnflag = 'R')")}))""")
+def digest_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles by weight and group, and whether the digest, held to 500 exact values, is within 0.5 % of them."""
+    bm = block_model(spark, sf_dir)
+    parts = [statistics.digest(bm.where(half), ["l_extendedprice"], "l_quantity", "l_returnflag", exact_values=500) for half in ("l_linenumber <= 3", "l_linenumber > 3")]
+    found = statistics.digest_quantiles(merge_digests(parts[0].unionByName(parts[1]), exact_values=500), _Q13).withColumnRenamed("value", "about")
+    exact = statistics.quantiles(bm, "l_extendedprice", _Q13, "l_quantity", "l_returnflag")
+    return rounded(exact.join(found, ["group", "q"]).select("group", "q", F.col("value").alias("exact"), (F.abs(F.col("about") - F.col("value")) <= 0.005 * F.col("value")).alias("within")), exact=6)
+
+
+_AT = (-1.0, 0.0, 0.013, 0.02, 0.045, 0.1, 3.0)
+
+
+@query(f"""with c as (select l_discount v, cast(count(*) as double) c from lineitem group by 1), p as (select v, sum(c) over (order by v) / sum(c) over () s from c), w as (select v, s, lag(v) over (order by v) pv, lag(s) over (order by v) ps from p)
+    select x as "at", round(case when x <= (select min(v) from p) then 0.0 when x >= (select max(v) from p) then 1.0 else (select ps + (x - pv) / (v - pv) * (s - ps) from w where pv < x and x <= v) end, 9) as share from (select unnest([{', '.join(f'cast({x} as double)' for x in _AT)}]) x)""")
+def share_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of rows at given values, read off a digest."""
+    held = statistics.digest(block_model(spark, sf_dir), ["l_discount"]).select(F.col("mean").alias("value"), F.col("weight").alias("c"))
+    return rounded(statistics.shares_at(held, _AT), share=9)
+
+
 @query("""select v as "value", round(sum(c) over (order by v) / sum(c) over (), 8) as share from (select l_quantity v, cast(count(*) as double) c from lineitem group by 1)""")
 def cdf_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.cdf_points(block_model(spark, sf_dir), "l_quantity"), share=8)
