@@ -1,7 +1,8 @@
 """Drillholes: validation, desurvey, compositing and interval merge of collar, survey and interval tables.
 
-Every table is keyed by hole (``bhid``).  Work on one hole is windows and equi-joins within the hole,
-whose stations and intervals are few by nature; holes are spread over the cluster.
+Every table is keyed by hole (``bhid``).  Work on one hole is windows within the hole; holes are spread over the cluster, and where
+rows are looked up by depth or swept along it, a hole of very many rows is cut in ranges (``plans.sweep``).  A hole's survey stations are
+few by nature.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
 from ..plans.dataset import Dataset
+from ..plans.storage import spare_names
+from ..plans.sweep import RANGE_ROWS, as_of, cuts_of, swept
 
 EPS = 1e-9
 #: Dip beyond which a survey row is not usable.
@@ -71,14 +74,17 @@ def clean_surveys(surveys: DataFrame, collars: DataFrame, convention: str = "pos
     Of stations within 1e-9 of depth the last stays, by ``order``, a column of row numbers, or else by azimuth and dip; a hole whose
     first station lies deeper gets one at 0 with the same attitude; a hole without stations hangs vertically.
     """
-    rows = _stations(surveys, convention, order).where("bhid is not null and ok").join(collars.select("bhid"), "bhid", "left_semi")
+    rows = _stations(surveys, convention, order).where("bhid is not null and ok").drop("ok").withColumn("collar", F.lit(False))
+    # A hole's collar stands above its stations and becomes the one at 0 where that is missing; holes and stations meet in one shuffle.
+    above = collars.select("bhid", F.lit(float("-inf")).alias("depth"), F.lit(True).alias("collar"))
+    line = rows.unionByName(above, allowMissingColumns=True)
     by = Window.partitionBy("bhid").orderBy(*_depth_order(order))
-    rows = rows.withColumn("next", F.lead("depth").over(by)).where(F.col("next").isNull() | (F.col("next") - F.col("depth") > EPS)).select("bhid", "depth", "az", "dip")
-    top = rows.groupBy("bhid").agg(F.min_by(F.struct("depth", "az", "dip"), "depth").alias("t"))
-    top = collars.select("bhid").join(top, "bhid", "left").where(F.col("t").isNull() | (F.col("t.depth") > EPS))
-    top = top.select("bhid", F.lit(0.0).alias("depth"), F.coalesce("t.az", F.lit(0.0)).alias("az"), F.coalesce("t.dip", F.lit(90.0)).alias("dip"))
-    out = rows.unionByName(top)
-    return out.withColumn("station", F.row_number().over(Window.partitionBy("bhid").orderBy("depth")))
+    line = line.withColumns({"next": F.lead("depth").over(by), "known": F.first("collar").over(by)})
+    line = line.where(F.col("known") & (F.col("collar") | F.col("next").isNull() | (F.col("next") - F.col("depth") > EPS)))
+    by = Window.partitionBy("bhid").orderBy("depth")
+    line = line.withColumns({f"n_{c}": F.lead(c).over(by) for c in ("depth", "az", "dip")}).where(~F.col("collar") | F.col("n_depth").isNull() | (F.col("n_depth") > EPS))
+    out = line.select("bhid", F.when(F.col("collar"), 0.0).otherwise(F.col("depth")).alias("depth"), *[F.when(F.col("collar"), F.coalesce(f"n_{c}", F.lit(d))).otherwise(F.col(c)).alias(c) for c, d in (("az", 0.0), ("dip", 90.0))])
+    return out.withColumn("station", F.row_number().over(by))
 
 
 def _tangent(az: Column, dip: Column) -> list[Column]:
@@ -91,12 +97,9 @@ def desurvey(stations: DataFrame, collars: DataFrame, method: str = "minimum-cur
 
     Positions are running sums of segment steps, each of which needs only its two stations.
     """
-    t = stations
-    for name, c in zip(("tx", "ty", "tz"), _tangent(F.col("az"), F.col("dip"))):
-        t = t.withColumn(name, c)
+    t = stations.withColumns(dict(zip(("tx", "ty", "tz"), _tangent(F.col("az"), F.col("dip")))))
     by = Window.partitionBy("bhid").orderBy("depth")
-    for c in ("depth", "tx", "ty", "tz"):
-        t = t.withColumn(f"n_{c}", F.lead(c).over(by))
+    t = t.withColumns({f"n_{c}": F.lead(c).over(by) for c in ("depth", "tx", "ty", "tz")})
     dot = F.least(F.greatest(sum((F.col(c) * F.col(f"n_{c}") for c in ("ty", "tz")), F.col("tx") * F.col("n_tx")), F.lit(-1.0)), F.lit(1.0))
     t = t.withColumn("theta", F.acos(dot)).withColumn("dl", F.col("n_depth") - F.col("depth"))
     if method == "minimum-curvature":
@@ -110,32 +113,34 @@ def desurvey(stations: DataFrame, collars: DataFrame, method: str = "minimum-cur
         raise ValueError(f"unknown method {method!r}")
     t = t.join(collars.select("bhid", *[F.col(c).alias(f"c_{c}") for c in "xyz"]), "bhid")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    for c in "xyz":
-        t = t.withColumn(f"s_{c}", step(f"t{c}"))
-        t = t.withColumn(c, F.col(f"c_{c}") + F.coalesce(F.sum(f"s_{c}").over(before), F.lit(0.0)))
+    t = t.withColumns({f"s_{c}": step(f"t{c}") for c in "xyz"})
+    t = t.withColumns({c: F.col(f"c_{c}") + F.coalesce(F.sum(f"s_{c}").over(before), F.lit(0.0)) for c in "xyz"})
     return t.select("bhid", F.col("depth").alias("d0"), F.col("n_depth").alias("d1"), "x", "y", "z", "tx", "ty", "tz", "n_tx", "n_ty", "n_tz", "theta", F.lit(method).alias("method"))
 
 
-def positions(points: DataFrame, segments: DataFrame, depth: str = "depth") -> DataFrame:
+def positions(points: DataFrame, segments: DataFrame, depth: str = "depth", range_rows: int = RANGE_ROWS) -> DataFrame:
     """points(bhid, depth, ...) -> the same rows with px, py, pz on the hole's path.
 
-    The segment is found by an equi-join on the hole and a range on depth; above the first and below the last station
-    the path runs straight on.
+    A point's segment is the last one that begins at or above it, found in one walk down the hole (``as_of``); above the first and below
+    the last station the path runs straight on.  Points without a depth, and of holes without a path, are left out.
     """
-    s = segments.withColumn("__first", F.row_number().over(Window.partitionBy("bhid").orderBy("d0")) == 1).withColumnRenamed("bhid", "__hole")
-    d = F.col(depth)
-    inside = (F.col("bhid") == F.col("__hole")) & ((d >= F.col("d0")) | F.col("__first")) & (F.col("d1").isNull() | (d < F.col("d1")))
-    j = points.join(s, inside).withColumn("__s", d - F.col("d0")).withColumn("__L", F.col("d1") - F.col("d0"))
-    straight = F.col("d1").isNull() | (F.col("__s") <= 0)
-    phi, theta = F.col("theta") * F.col("__s") / F.col("__L"), F.col("theta")
-    k = F.col("__L") / (theta * F.sin(theta))
+    (seg,) = spare_names(points, "segment")
+    first = F.row_number().over(Window.partitionBy("bhid").orderBy("d0")) == 1
+    fields = F.struct(*[F.col(c) for c in segments.columns if c != "bhid"]).alias(seg)
+    # The first segment begins above all points.
+    marks = segments.select("bhid", F.when(first, F.lit(float("-inf"))).otherwise(F.col("d0")).alias(depth), fields)
+    j = as_of(points, marks, "bhid", depth, seg, range_rows, few_marks=True)
+    of = lambda c: F.col(f"{seg}.{c}")
+    s, length, theta = F.col(depth) - of("d0"), of("d1") - of("d0"), of("theta")
+    straight = of("d1").isNull() | (s <= 0)
+    phi, k = theta * s / length, length / (theta * F.sin(theta))
 
     def at(axis: str) -> Column:
-        p, t1, t2 = F.col(axis), F.col(f"t{axis}"), F.col(f"n_t{axis}")
-        arc = F.when(theta < 1e-9, p + F.col("__s") * t1).otherwise(p + k * ((F.cos(theta - phi) - F.cos(theta)) * t1 + (1 - F.cos(phi)) * t2))
-        chord = p + F.col("__s") * 0.5 * (t1 + t2)
-        inner = F.when(F.col("method") == "minimum-curvature", arc).when(F.col("method") == "tangential", p + F.col("__s") * t2).otherwise(chord)
-        return F.when(straight, p + F.col("__s") * t1).otherwise(inner)
+        p, t1, t2 = of(axis), of(f"t{axis}"), of(f"n_t{axis}")
+        arc = F.when(theta < 1e-9, p + s * t1).otherwise(p + k * ((F.cos(theta - phi) - F.cos(theta)) * t1 + (1 - F.cos(phi)) * t2))
+        chord = p + s * 0.5 * (t1 + t2)
+        inner = F.when(of("method") == "minimum-curvature", arc).when(of("method") == "tangential", p + s * t2).otherwise(chord)
+        return F.when(straight, p + s * t1).otherwise(inner)
 
     return j.select(*points.columns, at("x").alias("px"), at("y").alias("py"), at("z").alias("pz"))
 
@@ -147,6 +152,12 @@ def clean_intervals(intervals: DataFrame, collars: DataFrame) -> DataFrame:
     return rows.where("bhid is not null and f >= 0 and t > f").join(collars.select("bhid"), "bhid", "left_semi")
 
 
+def orphans(table: DataFrame, collars: DataFrame) -> DataFrame:
+    """(bhid, n): rows of a survey or interval table by hole, of holes without a valid collar; rows without a hole id count under NULL."""
+    rows = table.groupBy(_hole()).agg(F.count("*").alias("n"))
+    return rows.join(first_collars(collars).select("bhid"), "bhid", "left_anti")
+
+
 def validate(collars: DataFrame, surveys: DataFrame, intervals: DataFrame, convention: str = "pos-down", order: str | None = None) -> DataFrame:
     """(check_id, label, count, holes, bhids): what was left out or is worth knowing, with up to 200 holes per check.
 
@@ -310,57 +321,86 @@ def length_histogram(lengths: DataFrame, column: str, n_bins: int = 14) -> DataF
 
 
 def merge(a: DataFrame, b: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two interval tables(bhid, from, to, ...) on their common break points: (segments, report(check_id, count)).
+    """``merge_all`` of two interval tables."""
+    return merge_all([a, b], order)
 
-    Break points closer than 1e-9 are one.  A segment takes the first interval of either table that covers its mid-point, by start
-    and then by ``order``, a column of row numbers, or else by end and values; where neither covers it is dropped.  Columns of b that
-    clash with one of a get the suffix _2 and are counted as column-collision.
-    """
 
-    def table(df: DataFrame, tag: str) -> DataFrame:
-        others = [c for c in df.columns if c not in own]
-        held = F.struct(*[F.col(c) for c in others] or [F.lit(None).cast("string").alias("_")]).alias(tag)
-        return df.select(_hole(), finite(F.col("from")).alias("f"), finite(F.col("to")).alias("t"), held, *([F.col(order).alias("at")] if order else [])).where("bhid is not null and t > f")
+def merge_all(tables: list[DataFrame], order: str | None = None, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Interval tables(bhid, from, to, ...) on their common break points: (segments, report(check_id, count)).
 
+    Break points closer than 1e-9 are one.  A segment takes the first interval of each table that covers its mid-point, by start
+    and then by ``order``, a column of row numbers, or else by end and values; where none covers it is dropped.  Columns that clash with
+    one of an earlier table get the suffix _2, _3 ... of their table and are counted as column-collision.  In the report tables are a, b, c ...:
+    segments of a table's own holes that it does not cover (gap-a) or covers more than once (overlap-a), and holes that it alone has (hole-only-a).
+
+    All tables are swept at once: starts and ends lie in one line down the hole, and each table's covering interval and number of open intervals
+    are carried along it, so no segment is joined with intervals, however many tables there are.
+    """
     own = ("bhid", "from", "to", *([order] if order else []))
-    ta, tb = table(a, "a"), table(b, "b")
-    cuts = None
-    for t in (ta, tb):
-        for c in ("f", "t"):
-            part = t.select("bhid", F.col(c).alias("d"))
-            cuts = part if cuts is None else cuts.union(part)
-    by = Window.partitionBy("bhid").orderBy("d")
-    cuts = cuts.distinct().withColumn("prev", F.lag("d").over(by)).where(F.col("prev").isNull() | (F.col("d") - F.col("prev") > EPS))
-    segments = cuts.withColumn("next", F.lead("d").over(by)).where("next is not null")
-    segments = segments.select("bhid", F.col("d").alias("from"), F.col("next").alias("to"), ((F.col("d") + F.col("next")) / 2).alias("mid"))
-
-    def cover(seg: DataFrame, t: DataFrame, tag: str) -> DataFrame:
-        hit = seg.join(t.withColumnRenamed("bhid", "h"), (F.col("bhid") == F.col("h")) & (F.col("f") <= F.col("mid")) & (F.col("mid") <= F.col("t")))
-        hit = hit.groupBy("bhid", "from").agg(F.min_by(tag, F.struct("f", "at") if order else F.struct("f", "t", tag)).alias(tag), F.count("*").alias(f"n_{tag}"))
-        return seg.join(hit, ["bhid", "from"], "left")
-
-    out = cover(cover(segments, ta, "a"), tb, "b").where("a is not null or b is not null")
-    holes_a, holes_b = ta.select("bhid").distinct(), tb.select("bhid").distinct()
-    in_both = holes_a.join(holes_b, "bhid", "left_semi").withColumn("both", F.lit(True))
-    flagged = out.join(in_both, "bhid", "left").withColumn("both", F.coalesce("both", F.lit(False)))
-    tallies = {"gap-a": "both and a is null", "gap-b": "both and b is null", "overlap-a": "n_a > 1", "overlap-b": "n_b > 1"}
-    wide = flagged.agg(*[F.count_if(F.expr(e)).alias(k) for k, e in tallies.items()])
-    report = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), F.col(f"`{k}`").alias("count")) for k in tallies])).alias("r")).select("r.*")
-    only = lambda x, y, k: x.join(y, "bhid", "left_anti").agg(F.count("*").alias("count")).select(F.lit(k).alias("check_id"), "count")
-    report = report.unionByName(only(holes_a, holes_b, "hole-only-a")).unionByName(only(holes_b, holes_a, "hole-only-b"))
-    names_a = [c for c in a.columns if c not in own]
-    names_b, taken = [], {*own, *names_a}
-    for c in b.columns:
-        if c in own:
-            continue
-        tries = (name for name in (c, f"{c}_2", *(f"{c}_2{k}" for k in range(2, len(a.columns) + len(b.columns) + 3))))
-        name = next(name for name in tries if name not in taken)
-        taken.add(name)
-        names_b.append((c, name))
-    renamed_columns = sum(c != n for c, n in names_b)
-    report = report.unionByName(report.sparkSession.createDataFrame([("column-collision", renamed_columns)], "check_id string, count long"))
-    segments = out.select("bhid", "from", "to", *[F.col(f"a.`{c}`").alias(c) for c in names_a], *[F.col(f"b.`{c}`").alias(n) for c, n in names_b])
-    return segments, report
+    numbers, rows = range(len(tables)), None
+    for k, df in enumerate(tables):
+        others = [F.col(f"`{c}`") for c in df.columns if c not in own]
+        part = df.select(_hole(), finite(F.col("from")).alias("f"), finite(F.col("to")).alias("t"), F.lit(k).alias("no"), F.struct(*others or [F.lit(None).cast("string").alias("_")]).alias(f"p{k}"), *([F.col(order).alias("at")] if order else []))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    rows = rows.where("bhid is not null and t > f")
+    cuts = cuts_of(rows.select("bhid", "f"), "bhid", "f", range_rows)
+    # One shuffle by hole serves all windows below; holes that are cut need one for each line.
+    rows = rows.repartition("bhid") if cuts is None else rows
+    ties = ["at"] if order else ["t", *[f"p{k}" for k in numbers]]
+    rows = swept(rows, ["bhid", "no"], ["f", *ties], topped=("t",), cuts=cuts)
+    # Earlier starts come first, so an interval is the one to take from where all earlier ones have ended.
+    start = F.greatest("f", "t_before")
+    here = F.when(F.col("t") > start, start)
+    event = lambda d, step, shows: F.struct(d.alias("d"), F.lit(step).cast("long").alias("step"), shows.alias("shows"))
+    later = F.when(here > F.col("f"), F.array(event(here, 0, F.lit(True)))).otherwise(F.array().cast("array<struct<d:double,step:bigint,shows:boolean>>"))
+    both = F.array(event(F.col("f"), 1, F.coalesce(here == F.col("f"), F.lit(False))), event(F.col("t"), -1, F.lit(False)))
+    line = rows.withColumn("e", F.explode(F.concat(both, later)))
+    taken = [F.when(F.col("e.shows") & (F.col("no") == k), F.struct("t", f"p{k}")).alias(f"s{k}") for k in numbers]
+    line = line.select("bhid", "e.d", *taken, *[F.when(F.col("no") == k, F.col("e.step")).otherwise(0).alias(f"n{k}") for k in numbers])
+    line = swept(line, ["bhid"], ["d"], topped=("d",), cuts=cuts)
+    line = line.withColumn("from", F.when(F.col("d_before").isNull() | (F.col("d") - F.col("d_before") > EPS), F.col("d"))).drop("d_before")
+    line = swept(line, ["bhid"], ["d"], held=("from", *[f"s{k}" for k in numbers]), summed=tuple(f"n{k}" for k in numbers), following="to", cuts=cuts)
+    # The last event of those that count as one break point has seen all of them.
+    line = line.where(F.col("to") - F.col("d") > EPS)
+    mid = (F.col("from") + F.col("to")) / 2
+    covers = [F.when(F.col(f"s{k}.t") >= mid, F.col(f"s{k}.p{k}")).alias(f"p{k}") for k in numbers]
+    out = line.select("bhid", "from", "to", *covers, *[f"n{k}" for k in numbers]).where(_any([F.col(f"p{k}").isNotNull() for k in numbers]))
+
+    names: list[list[tuple[str, str]]] = []
+    taken_names = set(own)
+    for k, df in enumerate(tables):
+        names.append([])
+        for c in (c for c in df.columns if c not in own):
+            tries = (n for n in (c, f"{c}_{k + 1}", *(f"{c}_{k + 1}{i}" for i in range(2, sum(len(t.columns) for t in tables) + 3))))
+            name = next(n for n in tries if n not in taken_names)
+            taken_names.add(name)
+            names[k].append((c, name))
+    segments = out.select("bhid", "from", "to", *[F.col(f"p{k}.`{c}`").alias(n) for k in numbers for c, n in names[k]])
+    return segments, _merge_report(rows, out, len(tables), sum(c != n for own_names in names for c, n in own_names))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def _merge_report(rows: DataFrame, segments: DataFrame, tables: int, collisions: int) -> DataFrame:
+    """(check_id, count) of a merge, from one row per hole."""
+    tags = [chr(97 + k) if k < 26 else str(k + 1) for k in range(tables)]
+    holes = rows.groupBy("bhid").agg(*[F.bool_or(F.col("no") == k).alias(f"has{k}") for k in range(tables)])
+    counts = segments.groupBy("bhid").agg(*[F.count_if(F.col(f"p{k}").isNull()).alias(f"gap{k}") for k in range(tables)], *[F.count_if(F.col(f"n{k}") > 1).alias(f"over{k}") for k in range(tables)])
+    each = holes.join(counts, "bhid", "left")
+    several = sum((F.col(f"has{k}").cast("int") for k in range(1, tables)), F.col("has0").cast("int"))
+    found: dict[str, Column] = {}
+    for k, tag in enumerate(tags):
+        found[f"gap-{tag}"] = F.sum(F.when(F.col(f"has{k}"), F.col(f"gap{k}")))
+        found[f"overlap-{tag}"] = F.sum(f"over{k}")
+        found[f"hole-only-{tag}"] = F.count_if(F.col(f"has{k}") & (several == 1))
+    wide = each.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in found.items()], F.lit(collisions).cast("long").alias("column-collision"))
+    checks = [*found, "column-collision"]
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_id"), F.col(f"`{n}`").alias("count")) for n in checks])).alias("r")).select("r.*")
 
 
 # Header names by which the roles of drillhole columns are recognised, most telling first, and words in file names.

@@ -62,7 +62,27 @@ def dh_validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select cast(l_orderkey as varchar) as bhid, count(*) as n from lineitem anti join (select o_orderkey from orders where o_orderstatus <> 'P') o on l_orderkey = o_orderkey group by 1""")
 def dh_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("bhid"))
-    return intervals(spark, sf_dir).join(known, "bhid", "left_anti").groupBy("bhid").agg(F.count("*").alias("n"))
+    return drillhole.orphans(intervals(spark, sf_dir), collars(spark, sf_dir).join(known, "bhid", "left_semi"))
+
+
+@query("""select bhid, x, y, z, eoh from (select cast(l_orderkey as varchar) bhid, cast(l_partkey as double) x, cast(l_suppkey as double) y, l_quantity z, l_extendedprice eoh, row_number() over (partition by l_orderkey order by -l_linenumber, l_partkey, l_suppkey) p from lineitem where l_linenumber <> 3) where p = 1""")
+def dh_first_collars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a hole's several collars the first valid one by a column of row numbers; every third line has no elevation."""
+    li = table(spark, sf_dir, "lineitem")
+    z = F.when(F.col("l_linenumber") != 3, F.col("l_quantity"))
+    rows = li.select(F.col("l_orderkey").cast("string").alias("bhid"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), z.alias("z"), F.col("l_extendedprice").alias("eoh"), F.struct(-F.col("l_linenumber"), "l_partkey", "l_suppkey").alias("n"))
+    return drillhole.first_collars(rows, "n")
+
+
+@query("""with s as (select cast(l_orderkey as varchar) bhid, cast(l_linenumber // 2 as double) depth, l_discount * 1000 az, l_tax * 1000 dip, row_number() over (partition by l_orderkey, l_linenumber // 2 order by l_linenumber desc, l_extendedprice desc, l_partkey desc, l_suppkey desc) p from lineitem where l_tax * 1000 <= 90),
+    k as (select bhid, depth, az, dip from s where p = 1), u as (select * from k union all select bhid, 0.0, arg_min(az, depth), arg_min(dip, depth) from k group by 1 having min(depth) > 0 union all select cast(o_orderkey as varchar), 0.0, 0.0, 90.0 from orders where cast(o_orderkey as varchar) not in (select bhid from k))
+    select bhid, depth, round(az, 6) as az, round(dip, 6) as dip, cast(row_number() over (partition by bhid order by depth) as int) as station from u where bhid in (select cast(o_orderkey as varchar) from orders)""")
+def dh_last_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several stations at one depth the last usable one by a column of row numbers."""
+    li = table(spark, sf_dir, "lineitem")
+    n = F.struct("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey").alias("n")
+    rows = li.select(F.col("l_orderkey").cast("string").alias("bhid"), F.floor(F.col("l_linenumber") / 2).cast("double").alias("depth"), (F.col("l_discount") * 1000).alias("az"), (F.col("l_tax") * 1000).alias("dip"), n)
+    return rounded(drillhole.clean_surveys(rows, drillhole.first_collars(collars(spark, sf_dir)), order="n"), az=6, dip=6)
 
 
 @query(f"""with {_PATH} select bhid, d0, d1, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, round(theta, 6) as theta from p""")
@@ -179,3 +199,32 @@ def dh_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dh_merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = intervals(spark, sf_dir).select("bhid", "from", "to").distinct().withColumn("v", F.lit(1))
     return drillhole.merge(a, a.where("to > 2"))[1]
+
+
+_THREE = """a as (select cast(l_orderkey as varchar) bhid, cast(l_linenumber - 1 as double) f, cast(l_linenumber as double) t, sum(l_quantity) q from lineitem group by 1, 2, 3), b as (select cast(l_orderkey as varchar) bhid, 0.75 * (l_linenumber - 1) f, 0.75 * l_linenumber t, max(l_discount) q from lineitem group by 1, 2, 3),
+    c as (select cast(l_orderkey as varchar) bhid, cast(l_linenumber - 1 as double) f, l_linenumber + 1.625 t, min(l_tax) q, count(*) n from lineitem where l_linenumber % 2 = 0 group by 1, 2, 3),
+    d as (select bhid, f d from a union select bhid, t from a union select bhid, f from b union select bhid, t from b union select bhid, f from c union select bhid, t from c), s as (select bhid, d f, lead(d) over (partition by bhid order by d) t from d), m as (select *, (f + t) / 2 mid from s where t is not null),
+    ca as (select m.bhid, m.f, count(*) k, arg_min(q, a.f) q from m join a on m.bhid = a.bhid and a.f <= mid and mid <= a.t group by 1, 2), cb as (select m.bhid, m.f, count(*) k, arg_min(q, b.f) q from m join b on m.bhid = b.bhid and b.f <= mid and mid <= b.t group by 1, 2),
+    cc as (select m.bhid, m.f, count(*) k, arg_min(q, c.f) q, arg_min(n, c.f) n from m join c on m.bhid = c.bhid and c.f <= mid and mid <= c.t group by 1, 2),
+    j as (select m.bhid, m.f, m.t, ca.q qa, cb.q qb, cc.q qc, cc.n, coalesce(ca.k, 0) ka, coalesce(cb.k, 0) kb, coalesce(cc.k, 0) kc from m left join ca on m.bhid = ca.bhid and m.f = ca.f left join cb on m.bhid = cb.bhid and m.f = cb.f left join cc on m.bhid = cc.bhid and m.f = cc.f where ca.k > 0 or cb.k > 0 or cc.k > 0)"""
+
+
+def _three(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Intervals of one line, of three quarters of one, and of 2.625 of every other one, which overlap."""
+    iv = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("bhid"), (F.col("l_linenumber") - 1).cast("double").alias("from"), F.col("l_linenumber").cast("double").alias("to"), "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    a = iv.groupBy("bhid", "from", "to").agg(F.sum("l_quantity").alias("q"))
+    b = iv.groupBy("bhid", (0.75 * F.col("from")).alias("from"), (0.75 * F.col("to")).alias("to")).agg(F.max("l_discount").alias("q"))
+    c = iv.where("l_linenumber % 2 = 0").groupBy("bhid", "from", (F.col("to") + 1.625).alias("to")).agg(F.min("l_tax").alias("q"), F.count("*").alias("n"))
+    return [a, b, c]
+
+
+@query(f"""with {_THREE} select bhid, cast(f as double) as "from", cast(t as double) as "to", qa as q, qb as q_2, qc as q_3, n from j""")
+def dh_merge_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drillhole.merge_all(_three(spark, sf_dir))[0]
+
+
+@query(f"""with {_THREE}, h as (select distinct bhid from c)
+    select 'gap-a' as check_id, count(*) filter (ka = 0) as "count" from j union all select 'gap-b', count(*) filter (kb = 0) from j union all select 'gap-c', count(*) filter (kc = 0 and bhid in (select bhid from h)) from j
+    union all select 'overlap-a', count(*) filter (ka > 1) from j union all select 'overlap-b', count(*) filter (kb > 1) from j union all select 'overlap-c', count(*) filter (kc > 1) from j union all select 'hole-only-' || x, 0 from (select unnest(['a', 'b', 'c']) x) union all select 'column-collision', 2""")
+def dh_merge_three_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drillhole.merge_all(_three(spark, sf_dir))[1]
