@@ -1,4 +1,8 @@
-"""Paged binary tables (``.dm``) with 4-byte or 8-byte words in either byte order."""
+"""Paged binary tables (``.dm``) with 4-byte or 8-byte words in either byte order, as a data source.
+
+A file is split in byte ranges; each is read by itself, so neither a file's size nor the number of files bounds what can be read, and
+only the columns that are asked for are decoded.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+from .files import listed, opened
 
 # Fixed values of the format: words of a page, words of a record area, first word of the field table, words per field, values beyond this are missing.
 PAGE_WORDS, RECORD_WORDS, HEADER_WORDS, FIELD_WORDS, MISSING = 512, 508, 28, 7, 9.9e29
@@ -80,15 +87,25 @@ def read_header(page: bytes) -> Header:
     raise ValueError("not a paged binary table")
 
 
-def decode_pages(content: bytes, header: Header, first: int, count: int, skipped: int = 0) -> dict[str, pa.Array]:
-    """Columns of ``count`` pages from page ``first`` (data pages count from 1); a truncated last page gives the records it holds.
+def _texts(cells: np.ndarray, parts: list[Field], size: int) -> pa.Array:
+    """Text of every record; each distinct word is decoded once."""
+    out = np.full(len(cells), "", object)
+    for f in parts:
+        if f.stored_word:
+            words, at = np.unique(np.ascontiguousarray(cells[:, f.stored_word - 1]).view(f"V{size}"), return_inverse=True)
+            out = out + np.array([_text(w.tobytes(), size) for w in words], object)[at.reshape(-1)]
+        else:
+            out = out + str(f.default)
+    return pa.array([t.strip() or None for t in out], pa.string())
+
+
+def decode_pages(content: bytes, header: Header, first: int, count: int, names: list[str] | None = None) -> dict[str, pa.Array]:
+    """Columns of the ``count`` pages that ``content`` begins with, the first being page ``first`` of the file (data pages count from 1).
 
-    ``content`` begins with page ``skipped`` of the file.
+    Where content ends inside a page, the page gives the records that it holds.
     """
     size, per, width = header.word, header.per_page, header.record_words
-    page_bytes = PAGE_WORDS * size
-    chunk = content[(first - skipped) * page_bytes : (first - skipped + count) * page_bytes]
-    raw = np.frombuffer(chunk[: len(chunk) // size * size], np.dtype((np.void, size)))
+    raw = np.frombuffer(content[: len(content) // size * size], np.dtype((np.void, size)))
     rows = []
     for p in range(count):
         at = p * PAGE_WORDS
@@ -98,83 +115,80 @@ def decode_pages(content: bytes, header: Header, first: int, count: int, skipped
     cells = np.concatenate(rows) if rows else np.zeros((0, width), np.dtype((np.void, size)))
     out = {}
     for name, parts in header.columns().items():
+        if names is not None and name not in names:
+            continue
         if parts[0].numeric:
             f = parts[0]
             v = np.ascontiguousarray(cells[:, f.stored_word - 1]).view(f"{header.order}f{size}").astype(float) if f.stored_word else np.full(len(cells), float(f.default))
             out[name] = pa.array(v, mask=~(np.abs(v) <= MISSING))
         else:
-            texts = ["".join(_text(bytes(row[f.stored_word - 1]), size) if f.stored_word else str(f.default) for f in parts).strip() for row in cells]
-            out[name] = pa.array([t or None for t in texts])
+            out[name] = _texts(cells, parts, size)
     return out
 
 
-#: Bytes up to which a file is decoded whole by one task; larger ones are dealt out by pages.
-WHOLE_BYTES = 64_000_000
-_PAGES = "org.apache.spark.input.FixedLengthBinaryInputFormat"
-
-
-def _pages(spark: SparkSession, path: str, page_bytes: int):
-    """(page number, page) of one file; Spark splits the file between pages and each task reads its own part."""
-    keys = ("org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable")
-    return spark.sparkContext.newAPIHadoopFile(path, _PAGES, *keys, conf={f"{_PAGES}.recordLength": str(page_bytes)})
+#: Bytes that one task reads of a file, a whole number of pages of either size, and pages decoded at a time.
+PARTITION_BYTES, BATCH_PAGES = 64 << 20, 1024
 
 
-def _by_pages(spark: SparkSession, path: str, length: int, columns: dict[str, list[Field]], schema: str) -> DataFrame:
-    """One large file, decoded where its pages are read."""
-    first = b"".join(bytes(page) for _, page in _pages(spark, path, PAGE_WORDS * 4).take(2))
-    header = read_header(first)
-    page_bytes = PAGE_WORDS * header.word
-    if length % page_bytes:
-        raise ValueError(f"{path} ends inside a page; a truncated file must be of at most {WHOLE_BYTES} bytes")
-
-    def run(batches):
-        for batch in batches:
-            numbers, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            data = [k for k, n in enumerate(numbers) if 1 <= n < max(header.last_page, 2)]
-            i = 0
-            while i < len(data):  # runs of neighbouring pages
-                j = i + 1
-                while j < len(data) and numbers[data[j]] == numbers[data[j - 1]] + 1:
-                    j += 1
-                chunk = b"".join(pages[k] for k in data[i:j])
-                found = decode_pages(chunk, header, numbers[data[i]], j - i, numbers[data[i]])
-                yield pa.RecordBatch.from_arrays([found[n] for n in columns], names=list(columns))
-                i = j
-
-    rows = _pages(spark, path, page_bytes).map(lambda kv: (kv[0], bytes(kv[1])))
-    return spark.createDataFrame(rows, "page long, bytes binary", verifySchema=False).mapInArrow(run, schema)
-
-
-def read_paged(spark: SparkSession, path: str, pages_per_batch: int = 1024, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """A paged binary file or several of one layout as a typed table.
-
-    Files of up to ``whole_bytes`` are decoded one to a task, in batches of pages, and may end inside a page; larger ones are
-    split by Spark between pages, so that no file has to fit in one task.
+@dataclass
+class Range(InputPartition):
+    path: str
+    first: int
+    end: int
+
+
+class PagedSource(DataSource):
+    """``spark.read.format("paged")`` with the options ``path``, a file or a folder, and ``partitionBytes``.  A schema given by the user picks columns."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged"
+
+    def schema(self) -> str:
+        files = listed(self.options["path"])
+        if not files:
+            raise ValueError(f"no file at {self.options['path']}")
+        with opened(files[0][0]) as file:
+            columns = read_header(file.read(PAGE_WORDS * 8)).columns()
+        return ", ".join(f"`{n}` {'double' if f[0].numeric else 'string'}" for n, f in columns.items())
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return PagedReader(self.options["path"], int(self.options.get("partitionbytes", PARTITION_BYTES)), [f.name for f in schema.fields])
+
+
+class PagedReader(DataSourceReader):
+    def __init__(self, path: str, partition_bytes: int, names: list[str]):
+        self.path, self.names = path, names
+        self.bytes = max(1, partition_bytes // (PAGE_WORDS * 8)) * PAGE_WORDS * 8
+
+    def partitions(self) -> list[Range]:
+        return [Range(path, a, a + self.bytes) for path, length in listed(self.path) for a in range(0, max(length, 1), self.bytes)]
+
+    def read(self, partition: Range):
+        """The pages that begin inside the range.  Beyond the end of a truncated file there is nothing; its last page gives what it holds."""
+        with opened(partition.path) as file:
+            header = read_header(file.read(PAGE_WORDS * 8))
+            page = PAGE_WORDS * header.word
+            last = min(max(header.last_page, 2), partition.end // page)
+            for first in range(max(1, partition.first // page), last, BATCH_PAGES):
+                count = min(BATCH_PAGES, last - first)
+                file.seek(first * page)
+                content = file.read(count * page)
+                if not content:
+                    return
+                found = decode_pages(content, header, first, -(-len(content) // page), self.names)
+                yield pa.RecordBatch.from_arrays([found[n] for n in self.names], names=self.names)
+
+
+def read_paged(spark: SparkSession, path: str, columns: list[str] | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """A paged binary file, or a folder of files of one layout, as a typed table; ``columns`` reads only those.
+
+    Tasks read ranges of about ``partition_bytes``.  A file that ends before its header says, inside a page or between two, gives the records
+    that it holds, whatever its size.
     """
-    files = spark.read.format("binaryFile").load(path)
-    sizes = files.select("path", "length").orderBy("length", "path")  # lists files, reads none
-    least = sizes.first()
-    if least is None:
-        raise ValueError(f"no file at {path}")
-    large = sizes.where(F.col("length") > whole_bytes).collect()
-    if least["length"] <= whole_bytes:
-        head = bytes(files.where(F.col("length") == least["length"]).select(F.substring("content", 1, PAGE_WORDS * 8).alias("page")).first()["page"])
-    else:
-        head = b"".join(bytes(page) for _, page in _pages(spark, least["path"], PAGE_WORDS * 4).take(2))
-    columns = read_header(head).columns()
-    schema = ", ".join(f"`{n}` {'double' if f[0].numeric else 'string'}" for n, f in columns.items())
-
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                header = read_header(data[: PAGE_WORDS * 8])
-                last = max(header.last_page, 2)
-                for first in range(1, last, pages_per_batch):
-                    found = decode_pages(data, header, first, min(pages_per_batch, last - first))
-                    yield pa.RecordBatch.from_arrays([found[n] for n in columns], names=list(columns))
-
-    out = files.where(F.col("length") <= whole_bytes).select("content").mapInArrow(run, schema)
-    for f in large:
-        out = out.unionByName(_by_pages(spark, f["path"], f["length"], columns, schema))
-    return out
+    spark.dataSource.register(PagedSource)
+    reader = spark.read.format("paged").option("partitionBytes", partition_bytes)
+    if columns is not None:
+        kinds = {f.name: f for f in reader.load(path).schema.fields}
+        reader = reader.schema(StructType([kinds[c] for c in columns]))
+    return reader.load(path)

@@ -99,9 +99,13 @@ def from_lines(lines: DataFrame, delimiter: str | None = None, types: dict[str,
     text = F.regexp_replace("value", "\r$", "")
     lines = lines.select(text.alias("value"), *([F.col(file).alias("__file")] if file else []), F.monotonically_increasing_id().alias("__at"))
     body = lines.where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
-    head = body.select("value", "__at").limit(TYPE_ROWS + 1).collect()
+    head = body.select("value", "__at", *(["__file"] if file else [])).limit(TYPE_ROWS + 1).collect()
     if not head:
         raise ValueError("the table has no header line")
+    if file:  # the headers of further files are no values
+        head.sort(key=lambda r: r["__at"])
+        opens = {r["__file"]: k for k, r in reversed(list(enumerate(head)))}
+        head = [r for k, r in enumerate(head) if k == 0 or opens[r["__file"]] != k]
     first = [r["value"] for r in head]
     delimiter = delimiter or sniff_delimiter(first)
     names = header or [bare(f) for f in first[0].split(delimiter)]

@@ -1,6 +1,7 @@
 """Text, zip and binary sources, sinks, datasets, lineage and streams on small fixtures."""
 
 import struct
+import tracemalloc
 import zipfile
 
 import pytest
@@ -96,8 +97,8 @@ def test_paged_binary(spark, tmp_path, size, order):
     got = sorted((tuple(r) for r in paged.read_paged(spark, str(tmp_path / "m.dm")).collect()), key=lambda r: (r[0] is None, r[0]))
     assert len(got) == 401 and got[1] == (1.0, "HEMATITE", 2.5) and got[-1] == (None, "CGA", 2.5)
     (tmp_path / "n.dm").write_bytes(paged_file(size, order, rows[:5]))
-    for limit in (0, 2 * 512 * size, 10**9):  # both files by pages, one of them, none
-        both = paged.read_paged(spark, str(tmp_path), whole_bytes=limit).collect()
+    for limit in (0, 2 * 512 * size, 10**9):  # a task a page or two, or a file
+        both = paged.read_paged(spark, str(tmp_path), partition_bytes=limit).collect()
         assert len(both) == 406 and sorted({tuple(r) for r in both}, key=lambda r: (r[0] is None, r[0])) == got
 
 
@@ -108,6 +109,71 @@ def test_truncated_page_gives_what_it_holds(spark, tmp_path):
     assert 169 < n <= 300
 
 
+@pytest.mark.parametrize("cut", [0, 5, 1500, 2048, 5000])
+def test_many_ranges_give_the_rows_of_one_also_of_truncated_files(spark, tmp_path, cut):
+    rows = [(float(k), "HEM" if k % 3 else "ITABIRIT") for k in range(20_000)]
+    (tmp_path / "m.dm").write_bytes(paged_file(4, "<", rows, cut=cut))
+    one, many = (paged.read_paged(spark, str(tmp_path / "m.dm"), partition_bytes=b) for b in (10**9, 4096))
+    assert many.rdd.getNumPartitions() > 50 and one.rdd.getNumPartitions() == 1
+    got = sorted(map(tuple, many.collect()))
+    assert got == sorted(map(tuple, one.collect())) and got == [(x, r, 2.5) for x, r in rows[: len(got)]]
+    assert len(got) == 20_000 if cut == 0 else 20_000 - 169 * (cut // 2048 + 2) <= len(got) <= 20_000
+
+
+def test_only_the_columns_asked_for_are_decoded(spark, tmp_path):
+    (tmp_path / "m.dm").write_bytes(paged_file(8, ">", [(1.0, "a"), (2.0, "b")]))
+    df = paged.read_paged(spark, str(tmp_path / "m.dm"), columns=["CONST", "X"])
+    assert df.columns == ["CONST", "X"] and sorted(map(tuple, df.collect())) == [(2.5, 1.0), (2.5, 2.0)]
+    header = paged.read_header((tmp_path / "m.dm").read_bytes())
+    assert set(paged.decode_pages(b"", header, 1, 0, ["ROCK"])) == {"ROCK"}
+    with pytest.raises(Exception, match="not a paged"):
+        (tmp_path / "bad.dm").write_bytes(b"x" * 5000)
+        paged.read_paged(spark, str(tmp_path / "bad.dm")).count()
+
+
+def test_archives_of_many_members_and_split_stored_ones(spark, tmp_path):
+    lines = {f"t{k}.csv": [f"{k},{j}" + "x" * (j % 7) for j in range(300 * k)] for k in range(5)}
+    for kind in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        with zipfile.ZipFile(tmp_path / f"{kind}.zip", "w", kind) as z:
+            for name, rows in lines.items():
+                z.writestr(name, "\n".join(rows) + ("\n" if name > "t2" else ""))
+    for split in (64, 1000, 10**9):
+        got = {}
+        df = zipped.all_lines(spark, str(tmp_path), split)
+        for r in df.collect():
+            got.setdefault((r["archive"].rsplit("/", 1)[-1], r["member"]), []).append(r["value"])
+        assert {k: sorted(v) for k, v in got.items()} == {(f"{kind}.zip", name): sorted(rows) for kind in (0, 8) for name, rows in lines.items() if rows}
+    assert df.rdd.getNumPartitions() == 10
+
+
+def test_several_archives_each_with_a_header(spark, tmp_path):
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            z.writestr("t.csv", f"A,B\n{k},2\n")
+    assert sorted(tuple(r) for r in zipped.read_zip(spark, str(tmp_path)).data().collect()) == [(0.0, 2.0), (1.0, 2.0), (2.0, 2.0)]
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
+        z.writestr("readme.md", "x")
+    assert zipped.member_lines(spark, str(tmp_path / "none.zip")).count() == 0
+
+
+def test_an_archive_above_two_gigabytes_takes_little_memory(spark, tmp_path):
+    """A sparse file with the archive behind 2.2 GB, and a member of 200 MB that is inflated as it is read."""
+    path = tmp_path / "large.zip"
+    with open(path, "wb") as f:
+        f.truncate(2_200_000_000)
+    with zipfile.ZipFile(path, "a", zipfile.ZIP_DEFLATED) as z, z.open("t.csv", "w") as raw:
+        raw.write(b"A,B\n")
+        for _ in range(200):
+            raw.write(b"1,2345678\n" * 100_000)
+    reader = zipped.ZipReader({"path": str(path)})
+    tracemalloc.start()
+    n = sum(batch.num_rows for part in reader.partitions() for batch in reader.read(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000_001 and peak < 30_000_000
+    assert zipped.members(spark, str(path)).first()["size"] == 200_000_004
+
+
 def test_text_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a,b", 1.0, 2), ('say "x"', 2.346, None), (None, float("nan"), 3)], "s string, d double, i int")
     fmt = sinks.TextFormat(precision=2, comments=("hand-made",))
