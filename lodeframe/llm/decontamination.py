@@ -13,10 +13,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, checkpoint, id_or_null, keyed, mix64, slices, spare_names
+from .common import Vocabulary, checkpoint, drop_stored, id_or_null, keyed, mix64, slices, spare_names, stored
 from .grams import flat_words
 
 #: Units of measure and money that may follow a number.
@@ -187,16 +187,57 @@ def _windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, counts
     return np.concatenate([a, b]), lengths, hashes
 
 
-def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None, wholes: list[int] | None = None) -> DataFrame:
-    """texts(doc_id, text) -> (doc_id, view, size, pos, hash, kinds array<int>, literals array<long>, n_windows) for every window of ``size`` words or more.
+class Sieve:
+    """Tells which window hashes the benchmark may have: all of them exactly, or by two bits of a field of fixed size, which lets a few others pass."""
 
-    n_windows counts the windows of the text in the view.  With ``only``, sorted hashes, other windows are not emitted.  The
+    def __init__(self, exact: np.ndarray | None = None, bits: np.ndarray | None = None):
+        self.exact, self.bits = exact, bits
+        if exact is not None:
+            self.first = np.zeros(1 << 22, bool)
+            self.first[(exact & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        if self.exact is not None:
+            hit = np.flatnonzero(self.first[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            return hit[np.isin(h[hit], self.exact)]
+        last = np.uint64(len(self.bits) * 64 - 1)
+        held = np.ones(len(h), bool)
+        for at in (h & last, (h >> np.uint64(32)) & last):
+            held &= ((self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return np.flatnonzero(held)
+
+
+def _collected(numbers: DataFrame) -> np.ndarray:
+    """A table of 64-bit numbers as a matrix on the driver, sent as bytes."""
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy() for c in batch.columns], 1).tobytes()], pa.binary())], names=["b"])
+
+    found = b"".join(r["b"] for r in numbers.mapInArrow(pack, "b binary").collect())
+    return np.frombuffer(found, np.int64).reshape(-1, len(numbers.columns)).view(np.uint64)
+
+
+def sieve_of(hashes: DataFrame, most: int, bits: int = 26) -> Sieve:
+    """hashes(hash): up to ``most`` distinct ones are held as they are, more by a field of 2^bits bits that tasks fill together."""
+    distinct = hashes.distinct()
+    if distinct.limit(most + 1).count() <= most:
+        return Sieve(np.sort(_collected(distinct)[:, 0]))
+    last = F.lit((1 << bits) - 1).cast("long")
+    place = F.explode(F.array(F.col("hash").bitwiseAND(last), F.shiftrightunsigned("hash", 32).bitwiseAND(last)))
+    words = distinct.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    field = np.zeros(1 << (bits - 6), np.uint64)
+    found = _collected(words)
+    field[found[:, 0].astype(np.int64)] = found[:, 1]
+    return Sieve(bits=field)
+
+
+def template_windows(texts: DataFrame, size: int, only: Sieve | None = None, wholes: list[int] | None = None) -> DataFrame:
+    """texts(doc_id, text, row) -> (doc_id, row, view, size, pos, hash, kinds array<int>, literals array<long>, n_windows) for every window of ``size`` words or more.
+
+    n_windows counts the windows of the text in the view.  With ``only``, windows that it does not pass are not emitted.  The
     view WHOLE has windows of the sizes ``wholes``; without them, those of whole texts that are too short for ``size``.
     """
-    sieve = None
-    if only is not None:
-        sieve = np.zeros(1 << 22, bool)
-        sieve[(only & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def run(batches):
         vocabulary = Vocabulary(_word_rows)
@@ -228,8 +269,7 @@ def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None
                     for width, at, long, h in portions:
                         total = np.bincount(text[at], minlength=n)
                         if only is not None:
-                            hit = np.flatnonzero(sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                            hit = hit[np.isin(h[hit], only)]
+                            hit = only.places(h)
                             at, long, h = at[hit], long[hit], h[hit]
                         if view == WHOLE:  # one place of each in a text will do
                             one = np.sort(np.unique(np.stack([text[at].astype(np.uint64), h]), axis=1, return_index=True)[1])
@@ -242,7 +282,7 @@ def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None
                             offsets = pa.array(offsets.astype(np.int32))
                             yield pa.RecordBatch.from_arrays(
                                 [
-                                    batch.column(0).slice(i, j - i).take(pa.array(text[part])),
+                                    *[batch.column(c).slice(i, j - i).take(pa.array(text[part])) for c in (0, 2)],
                                     pa.array(np.full(len(part), view, np.int32)),
                                     pa.array(np.full(len(part), width, np.int32)),
                                     pa.array((part - begin[text[part]]).astype(np.int32)),
@@ -251,10 +291,10 @@ def template_windows(texts: DataFrame, size: int, only: np.ndarray | None = None
                                     pa.ListArray.from_arrays(offsets, pa.array(literal[cover].view(np.int64))),
                                     pa.array(total[text[part]].astype(np.int32)),
                                 ],
-                                names=["doc_id", "view", "size", "pos", "hash", "kinds", "literals", "n_windows"],
+                                names=["doc_id", "row", "view", "size", "pos", "hash", "kinds", "literals", "n_windows"],
                             )
 
-    return texts.mapInArrow(run, "doc_id long, view int, size int, pos int, hash long, kinds array<int>, literals array<long>, n_windows int")
+    return texts.mapInArrow(run, "doc_id long, row long, view int, size int, pos int, hash long, kinds array<int>, literals array<long>, n_windows int")
 
 
 def _whole(h: np.ndarray) -> np.ndarray:
@@ -262,6 +302,11 @@ def _whole(h: np.ndarray) -> np.ndarray:
     return mix64(h + np.uint64(WHOLE))
 
 
+def _rows(texts: DataFrame) -> DataFrame:
+    """(doc_id, text, row); row, a hash of id and text, tells different texts of one id apart."""
+    return keyed(texts).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_share: float = 0.8, sieve_limit: int = 2_000_000) -> DataFrame:
     """documents(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, share, identical) for every leaked item.
 
@@ -270,29 +315,33 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 5, least_sha
     if every value of the item stands for one value in the document.  identical: all values are the item's own.
     Sentences' first capitals are read as literals and as names; the better reading counts.  An item of fewer than ``window``
     words, names and numbers counted as one each, must stand in the document word for word.  A null text is empty; null ids
-    are kept as null; repeated rows and ties give one row per pair of ids; further columns are ignored.
+    are kept as null.  Every row is judged by itself, also where ids repeat or are null; of the rows of a pair of ids the best
+    counts, so ties and repeated rows give one row per pair.  Further columns are ignored.
 
-    The benchmark's window hashes are counted first.  Up to ``sieve_limit`` of them are sent along to drop other windows
-    where they arise; beyond that all windows go through the join.
+    The benchmark's window hashes, up to ``sieve_limit`` of them as they are and more as a bit field of fixed size, are sent along to drop other
+    windows where they arise.  An item that leaks has a match among any windows that are more than it may miss, so documents
+    and items are paired by that many of each item's rarest windows only; all windows are compared for those pairs.
     """
-    items = keyed(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
-    known = template_windows(items, window)
-    known = known.select(F.col("doc_id").alias("item"), "view", "size", F.col("pos").alias("item_pos"), "hash", F.col("literals").alias("item_literals"), F.col("n_windows").alias("of")).persist()
-    try:
-        distinct = known.select("hash").distinct()
-        only = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)) if distinct.count() <= sieve_limit else None
-        wholes = sorted(r[0] for r in known.where(F.col("view") == WHOLE).select("size").distinct().collect())
-    finally:
-        known.unpersist()
-    found = template_windows(keyed(documents), window, only, wholes).drop("n_windows")
-    hits = found.join(known, ["hash", "view", "size"])
-    hits = hits.select("doc_id", "item", "view", "of", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.filter(F.arrays_zip("kinds", "item_literals", "literals"), lambda s: s["kinds"] != LITERAL).alias("slots"))
-    hits = checkpoint(hits)  # only windows that the benchmark has; read three times below
-    slots = hits.select("doc_id", "item", "view", "shift", F.explode("slots").alias("s")).select("doc_id", "item", "view", "shift", F.struct("s.kinds", "s.item_literals").alias("a"), F.col("s.literals").alias("b")).distinct()
-    clash = slots.groupBy("doc_id", "item", "view", "shift", "a").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "item", "view", "shift").distinct()
-    changed = slots.groupBy("doc_id", "item", "view", "shift").agg(F.bool_or(F.col("a.item_literals") != F.col("b")).alias("changed"))
-    kept = hits.join(clash, ["doc_id", "item", "view", "shift"], "left_anti").join(changed, ["doc_id", "item", "view", "shift"], "left")
-    pairs = kept.groupBy("doc_id", "item", "view").agg(
+    known = template_windows(_rows(benchmark.select(F.col("item_id").alias("doc_id"), "text")).distinct(), window)
+    known = checkpoint(known.select(F.col("doc_id").alias("item"), F.col("row").alias("item_row"), "view", "size", F.col("pos").alias("item_pos"), "hash", F.col("literals").alias("item_literals"), F.col("n_windows").alias("of")))
+    wholes = sorted(r[0] for r in known.where(F.col("view") == WHOLE).select("size").distinct().collect())
+    same, item, document = ["hash", "view", "size"], ["item", "item_row"], ["doc_id", "row"]
+    found = stored(template_windows(_rows(documents), window, sieve_of(known.select("hash"), sieve_limit), wholes).drop("n_windows"))
+    met = found.groupBy(*same).agg(F.count("*").alias("met"))
+    missable = F.floor(F.col("of") * (1 - least_share) + 1e-9)
+    rare = known.join(met, same, "left").withColumn("place", F.row_number().over(Window.partitionBy(*item, "view").orderBy(F.coalesce("met", F.lit(0)), "item_pos", "hash")))
+    rare = rare.where(F.col("met").isNotNull() & (F.col("place") <= missable + 1)).select(*same, *item).distinct()
+    pairs = checkpoint(found.select(*document, *same).join(rare, same).select(*document, *item, "view").distinct())
+    hits = pairs.join(known, [*item, "view"]).join(found, [*document, *same])
+    slots = F.filter(F.arrays_zip("kinds", "item_literals", "literals"), lambda s: s["kinds"] != LITERAL)
+    hits = checkpoint(hits.select(*document, *item, "view", "of", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots")))  # read three times below
+    drop_stored(found)
+    line = [*document, *item, "view", "shift"]
+    slots = hits.select(*line, F.explode("slots").alias("s")).select(*line, F.struct("s.kinds", "s.item_literals").alias("a"), F.col("s.literals").alias("b")).distinct()
+    clash = slots.groupBy(*line, "a").agg(F.count("*").alias("n")).where("n > 1").select(*line).distinct()
+    changed = slots.groupBy(*line).agg(F.bool_or(F.col("a.item_literals") != F.col("b")).alias("changed"))
+    kept = hits.join(clash, line, "left_anti").join(changed, line, "left")
+    pairs = kept.groupBy(*document, *item, "view").agg(
         (F.count_distinct("item_pos") / F.max("of")).alias("share"),
         (F.count_distinct(F.when(~F.coalesce("changed", F.lit(False)), F.col("item_pos"))) / F.max("of")).alias("as_is"),
     )
