@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Vocabulary, drop_stored, id_or_null, keyed, mix64, slices, stored
+from .common import Vocabulary, checkpoint, drop_stored, id_or_null, keyed, mix64, slices, small, stored
 from .grams import flat_words
 
 _ODD = 0x9E3779B97F4A7C15
@@ -246,13 +246,19 @@ def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_se
     """documents(doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, spans array<struct<start, end>>), a row per input row.
 
     spans are the removed word ranges.  Null and empty texts have no words.  Rows of one doc_id are no reference to each
-    other, and each keeps a row of its own.  Rows without an id count as later than all others and are no reference to each
+    other, and each keeps a row of its own; rows equal in id and text are judged once.  Rows without an id count as later than all others and are no reference to each
     other.  An empty table gives an empty result; further columns are ignored.
 
     Without ``collapse`` every occurrence goes through the automata; the result is the same.  With it, occurrences of one content are told
     by a 64-bit hash among those that share their anchor, so a false match takes a collision within one anchor's contents, not in the corpus.
     """
-    texts = keyed(documents).withColumn("print", F.xxhash64("text"))
+    rows = texts = keyed(documents).withColumn("print", F.xxhash64("text"))
+    repeated = checkpoint(rows.groupBy("doc_id", "print").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "print"))
+    repeats = repeated.limit(1).count() > 0
+    if repeats:
+        repeated = small(repeated)
+        one = rows.join(repeated, ["doc_id", "print"], "left_semi").groupBy("doc_id", "print").agg(F.first("text").alias("text"))
+        texts = rows.join(repeated, ["doc_id", "print"], "left_anti").unionByName(one).select(*rows.columns)
     found = stored(segments(texts, window, gram))
     parts = found.where("kind = 1")
     # Tables of their own: a join straight above an aggregate keeps its partitions, and Spark could not split a frequent anchor's rows.
@@ -291,11 +297,15 @@ def deduplicate(documents: DataFrame, window: int = 50, gram: int = 16, shard_se
             kept += words[at:a]
             at = b
         kept += words[at:]
-        yield doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": a, "end": b} for a, b in merged]
+        yield doc, text_print, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": a, "end": b} for a, b in merged]
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+    schema = "doc_id long, print long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
     changed = _cut_words(texts, removed, schema, drop_spans)
     intact = found.where("kind = 0").join(removed.select("doc_id", "print").distinct(), ["doc_id", "print"], "left_anti")
     nothing = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    intact = intact.select("doc_id", F.col("size").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), nothing.alias("spans"))
-    return changed.unionByName(intact).withColumn("doc_id", id_or_null("doc_id"))
+    intact = intact.select("doc_id", "print", F.col("size").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), nothing.alias("spans"))
+    out = changed.unionByName(intact)
+    if repeats:
+        copies = rows.select("doc_id", "print").join(repeated, ["doc_id", "print"], "left_semi")
+        out = out.join(repeated, ["doc_id", "print"], "left_anti").unionByName(copies.join(out, ["doc_id", "print"]).select(*out.columns))
+    return out.drop("print").withColumn("doc_id", id_or_null("doc_id"))
