@@ -108,19 +108,19 @@ def mix(
     taken counts words, repeats included, and is at most ceil(ceiling) times size.  A null source is a source of
     its own; a null or empty text has size 0 and gives nothing; documents with equal ids are laid by their text's
     hash, so reruns agree; an empty table gives an empty result; further columns are ignored.
-    A source of more than ``shard_docs`` documents is dealt to several shards by the hash of id and text, so a hot
-    source is never laid out in one task.
+    A source's documents are numbered in the order of a hash of id and text, and each ``shard_docs`` of them are a shard, so neither a
+    hot source nor a row that is repeated many times is laid out in one task.
     """
     spread = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
     docs = checkpoint(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count(F.col("text")).alias("size"), spread.alias("spread")))
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = source_targets(sizes.select("source", "source_size"), weights, share, ceiling)
-    shards = sizes.select(F.col("source").alias("__source"), F.ceil(F.col("n") / shard_docs).alias("shards"))
-    targets = small(targets.join(shards, F.col("source").eqNullSafe(F.col("__source"))).drop("__source"))
-
-    docs = docs.join(targets, docs.source.eqNullSafe(targets.source)).select(docs["*"], "source_no", "source_size", "target", "shards")
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "spread"), F.col("shards")))
-    line = Window.partitionBy("source_no", "shard").orderBy("spread", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = small(source_targets(sizes.select("source", "source_size"), weights, share, ceiling))
+
+    docs = docs.join(targets, docs.source.eqNullSafe(targets.source)).select(docs["*"], "source_no", "source_size", "target")
+    docs = with_row_id(docs, ["source_no", "spread", "doc_id", "size"], "at")
+    firsts = small(docs.groupBy("source_no").agg(F.min("at").alias("first_at")))
+    docs = docs.join(firsts, "source_no").withColumn("shard", F.expr(f"(at - first_at) div {shard_docs}"))
+    line = Window.partitionBy("source_no", "shard").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     lines = docs.groupBy("source_no", "shard").agg(F.sum("size").alias("line"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     lines = lines.withColumn("party", F.col("source_no") * F.lit(2**31) + F.col("shard")).withColumn("votes", F.try_divide(F.col("target") * F.col("line"), F.col("source_size")))
     lines = checkpoint(lines.withColumn("blocks", F.ceil(F.col("line") / block_tokens)))
@@ -162,12 +162,23 @@ def mixed_documents(documents: DataFrame, block_tokens: int = 512, **options) ->
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     hashed = F.xxhash64(F.lit(seed), key, F.coalesce(F.col("text"), F.lit("")))
     own = [own_id, spread]
-    rows = documents.withColumns({own_id: key, spread: hashed}).withColumn(copy, F.row_number().over(Window.partitionBy(*own).orderBy(F.col("source").asc_nulls_last())))
+    rows = documents.withColumns({own_id: key, spread: hashed})
     drawn = mix(documents, block_tokens=block_tokens, **options)
-    # Copies of a document lie next to each other in the line of their source; within one source they are numbered in that order.
     drawn = drawn.select(key.alias(own_id), F.col("spread").alias(spread), F.col("source").alias(whole), *[F.col(c).alias(n) for c, n in drawn_names.items()])
-    drawn = drawn.withColumn(copy, F.row_number().over(Window.partitionBy(*own).orderBy(F.col(whole).asc_nulls_last(), first))).where(f"{taken} > 0").drop(whole)
-    rows = rows.join(drawn, [*own, copy])
+    repeated = checkpoint(rows.groupBy(*own).agg(F.count("*").alias(size)).where(F.col(size) > 1).select(*own))
+    if repeated.limit(1).count():
+        repeated = small(repeated)
+
+        def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+            """Rows of repeated documents numbered in each by an order, those of others 0."""
+            several = with_row_id(df.join(repeated, own, "left_semi"), [*own, *order], copy)
+            firsts = several.groupBy(*own).agg(F.min(copy).alias("first_copy"))
+            several = several.join(small(firsts), own).withColumn(copy, F.col(copy) - F.col("first_copy")).drop("first_copy")
+            return df.join(repeated, own, "left_anti").withColumn(copy, F.lit(0).cast("long")).unionByName(several)
+
+        # Copies of a document are numbered by source, in the table and in the mix alike.
+        rows, drawn, own = numbered(rows, ["source"]), numbered(drawn, [whole, first]), [*own, copy]
+    rows = rows.join(drawn.drop(whole).where(f"{taken} > 0"), own)
     part = F.expr(f"{taken} - {rounds} * {size}")
     times = F.col(rounds) + F.when(part == F.col(size), 1).otherwise(0)
     kinds = F.concat(F.array_repeat(F.lit(True), times.cast("int")), F.when((part > 0) & (part < F.col(size)), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
