@@ -104,21 +104,21 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, most: int = 20_000, most_bytes: int = 16_000_000) -> DataFrame:
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, most: int = 20_000, most_bytes: int = 16_000_000, most_classes: int = 1000) -> DataFrame:
     """(doc_id, text, label) of about ``per_class`` labelled rows of every class, ``most`` in all and at most ``most_bytes`` of text, chosen by a hash of the id.
 
     labels(doc_id, label); rows without an id or a label are left out.  A class of up to ``per_class`` ids is taken whole; of a larger one
     an id is taken if its hash lies in the share that gives ``per_class``, so nothing is ranked.  An id counts once in a class however often
     it is repeated in either table; of its texts the smallest is taken.  Where the texts are more than ``most_bytes``, the longest are
-    left out.  These bounds, which hold for the learning of models only, make the sample small enough to be broadcast and collected.
+    left out.  Of more than ``most_classes`` classes the most frequent are learned.  These bounds, which hold for the learning of models only, make the sample small enough to be broadcast and collected.
     """
     known = labels.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null").distinct()
-    classes = small(known.groupBy("label").agg(F.count("*").alias("n")))
+    classes = small(known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_classes))
     per_class = max(1, min(per_class, most // max(1, classes.count())))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     chosen = known.join(classes, "label").where(place * F.col("n") < per_class).select("doc_id", "label")
     texts = documents.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    one = texts.join(small(chosen, 2 * most), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     one = checkpoint(one.select("doc_id", "text", "label", F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("doc_id", "label").alias("hash")))
     sizes = sorted((r["bytes"], r["hash"]) for r in one.select("bytes", "hash").collect())  # two numbers a row of the sample
     fit = int(np.searchsorted(np.cumsum([n for n, _ in sizes]), most_bytes, "right"))

@@ -2,7 +2,10 @@
 
 import random
 
-from lodeframe.llm import decontamination, grams, simhash
+import numpy as np
+from pyspark.sql import functions as F
+
+from lodeframe.llm import decontamination, grams, mixing, simhash, substring
 
 
 def shingle_set(text):
@@ -108,3 +111,92 @@ def test_repeated_ids_do_not_swell_the_sample(spark, docs):
     got = [(r["doc_id"], r["label"]) for r in grams.labelled_sample(docs(rows), labels, "quality", 320).collect()]
     assert len(got) == len(set(got)) and {label for _, label in got} == {0, 1}
     assert sum(k == 7 for k, _ in got) == 1
+
+
+QUESTION = "Natalia sold 48 clips to her friends in April and then sold half as many clips in May, how many clips did she sell?"
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_each(spark, docs):
+    """An exact copy and a re-parameterised one under one id, and under no id: their values clash, but not within a row."""
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    other = QUESTION.replace("48", "52").replace("Natalia", "Kevin")
+    got = lambda rows: sorted((r["doc_id"], r["share"], r["identical"]) for r in decontamination.leaks(docs(rows), bench).collect())
+    assert got([(1, QUESTION), (2, other)]) == [(1, 1.0, True), (2, 1.0, False)]
+    assert got([(7, QUESTION), (7, other), (7, "nothing at all")]) == [(7, 1.0, True)] and got([(7, other), (7, other)]) == [(7, 1.0, False)]
+    assert got([(None, QUESTION), (None, other)]) == [(None, 1.0, True)]
+    rows = docs([(7, QUESTION), (7, other), (None, other), (7, "nothing at all"), (None, None)])
+    assert {r["text"] for r in decontamination.without_leaks(rows, bench).collect()} == {"nothing at all", None}
+
+
+def test_items_of_one_id_are_judged_each(spark, docs):
+    second = "The road from the old harbour to the northern lighthouse takes a cart four days in dry weather."
+    bench = spark.createDataFrame([(1, QUESTION), (1, second), (1, second), (None, QUESTION)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs([(1, QUESTION), (2, second)]), bench).collect()), key=repr)
+    assert got == [(1, 1), (1, None), (2, 1)]
+
+
+def test_a_window_that_everything_has_pairs_nothing_and_loses_nothing(spark, docs):
+    """All items and all documents share a preamble; only documents that hold an item's own words are paired with it."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    common = "please answer the following question as well as you can"
+    own = [[word() for _ in range(20)] for _ in range(40)]
+    items = [f"{common} {' '.join(w)}" for w in own]
+    texts = [f"{common} {' '.join(own[k][:16]) if k % 2 else ' '.join(own[k])} {word()}" if k < 40 else f"{common} {word()} {word()}" for k in range(300)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in decontamination.leaks(docs(list(enumerate(texts))), bench).collect()}
+    assert set(got) == {(k, k) for k in range(40)} and all(got[k, k] == 1 for k in range(0, 40, 2)) and all(0.8 <= got[k, k] < 0.9 for k in range(1, 40, 2))
+
+
+def test_both_sieves_lose_no_hash(spark):
+    rng = np.random.default_rng(3)
+    known = rng.integers(-(2**63), 2**63 - 1, 5000)
+    df = spark.createDataFrame([(int(h),) for h in known], "hash long")
+    h = np.concatenate([known, rng.integers(-(2**63), 2**63 - 1, 50_000)]).view(np.uint64)
+    exact, field = decontamination.sieve_of(df, 10_000), decontamination.sieve_of(df, 100, bits=17)
+    assert exact.places(h).tolist() == list(range(5000))
+    assert set(range(5000)) <= set(field.places(h).tolist()) and len(field.places(h)) < 5000 + 1000
+
+
+def test_repeated_rows_are_dealt_to_all_shards_of_their_source(spark, docs):
+    rows = [(1, "the same words again and again")] * 3000 + [(k, f"row {k} has words of its own") for k in range(2, 3002)]
+    drawn = mixing.mix(docs(rows), block_tokens=4, shard_docs=500).cache()
+    sizes = [r["count"] for r in drawn.groupBy("shard").count().collect()]
+    assert len(sizes) == 12 and max(sizes) <= 500
+    total = drawn.agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.max(F.col("taken") / F.col("size")).alias("m")).first()
+    assert abs(total["t"] - total["g"]) <= 0.01 * total["g"] and total["m"] <= 2
+    mixed = mixing.mixed_documents(docs(rows), block_tokens=4, shard_docs=500)
+    assert mixed.agg(F.sum(mixing.token_count(F.col("text")))).first()[0] == total["t"]
+
+
+def test_repeated_rows_of_different_other_columns_are_mixed_each(docs):
+    rows = [(1, "one two three", "a")] * 5 + [(1, "one two three", "b")] * 5 + [(1, "one two three", "a", "fr")] * 5 + [(2, "four five", "b")]
+    df = docs(rows)
+    got = mixing.mixed_documents(df, block_tokens=1)
+    taken = {r["source"]: r["t"] for r in mixing.mix(df, block_tokens=1).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert {r["source"]: r["t"] for r in got.groupBy("source").agg(F.sum(mixing.token_count(F.col("text"))).alias("t")).collect()} == taken
+    assert {(r["source"], r["lang"]) for r in got.where("doc_id = 1").select("source", "lang").distinct().collect()} == {("a", "en"), ("a", "fr"), ("b", "en")}
+
+
+def test_copies_of_one_row_reach_the_automata_once(docs, monkeypatch):
+    """Many rows equal in id and text beside later documents that hold their words: what is judged does not grow with them."""
+    rng = random.Random(5)
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    late = [(9, " ".join(passage[:60] + ["end"])), (8, " ".join(["start", *passage[30:100]]))]
+    seen, judge = [], substring._judge_shards
+    monkeypatch.setattr(substring, "_judge_shards", lambda rows, window: seen.append(rows.count()) or judge(rows, window))
+    results = []
+    for copies in (1, 2000):
+        rows = [(3, " ".join(passage))] * copies + late + [(9, late[0][1])] * (copies - 1)
+        out = substring.deduplicate(docs(rows)).collect()
+        assert len(out) == len(rows)
+        results.append({(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out})
+    assert results[0] == results[1] and seen[0] == seen[1]
+    assert {(i, n, k) for i, n, k, _ in results[0]} == {(3, 120, 0), (9, 61, 60), (8, 71, 70)}
+
+
+def test_many_classes_are_bounded(docs, spark):
+    rows = [(k, f"text {k}") for k in range(3000)]
+    labels = spark.createDataFrame([(k, f"l{k}") for k in range(2000)] + [(k, "common") for k in range(2000, 3000)], "doc_id long, lang string")
+    got = grams.labelled_sample(docs(rows), labels, "lang", 50, most=100, most_classes=10).collect()
+    assert len({r["label"] for r in got}) <= 10 and "common" in {r["label"] for r in got} and len(got) <= 60
