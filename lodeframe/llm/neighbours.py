@@ -48,8 +48,9 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Curves:
-    """Directions, scale and shift of every curve."""
+    """Directions, scale and shift of every curve, for vectors divided by 2^exponent."""
 
+    exponent: int
     directions: np.ndarray  # curves x size x dims
     centre: np.ndarray  # curves x dims
     scale: np.ndarray
@@ -59,9 +60,10 @@ class Curves:
     def keys(self, x: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray]:
         """Place on the curve at ``bits`` bits a coordinate, and inside the cell at as many further bits."""
         # Four deviations to each side plus the shift fill the grid; what lies further out is set to its edge.
-        unit = ((x @ self.directions[curve] - self.centre[curve]) / self.scale[curve] + 4) / 9 + self.shift[curve] / 9
+        with np.errstate(all="ignore"):
+            unit = ((np.ldexp(x, -self.exponent) @ self.directions[curve] - self.centre[curve]) / self.scale[curve] + 4) / 9 + self.shift[curve] / 9
         top = 1 << 2 * self.bits
-        cell = np.clip(unit * top, 0, top - 1).astype(np.int64)
+        cell = np.clip(np.nan_to_num(unit * top), 0, top - 1).astype(np.int64)
         return hilbert_keys(cell >> self.bits, self.bits), hilbert_keys(cell & ((1 << self.bits) - 1), self.bits)
 
 
@@ -69,8 +71,9 @@ def fit(sample: np.ndarray, curves: int = 8, dims: int = 6, bits: int = 10, seed
     rng, size = np.random.default_rng(seed), sample.shape[1]
     dims = min(dims, size)
     directions = np.stack([np.linalg.qr(rng.normal(size=(size, size)))[0][:, :dims] for _ in range(curves)])
-    y = np.einsum("ns,csd->cnd", sample, directions)
-    return Curves(directions, y.mean(1), np.maximum(y.std(1), 1e-12), rng.random((curves, dims)), bits)
+    exponent = int(np.frexp(np.abs(sample).max())[1])
+    y = np.einsum("ns,csd->cnd", np.ldexp(sample, -exponent), directions)
+    return Curves(exponent, directions, y.mean(1), np.maximum(y.std(1), 1e-12), rng.random((curves, dims)), bits)
 
 
 def windows(apart: np.ndarray, n: int, wanted: float, least: int) -> tuple[int, int]:
@@ -104,26 +107,49 @@ def _vectors(column, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(float)
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row of a to the same of b; differences of any magnitude are scaled by a power of two before they are squared."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = a - b
+        largest = np.abs(d).max(1)
+        shift = np.where(np.isfinite(largest) & (largest > 0), np.frexp(largest)[1], 0)
+        return np.ldexp(np.sqrt((np.ldexp(d, -shift[:, None]) ** 2).sum(1)), shift)
+
+
 def _closest(queries: np.ndarray, x: np.ndarray, point: np.ndarray, hidden, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the query, point, distance) of the ``most`` nearest of every query, by exact distance and then by point.
 
     hidden: None, or a mask queries x points of what a query does not see.
+
+    Inner products rank roughly, on vectors centred and scaled by a power of two; the rounding of a rough distance is bounded, and whatever may
+    by that bound be among the nearest is ranked by its exact distance.  So neither an offset nor the magnitude of vectors costs a neighbour.
     """
-    out = []
-    for i in range(0, len(queries), 256):
-        part = queries[i : i + 256]
-        rough = (x**2).sum(1) - 2 * part @ x.T
-        if hidden is not None:
-            rough[hidden[i : i + 256]] = np.inf
-        few = min(len(x), 2 * most + 8)
-        near = np.argpartition(rough, few - 1, axis=1)[:, :few]
-        exact = np.sqrt(((part[:, None] - x[near]) ** 2).sum(2))
-        exact[np.isinf(np.take_along_axis(rough, near, 1))] = np.inf
-        order = np.lexsort((point[near], exact), axis=1)[:, :most]
-        chosen, score = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-        seen = np.isfinite(score)
-        out.append((np.repeat(np.arange(i, i + len(part)), seen.sum(1)), point[chosen][seen], score[seen]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if not len(queries) or not len(x):
+        return none
+    exponent = int(np.frexp(max(np.abs(x).max(), np.abs(queries).max()))[1])
+    y = np.ldexp(x, -exponent)
+    centre = y.mean(0)
+    y = y - centre
+    length, slack = (y**2).sum(1), 8 * (x.shape[1] + 8) * np.finfo(float).eps
+    out, step = [], max(1, min(256, 2_000_000 // len(x)))
+    for i in range(0, len(queries), step):
+        part = np.ldexp(queries[i : i + step], -exponent) - centre
+        own = (part**2).sum(1)[:, None]
+        error = slack * (own + length) + 1e-300  # the rest is for squares that vanish
+        rough = own + length - 2 * part @ y.T
+        seen = np.ones(rough.shape, bool) if hidden is None else ~hidden[i : i + step]
+        if most < len(x):
+            upper = np.where(seen, rough + error, np.inf)
+            bound = np.partition(upper, most - 1, axis=1)[:, most - 1 : most]
+            seen &= rough - error <= bound
+        q, p = np.nonzero(seen)
+        exact = np.concatenate([_distances(queries[i + q[k : k + 50_000]], x[p[k : k + 50_000]]) for k in range(0, len(q), 50_000)]) if len(q) else np.zeros(0)
+        order = np.lexsort((point[p], exact, q))
+        q, p, exact = q[order], p[order], exact[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < most
+        out.append((i + q[first], point[p[first]], exact[first]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _probe(points: DataFrame, probes: list, most: int, kind: type) -> list:
@@ -163,6 +189,7 @@ def nearest(
     range_rows: int = 1024,
     cell_queries: int = 4096,
     sample_rows: int = 5000,
+    block_bytes: int = 16_000_000,
     seed: int = 5,
 ) -> DataFrame:
     """vectors(vec_id, column) -> (query_id, rank, vec_id, score): for every row with ``is_query`` the k nearest found among all others.
@@ -174,8 +201,9 @@ def nearest(
     no part.  An empty table gives an empty result.  Further columns are ignored.
 
     Every point goes to its range of ``range_rows`` places on each curve, every query to the ranges that its window meets, so rows grow
-    with points and with windows, not with points times queries.  In a range points are held and queries stream past them; a
-    range that many queries meet is dealt to several tasks by the query.
+    with points and with windows.  In a range points are held and queries stream past them; a range that many queries meet is dealt to
+    several tasks by the query.  Where no window narrower than the whole table holds the neighbours, every query meets every range: then
+    ranges hold up to ``block_bytes`` of vectors, and rows grow with points times queries over the vectors of such a block.
     """
     rows, kind = _usable(vectors, column), np.float32 if dict(vectors.dtypes)[column] == "array<float>" else np.float64
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
@@ -218,6 +246,9 @@ def nearest(
     apart = np.array([[abs(where[c, chosen[p["probe"]]["point"]] - where[c, p["point"]]) for c in range(curves)] for p in pairs])
     used, reach = windows(apart, n, wanted, least_reach)
 
+    if used * (2 * reach + 1) >= n:
+        block = max(range_rows, block_bytes // (8 * len(np.frombuffer(sample[0]["x"], kind))))
+        range_rows, cell_queries = max(range_rows, min(block, n // 256)), max(cell_queries, block)
     ranges = -(-n // range_rows)
     cells = max(1, round(m * min(n, range_rows + 2 * reach) / n / cell_queries))
     own = places.where(F.col("curve") < used).join(points.select("point", "x", "asks"), "point")

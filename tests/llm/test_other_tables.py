@@ -81,6 +81,40 @@ def test_copies_and_bad_vectors(spark):
     assert len(few[0]) == 2
 
 
+@pytest.mark.parametrize("offset,scale", [(0, 1), (1e8, 1), (1e12, 1), (0, 1e200), (0, 1e-200), (1e15, 1)])
+def test_neither_offset_nor_magnitude_costs_a_neighbour(offset, scale):
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(3000, 64)) + offset) * scale
+    x[1500:] -= 3 * offset * scale  # two groups far apart, so that no centre serves both
+    point, hidden = rng.permutation(3000), rng.random((40, 3000)) < 0.3
+    q, p, d = neighbours._closest(x[:40], x, point, hidden, 11)
+    for k in range(40):
+        true = np.sqrt((((x - x[k]) / scale) ** 2).sum(1)) * scale
+        seen = np.flatnonzero(~hidden[k])
+        want = seen[np.lexsort((point[seen], true[seen]))][:11]
+        assert d[q == k] == pytest.approx(true[want], rel=1e-12) and set(p[q == k]) == set(point[want])
+
+
+def test_fewer_points_than_asked_for_and_hidden_ones():
+    x, point = np.arange(6.0).reshape(3, 2), np.array([5, 4, 3])
+    q, p, d = neighbours._closest(x, x, point, np.eye(3, dtype=bool), 10)
+    assert q.tolist() == [0, 0, 1, 1, 2, 2] and p.tolist() == [4, 3, 3, 5, 4, 5]
+    assert neighbours._closest(x, x, point, np.ones((3, 3), bool), 2)[0].tolist() == [] and neighbours._closest(x[:0], x, point, None, 2)[2].tolist() == []
+    far = np.array([[1.7e308, 0.0], [-1.7e308, 0.0], [0.0, 0.0]])
+    assert neighbours._closest(far[:1], far, point, None, 3)[1].tolist() == [5, 3, 4]
+
+
+@pytest.mark.parametrize("offset,scale", [(1e9, 1.0), (0.0, 1e200)])
+def test_search_of_far_and_of_large_vectors(spark, offset, scale):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(600, 8)) + offset) * scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(neighbours.nearest(df, F.col("vec_id") % 50 == 0, range_rows=100))
+    want = brute(list(range(600)), x / scale, range(0, 600, 50))
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = neighbours.hilbert_keys(side, 3)
