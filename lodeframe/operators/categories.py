@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.text import numbered
 from .statistics import group_key, moments, valid_weight
 
 CATEGORIES, GROUPS, LABELS = 500, 500, 200
@@ -79,21 +80,37 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
 SHOW_ALL, SHOW_TOP = 30, 20
 
 
-def in_order(counted: DataFrame, mode: str = "count-desc", order: list[str] | None = None, column: str = "value") -> DataFrame:
-    """Rows of ``counts`` sorted by count-desc, count-asc, alpha, missing-last or custom; equal counts go by value.
+#: Collation of labels: the root order of Unicode, by base letter, then accent, then case.
+COLLATION = "UNICODE"
 
-    custom puts the listed values first, in their order, then all others by falling count; missing-last is alpha with the missing label at the end.
-    """
+
+def _order_keys(mode: str, order: list[str] | None, column: str) -> list[Column]:
     value = F.col(column)
+    # Labels that the collation holds equal go by their code points.
+    spelled = [F.collate(value, COLLATION), value]
     ranked = F.array(*[F.lit(v) for v in order or []]).cast("array<string>")
     place = F.nullif(F.array_position(ranked, value), F.lit(0))
     keys = {
-        "count-desc": [F.desc("n"), value], "count-asc": [F.asc("n"), value], "alpha": [value],
-        "missing-last": [value == MISSING, value], "custom": [place.asc_nulls_last(), F.desc("n"), value],
+        "count-desc": [F.desc("n"), value], "count-asc": [F.asc("n"), value], "alpha": [value == MISSING, *spelled],
+        "missing-last": [value == MISSING, *spelled], "custom": [place.asc_nulls_last(), F.desc("n"), value],
     }
     if mode not in keys:
         raise ValueError(f"unknown order {mode!r}")
-    return counted.orderBy(*keys[mode])
+    return keys[mode]
+
+
+def in_order(counted: DataFrame, mode: str = "count-desc", order: list[str] | None = None, column: str = "value") -> DataFrame:
+    """Rows of ``counts`` sorted by count-desc, count-asc, alpha, missing-last or custom; equal counts go by value.
+
+    custom puts the listed values first, in their order, then all others by falling count.  alpha, or missing-last, is the order of a
+    dictionary (``COLLATION``), in which accents and case tell apart only labels that are equal without, the missing label at the end.
+    """
+    return counted.orderBy(*_order_keys(mode, order, column))
+
+
+def with_place(counted: DataFrame, mode: str = "count-desc", order: list[str] | None = None, column: str = "value", name: str = "place") -> DataFrame:
+    """The rows with their number, from 1, in an order of ``in_order``, for results that have to keep it; sorted in ranges, however many there are."""
+    return numbered(in_order(counted, mode, order, column), name).withColumn(name, F.col(name) + 1)
 
 
 def shown(counted: DataFrame) -> DataFrame:

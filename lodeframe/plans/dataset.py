@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, truthy
-from ..operators.statistics import valid_weight
+from ..operators.statistics import digest, valid_weight
 from ..sources.sinks import TextFormat, write_text
-from ..sources.text import TextTable
+from ..sources.text import TextTable, with_row_id
+from .prefix import running_totals
+from .sweep import as_of
 
 Expression = str | Column
 
@@ -71,30 +73,35 @@ class Dataset:
         some = replace(self, base=self.base.sample(share, seed)).filter_count()
         return some.withColumn("kept_pct", F.try_divide(F.col("kept") * 100.0, F.col("total")))
 
-    def marginal_estimate(self, numeric: list[str], categorical: list[str], draws: int = 4000, seed: int = 1, cells: int = 200) -> DataFrame:
+    def marginal_estimate(self, numeric: list[str], categorical: list[str], draws: int = 4000, seed: int = 1) -> DataFrame:
         """(draws, kept_pct): share of the filter on rows whose columns are drawn independently from their own distributions.
 
-        Each column is reduced to ``cells`` approximate quantiles or its commonest categories; no rows are joined.
+        A column's distribution is its digest, or the counts of all its categories; missing values are not drawn.  Calculated columns that are not
+        listed are computed from what was drawn.  Each draw is a number between 0 and 1 from a hash of seed, column and draw, looked up in the
+        cumulative shares as of its place, so a column may have any number of values and reruns agree.
         """
         df = self.with_calculated()
-        at = [k / cells for k in range(cells + 1)]
-        marginals = df.agg(*[F.percentile_approx(c, at).alias(c) for c in numeric])
-        drawn = df.sparkSession.range(draws).crossJoin(F.broadcast(marginals)) if numeric else df.sparkSession.range(draws)  # one row
-        picked = [F.element_at(c, (F.rand(seed + i) * (cells + 1)).cast("int") + 1).alias(c) for i, c in enumerate(numeric)]
-        drawn = drawn.select("id", *picked)
-        for i, c in enumerate(categorical):
-            n = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(cells).collect()
-            total, upto, pick = sum(r["count"] for r in n) or 1, 0.0, F.lit(None).cast("string")
-            steps = []
-            for r in n:
-                upto += r["count"] / total
-                steps.append((upto, r[c]))
-            u = F.rand(seed + 100 + i)
-            drawn = drawn.withColumn("__u", u)
-            for edge, value in reversed(steps):
-                pick = F.when(F.col("__u") < edge, F.lit(value)).otherwise(pick)
-            drawn = drawn.withColumn(c, pick).drop("__u")
-        return drawn.agg(F.count("*").alias("draws"), (F.count_if(self.passes(drawn, self.where)) * 100.0 / F.count("*")).alias("kept_pct"))
+        spark, columns = df.sparkSession, [*numeric, *categorical]
+        marks = None
+        for k, c in enumerate(columns):
+            if c in numeric:
+                cells = digest(df, [c]).select(F.col("mean").alias("place"), F.col("weight").alias("c"), F.col("mean").cast("string").alias("value"))
+            else:
+                counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").cast("double").alias("c"))
+                cells = with_row_id(counts, ["value"], "place").withColumn("place", F.col("place").cast("double"))
+            # A value is drawn from where the values before it end.
+            part = running_totals(cells, [], "place", "c").select(F.lit(k).alias("column"), ((F.col("cum") - F.col("c")) / F.col("total")).alias("at"), "value")
+            marks = part if marks is None else marks.unionByName(part)
+        drawn = spark.range(draws).withColumn("column", F.explode(F.array(*[F.lit(k) for k in range(len(columns))])))
+        drawn = drawn.withColumn("at", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "column", "id"), 11) / F.lit(float(1 << 53)))
+        found = as_of(drawn, marks, "column", "at", "value")
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        value = lambda k, c: F.max(F.when(F.col("column") == k, F.col("value"))).cast("double" if c in numeric else kinds[c]).alias(c)
+        rows = spark.range(draws).join(found.groupBy("id").agg(*[value(k, c) for k, c in enumerate(columns)]), "id", "left")
+        for name, e in self.calculated.items():
+            if name not in columns:
+                rows = rows.withColumn(name, column(e))
+        return rows.agg(F.count("*").alias("draws"), (F.count_if(self.passes(rows, self.where)) * 100.0 / F.count("*")).alias("kept_pct"))
 
     def health(self, source: TextTable | None = None, axes: dict[str, str] | None = None) -> DataFrame:
         """(check_name, n): rows read, kept by the filter and left out by weight, columns without a value, and coordinates without one.

@@ -226,6 +226,19 @@ def category_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categories.shown(categories.counts(table(spark, sf_dir, "part"), ["p_brand"]))
 
 
+_ACCENTED = "case when p_partkey % 4 = 0 then null when p_partkey % 4 = 1 then translate(p_type, 'AEO', 'ÄÉÓ') when p_partkey % 4 = 2 then lower(p_type) else p_type end"
+
+
+@query(f"""with c as (select coalesce({_ACCENTED}, '∅') v, count(*) n from part group by 1) select v as "value", n, row_number() over (order by v = '∅', v collate de, v) as alpha, row_number() over (order by n desc, v) as by_count,
+    row_number() over (order by case v when 'promo' then 1 when 'economy' then 2 else 3 end, n desc, v) as custom from c""")
+def category_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of labels with accents, of either case and missing, in three orders."""
+    counted = table(spark, sf_dir, "part").groupBy(F.coalesce(F.expr(_ACCENTED), F.lit(categories.MISSING)).alias("value")).agg(F.count("*").alias("n"))
+    counted = categories.with_place(counted, "missing-last", name="alpha")
+    counted = categories.with_place(counted, "count-desc", name="by_count")
+    return categories.with_place(counted, "custom", ["promo", "economy"], name="custom")
+
+
 @query("""select 'l_linestatus' as "column", l_returnflag as "group", l_linestatus as "value", count(*) as n, false as overflow from lineitem group by 2, 3""")
 def grouped_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categories.counts(block_model(spark, sf_dir), ["l_linestatus"], "l_returnflag")

@@ -102,7 +102,7 @@ def text_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.parse_quoted(head.unionByName(_lines(spark, sf_dir))).select("KEY", "CLERK")
 
 
-@query("""select 'KEY' as "column", 0 as decimals union all select 'PRICE', 2""")
+@query("""select 'KEY' as "column", max(0 * o_orderkey) as decimals from orders union all select 'PRICE', max(length(split_part(case when o_orderkey % 2 = 0 then printf('%.2f', o_totalprice) else printf('%.1f', o_totalprice) end, '.', 2))) from orders""")
 def text_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.concat_ws(";", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.format_string("%.2f", "o_totalprice")).otherwise(F.format_string("%.1f", "o_totalprice"))).alias("value"))
     lines = spark.createDataFrame([("KEY;PRICE",)], "value string").unionByName(o)
@@ -117,25 +117,40 @@ def filter_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select((F.col("total") > 0).alias("sampled"), (F.abs(F.col("kept_pct") - F.col("k") * 100.0 / F.col("n")) < 3).alias("near"))
 
 
-@query("""select true as near""")
+@query("""select round(100.0 * count(*) filter (l_quantity > 25) / count(*) * count(*) filter (l_returnflag = 'R') / count(*) * count(*) filter (l_partkey % 2 = 0) / count(*), 6) as expected, true as near from lineitem""")
 def filter_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether independent draws come within three points of the share kept, as the two columns here are independent."""
-    d = Dataset(block_model(spark, sf_dir), where="l_quantity > 25 and l_returnflag = 'R'")
-    both = d.marginal_estimate(["l_quantity"], ["l_returnflag"], 20_000).crossJoin(F.broadcast(d.filter_count()))  # one row each
-    return both.select((F.abs(F.col("kept_pct") - F.col("kept") * 100.0 / F.col("total")) < 3).alias("near"))
-
-
-@query("""select 'w: UNRESOLVED_COLUMN.WITH_SUGGESTION: l_quantty; near: l_quantity' as told""")
+    """Share kept if the columns were independent, and whether the draws come within three standard errors of it; parts are categories by the thousand."""
+    rows = block_model(spark, sf_dir).withColumn("part", F.col("l_partkey").cast("string"))
+    d = Dataset(rows, {"even": "cast(part as long) % 2 = 0"}, where="l_quantity > 25 and l_returnflag = 'R' and even")
+    share = lambda e: F.count_if(F.expr(e)) / F.count("*")
+    exact = rows.agg((share("l_quantity > 25") * share("l_returnflag = 'R'") * share("l_partkey % 2 = 0") * 100).alias("expected"))
+    both = d.marginal_estimate(["l_quantity"], ["l_returnflag", "part"], 20_000).crossJoin(F.broadcast(exact))  # one row each
+    error = F.sqrt(F.col("expected") * (100 - F.col("expected")) / F.col("draws"))
+    return rounded(both.select("expected", (F.abs(F.col("kept_pct") - F.col("expected")) < 3 * error).alias("near")), expected=6)
+
+
+@query("""select 'l_quantty * 2' as expression, 'w: UNRESOLVED_COLUMN.WITH_SUGGESTION: l_quantty; near: l_quantity' as told, cast(null as bigint) as kept union all select 'l_quantity > 25 and l_tax > 0.02', '', count(*) filter (l_quantity > 25 and l_tax > 0.02) from lineitem
+    union all select 'l_quantity * 0', '', 0 union all select 'l_shipdat is null', 'w: UNRESOLVED_COLUMN.WITH_SUGGESTION: l_shipdat; near: l_shipdate', null""")
 def expression_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = Dataset(table(spark, sf_dir, "lineitem"), {"w": "l_quantty * 2"}).problems()
-    return spark.createDataFrame([(t,) for t in told], "told string")
-
-
-@query("""select * from (values ('dear', 'numeric'), ('l_orderkey', 'numeric'), ('l_returnflag', 'categorical'), ('l_tax', 'categorical')) t(name, "type")""")
+    """What is wrong with expressions as filters, and how many rows the others keep."""
+    li, out = table(spark, sf_dir, "lineitem"), None
+    for e in ("l_quantty * 2", "l_quantity > 25 and l_tax > 0.02", "l_quantity * 0", "l_shipdat is null"):
+        told = "; ".join(Dataset(li, {"w": e}).problems())
+        kept = Dataset(li, where=e).filter_count().select("kept") if not told else spark.range(1).select(F.lit(None).cast("long").alias("kept"))
+        row = kept.select(F.lit(e).alias("expression"), F.lit(told.split("; did")[0]).alias("told"), "kept")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("""select 'dear' as name, 'numeric' as type, count(*) as known from lineitem union all select 'l_orderkey', 'numeric', count(l_orderkey) from lineitem union all select 'l_returnflag', 'categorical', count(nullif(l_returnflag, 'N')) from lineitem union all select 'l_tax', 'categorical', count(l_tax) from lineitem
+    union all select 'half', 'numeric', count(*) filter (l_linenumber > 3) from lineitem""")
 def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_tax")
-    found = Dataset(df, {"dear": "l_orderkey > 9"}).column_types({"l_tax": "categorical"})
-    return spark.createDataFrame(sorted(found.items()), "name string, type string")
+    """Types of columns and calculated columns, one of them overridden, and how many rows have a value of each."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", F.nullif("l_returnflag", F.lit("N")).alias("l_returnflag"), "l_tax", "l_linenumber")
+    d = Dataset(df, {"dear": "l_orderkey > 9", "half": "case when l_linenumber > 3 then l_tax / 2 end"}, columns=("l_orderkey", "l_returnflag", "l_tax", "l_linenumber"))
+    types = d.column_types({"l_tax": "categorical"})
+    wide = d.frame().agg(*[F.struct(F.lit(c).alias("name"), F.lit(t).alias("type"), F.count(c).alias("known")).alias(c) for c, t in types.items() if c != "l_linenumber"])
+    return wide.select(F.explode(F.array(*wide.columns)).alias("r")).select("r.*")
 
 
 @query("""select count(*) filter (l_returnflag <> 'R') as differs, count(*) filter (l_tax is null or l_tax <> 0.02 or l_discount = 0) as differs_or_none, count(*) filter (l_quantity % 7 <> 0) as remainders, round(sum(abs(l_quantity - 25)), 4) as absolute, round(sum(log2(l_quantity)), 4) as log_2, round(sum(log10(l_quantity)), 4) as log_10,

@@ -176,16 +176,25 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
     """A dense row number from 0 by an order of columns, for operators that join computed weights back.
 
     Rows that are equal in ``order`` go by a hash of all columns, so reruns agree and only rows equal throughout change places.  The table
-    is dealt by ranges of that order, sorted in each and written to a checkpoint with each row's range and place; numbers are made from
-    what was written, so ranges that are sampled anew when something is computed again cannot mix.  A row per range is sent to all tasks.
+    is dealt by ranges of that order and sorted in each; ``numbered`` makes the numbers.
     """
-    tie, at, part = spare_names(df, "tie", "at", "part")
+    (tie,) = spare_names(df, "tie")
     hashable = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
     ranged = df.withColumn(tie, F.xxhash64(*hashable)).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
+    return numbered(ranged.drop(tie), name)
+
+
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """Rows of a table whose partitions are sorted one after the other, as after ``orderBy``, with a dense number from 0.
+
+    The table is written to a checkpoint with each row's range and place; numbers are made from what was written, so ranges that are sampled
+    anew when something is computed again cannot mix.  A row per range is sent to all tasks.
+    """
+    at, part, before = spare_names(ordered, "at", "part", "before")
     # monotonically_increasing_id holds the partition above 33 bits of the place in it.
-    placed = checkpoint(ranged.drop(tie).withColumn(at, F.monotonically_increasing_id()))
+    placed = checkpoint(ordered.withColumn(at, F.monotonically_increasing_id()))
     placed = placed.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
-    before = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    before = before.withColumnRenamed("before", tie)
-    return placed.join(F.broadcast(before), part).withColumn(name, F.col(tie) + F.col(at)).select(*[c for c in df.columns if c != name], name)
+    ahead = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(part, F.coalesce(ahead, F.lit(0)).alias(before))
+    return placed.join(F.broadcast(sizes), part).withColumn(name, F.col(before) + F.col(at)).select(*[c for c in ordered.columns if c != name], name)

@@ -399,3 +399,16 @@ def test_roles_of_tables():
 def test_cutoff_ranges():
     assert grade_tonnage.cutoff_range(0.0, 0.3, 0.1) == [0.0, 0.1, 0.2, 0.3]
     assert grade_tonnage.cutoff_range(1.0, 1.0, 0.5) == [1.0]
+
+
+def test_labels_go_by_letter_then_accent_then_case(spark):
+    words = ["z", "É", "e", "f", "∅", "E", "é", "Ä", "a", "zeta", "Zebra", "a2", "a-1"]
+    df = frame(spark, [(w, 1) for w in words], "value string, n long")
+    got = [r["value"] for r in categories.in_order(df, "alpha").collect()]
+    assert got[-1] == "∅" and [w for w in got if w in "zÉefEéÄa"] == ["a", "Ä", "e", "E", "é", "É", "f", "z"]
+    assert got.index("Zebra") < got.index("zeta")
+    placed = categories.with_place(df, "missing-last").collect()
+    assert {r["value"]: r["place"] for r in placed} == {w: k + 1 for k, w in enumerate(got)}
+    many = spark.range(5000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("value"), (F.col("id") % 7).alias("n"))
+    rows = categories.with_place(many, "count-asc").orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(1, 5001)) and [(r["n"], r["value"]) for r in rows] == sorted((r["n"], r["value"]) for r in rows)

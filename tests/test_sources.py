@@ -291,3 +291,18 @@ def test_decimals(spark):
     lines = spark.createDataFrame([("A,B,C",), ("1.25,7,x",), ("3.5,8.125,y",)], "value string")
     t = text.from_lines(lines, types={"A": "numeric", "B": "numeric", "C": "categorical"})
     assert {r["column"]: r["decimals"] for r in text.decimals(lines, t).collect()} == {"A": 2, "B": 3}
+
+
+def test_marginals_of_ten_thousand_categories(spark):
+    """Every category and number can be drawn, by its own share; missing values are not drawn; calculated columns follow what was drawn."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 < 2, (F.col("id") % 10_000)).cast("string").alias("k"), (F.col("id") % 1000).cast("double").alias("v"), (F.col("id") % 2 == 0).alias("flag"))
+    tail = Dataset(rows, where="cast(k as int) >= 5000")  # none of them among the commonest two hundred
+    draws = 20_000
+    near = lambda got, p: abs(got - 100 * p) < 300 * (p * (1 - p) / draws) ** 0.5
+    est = tail.marginal_estimate([], ["k"], draws).first()
+    assert est["draws"] == draws and near(est["kept_pct"], 0.5)
+    both = Dataset(rows, {"w": "v * 2"}, "w < 500 and cast(k as int) % 4 = 0 and flag").marginal_estimate(["v"], ["k", "flag"], draws).first()
+    assert near(both["kept_pct"], 0.25 * 0.25 * 0.5)
+    assert both == Dataset(rows.repartition(7), {"w": "v * 2"}, "w < 500 and cast(k as int) % 4 = 0 and flag").marginal_estimate(["v"], ["k", "flag"], draws).first()
+    none = Dataset(rows.where("v < 0"), where="v is null").marginal_estimate(["v"], ["k"], 10).first()
+    assert none["draws"] == 10 and none["kept_pct"] == 100
