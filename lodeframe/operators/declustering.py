@@ -1,16 +1,23 @@
-"""Cell declustering: weights that undo the crowding of samples."""
+"""Cell declustering: weights that undo the crowding of samples.
+
+A sweep lays every point in one cell for each size and origin, by default two hundred.  Points are laid out once instead, in ranges
+of the Z-order of their places.  A range holds all points of most of the cells that it meets, so those are summed where the points are;
+only cells that cross the border of a range leave their task, and are merged.
+"""
 
 from __future__ import annotations
 
-import json
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.scalar import finite
-from ..plans.levels import levels_passed
+from ..plans.storage import checkpoint, spare_names
 
 
 @dataclass
@@ -53,71 +60,140 @@ def default_sweep(df: DataFrame, axes: dict[str, str], variable: str, cells: int
     return Sweep.between((extent or 1.0) / 100, (extent or 1.0) / 2, cells, **more)
 
 
-def _cells(points: DataFrame, sweep: Sweep, sizes: list[float], b) -> DataFrame:
-    """One row per point, size and offset with its cell along each axis; sizes and offsets are a short constant list."""
+#: Bits of a place along each axis in the Z-order, and the steps that put two free bits behind each of them.
+BITS = 21
+SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+#: Points of a range.
+RANGE_POINTS = 200_000
 
-    def at(axis: str, size: float, k: int, factor: float) -> Column:
-        s = size * factor
-        origin = b["lo" + axis] - 0.01 - (k - 1) * min(s / sweep.offsets, 0.5 * (b["hi" + axis] - b["lo" + axis]))
-        return F.floor((F.col("__" + axis) - F.lit(origin)) / F.lit(s))
 
-    factors = (1.0, *sweep.anisotropy)
-    combos = [F.struct(F.lit(float(size)).alias("size"), F.lit(k).alias("offset"), *[at(a, size, k, f).alias(a) for a, f in zip("xyz", factors)]) for size in sizes for k in range(1, sweep.offsets + 1)]
-    return points.withColumn("c", F.explode(F.array(*combos)))
+@dataclass
+class _Frame:
+    """Bounds of the points and the grid of each size and origin."""
 
+    low: tuple[float, float, float]
+    extent: tuple[float, float, float]
+    factors: tuple[float, float, float]
+    offsets: int
 
-def _breaks(low: float, extent: float, size: float, offsets: int) -> tuple[list[float], list[list[int]]]:
-    """Where cells of any offset begin along a short axis, and the cell of each offset in every stretch between.
+    @staticmethod
+    def of(b, sweep: Sweep) -> "_Frame":
+        return _Frame(tuple(b["lo" + a] for a in "xyz"), tuple(b["hi" + a] - b["lo" + a] for a in "xyz"), (1.0, *sweep.anisotropy), sweep.offsets)
 
-    Used where an axis is shorter than two steps between origins, so breaks are about as few as offsets.
-    """
-    own = []
-    for k in range(offsets):
-        origin = low - 0.01 - k * min(size / offsets, 0.5 * extent)
-        first = math.floor((low - origin) / size)
-        count = math.floor((low + extent - origin) / size) - first
-        own.append((first, [origin + (first + m) * size for m in range(1, count + 1)]))
-    places = sorted({x for _, xs in own for x in xs})
-    return places, [[first + sum(x <= p for x in xs) for p in [-math.inf, *places]] for first, xs in own]
+    def grid(self, axis: int, size: float, k: int) -> tuple[float, float]:
+        """(origin, cell length) of origin ``k`` along an axis."""
+        s = size * self.factors[axis]
+        return self.low[axis] - 0.01 - k * min(s / self.offsets, 0.5 * self.extent[axis]), s
+
+    def place(self, axis: int, x: np.ndarray, pad: int) -> np.ndarray:
+        """Z-order place along an axis, moved by ``pad`` against rounding."""
+        top = (1 << BITS) - 1
+        at = np.floor((x - self.low[axis]) / (self.extent[axis] or 1.0) * top)
+        return np.clip(np.clip(at, -1, top + 1).astype(np.int64) + pad, 0, top)
+
+    def z(self, corners: list[np.ndarray], pad: int) -> np.ndarray:
+        out = 0
+        for axis, x in enumerate(corners):
+            at = self.place(axis, x, pad)
+            for shift, mask in SPREAD:
+                at = (at | at << shift) & mask
+            out = out | at << axis
+        return out
+
+    def with_z(self, points: DataFrame, name: str) -> DataFrame:
+        """The same for rows of points, in a column of its own; one step at a time, as each uses the one before it twice."""
+        top = (1 << BITS) - 1
+        steps = {a: F.floor((F.col("__" + a) - F.lit(self.low[i])) / F.lit(self.extent[i] or 1.0) * F.lit(float(top))) for i, a in enumerate("xyz")}
+        out = points.withColumns({f"__z{a}": F.least(F.greatest(at, F.lit(0)), F.lit(top)).cast("long") for a, at in steps.items()})
+        for shift, mask in SPREAD:
+            out = out.withColumns({f"__z{a}": F.shiftleft(f"__z{a}", shift).bitwiseOR(F.col(f"__z{a}")).bitwiseAND(F.lit(mask)) for a in "xyz"})
+        place = F.col("__zx").bitwiseOR(F.shiftleft("__zy", 1)).bitwiseOR(F.shiftleft("__zz", 2))
+        return out.withColumn(name, place).drop("__zx", "__zy", "__zz")
+
+
+@dataclass
+class _Cells:
+    """Cells of one size and origin in a range: each point's cell, the cells' places along the axes, and which lie in the range as a whole."""
+
+    of: np.ndarray
+    places: list[np.ndarray]
+    inside: np.ndarray
+
+
+def _cells(frame: _Frame, points: list[np.ndarray], size: float, k: int, first: int, last: int) -> _Cells:
+    grids = [frame.grid(axis, size, k) for axis in range(3)]
+    at = [np.floor((x - origin) / s).astype(np.int64) for x, (origin, s) in zip(points, grids)]
+    spans = [int(c.max() - c.min()) + 1 for c in at]
+    if math.prod(spans) < 2**62:
+        key = ((at[0] - at[0].min()) * spans[1] + at[1] - at[1].min()) * spans[2] + at[2] - at[2].min()
+        _, index, of = np.unique(key, return_index=True, return_inverse=True)
+    else:
+        _, index, of = np.unique(np.stack(at, 1), axis=0, return_index=True, return_inverse=True)
+    places = [c[index] for c in at]
+    low = frame.z([origin + c * s for c, (origin, s) in zip(places, grids)], -1)
+    high = frame.z([origin + (c + 1) * s for c, (origin, s) in zip(places, grids)], 1)
+    # Places grow with every coordinate, so all points of a cell lie between its corners in the Z-order.
+    return _Cells(of.reshape(-1), places, (low >= first) & (high <= last))
 
 
-def curve(df: DataFrame, axes: dict[str, str], variable: str, sweep: Sweep) -> DataFrame:
+def _laid(points: DataFrame, frame: _Frame, n: int, range_points: int) -> tuple[DataFrame, int]:
+    """Points in ranges of the Z-order, written once, and the number of ranges."""
+    parts = max(math.ceil(n / range_points), min(math.ceil(n / 20_000), points.sparkSession.sparkContext.defaultParallelism))
+    laid = frame.with_z(points, "__at").repartitionByRange(parts, "__at")
+    return checkpoint(laid), parts
+
+
+def _held(batches, columns: int):
+    """All points of a range: their columns, which come first, and the first and last place in the Z-order; None if it has none."""
+    table = pa.Table.from_batches(batches)
+    if not table.num_rows:
+        return None
+    held = [table.column(c).to_numpy() for c in range(columns)]
+    return held, int(held[-1].min()), int(held[-1].max()), table
+
+
+def curve(df: DataFrame, axes: dict[str, str], variable: str, sweep: Sweep, range_points: int = RANGE_POINTS) -> DataFrame:
     """(size, mean): declustered mean at every cell size, and the naive mean at size 0.
 
     A point weighs one over its cell's count and the number of filled cells, so a size's mean is the mean over
-    offsets of the mean of cell means.  The origins of one size lie a step of size / offsets apart: points are summed once in cells of
-    that step, a row a size, and only those sums meet the cells of all offsets.
+    offsets of the mean of cell means.  Points of one place are summed first.  Rows that are shuffled are the points, once, and for each size
+    and origin the cells on the borders of ranges.
     """
     points = _points(df, axes, variable, [])
     b = _bounds(points)
     naive = df.sparkSession.createDataFrame([(0.0, b["mean"])], "size double, mean double")
     if (b["n"] or 0) < 2:
         return naive
-    n, factors = sweep.offsets, dict(zip("xyz", (1.0, *sweep.anisotropy)))
-    steps, tables = [], {a: [] for a in "xyz"}  # tables: for each size, the cells of every offset by stretch, or none
-    for i, size in enumerate(sweep.sizes):
-        fine = []
-        for a, factor in factors.items():
-            low, extent, s = b["lo" + a], b["hi" + a] - b["lo" + a], size * factor
-            if s / n <= 0.5 * extent:
-                fine.append(F.floor((F.col("__" + a) - F.lit(low - 0.01)) / F.lit(s / n)).alias(a))
-                tables[a].append([])
-            else:
-                places, cells = _breaks(low, extent, s, n)
-                fine.append(levels_passed(places, lambda x, a=a: x <= F.col("__" + a)).cast("long").alias(a))
-                tables[a].append(cells)
-        steps.append(F.struct(F.lit(i).alias("i"), *fine))
-    summed = points.withColumn("f", F.explode(F.array(*steps))).groupBy("f").agg(F.sum("__v").alias("v"), F.count("*").alias("n"))
-    rows = summed.select("f.*", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-
-    def cell(a: str) -> Column:
-        known = F.from_json(F.lit(json.dumps(tables[a])), "array<array<array<bigint>>>")
-        own = F.get(F.get(F.get(known, F.col("i")), F.col("k")), F.col(a).cast("int"))
-        return F.coalesce(own, F.floor((F.col(a) + F.col("k")) / F.lit(n))).alias("c" + a)
-
-    filled = rows.select("i", "k", *[cell(a) for a in "xyz"], "v", "n").groupBy("i", "k", "cx", "cy", "cz").agg((F.sum("v") / F.sum("n")).alias("m"))
-    per = filled.groupBy("i", "k").agg(F.avg("m").alias("m")).groupBy("i").agg(F.avg("m").alias("mean"))
-    return naive.unionByName(per.select(F.get(F.array(*[F.lit(float(s)) for s in sweep.sizes]), F.col("i")).alias("size"), "mean"))
+    frame, sizes = _Frame.of(b, sweep), [float(s) for s in sweep.sizes]
+    summed = points.groupBy("__x", "__y", "__z").agg(F.sum("__v").alias("__v"), F.count("*").cast("double").alias("__n"))
+    laid, parts = _laid(summed, frame, b["n"], range_points)
+    names = ["i", "k", "cx", "cy", "cz", "v", "n"]
+
+    def run(batches):
+        held = _held(list(batches), 6)
+        if held is None:
+            return
+        (x, y, z, v, n, _), first, last, _ = held
+        first, last = (first, last) if parts > 1 else (0, (1 << 63) - 1)
+        own = []
+        for i, size in enumerate(sizes):
+            for k in range(frame.offsets):
+                c = _cells(frame, [x, y, z], size, k, first, last)
+                sums, counts = np.bincount(c.of, v), np.bincount(c.of, n)
+                own.append((i, k, (sums[c.inside] / counts[c.inside]).sum(), c.inside.sum()))
+                out = ~c.inside
+                if out.any():
+                    some = int(out.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(some, i, np.int32)), pa.array(np.full(some, k, np.int32)), *[pa.array(p[out]) for p in c.places], pa.array(sums[out]), pa.array(counts[out])], names=names)
+        i, k, v, n = zip(*own)
+        none = pa.nulls(len(own), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(k, pa.int32()), none, none, none, pa.array(v, pa.float64()), pa.array(n, pa.float64())], names=names)
+
+    found = checkpoint(laid.select("__x", "__y", "__z", "__v", "__n", "__at").mapInArrow(run, "i int, k int, cx long, cy long, cz long, v double, n double"))
+    merged = found.where("cx is not null").groupBy("i", "k", "cx", "cy", "cz").agg((F.sum("v") / F.sum("n")).alias("v")).select("i", "k", "v", F.lit(1.0).alias("n"))
+    each = found.where("cx is null").select("i", "k", "v", "n").unionByName(merged).groupBy("i", "k").agg((F.sum("v") / F.sum("n")).alias("m"))
+    per = each.groupBy("i").agg(F.avg("m").alias("mean"))
+    return naive.unionByName(per.select(F.get(F.array(*[F.lit(s) for s in sizes]), F.col("i")).alias("size"), "mean"))
 
 
 def best_size(curve_points: DataFrame, largest: bool = False) -> float:
@@ -127,16 +203,60 @@ def best_size(curve_points: DataFrame, largest: bool = False) -> float:
     return row["size"] if row else 0.0
 
 
-def weights(df: DataFrame, axes: dict[str, str], variable: str, sweep: Sweep, row_id: str, pinned: float | None = None) -> DataFrame:
-    """(row_id, weight) with mean 1, at the best size of the sweep or at a pinned one; rows without a place or value get none."""
+def weights(df: DataFrame, axes: dict[str, str], variable: str, sweep: Sweep, row_id: str, pinned: float | None = None, range_points: int = RANGE_POINTS) -> DataFrame:
+    """(row_id, weight) with mean 1, at the best size of the sweep or at a pinned one; rows without a place or value get none.
+
+    In every range a point's share is summed over the origins whose cells lie in the range; only points in cells on borders are joined with
+    those cells' counts.
+    """
     points = _points(df, axes, variable, [row_id])
     b = _bounds(points)
-    size = pinned if pinned is not None else (sweep.sizes[0] if len(sweep.sizes) == 1 else best_size(curve(df, axes, variable, sweep), sweep.largest))
+    size = pinned if pinned is not None else (sweep.sizes[0] if len(sweep.sizes) == 1 else best_size(curve(df, axes, variable, sweep, range_points), sweep.largest))
     if not size or (b["n"] or 0) < 2:
         return points.select(row_id, F.lit(1.0).alias("weight"))
-    placed = _cells(points, sweep, [size], b).select(row_id, "c")
-    crowd = placed.groupBy("c").agg(F.count("*").alias("n"))
-    filled = crowd.groupBy("c.offset").agg(F.count("*").alias("cells"))
-    shares = placed.join(crowd, "c").join(F.broadcast(filled), F.col("c.offset") == F.col("offset"))  # a row per offset
-    scale = b["n"] / sweep.offsets
-    return shares.groupBy(row_id).agg((F.sum(1.0 / F.col("n") / F.col("cells")) * F.lit(scale)).alias("weight"))
+    frame, size = _Frame.of(b, sweep), float(size)
+    laid, parts = _laid(points, frame, b["n"], range_points)
+    cell = ["k", "cx", "cy", "cz"]
+    places = laid.select("__x", "__y", "__z", "__at", row_id)
+
+    def each(batches):
+        held = _held(list(batches), 4)
+        if held is not None:
+            (x, y, z, _), first, last, table = held
+            first, last = (first, last) if parts > 1 else (0, (1 << 63) - 1)
+            for k in range(frame.offsets):
+                yield k, _cells(frame, [x, y, z], size, k, first, last), table
+
+    def count(batches):
+        for k, c, _ in each(batches):
+            out, n = ~c.inside, np.bincount(c.of)
+            some = int(out.sum())
+            whole = [pa.array([k], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.array([int(c.inside.sum())])]
+            yield pa.RecordBatch.from_arrays(whole, names=[*cell, "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(some, k, np.int32)), *[pa.array(p[out]) for p in c.places], pa.array(n[out])], names=[*cell, "n"])
+
+    counted = checkpoint(places.mapInArrow(count, "k int, cx long, cy long, cz long, n long"))
+    borders = checkpoint(counted.where("cx is not null").groupBy(*cell).agg(F.sum("n").alias("n")))
+    filled = counted.where("cx is null").select("k", "n").unionByName(borders.select("k", F.lit(1).cast("long").alias("n"))).groupBy("k").agg(F.sum("n").alias("cells")).collect()  # a row per origin
+    cells = {r["k"]: r["cells"] for r in filled}
+    id_type = points.schema[row_id].dataType
+    (share,) = spare_names(points, "share")
+    schema = StructType([StructField(row_id, id_type), *StructType.fromDDL("k int, cx long, cy long, cz long").fields, StructField(share, StructType.fromDDL("s double")[0].dataType)])
+
+    def weigh(batches):
+        total = None
+        for k, c, table in each(batches):
+            ids = table.column(4).combine_chunks()
+            total = np.zeros(len(ids)) if total is None else total
+            n = np.bincount(c.of)
+            total += np.where(c.inside[c.of], 1.0 / n[c.of] / cells[k], 0.0)
+            out = np.flatnonzero(~c.inside[c.of])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out)), pa.array(np.full(len(out), k, np.int32)), *[pa.array(p[c.of[out]]) for p in c.places], pa.nulls(len(out), pa.float64())], names=schema.names)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int32()), *[pa.nulls(len(ids), pa.int64())] * 3, pa.array(total)], names=schema.names)
+
+    found = checkpoint(places.mapInArrow(weigh, schema))
+    of = F.get(F.array(*[F.lit(float(cells.get(k, 1))) for k in range(frame.offsets)]), F.col("k"))
+    crossing = found.where("k is not null").join(borders, cell).select(row_id, (1.0 / F.col("n") / of).alias(share))
+    shares = found.where("k is null").select(row_id, share).unionByName(crossing)
+    return shares.groupBy(row_id).agg((F.sum(share) * F.lit(b["n"] / frame.offsets)).alias("weight"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import categories, declustering, geometry, grade_tonnage, section, statistics, swath, topcut
 from ..operators.states import merge_digests, merge_moments
+from ..sources.text import with_row_id
 from .registry import BM, block_model, query, rounded, table
 
 GRADES = ("l_discount", "l_tax", "l_extendedprice")
@@ -514,11 +515,14 @@ def declus_curve_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(declustering.curve(block_model(spark, sf_dir), {"x": "x", "y": "y"}, "l_extendedprice", _WIDE), mean=4)
 
 
-@query(f"""with {_declus_cells((70.0,)).replace('l_orderkey, l_partkey px', 'l_orderkey, l_linenumber, l_partkey px')}, n as (select *, count(*) over (partition by k, cx, cy) cn from c), f as (select k, count(distinct (cx, cy)) cells from c group by 1)
+@query(f"""with {_declus_cells(_SWEEP.sizes).replace('l_orderkey, l_partkey px', 'l_orderkey, l_linenumber, l_partkey px')}, m as (select size, avg(m) m from (select size, k, avg(m) m from (select size, k, cx, cy, avg(v) m from c group by 1, 2, 3, 4) group by 1, 2) group by 1),
+    w as (select arg_min(size, (m, size)) size from (select size, m from m union all select 0, naive from b)), n as (select c.*, count(*) over (partition by k, cx, cy) cn from c join w on c.size = w.size), f as (select k, count(distinct (cx, cy)) cells from n group by 1)
     select round(weight, 6) as weight, count(*) as n from (select rid, sum(1.0 / cn / cells) * (select n from b) / 4 as weight from n join f using (k) group by rid) group by 1""")
 def declus_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = block_model(spark, sf_dir).withColumn("rid", F.monotonically_increasing_id())
-    w = declustering.weights(df, {"x": "x", "y": "y"}, "l_extendedprice", declustering.Sweep([70.0], offsets=4), "rid", 70.0)
+    """Weights by row id at the size of the least mean in the sweep."""
+    df = with_row_id(block_model(spark, sf_dir), ["l_orderkey", "l_linenumber"], "rid")
+    w = declustering.weights(df, {"x": "x", "y": "y"}, "l_extendedprice", _SWEEP, "rid")
     return w.groupBy(F.round("weight", 6).alias("weight")).agg(F.count("*").alias("n"))
 
 
+

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,3 +413,41 @@ def test_labels_go_by_letter_then_accent_then_case(spark):
     many = spark.range(5000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("value"), (F.col("id") % 7).alias("n"))
     rows = categories.with_place(many, "count-asc").orderBy("place").collect()
     assert [r["place"] for r in rows] == list(range(1, 5001)) and [(r["n"], r["value"]) for r in rows] == sorted((r["n"], r["value"]) for r in rows)
+
+
+def brute_sweep(x, v, sizes, offsets, anisotropy=(1.0, 1.0)):
+    """{size: (mean, weights)} by one dictionary of cells per size and origin."""
+    low, extent, out = x.min(0), x.max(0) - x.min(0), {}
+    for size in sizes:
+        s, w = size * np.array([1.0, *anisotropy]), np.zeros(len(x))
+        for k in range(offsets):
+            cells = np.floor((x - (low - 0.01 - k * np.minimum(s / offsets, 0.5 * extent))) / s)
+            _, of, n = np.unique(cells, axis=0, return_inverse=True, return_counts=True)
+            w += 1 / n[of.reshape(-1)] / len(n)
+        out[size] = ((w * v).sum() / w.sum(), w * len(x) / w.sum())
+    return out
+
+
+def test_declustering_of_scattered_points_in_ranges(spark, monkeypatch):
+    """Continuous points in space, half of them in one small cluster and many at one place, in forty ranges: exact, and few cells cross borders."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.random((3000, 3)) * [1000, 600, 80], rng.normal([200, 300, 40], [5, 5, 2], (2700, 3)), np.full((300, 3), [700.0, 100.0, 10.0])])
+    v = rng.lognormal(0, 1, len(x)) + (x[:, 0] < 250)
+    df = spark.createDataFrame([(i, *map(float, p), float(a)) for i, (p, a) in enumerate(zip(x, v))], "id long, x double, y double, z double, v double").repartition(5)
+    axes, rows, keep = {a: a for a in "xyz"}, [], declustering.checkpoint
+    monkeypatch.setattr(declustering, "checkpoint", lambda d: rows.append(keep(d)) or rows[-1])
+    sweep = declustering.default_sweep(df, axes, "v", anisotropy=(1.0, 0.25))
+    assert len(sweep.sizes) == 25 and sweep.offsets == 8
+    want = brute_sweep(x, v, sweep.sizes, 8, (1.0, 0.25))
+    got = {r["size"]: r["mean"] for r in declustering.curve(df, axes, "v", sweep, range_points=150).collect()}
+    assert got.pop(0.0) == pytest.approx(v.mean())
+    assert got == {s: pytest.approx(m) for s, (m, _) in want.items()}
+    assert rows[0].rdd.getNumPartitions() == 40
+    few = keep(declustering.curve(df, axes, "v", sweep, range_points=3000))
+    assert few.count() == 26 and rows[-1].count() < 0.25 * 200 * len(x)
+    for size in (sweep.sizes[0], sweep.sizes[12], sweep.sizes[-1]):
+        found = {r["id"]: r["weight"] for r in declustering.weights(df, axes, "v", sweep, "id", size, range_points=150).collect()}
+        assert found == {i: pytest.approx(w) for i, w in enumerate(want[size][1])}
+    best = min(want, key=lambda s: want[s][0])
+    found = {r["id"]: r["weight"] for r in declustering.weights(df.withColumnRenamed("id", "share"), axes, "v", sweep, "share", range_points=1000).withColumnRenamed("share", "id").collect()}
+    assert found == {i: pytest.approx(w) for i, w in enumerate(want[best][1])}
