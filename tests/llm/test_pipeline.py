@@ -3,9 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from lodeframe.llm import packing
+from lodeframe.llm.packing import tokenizer
 
 
 def brute_similar(texts):
@@ -92,3 +95,45 @@ def test_stages_take_odd_rows(spark, corpus, docs, tmp_path):
     assert stages["packing"](spark, df, path).count() > 0 and set(r["doc_id"] for r in stages["quality"](spark, df, path).collect()) <= {None, *range(1, 8)}
     for stage in stages.values():
         assert stage(spark, df.limit(0), path).count() == 0
+
+
+def test_mixed_words_meet_the_targets_and_packed_tokens_restore_them(spark, corpus):
+    """The last two stages and the whole run against plain counts: words by source, and every text rebuilt from its tokens."""
+    path, _, _ = corpus
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{path}/documents.parquet")
+    for name in ("quality", "near_duplicates", "decontamination"):
+        docs = stages[name](spark, docs, path)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    size: dict[str, int] = {}
+    for r in docs.collect():
+        size[r["source"]] = size.get(r["source"], 0) + words(r["text"])
+    mixed = stages["mixing"](spark, docs, path)
+    taken: dict[str, int] = {}
+    texts = sorted(r["text"] for r in mixed.collect())
+    for r in mixed.collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + words(r["text"])
+    # Sources a and b weigh 5 and 2 and share 150 % of all words, none more than twice its own.
+    total = 1.5 * sum(size.values())
+    target = {"a": min(2 * size["a"], 5 / 7 * total), "b": min(2 * size["b"], 2 / 7 * total)}
+    for one, other in (("a", "b"), ("b", "a")):
+        if target[one] == 2 * size[one]:
+            target[other] = min(2 * size[other], total - target[one])
+    assert {s: pytest.approx(t, abs=1024) for s, t in target.items()} == taken  # a last block of 512 words that is not full may be taken twice
+    encoder = tokenizer(packing.VOCABULARY)
+    whole: dict[tuple, list] = {}
+    for k, r in enumerate(corpus_pipeline.run(spark, path).collect()):
+        ids = np.frombuffer(r["ids"], "<u2")
+        for doc, start, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            whole.setdefault(doc, []).append((start, k, ids[a:b].tolist()))
+    rebuilt = []
+    for pieces in whole.values():
+        # Pieces of one repeat follow each other; a piece that starts at 0 opens the next one.
+        open_: list[list[int]] = []
+        for start, _, ids in sorted(pieces, key=lambda p: p[0]):
+            home = next((o for o in open_ if len(o) == start and start), None)
+            if home is None:
+                open_.append(list(ids))
+            else:
+                home += ids
+        rebuilt += [encoder.decode(o[:-1]) for o in open_]
+    assert sorted(rebuilt) == texts
