@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..operators import categories, drillhole, statistics
 from ..plans.dataset import Dataset
-from ..sources import sinks, text
+from ..plans.storage import shared_dir
+from ..sources import paged, sinks, text, zipped
 from .registry import block_model, query, rounded, table
 
 
@@ -164,3 +168,98 @@ def scalar_functions_more(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(scalar.power(q, 1.5)).alias("powers"), F.count_if(scalar.isnum(F.when(t > 0, t).otherwise(F.lit(float("nan"))))).alias("numbers"), F.sum(F.sin(q) + F.cos(t) + F.atan2(t, q)).alias("angles"),
     )
     return rounded(out, absolute=4, log_2=4, log_10=4, exponentials=4, powers=2, angles=4)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder of its own among the tables that the cluster shares."""
+    return f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+@query("""select cast(o_orderkey as double) as "KEY", round(o_totalprice, 6) as "PRICE", case when o_orderkey % 5 > 0 then o_orderstatus end as "STATUS", substr('priority ' || o_orderpriority, 1, 16) as "PRIORITY" from orders""")
+def paged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as paged binary files by all tasks and read back in ranges of a few pages."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("KEY"), F.col("o_totalprice").alias("PRICE"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("STATUS"), F.concat(F.lit("priority "), "o_orderpriority").alias("PRIORITY"))
+    folder = _folder(spark)
+    paged.write_paged(rows.repartition(3), folder)
+    return rounded(paged.read_paged(spark, folder, partition_bytes=1 << 16), PRICE=6)
+
+
+@query("""select 'PRICE' as name, count(*) as n, round(sum(o_totalprice), 2) as total from orders union all select 'KEY', count(*), sum(o_orderkey) from orders""")
+def paged_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a paged file of 4-byte words only the columns that are asked for."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("KEY"), (F.floor("o_totalprice") % 1000).alias("SMALL"), F.col("o_totalprice").alias("PRICE"))
+    folder = _folder(spark)
+    paged.write_paged(rows.repartition(2), folder)
+    back = paged.read_paged(spark, folder, columns=["PRICE", "KEY"])
+    wide = back.agg(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.round(F.sum(c), 2).alias("total")).alias(c) for c in back.columns])
+    return wide.select(F.explode(F.array(*wide.columns)).alias("r")).select("r.*")
+
+
+@query("""select cast(o_orderkey as double) as key, round(o_totalprice, 2) as price, case when o_orderstatus <> 'P' then o_orderstatus end as status from orders""")
+def zipped_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as zip archives by all tasks and read back as one typed table."""
+    o = table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    folder = _folder(spark)
+    zipped.write_zip(o.repartition(3), folder, {"o_orderkey": "key", "o_totalprice": "price", "o_orderstatus": "status"}, sinks.TextFormat(precision=2, comments=("orders",)))
+    return zipped.read_zip(spark, folder, types={"key": "numeric", "price": "numeric", "status": "categorical"}).data()
+
+
+@query("""select 'li' as part, cast(l_orderkey as varchar) as "KEY", cast(cast(l_quantity as int) * 2 as varchar) as "DOUBLED" from lineitem where l_returnflag = 'R' and l_quantity > 25 union all select 'collar', cast(o_orderkey as varchar), o_orderstatus from orders where o_orderstatus <> 'P'""")
+def exported_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset's filtered rows with a calculated column, and a set of raw tables, exported as text and read back."""
+    d = Dataset(table(spark, sf_dir, "lineitem"), {"doubled": "l_quantity * 2"}, "l_returnflag = 'R' and l_quantity > 25")
+    collars, _ = drillhole.prepared(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), where="o_orderstatus <> 'P'")
+    folder = _folder(spark)
+    d.export(f"{folder}/li", {"l_orderkey": "KEY", "doubled": "DOUBLED"})
+    sinks.write_tables({"collar": collars}, folder)
+    li, collar = (text.read_quoted(spark, f"{folder}/{part}") for part in ("li", "collar"))
+    return li.select(F.lit("li").alias("part"), "KEY", "DOUBLED").unionByName(collar.toDF("KEY", "DOUBLED").select(F.lit("collar").alias("part"), "KEY", "DOUBLED"))
+
+
+@query("""with b as (select min(l_partkey) - 5 lx, max(l_partkey) + 5 hx, min(l_suppkey) ly, max(l_suppkey) hy, min(l_quantity) lz, max(l_quantity) hz from lineitem), v as (select x, y, z from b, lateral (select unnest([lx, hx]) x), lateral (select unnest([ly, hy]) y), lateral (select unnest([lz, hz]) z))
+    select cast(x as double) as x, cast(y as double) as y, cast(z as double) as z from v""")
+def box_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the box around all places as the sink writes them, padded by half a block of 10 along one axis."""
+    obj = sinks.bounding_box_obj(table(spark, sf_dir, "lineitem"), {"x": "l_partkey", "y": "l_suppkey", "z": "l_quantity"}, {"x": 10.0})
+    return spark.createDataFrame([tuple(map(float, line.split()[1:])) for line in obj.splitlines() if line[0] == "v"], "x double, y double, z double")
+
+
+@query("""select count(*) as total, count(*) filter (l_discount * 2 > 0.1) as kept, round(sum(l_discount * 2) filter (l_discount * 2 > 0.1), 6) as twice, round(sum(l_discount * 2 * l_quantity) filter (l_discount * 2 > 0.1) / sum(l_quantity) filter (l_discount * 2 > 0.1), 8) as weighed from lineitem""")
+def prepared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drillhole table with a calculated column and a filter, and the same from its recipe as a weighed dataset."""
+    li = table(spark, sf_dir, "lineitem")
+    rows, counts = drillhole.prepared(li, {"twice": "l_discount * 2"}, "twice > 0.1")
+    again = Dataset.from_recipe(li, Dataset(li, {"twice": "l_discount * 2"}, "twice > 0.1", "l_quantity").recipe())
+    mean = statistics.moments(again.frame(), ["twice"], again.weight).select(F.col("mean").alias("weighed"))
+    sums = rows.agg(F.sum("twice").alias("twice"))
+    return rounded(counts.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(mean)), twice=6, weighed=8)  # one row each
+
+
+@query("""select count(*) filter (starts_with(p_name, 'c')) as begins, count(*) filter (contains(p_name, 'mal')) as holds, count(*) filter (ends_with(p_type, 'Y')) as ends, sum(length(upper(p_name) || lower(p_type))) as lengths, count(distinct substr(p_brand, 7, 2)) as numbers,
+    max(replace(trim('  ' || p_type || ' '), 'ECO', '-')) as changed, round(sum(case when p_size % 3 > 0 then p_size else -1.5 end), 4) as known, round(sum(sin(pi() * p_size / 7) + ln(exp(1) * p_size)), 6) as constants from part""")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods of texts, constants, and a default for what is no number."""
+    size = F.when(F.col("p_size") % 3 > 0, F.col("p_size")).otherwise(F.lit(float("nan")))
+    out = table(spark, sf_dir, "part").agg(
+        F.count_if(F.startswith("p_name", F.lit("c"))).alias("begins"), F.count_if(F.contains("p_name", F.lit("mal"))).alias("holds"), F.count_if(F.endswith("p_type", F.lit("Y"))).alias("ends"),
+        F.sum(F.length(F.concat(F.upper("p_name"), F.lower("p_type")))).alias("lengths"), F.count_distinct(F.substring("p_brand", 7, 2)).alias("numbers"),
+        F.max(F.replace(F.trim(F.concat(F.lit("  "), "p_type", F.lit(" "))), F.lit("ECO"), F.lit("-"))).alias("changed"),
+        F.sum(scalar.ifnum(size, -1.5)).alias("known"), F.sum(F.sin(F.pi() * F.col("p_size") / 7) + F.ln(F.e() * F.col("p_size"))).alias("constants"),
+    )
+    return rounded(out, known=4, constants=6)
+
+
+@query("""with g as (select l_returnflag v, count(*) n, avg(l_quantity) q from lineitem group by 1) select v as "value", n, row_number() over (order by case v when 'R' then 1 when 'A' then 2 else 3 end, n desc, v) as place, round(q, 6) as mean from g""")
+def group_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped statistics in a custom order; groups that it does not name follow by falling count."""
+    li = table(spark, sf_dir, "lineitem")
+    grouped = categories.grouped_statistics(li, ["l_quantity"], "l_returnflag").select(F.col("group").alias("value"), F.col("count").alias("n"), "mean")
+    return rounded(categories.with_place(grouped, "custom", ["R", "A"]), mean=6)
+
+
+@query("""select place, price, weight from (select row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey) as place, l_extendedprice as price, l_quantity as weight from lineitem) where place <= 100""")
+def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred largest values with their weights, in order."""
+    ordered = table(spark, sf_dir, "lineitem").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey").limit(100)
+    return text.numbered(ordered.select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("weight")), "place").withColumn("place", F.col("place") + 1)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyarrow import fs
+from pyspark.sql.datasource import WriterCommitMessage
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -32,3 +35,40 @@ def opened(path: str):
     """A seekable input; only what is asked for is read."""
     system, inner = located(path)
     return system.open_input_file(inner)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Where a task has put its file, and what it is called once all tasks are done; a task without rows has none."""
+
+    draft: str | None
+    final: str | None
+
+
+def drafted(folder: str, ending: str) -> Written:
+    """Names for a task's file: hidden while it is written, so that a task that is lost or run twice leaves nothing to be read."""
+    name = f"part-{uuid.uuid4().hex}{ending}"
+    return Written(f"{folder.rstrip('/')}/.{name}", f"{folder.rstrip('/')}/{name}")
+
+
+def prepared_folder(folder: str, overwrite: bool) -> None:
+    system, inner = located(folder)
+    if overwrite and system.get_file_info(inner).type != fs.FileType.NotFound:
+        system.delete_dir_contents(inner)
+    system.create_dir(inner, recursive=True)
+
+
+def created(path: str):
+    system, inner = located(path)
+    return system.open_output_stream(inner)
+
+
+def settled(messages: list[Written | None], keep: bool) -> None:
+    """Give the files of finished tasks their names, or delete them."""
+    for m in messages:
+        if m is not None and m.draft:
+            system, inner = located(m.draft)
+            if keep:
+                system.move(inner, located(m.final)[1])
+            else:
+                system.delete_file(inner)

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
+from pyspark.sql.types import NumericType, StructType
 
-from .files import listed, opened
+from .files import Written, created, drafted, listed, opened, prepared_folder, settled
 
 # Fixed values of the format: words of a page, words of a record area, first word of the field table, words per field, values beyond this are missing.
 PAGE_WORDS, RECORD_WORDS, HEADER_WORDS, FIELD_WORDS, MISSING = 512, 508, 28, 7, 9.9e29
@@ -156,6 +156,10 @@ class PagedSource(DataSource):
         return PagedReader(self.options["path"], int(self.options.get("partitionbytes", PARTITION_BYTES)), [f.name for f in schema.fields])
 
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return PagedWriter(self.options["path"], int(self.options.get("word", 8)), int(self.options.get("textwords", 4)), schema, overwrite)
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, path: str, partition_bytes: int, names: list[str]):
         self.path, self.names = path, names
@@ -180,6 +184,99 @@ class PagedReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([found[n] for n in self.names], names=self.names)
 
 
+#: Where the header has its numbers of fields, pages and records of the last page, and what stands for a missing number.
+FIELDS_AT, LAST_PAGE_AT, LAST_RECORD_AT, NONE = 24, 25, 26, -1e30
+
+
+class PagedWriter(DataSourceArrowWriter):
+    """A file for every task.  Numbers become words, texts ``text_words`` words of four characters, cut there; missing values stay missing."""
+
+    def __init__(self, path: str, word: int, text_words: int, schema: StructType, overwrite: bool):
+        self.path, self.word, self.overwrite = path, word, overwrite
+        self.fields = [(f.name, isinstance(f.dataType, NumericType), 1 if isinstance(f.dataType, NumericType) else text_words) for f in schema.fields]
+        width, places = sum(n for _, _, n in self.fields), (PAGE_WORDS - HEADER_WORDS) // FIELD_WORDS
+        if word not in (4, 8) or not 1 <= width <= min(places, RECORD_WORDS):
+            raise ValueError(f"records of {width} words do not fit a header of {places} fields of 4 or 8 bytes")
+        if any(len(name) > 8 for name, _, _ in self.fields):
+            raise ValueError("names have eight characters at most")
+        self.width, self.per_page = width, RECORD_WORDS // width
+        prepared_folder(path, overwrite)
+
+    def _words(self, texts: list[str], words: int) -> np.ndarray:
+        raw = b"".join((t or "").encode("latin-1", "replace")[: 4 * words].ljust(4 * words) for t in texts)
+        four = np.frombuffer(raw, "V4").reshape(-1, words)
+        if self.word == 4:
+            return four
+        out = np.full((len(four), words, 8), ord(" "), np.uint8)
+        out[:, :, :4] = four.view(np.uint8).reshape(len(four), words, 4)
+        return out.view("V8").reshape(-1, words)
+
+    def _header(self, records: int) -> bytes:
+        number = np.dtype(f"<f{self.word}")
+        num = lambda x: np.array([x], number).view(f"V{self.word}")
+        out = np.zeros(PAGE_WORDS, number).view(f"V{self.word}").copy()
+        pages = -(-records // self.per_page)
+        for at, x in ((FIELDS_AT, self.width), (LAST_PAGE_AT, pages + 1), (LAST_RECORD_AT, records - (pages - 1) * self.per_page)):
+            out[at : at + 1] = num(x)
+        at, stored = HEADER_WORDS, 0
+        for name, numeric, words in self.fields:
+            for part in range(words):
+                stored += 1
+                out[at : at + 2] = self._words([name], 2)[0]
+                out[at + 2 : at + 3] = self._words(["N" if numeric else "A"], 1)[0]
+                out[at + 3 : at + 4], out[at + 4 : at + 5] = num(stored), num(part + 1)
+                at += FIELD_WORDS
+        return out.tobytes()
+
+    def write(self, batches) -> Written:
+        """Pages go out as they fill; the header, which tells how many there are, is written with the first bytes of a second pass over the draft."""
+        held, records, message = np.zeros((0, self.width), f"V{self.word}"), 0, drafted(self.path, ".dm")
+        body = f"{message.draft}.body"
+        with created(body) as out:
+            for batch in batches:
+                cells = []
+                for (_, numeric, words), column in zip(self.fields, batch.columns):
+                    if numeric:
+                        v = column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+                        cells.append(np.where(np.isfinite(v), v, NONE).astype(f"<f{self.word}").view(f"V{self.word}").reshape(-1, 1))
+                    else:
+                        cells.append(self._words(column.to_pylist(), words))
+                held = np.concatenate([held, np.concatenate(cells, 1)])
+                records += batch.num_rows
+                whole = len(held) // self.per_page * self.per_page
+                out.write(self._pages(held[:whole]))
+                held = held[whole:]
+            if len(held):
+                out.write(self._pages(held))
+        if records:
+            with created(message.draft) as out, opened(body) as pages:
+                out.write(self._header(records))
+                while chunk := pages.read(1 << 20):
+                    out.write(chunk)
+        settled([Written(body, None)], False)
+        return message if records else Written(None, None)
+
+    def _pages(self, cells: np.ndarray) -> bytes:
+        pages = -(-len(cells) // self.per_page)
+        out = np.zeros((pages * self.per_page, self.width), f"V{self.word}")
+        out[: len(cells)] = cells
+        full = np.zeros((pages, PAGE_WORDS), f"V{self.word}")
+        full[:, : self.per_page * self.width] = out.reshape(pages, self.per_page * self.width)
+        return full.tobytes()
+
+    def commit(self, messages) -> None:
+        settled(messages, True)
+
+    def abort(self, messages) -> None:
+        settled(messages, False)
+
+
+def write_paged(df: DataFrame, path: str, word: int = 8, text_words: int = 4, overwrite: bool = False) -> None:
+    """Write a table of numbers and texts as a folder of paged binary files, one from each task; files appear when all tasks are done."""
+    df.sparkSession.dataSource.register(PagedSource)
+    df.write.format("paged").option("word", word).option("textWords", text_words).mode("overwrite" if overwrite else "append").save(path)
+
+
 def read_paged(spark: SparkSession, path: str, columns: list[str] | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """A paged binary file, or a folder of files of one layout, as a typed table; ``columns`` reads only those.
 

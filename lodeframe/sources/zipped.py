@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from .files import listed, opened
+from .files import Written, created, drafted, listed, opened, prepared_folder, settled
+from .sinks import TextFormat, header_lines, text_lines
 from .text import TextTable, from_lines
 
 #: Endings of members that hold a table.
@@ -67,6 +68,10 @@ class ZipSource(DataSource):
         return ZipReader(dict(self.options))
 
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return ZipWriter(self.options["path"], self.options.get("member", "table.csv"), self.options.get("head", ""), overwrite)
+
+
 class ZipReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.members, self.member = options["path"], options.get("members", "first"), options.get("member")
@@ -140,6 +145,40 @@ class ZipReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([part.path] * len(lines)), pa.array([part.member] * len(lines)), pa.array(lines, pa.string())], names=["archive", "member", "value"])
 
 
+class ZipWriter(DataSourceArrowWriter):
+    """An archive for every task, with one member that is deflated as its lines come; each begins with the head."""
+
+    def __init__(self, path: str, member: str, head: str, overwrite: bool):
+        self.path, self.member, self.head = path, member, head
+        prepared_folder(path, overwrite)
+
+    def write(self, batches) -> Written:
+        message, some = drafted(self.path, ".zip"), False
+        with created(message.draft) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open(self.member, "w", force_zip64=True) as raw:
+            raw.write(self.head.encode())
+            for batch in batches:
+                some |= batch.num_rows > 0
+                raw.write("".join(f"{line}\n" for line in batch.column(0).to_pylist()).encode())
+        if not some:
+            settled([message], False)
+        return message if some else Written(None, None)
+
+    def commit(self, messages) -> None:
+        settled(messages, True)
+
+    def abort(self, messages) -> None:
+        settled(messages, False)
+
+
+def write_zip(df: DataFrame, path: str, columns: dict[str, str] | None = None, fmt: TextFormat | None = None, member: str = "table.csv", overwrite: bool = False) -> None:
+    """Write a table as a folder of zip archives, one from each task, whose members are text tables with comments and header."""
+    fmt, columns = fmt or TextFormat(), columns or {c: c for c in df.columns}
+    df.sparkSession.dataSource.register(ZipSource)
+    head = "".join(f"{line}\n" for line in header_lines(list(columns.values()), fmt))
+    lines = text_lines(df, columns, fmt).write.format("zip_lines").option("member", member).option("head", head)
+    lines.mode("overwrite" if overwrite else "append").save(path)
+
+
 def _source(spark: SparkSession, path: str, **options) -> DataFrame:
     spark.dataSource.register(ZipSource)
     return spark.read.format("zip_lines").options(**options).load(path)

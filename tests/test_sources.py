@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeframe.plans.dataset import Dataset
 from lodeframe.plans.lineage import Registry
 from lodeframe.plans.prefix import running_totals
-from lodeframe.sources import paged, sinks, text, zipped
+from lodeframe.sources import files, paged, sinks, text, zipped
 from lodeframe.streaming import running
 
 LINES = "# made by hand\r\nHOLE,\"FE\",ROCK,E\r\nA,1.5,HEM,\r\n\r\nB,-999,'ITA',\r\nC,high,NA,\r\nD,-999.0,,x,extra\r\nE,1e400,CGA"
@@ -156,6 +156,38 @@ def test_several_archives_each_with_a_header(spark, tmp_path):
     assert zipped.member_lines(spark, str(tmp_path / "none.zip")).count() == 0
 
 
+def test_written_paged_tables_read_back(spark, tmp_path):
+    rows = [(k, k / 8, f"text {k} ä"[: k % 14] or None) for k in range(5000)] + [(None, float("nan"), "a text that is longer than sixteen")]
+    df = spark.createDataFrame(rows, "n int, v double, t string").repartition(5)
+    for word in (4, 8):
+        path = str(tmp_path / f"w{word}")
+        paged.write_paged(df, path, word)
+        assert len(list((tmp_path / f"w{word}").iterdir())) == 5
+        back = sorted(map(tuple, paged.read_paged(spark, path, partition_bytes=8192).collect()), key=repr)
+        want = sorted(((None if n is None else float(n), None if v != v else v, (t or "")[:16].strip() or None) for n, v, t in rows), key=repr)
+        assert back == want
+    paged.write_paged(df.limit(3), path, overwrite=True)
+    paged.write_paged(df.where("n < 0"), path)
+    assert paged.read_paged(spark, path).count() == 3
+    with pytest.raises(Exception, match="do not fit"):
+        paged.write_paged(spark.range(1).select(*[F.lit("x").alias(f"c{k}") for k in range(30)]), str(tmp_path / "wide"))
+
+
+def test_a_failed_write_leaves_nothing_to_be_read(spark, tmp_path):
+    df = spark.range(100).repartition(4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("double").alias("v"))
+    with pytest.raises(Exception):
+        paged.write_paged(df, str(tmp_path / "t"))
+    assert files.listed(str(tmp_path / "t")) == []
+
+
+def test_written_archives_read_back(spark, tmp_path):
+    df = spark.range(3000).select(F.col("id").cast("double").alias("A"), F.concat(F.lit("k"), F.col("id") % 7).alias("B")).repartition(4)
+    zipped.write_zip(df, str(tmp_path / "z"), {"A": "a", "B": "b"}, sinks.TextFormat(comments=("made here",)))
+    t = zipped.read_zip(spark, str(tmp_path / "z"))
+    assert t.header == ["a", "b"] and sorted(map(tuple, t.data().collect())) == sorted(map(tuple, df.collect()))
+    assert zipped.members(spark, str(tmp_path / "z")).count() == 4 and t.comments.count() == 4
+
+
 def test_an_archive_above_two_gigabytes_takes_little_memory(spark, tmp_path):
     """A sparse file with the archive behind 2.2 GB, and a member of 200 MB that is inflated as it is read."""
     path = tmp_path / "large.zip"
