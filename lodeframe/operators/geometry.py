@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
 from ..plans.prefix import running_totals
+from ..plans.storage import checkpoint
 
 AXIS_SCHEMA = "axis string, origin double, max double, size double, count long, extent double, regularity double, sub_sizes array<double>, sub_count long"
 #: Least share of an axis' gaps that makes a gap a block size, and how many explicit sub-block sizes are listed.
@@ -20,9 +21,14 @@ def _coordinates(df: DataFrame, axes: dict[str, str]) -> DataFrame:
 
 def spacing(df: DataFrame, axes: dict[str, str], decimals: int = 6) -> DataFrame:
     """(axis, gap, n): how often neighbouring distinct coordinates of an axis lie this far apart, over all rows."""
+    return _gaps(df, axes, decimals).where("gap is not null").select("axis", "gap", "n")
+
+
+def _gaps(df: DataFrame, axes: dict[str, str], decimals: int) -> DataFrame:
+    """The same with the least and largest coordinate that have such a gap below them; the first one of an axis has none."""
     cells = running_totals(_coordinates(df, axes), ["axis"], "v", "n")
-    gaps = cells.where("prev_value is not null").select("axis", F.round(F.col("v") - F.col("prev_value"), decimals).alias("gap"))
-    return gaps.groupBy("axis", "gap").agg(F.count("*").alias("n"))
+    gaps = cells.select("axis", "v", F.round(F.col("v") - F.col("prev_value"), decimals).alias("gap"))
+    return gaps.groupBy("axis", "gap").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def block_size(gaps: list[tuple[float, int]], total: int | None = None) -> tuple[float | None, list[float]]:
@@ -52,10 +58,11 @@ def axes_geometry(df: DataFrame, axes: dict[str, str], decimals: int = 6, sizes:
     ``SUB_SIZES`` of them, sub_count tells how many there are, and ``explicit_sizes`` has them all.
     """
     spark = df.sparkSession
-    gaps = spacing(df, axes, decimals)
+    held = checkpoint(_gaps(df, axes, decimals))
+    gaps = held.where("gap is not null")
     totals = gaps.groupBy("axis").agg(F.sum("n").alias("all"), F.min_by("gap", F.struct(-F.col("n"), "gap")).alias("commonest"))
     often = gaps.join(F.broadcast(totals), "axis").where((F.col("n") > LEAST_SHARE * F.col("all")) | (F.col("gap") == F.col("commonest"))).collect()  # a row an axis
-    ends = {r["axis"]: r for r in _coordinates(df, axes).groupBy("axis").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).collect()}
+    ends = {r["axis"]: r for r in held.groupBy("axis").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect()}
     given = {}
     for axis, column in (sizes or {}).items():
         found = df.select(finite(F.col(column)).alias("d")).where("d > 0").groupBy("d").count()
