@@ -39,6 +39,23 @@ def render(turns: Column, escaped: bool) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), role(t["role"]), F.lit(ROLE_END), text(t["text"]), F.lit(END))), "")
 
 
+def running_starts(lengths: Column, block: int = 256) -> Column:
+    """Where each of consecutive pieces begins, counted from 1, given their lengths.
+
+    An array grows by copying, so sums run inside blocks, and over the blocks' totals before: work is in proportion to the pieces times
+    ``block``, and not to their square.
+    """
+    none = F.array().cast("array<int>")
+
+    def run(values: Column, first: Column) -> Column:
+        state = F.struct(none.alias("at"), first.alias("next"))
+        return F.aggregate(values, state, lambda acc, n: F.struct(F.array_append(acc["at"], acc["next"]).alias("at"), (acc["next"] + n).alias("next")))["at"]
+
+    firsts = F.when(F.size(lengths) > 0, F.sequence(F.lit(1), F.size(lengths), F.lit(block))).otherwise(none)
+    totals = F.transform(firsts, lambda k: F.aggregate(F.slice(lengths, k, F.lit(block)), F.lit(0), lambda acc, n: acc + n))
+    return F.flatten(F.zip_with(firsts, run(totals, F.lit(1)), lambda k, start: run(F.slice(lengths, k, F.lit(block)), start)))
+
+
 def parse(formatted: Column) -> Column:
     """Text of a conversation -> turns array<struct<role, text, start, length>>; start counts from 1 in ``formatted``.
 
@@ -50,11 +67,7 @@ def parse(formatted: Column) -> Column:
 
     begins = F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.position(F.lit(ROLE_END), p).alias("colon")))
     lengths = F.transform(pieces, lambda p: F.char_length(p) + len(END))
-    offsets = F.aggregate(
-        lengths,
-        F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("next")),
-        lambda acc, n: F.struct(F.array_append(acc["at"], acc["next"]).alias("at"), (acc["next"] + n).alias("next")),
-    )["at"]
+    offsets = running_starts(lengths)
     return F.zip_with(
         begins,
         offsets,

@@ -145,6 +145,21 @@ def test_plain_texts_stay_as_they_are_and_conflicts_are_escaped(spark):
     assert got[1]["formatted"].count("</turn>\n") == 2
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string"), F.when(F.col("id") == 777, " ## </turn>\n").otherwise("")).alias("text"))
+    out = chat.format_chats(rows).select("n_turns", "escaped", F.size("loss_spans").alias("spans"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), chat.parse(F.col("formatted"))[n - 1]["text"].alias("last")).first()
+    assert (out["n_turns"], out["spans"], out["escaped"], out["last"]) == (n, n // 2, True, f"turn {n - 1}")
+    assert out["loss"] == "".join(f"turn {k}" + (" ## </turn>\n" if k == 777 else "") for k in range(1, n, 2))
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 16, 17, 30])
+def test_running_starts_in_blocks(spark, n):
+    lengths = [(7 * k) % 5 + 1 for k in range(n)]
+    df = spark.createDataFrame([(lengths,)], "a array<int>")
+    assert df.select(chat.running_starts(F.col("a"), 4).alias("s")).first()["s"] == [1 + sum(lengths[:k]) for k in range(n)]
+
+
 def test_odd_conversations(spark):
     rows = [(1, None, "user", "first"), (1, 0, None, None), (1, 1, "assistant", ""), (1, 1, "assistant", ""), (None, 0, "assistant", "x"), (2, 5, "assistant", "long " * 50_000)]
     random.Random(1).shuffle(rows)
