@@ -51,9 +51,17 @@ def running_starts(lengths: Column, block: int = 256) -> Column:
         state = F.struct(none.alias("at"), first.alias("next"))
         return F.aggregate(values, state, lambda acc, n: F.struct(F.array_append(acc["at"], acc["next"]).alias("at"), (acc["next"] + n).alias("next")))["at"]
 
-    firsts = F.when(F.size(lengths) > 0, F.sequence(F.lit(1), F.size(lengths), F.lit(block))).otherwise(none)
-    totals = F.transform(firsts, lambda k: F.aggregate(F.slice(lengths, k, F.lit(block)), F.lit(0), lambda acc, n: acc + n))
-    return F.flatten(F.zip_with(firsts, run(totals, F.lit(1)), lambda k, start: run(F.slice(lengths, k, F.lit(block)), start)))
+    def in_blocks(lengths: Column) -> Column:
+        firsts = F.when(F.size(lengths) > 0, F.sequence(F.lit(1), F.size(lengths), F.lit(block))).otherwise(none)
+        totals = F.transform(firsts, lambda k: F.aggregate(F.slice(lengths, k, F.lit(block)), F.lit(0), lambda acc, n: acc + n))
+        return F.flatten(F.zip_with(firsts, run(totals, F.lit(1)), lambda k, start: run(F.slice(lengths, k, F.lit(block)), start)))
+
+    return with_value(lengths, lambda ls: F.when(F.size(ls) <= block, run(ls, F.lit(1))).otherwise(in_blocks(ls)))
+
+
+def with_value(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def parse(formatted: Column) -> Column:
@@ -64,20 +72,21 @@ def parse(formatted: Column) -> Column:
     """
     pieces = F.split(formatted, F.lit(END), -1)
     pieces = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
-
-    begins = F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.position(F.lit(ROLE_END), p).alias("colon")))
-    lengths = F.transform(pieces, lambda p: F.char_length(p) + len(END))
-    offsets = running_starts(lengths)
-    return F.zip_with(
-        begins,
-        offsets,
-        lambda b, at: F.struct(
-            unescape(F.substring(b["piece"], F.lit(len(OPEN) + 1), b["colon"] - len(OPEN) - 1)).alias("role"),
-            unescape(F.substring(b["piece"], b["colon"] + len(ROLE_END), F.char_length(b["piece"]))).alias("text"),
-            (at + b["colon"] + len(ROLE_END) - 1).alias("start"),
-            (F.char_length(b["piece"]) - b["colon"] - len(ROLE_END) + 1).alias("length"),
-        ),
-    )
+    begins = F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.position(F.lit(ROLE_END), p).alias("colon"), (F.char_length(p) + len(END)).alias("length")))
+
+    def turns(begins: Column) -> Column:
+        return F.zip_with(
+            begins,
+            running_starts(F.transform(begins, lambda b: b["length"])),
+            lambda b, at: F.struct(
+                unescape(F.substring(b["piece"], F.lit(len(OPEN) + 1), b["colon"] - len(OPEN) - 1)).alias("role"),
+                unescape(F.substring(b["piece"], b["colon"] + len(ROLE_END), b["length"])).alias("text"),
+                (at + b["colon"] + len(ROLE_END) - 1).alias("start"),
+                (b["length"] - len(END) - b["colon"] - len(ROLE_END) + 1).alias("length"),
+            ),
+        )
+
+    return with_value(begins, turns)
 
 
 def only_turns(parsed: Column) -> Column:
