@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import running_totals
-from ..plans.storage import small
+from ..plans.storage import checkpoint, small
 
 #: Distinct values up to which a digest is exact, and what the size of its centroids is divided by beyond.
 EXACT_VALUES, COMPRESSION = 20_000, 300
@@ -210,10 +210,11 @@ def merge_digests(states: DataFrame, exact_values: int = EXACT_VALUES, compressi
 
     Equal means always become one.  A digest stays exact while its parts are and it has no more than ``exact_values`` of them; then
     neighbours are joined to centroids of a weight of at most 4 W q (1 - q) / ``compression``, W the whole weight and q the share below.
-    Running totals give q, so no task has to hold a digest.
+    Running totals give q, so no task has to hold a digest.  The result is written to a checkpoint.
     """
     keys = [c for c in ("variable", "group") if c in states.columns]
-    cells = states.groupBy(*keys, "mean").agg(F.sum("weight").alias("weight"), F.bool_and("exact").alias("exact"))
+    # Written once, as the steps below read it several times and making it means reading the data.
+    cells = checkpoint(states.groupBy(*keys, "mean").agg(F.sum("weight").alias("weight"), F.bool_and("exact").alias("exact")))
     about = cells.groupBy(*keys).agg((F.bool_and("exact") & (F.count("*") <= exact_values)).alias("whole"))
     about = small(about.select(*[F.col(k).alias(f"__{k}") for k in keys], "whole"))
     same = None
@@ -229,4 +230,4 @@ def merge_digests(states: DataFrame, exact_values: int = EXACT_VALUES, compressi
     heavy = F.col("weight") >= 4 * F.col("total") * q * (1 - q) / compression
     placed = placed.withColumn("__place", F.floor(F.lit(compression / 4) * F.log(q / (1 - q)))).withColumn("__own", F.when(heavy, F.col("mean")))
     joined = placed.groupBy(*keys, "__place", "__own").agg((F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("m"), F.sum("weight").alias("weight"))
-    return whole.unionByName(joined.select(*keys, F.coalesce("__own", "m").alias("mean"), "weight", F.lit(False).alias("exact")))
+    return checkpoint(whole.unionByName(joined.select(*keys, F.coalesce("__own", "m").alias("mean"), "weight", F.lit(False).alias("exact"))))
