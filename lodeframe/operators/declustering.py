@@ -62,9 +62,10 @@ def default_sweep(df: DataFrame, axes: dict[str, str], variable: str, cells: int
 
 #: Bits of a place along each axis in the Z-order, and the steps that put two free bits behind each of them.
 BITS = 21
+TOP = (1 << BITS) - 1
 SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
-#: Points of a range.
-RANGE_POINTS = 200_000
+#: Points of a range, and cells a point up to which a range's cells are kept by place instead of sorted.
+RANGE_POINTS, DENSE = 200_000, 4
 
 
 @dataclass
@@ -85,11 +86,21 @@ class _Frame:
         s = size * self.factors[axis]
         return self.low[axis] - 0.01 - k * min(s / self.offsets, 0.5 * self.extent[axis]), s
 
+    @property
+    def scales(self) -> list[float]:
+        """Lengths along the axes that have all places of the Z-order: in proportion to the cells, so that ranges have short borders."""
+        longest = max(e / f for e, f in zip(self.extent, self.factors))
+        return [(longest * f) or 1.0 for f in self.factors]
+
+    def most(self, axis: int) -> int:
+        """The last place of the points along an axis; an axis without extent has one place."""
+        return math.floor(min(self.extent[axis] / self.scales[axis], 1.0) * TOP)
+
     def place(self, axis: int, x: np.ndarray, pad: int) -> np.ndarray:
-        """Z-order place along an axis, moved by ``pad`` against rounding."""
-        top = (1 << BITS) - 1
-        at = np.floor((x - self.low[axis]) / (self.extent[axis] or 1.0) * top)
-        return np.clip(np.clip(at, -1, top + 1).astype(np.int64) + pad, 0, top)
+        """Z-order place along an axis, moved by ``pad`` against rounding.  No point lies beyond ``most``, so a corner there stands at it."""
+        most = self.most(axis)
+        at = np.floor((x - self.low[axis]) / self.scales[axis] * TOP)
+        return np.clip(np.clip(at, -1, most + 1).astype(np.int64) + pad, 0, most)
 
     def z(self, corners: list[np.ndarray], pad: int) -> np.ndarray:
         out = 0
@@ -102,9 +113,8 @@ class _Frame:
 
     def with_z(self, points: DataFrame, name: str) -> DataFrame:
         """The same for rows of points, in a column of its own; one step at a time, as each uses the one before it twice."""
-        top = (1 << BITS) - 1
-        steps = {a: F.floor((F.col("__" + a) - F.lit(self.low[i])) / F.lit(self.extent[i] or 1.0) * F.lit(float(top))) for i, a in enumerate("xyz")}
-        out = points.withColumns({f"__z{a}": F.least(F.greatest(at, F.lit(0)), F.lit(top)).cast("long") for a, at in steps.items()})
+        steps = {a: F.floor((F.col("__" + a) - F.lit(self.low[i])) / F.lit(self.scales[i]) * F.lit(float(TOP))) for i, a in enumerate("xyz")}
+        out = points.withColumns({f"__z{a}": F.least(F.greatest(at, F.lit(0)), F.lit(self.most(i))).cast("long") for i, (a, at) in enumerate(steps.items())})
         for shift, mask in SPREAD:
             out = out.withColumns({f"__z{a}": F.shiftleft(f"__z{a}", shift).bitwiseOR(F.col(f"__z{a}")).bitwiseAND(F.lit(mask)) for a in "xyz"})
         place = F.col("__zx").bitwiseOR(F.shiftleft("__zy", 1)).bitwiseOR(F.shiftleft("__zz", 2))
@@ -122,14 +132,24 @@ class _Cells:
 
 def _cells(frame: _Frame, points: list[np.ndarray], size: float, k: int, first: int, last: int) -> _Cells:
     grids = [frame.grid(axis, size, k) for axis in range(3)]
-    at = [np.floor((x - origin) / s).astype(np.int64) for x, (origin, s) in zip(points, grids)]
-    spans = [int(c.max() - c.min()) + 1 for c in at]
+    ends = [[int(np.floor((e - origin) / s)) for e in (x.min(), x.max())] for x, (origin, s) in zip(points, grids)]
+    spans = [b - a + 1 for a, b in ends]
+    # Along an axis on which all points share a cell nothing is computed for each of them.
+    steps = [np.floor((x - origin) / s).astype(np.int64) - a if b > a else 0 for x, (origin, s), (a, b) in zip(points, grids, ends)]
     if math.prod(spans) < 2**62:
-        key = ((at[0] - at[0].min()) * spans[1] + at[1] - at[1].min()) * spans[2] + at[2] - at[2].min()
-        _, index, of = np.unique(key, return_index=True, return_inverse=True)
+        key = (steps[0] * spans[1] + steps[1]) * spans[2] + steps[2] + np.zeros(len(points[0]), np.int64)
+        if math.prod(spans) <= DENSE * len(key):
+            # Cells between the outermost ones are hardly more than the points: those with points are marked, nothing is sorted.
+            filled = np.zeros(math.prod(spans), bool)
+            filled[key] = True
+            cells, of = np.flatnonzero(filled), (np.cumsum(filled) - 1)[key]
+        else:
+            cells, of = np.unique(key, return_inverse=True)
+        found = np.unravel_index(cells, spans)
     else:
-        _, index, of = np.unique(np.stack(at, 1), axis=0, return_index=True, return_inverse=True)
-    places = [c[index] for c in at]
+        each, of = np.unique(np.stack([c + np.zeros(len(points[0]), np.int64) for c in steps], 1), axis=0, return_inverse=True)
+        found = each.T
+    places = [c + a for c, (a, _) in zip(found, ends)]
     low = frame.z([origin + c * s for c, (origin, s) in zip(places, grids)], -1)
     high = frame.z([origin + (c + 1) * s for c, (origin, s) in zip(places, grids)], 1)
     # Places grow with every coordinate, so all points of a cell lie between its corners in the Z-order.
@@ -137,10 +157,9 @@ def _cells(frame: _Frame, points: list[np.ndarray], size: float, k: int, first:
 
 
 def _laid(points: DataFrame, frame: _Frame, n: int, range_points: int) -> tuple[DataFrame, int]:
-    """Points in ranges of the Z-order, written once, and the number of ranges."""
+    """Points in ranges of the Z-order, and the number of ranges."""
     parts = max(math.ceil(n / range_points), min(math.ceil(n / 20_000), points.sparkSession.sparkContext.defaultParallelism))
-    laid = frame.with_z(points, "__at").repartitionByRange(parts, "__at")
-    return checkpoint(laid), parts
+    return frame.with_z(points, "__at").repartitionByRange(parts, "__at"), parts
 
 
 def _held(batches, columns: int):
@@ -189,9 +208,11 @@ def curve(df: DataFrame, axes: dict[str, str], variable: str, sweep: Sweep, rang
         none = pa.nulls(len(own), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(k, pa.int32()), none, none, none, pa.array(v, pa.float64()), pa.array(n, pa.float64())], names=names)
 
+    # Only what ranges give is written, not the points.  Rows without a cell hold the sum of the means of whole cells and their number.
     found = checkpoint(laid.select("__x", "__y", "__z", "__v", "__n", "__at").mapInArrow(run, "i int, k int, cx long, cy long, cz long, v double, n double"))
-    merged = found.where("cx is not null").groupBy("i", "k", "cx", "cy", "cz").agg((F.sum("v") / F.sum("n")).alias("v")).select("i", "k", "v", F.lit(1.0).alias("n"))
-    each = found.where("cx is null").select("i", "k", "v", "n").unionByName(merged).groupBy("i", "k").agg((F.sum("v") / F.sum("n")).alias("m"))
+    cells = found.groupBy("i", "k", "cx", "cy", "cz").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    whole = F.col("cx").isNull()
+    each = cells.groupBy("i", "k").agg((F.sum(F.when(whole, F.col("v")).otherwise(F.col("v") / F.col("n"))) / F.sum(F.when(whole, F.col("n")).otherwise(1.0))).alias("m"))
     per = each.groupBy("i").agg(F.avg("m").alias("mean"))
     return naive.unionByName(per.select(F.get(F.array(*[F.lit(s) for s in sizes]), F.col("i")).alias("size"), "mean"))
 
@@ -215,9 +236,9 @@ def weights(df: DataFrame, axes: dict[str, str], variable: str, sweep: Sweep, ro
     if not size or (b["n"] or 0) < 2:
         return points.select(row_id, F.lit(1.0).alias("weight"))
     frame, size = _Frame.of(b, sweep), float(size)
-    laid, parts = _laid(points, frame, b["n"], range_points)
+    laid, parts = _laid(points.drop("__v"), frame, b["n"], range_points)
     cell = ["k", "cx", "cy", "cz"]
-    places = laid.select("__x", "__y", "__z", "__at", row_id)
+    places = checkpoint(laid.select("__x", "__y", "__z", "__at", row_id))
 
     def each(batches):
         held = _held(list(batches), 4)
@@ -235,28 +256,34 @@ def weights(df: DataFrame, axes: dict[str, str], variable: str, sweep: Sweep, ro
             yield pa.RecordBatch.from_arrays(whole, names=[*cell, "n"])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(some, k, np.int32)), *[pa.array(p[out]) for p in c.places], pa.array(n[out])], names=[*cell, "n"])
 
-    counted = checkpoint(places.mapInArrow(count, "k int, cx long, cy long, cz long, n long"))
-    borders = checkpoint(counted.where("cx is not null").groupBy(*cell).agg(F.sum("n").alias("n")))
-    filled = counted.where("cx is null").select("k", "n").unionByName(borders.select("k", F.lit(1).cast("long").alias("n"))).groupBy("k").agg(F.sum("n").alias("cells")).collect()  # a row per origin
+    # Rows without a cell hold the number of a range's whole cells.
+    counted = checkpoint(places.mapInArrow(count, "k int, cx long, cy long, cz long, n long").groupBy(*cell).agg(F.sum("n").alias("n")))
+    filled = counted.groupBy("k").agg(F.sum(F.when(F.col("cx").isNull(), F.col("n")).otherwise(1)).alias("cells")).collect()  # a row per origin
+    borders = counted.where("cx is not null")
     cells = {r["k"]: r["cells"] for r in filled}
-    id_type = points.schema[row_id].dataType
     (share,) = spare_names(points, "share")
-    schema = StructType([StructField(row_id, id_type), *StructType.fromDDL("k int, cx long, cy long, cz long").fields, StructField(share, StructType.fromDDL("s double")[0].dataType)])
+    double = StructType.fromDDL("s double")[0].dataType
 
-    def weigh(batches):
+    # The points are read once for each of the two kinds of shares, which costs less than to write them with their shares.
+    def own(batches):
         total = None
         for k, c, table in each(batches):
             ids = table.column(4).combine_chunks()
             total = np.zeros(len(ids)) if total is None else total
             n = np.bincount(c.of)
-            total += np.where(c.inside[c.of], 1.0 / n[c.of] / cells[k], 0.0)
-            out = np.flatnonzero(~c.inside[c.of])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out)), pa.array(np.full(len(out), k, np.int32)), *[pa.array(p[c.of[out]]) for p in c.places], pa.nulls(len(out), pa.float64())], names=schema.names)
+            total += np.where(c.inside, 1.0 / n / cells[k], 0.0)[c.of]
         if total is not None:
-            yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int32()), *[pa.nulls(len(ids), pa.int64())] * 3, pa.array(total)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(total)], names=[row_id, share])
+
+    def crossings(batches):
+        for k, c, table in each(batches):
+            ids = table.column(4).combine_chunks()
+            out = np.flatnonzero(~c.inside[c.of])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out)), pa.array(np.full(len(out), k, np.int32)), *[pa.array(p[c.of[out]]) for p in c.places]], names=[row_id, *cell])
 
-    found = checkpoint(places.mapInArrow(weigh, schema))
     of = F.get(F.array(*[F.lit(float(cells.get(k, 1))) for k in range(frame.offsets)]), F.col("k"))
-    crossing = found.where("k is not null").join(borders, cell).select(row_id, (1.0 / F.col("n") / of).alias(share))
-    shares = found.where("k is null").select(row_id, share).unionByName(crossing)
+    field = StructField(row_id, points.schema[row_id].dataType)
+    on_borders = places.mapInArrow(crossings, StructType([field, *StructType.fromDDL("k int, cx long, cy long, cz long").fields]))
+    crossing = on_borders.join(borders, cell).select(row_id, (1.0 / F.col("n") / of).alias(share))
+    shares = places.mapInArrow(own, StructType([field, StructField(share, double)])).unionByName(crossing)
     return shares.groupBy(row_id).agg((F.sum(share) * F.lit(b["n"] / frame.offsets)).alias("weight"))

@@ -451,3 +451,22 @@ def test_declustering_of_scattered_points_in_ranges(spark, monkeypatch):
     best = min(want, key=lambda s: want[s][0])
     found = {r["id"]: r["weight"] for r in declustering.weights(df.withColumnRenamed("id", "share"), axes, "v", sweep, "share", range_points=1000).withColumnRenamed("share", "id").collect()}
     assert found == {i: pytest.approx(w) for i, w in enumerate(want[best][1])}
+
+
+def test_declustering_of_a_plane_keeps_cells_in_their_ranges(spark, monkeypatch):
+    """Without a third axis, and with a second one much shorter, only cells on borders of ranges leave their task: a tenth of all, not each of them."""
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.random(8000) * 20000, rng.random(8000) * 1000, np.zeros(8000)])
+    v = rng.lognormal(0, 1, len(x))
+    df = spark.createDataFrame([(i, float(p[0]), float(p[1]), float(a)) for i, (p, a) in enumerate(zip(x, v))], "id long, x double, y double, v double").repartition(3)
+    sweep, rows, keep = declustering.Sweep([100.0, 150.0], offsets=2), [], declustering.checkpoint
+    monkeypatch.setattr(declustering, "checkpoint", lambda d: rows.append(keep(d)) or rows[-1])
+    got = {r["size"]: r["mean"] for r in declustering.curve(df, {"x": "x", "y": "y"}, "v", sweep, range_points=2000).collect()}
+    want = brute_sweep(x, v, sweep.sizes, 2, (1.0, 1.0))
+    assert got.pop(0.0) == pytest.approx(v.mean())
+    assert got == {s: pytest.approx(m) for s, (m, _) in want.items()}
+    cells = sum(len({tuple(c) for c in np.floor((x[:, :2] - (x[:, :2].min(0) - 0.01 - k * np.minimum(s / 2, 0.5 * np.ptp(x[:, :2], 0)))) / s)}) for s in sweep.sizes for k in range(2))
+    left = [d.where("cx is not null").count() for d in rows if "cx" in d.columns]
+    assert 0 < left[-1] < 0.1 * cells
+    found = {r["id"]: r["weight"] for r in declustering.weights(df, {"x": "x", "y": "y"}, "v", sweep, "id", 100.0, range_points=2000).collect()}
+    assert found == {i: pytest.approx(w) for i, w in enumerate(want[100.0][1])}
