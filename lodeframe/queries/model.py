@@ -520,7 +520,8 @@ def declus_curve_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     select round(weight, 6) as weight, count(*) as n from (select rid, sum(1.0 / cn / cells) * (select n from b) / 4 as weight from n join f using (k) group by rid) group by 1""")
 def declus_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights by row id at the size of the least mean in the sweep."""
-    df = with_row_id(block_model(spark, sf_dir), ["l_orderkey", "l_linenumber"], "rid")
+    columns = block_model(spark, sf_dir).select("l_orderkey", "l_linenumber", "x", "y", "l_extendedprice")
+    df = with_row_id(columns, ["l_orderkey", "l_linenumber"], "rid").select("rid", "x", "y", "l_extendedprice")
     w = declustering.weights(df, {"x": "x", "y": "y"}, "l_extendedprice", _SWEEP, "rid")
     return w.groupBy(F.round("weight", 6).alias("weight")).agg(F.count("*").alias("n"))
 
