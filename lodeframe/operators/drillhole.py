@@ -2,7 +2,7 @@
 
 Every table is keyed by hole (``bhid``).  Work on one hole is windows within the hole; holes are spread over the cluster, and where
 rows are looked up by depth or swept along it, a hole of very many rows is cut in ranges (``plans.sweep``).  A hole's survey stations are
-few by nature.
+few by nature.  Tables are dealt by hole over as many tasks as their rows need (``dealt``).
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
 from ..plans.dataset import Dataset
-from ..plans.storage import spare_names
-from ..plans.sweep import RANGE_ROWS, as_of, cuts_of, swept
+from ..plans.storage import dealt, spare_names
+from ..plans.sweep import RANGE_ROWS, as_of, sized, swept
 
 EPS = 1e-9
 #: Dip beyond which a survey row is not usable.
@@ -47,6 +47,7 @@ def first_collars(collars: DataFrame, order: str | None = None) -> DataFrame:
     keys = [order] if order else ["x", "y", "z"]
     eoh = finite(F.col("eoh")) if "eoh" in collars.columns else F.lit(None).cast("double")
     rows = collars.select(_hole(), *[finite(F.col(c)).alias(c) for c in "xyz"], eoh.alias("eoh"), *([order] if order else [])).where("bhid is not null and x is not null and y is not null and z is not null")
+    rows = dealt(rows, "bhid", rows=collars.count())
     return rows.withColumn("__p", F.row_number().over(Window.partitionBy("bhid").orderBy(*keys))).where("__p = 1").select("bhid", "x", "y", "z", "eoh")
 
 
@@ -77,7 +78,7 @@ def clean_surveys(surveys: DataFrame, collars: DataFrame, convention: str = "pos
     rows = _stations(surveys, convention, order).where("bhid is not null and ok").drop("ok").withColumn("collar", F.lit(False))
     # A hole's collar stands above its stations and becomes the one at 0 where that is missing; holes and stations meet in one shuffle.
     above = collars.select("bhid", F.lit(float("-inf")).alias("depth"), F.lit(True).alias("collar"))
-    line = rows.unionByName(above, allowMissingColumns=True)
+    line = dealt(rows.unionByName(above, allowMissingColumns=True), "bhid", rows=surveys.count() + collars.count())
     by = Window.partitionBy("bhid").orderBy(*_depth_order(order))
     line = line.withColumns({"next": F.lead("depth").over(by), "known": F.first("collar").over(by)})
     line = line.where(F.col("known") & (F.col("collar") | F.col("next").isNull() | (F.col("next") - F.col("depth") > EPS)))
@@ -149,7 +150,8 @@ def clean_intervals(intervals: DataFrame, collars: DataFrame) -> DataFrame:
     """Valid intervals of known holes; ``from`` and ``to`` become f and t, other columns stay."""
     others = [c for c in intervals.columns if c not in ("bhid", "from", "to")]
     rows = intervals.select(_hole(), finite(F.col("from")).alias("f"), finite(F.col("to")).alias("t"), *others)
-    return rows.where("bhid is not null and f >= 0 and t > f").join(collars.select("bhid"), "bhid", "left_semi")
+    rows = dealt(rows.where("bhid is not null and f >= 0 and t > f"), "bhid", rows=intervals.count())
+    return rows.join(collars.select("bhid"), "bhid", "left_semi")
 
 
 def orphans(table: DataFrame, collars: DataFrame) -> DataFrame:
@@ -210,17 +212,18 @@ def default_length(intervals: DataFrame) -> DataFrame:
     return best.agg(F.coalesce(F.max("length"), F.lit(1.0)).alias("length"))
 
 
-def composite(intervals: DataFrame, length: float, numeric: dict[str, str], categories: dict[str, str] | None = None, split: tuple[str, ...] = (), density: str | None = None, min_coverage: float = 0.0) -> DataFrame:
+def composite(intervals: DataFrame, length: float, numeric: dict[str, str], categories: dict[str, str] | None = None, split: tuple[str, ...] = (), density: str | None = None, min_coverage: float = 0.0, by_hole: bool = False) -> DataFrame:
     """Clean intervals(bhid, f, t, ...) -> (bhid, run, window, from, to, support, mid, columns..., mixed).
 
     numeric: column -> mean, sum, min or max; categories: column -> majority or first.  Runs start anew where the split columns
     change; a run is cut in windows of ``length`` from its top.  Each interval meets only the windows that it touches.
     A mean weighs by covered length, times density if given (missing or not above zero: weight 0).  ``mid`` is the centroid
-    of the covered lengths.  Windows covered by less than ``min_coverage`` of their length are dropped.
+    of the covered lengths.  Windows covered by less than ``min_coverage`` of their length are dropped.  ``by_hole`` tells that the table is
+    dealt by hole already, which spares counting and dealing it.
     """
     categories = categories or {}
     by = Window.partitionBy("bhid").orderBy("f", "t")
-    rows = intervals
+    rows = intervals if by_hole else dealt(intervals, "bhid")
     if split:
         key = F.struct(*[F.col(c) for c in split])
         rows = rows.withColumn("__key", key).withColumn("__new", F.coalesce((~F.col("__key").eqNullSafe(F.lag("__key").over(by))).cast("int"), F.lit(1)))
@@ -271,7 +274,7 @@ def process(collars: DataFrame, surveys: DataFrame, intervals: DataFrame, length
     length = length or default_length(intervals).first()["length"]
     known = first_collars(collars, order)
     path = desurvey(clean_surveys(surveys, known, convention, order), known, method)
-    parts = composite(clean_intervals(intervals, known), length, numeric, **rules)
+    parts = composite(clean_intervals(intervals, known), length, numeric, by_hole=True, **rules)
     return positions(parts, path, "mid"), validate(collars, surveys, intervals, convention, order)
 
 
@@ -343,9 +346,9 @@ def merge_all(tables: list[DataFrame], order: str | None = None, range_rows: int
         part = df.select(_hole(), finite(F.col("from")).alias("f"), finite(F.col("to")).alias("t"), F.lit(k).alias("no"), F.struct(*others or [F.lit(None).cast("string").alias("_")]).alias(f"p{k}"), *([F.col(order).alias("at")] if order else []))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     rows = rows.where("bhid is not null and t > f")
-    cuts = cuts_of(rows.select("bhid", "f"), "bhid", "f", range_rows)
+    n, cuts = sized(rows.select("bhid", "f"), "bhid", "f", range_rows)
     # One shuffle by hole serves all windows below; holes that are cut need one for each line.
-    rows = rows.repartition("bhid") if cuts is None else rows
+    rows = dealt(rows, "bhid", rows=n) if cuts is None else rows
     ties = ["at"] if order else ["t", *[f"p{k}" for k in numbers]]
     rows = swept(rows, ["bhid", "no"], ["f", *ties], topped=("t",), cuts=cuts)
     # Earlier starts come first, so an interval is the one to take from where all earlier ones have ended.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few numbers a row is sent to every task.
 SMALL_ROWS = 100_000
+#: Rows that a task gets of a table dealt by key.
+TASK_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +43,21 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(held) if held.limit(rows + 1).count() <= rows else held
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows: as many as the cluster has cores, unless rows are very few, and more where tasks would get over ``TASK_ROWS``."""
+    return max(1, math.ceil(rows / TASK_ROWS), min(math.ceil(rows / 20_000), spark.sparkContext.defaultParallelism))
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None, whole: bool = True) -> DataFrame:
+    """The table dealt by keys over as many tasks as its rows need, so that a task's memory does not grow with the table.
+
+    Windows and groups by these keys need no other shuffle.  ``rows`` is their number where it is known; else they are counted.  Where it is
+    not ``whole``, as not all rows were counted, there are at least as many tasks as shuffles have by default.
+    """
+    tasks = tasks_for(df.sparkSession, df.count() if rows is None else rows)
+    return df.repartition(tasks if whole else max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def spare_names(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until no column of ``df`` has them, for columns that exist inside an operator only."""
     taken = {c.lower() for c in df.columns}

@@ -7,14 +7,32 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import small, spare_names
+from .storage import dealt, small, spare_names
 
 #: Rows of a key above which it is cut in ranges of about as many, and ranges that one key has at most.
 RANGE_ROWS, MOST_RANGES = 200_000, 10_000
+#: Groups of keys that are counted before single keys are.
+KEY_GROUPS = 65_536
 
 
 def cuts_of(rows: DataFrame, key: str, at: str, range_rows: int = RANGE_ROWS) -> DataFrame | None:
     """(key, __cuts) of the keys with more than ``range_rows`` rows: places by ``at`` where to cut them; None if there is no such key."""
+    return sized(rows, key, at, range_rows)[1]
+
+
+def sized(rows: DataFrame, key: str, at: str, range_rows: int = RANGE_ROWS) -> tuple[int, DataFrame | None]:
+    """The number of rows, and ``cuts_of`` them.  Keys are counted one by one only where a group of them, told by a hash, has that many rows."""
+    group = F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS))
+    groups = rows.groupBy(group.alias("group")).agg(F.count("*").alias("n"))
+    total, most = groups.agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) <= range_rows:
+        return total or 0, None
+    full = small(groups.where(F.col("n") > range_rows).select("group"))
+    rows = rows.join(full, group == F.col("group"), "left_semi")
+    return total, _cuts(rows, key, at, range_rows)
+
+
+def _cuts(rows: DataFrame, key: str, at: str, range_rows: int) -> DataFrame | None:
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     largest = counts.agg(F.max("n")).first()[0] or 0
     if largest <= range_rows:
@@ -80,5 +98,8 @@ def as_of(asked: DataFrame, marks: DataFrame, key: str, at: str, mark: str, rang
     line = line.unionByName(marks.select(F.col(key).alias(own_key), F.col(at).cast("double").alias(place), F.lit(0).alias(asks), F.col(mark).alias(held)), allowMissingColumns=True)
     line = line.where(F.col(own_key).isNotNull() & F.col(place).isNotNull())
     counted = (rows if few_marks else line).select(own_key, place)
-    done = swept(line, [own_key], [place, asks], held=(held,), cuts=cuts_of(counted, own_key, place, range_rows))
+    n, cuts = sized(counted, own_key, place, range_rows)
+    if cuts is None:
+        line = dealt(line, own_key, rows=n, whole=not few_marks)
+    done = swept(line, [own_key], [place, asks], held=(held,), cuts=cuts)
     return done.where((F.col(asks) == 1) & F.col(held).isNotNull()).select(*asked.columns, F.col(held).alias(mark))

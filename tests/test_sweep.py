@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.operators import drillhole
-from lodeframe.plans import sweep
+from lodeframe.plans import storage, sweep
 
 
 @pytest.mark.parametrize("range_rows", [10**9, 20])
@@ -111,3 +111,27 @@ def test_a_hole_of_a_million_intervals(spark):
     got = {r["bhid"]: r for r in got.collect()}
     assert got["big"]["n"] == 1_000_000 and got["big"]["off"] < 1e-6
     assert got["small"]["n"] == 1 and math.isclose(got["small"]["px"], 7.0)
+
+
+def test_tasks_of_drillhole_operators_grow_with_their_rows(spark, monkeypatch):
+    """A thousand rows in tasks of fifty are dealt over twenty tasks, whatever number shuffles have by default."""
+    monkeypatch.setattr(storage, "TASK_ROWS", 50, raising=False)
+    iv = spark.createDataFrame([(f"h{k % 250}", float(k // 250), k // 250 + 1.0, float(k)) for k in range(1000)], "bhid string, from double, to double, v double")
+    collars = spark.createDataFrame([(f"h{k}", float(k), 0.0, 0.0) for k in range(250)], "bhid string, x double, y double, z double")
+    stations = spark.createDataFrame([(f"h{k % 250}", float(k // 250), 10.0, 60.0 + k // 250) for k in range(1000)], "bhid string, depth double, az double, dip double")
+    parts = drillhole.composite(iv.withColumnsRenamed({"from": "f", "to": "t"}), 2.0, {"v": "mean"})
+    cleaned = drillhole.clean_surveys(stations, collars)
+    merged = drillhole.merge(iv, iv.withColumnRenamed("v", "w"))[0]
+    placed = drillhole.desurvey_intervals(collars, stations, iv)
+    assert [d.rdd.getNumPartitions() >= 20 for d in (parts, cleaned, merged, placed)] == [True] * 4
+    assert [d.count() for d in (parts, cleaned, merged, placed)] == [500, 1000, 1000, 1000]
+
+
+@pytest.mark.parametrize("groups", [1, 65_536])
+def test_only_keys_of_many_rows_are_cut(spark, monkeypatch, groups):
+    """Keys that share a hash group with a large one are not cut, nor are those of a group that is only large together."""
+    monkeypatch.setattr(sweep, "KEY_GROUPS", groups)
+    rows = spark.createDataFrame([("large" if k < 300 else f"k{k % 20}", float(k)) for k in range(500)], "hole string, at double")
+    total, cuts = sweep.sized(rows, "hole", "at", 100)
+    assert total == 500 and [r["hole"] for r in cuts.collect()] == ["large"]
+    assert sweep.sized(rows.where("hole <> 'large'"), "hole", "at", 100) == (200, None)
