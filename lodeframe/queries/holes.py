@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drillhole
+from ..plans.storage import dealt
 from .registry import query, rounded, table
 
 
@@ -133,31 +134,31 @@ _ONE = "i0 as (select cast(l_orderkey as varchar) bhid, cast(l_linenumber - 1 as
 
 
 def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = intervals(spark, sf_dir).groupBy("bhid", F.col("from").alias("f"), F.col("to").alias("t"))
+    rows = dealt(intervals(spark, sf_dir), "bhid").groupBy("bhid", F.col("from").alias("f"), F.col("to").alias("t"))
     return rows.agg(F.avg("l_discount").alias("l_discount"), F.sum("l_quantity").alias("l_quantity"), F.min("l_returnflag").alias("l_returnflag"))
 
 
 @query(f"""with {_ONE}, {_windows(2.0)} select bhid, k as "window", w0 as "from", w1 as "to", round(sum(len), 6) as support, round(sum(len * (lo + hi) / 2) / sum(len), 6) as mid, round(sum(l_discount * len) / sum(len), 9) as l_discount, round(sum(l_quantity * len), 4) as l_quantity from o group by bhid, k, w0, w1""")
 def dh_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drillhole.composite(_single(spark, sf_dir), 2.0, {"l_discount": "mean", "l_quantity": "sum"})
+    rows = drillhole.composite(_single(spark, sf_dir), 2.0, {"l_discount": "mean", "l_quantity": "sum"}, by_hole=True)
     return rounded(rows, support=6, mid=6, l_discount=9, l_quantity=4).drop("run", "mixed")
 
 
 @query(f"""with {_ONE}, {_windows(3.0)} select bhid, k as "window", w0 as "from", w1 as "to", round(sum(l_discount * len * l_quantity) / sum(len * l_quantity), 11) as l_discount, round(sum(l_quantity * len) / sum(len), 11) as l_quantity from o group by bhid, k, w0, w1 having sum(len) / (w1 - w0) >= 0.6""")
 def dh_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drillhole.composite(_single(spark, sf_dir), 3.0, {"l_discount": "mean", "l_quantity": "mean"}, density="l_quantity", min_coverage=0.6)
+    rows = drillhole.composite(_single(spark, sf_dir), 3.0, {"l_discount": "mean", "l_quantity": "mean"}, density="l_quantity", min_coverage=0.6, by_hole=True)
     return rounded(rows, l_discount=11, l_quantity=11).select("bhid", "window", "from", "to", "l_discount", "l_quantity")
 
 
 @query(f"""with {_ONE}, {_windows(2.0, 'l_returnflag')} select bhid, cast(run as bigint) as run, k as "window", w0 as "from", w1 as "to", round(sum(l_discount * len) / sum(len), 9) as l_discount, any_value(l_returnflag) as l_returnflag from o group by bhid, run, k, w0, w1""")
 def dh_composite_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drillhole.composite(_single(spark, sf_dir), 2.0, {"l_discount": "mean"}, {"l_returnflag": "first"}, split=("l_returnflag",))
+    rows = drillhole.composite(_single(spark, sf_dir), 2.0, {"l_discount": "mean"}, {"l_returnflag": "first"}, split=("l_returnflag",), by_hole=True)
     return rounded(rows, l_discount=9).select("bhid", "run", "window", "from", "to", "l_discount", "l_returnflag")
 
 
 @query(f"""with {_ONE}, {_windows(3.0)}, m as (select bhid, k, w0, w1, l_returnflag, sum(len) n, min(lo) top from o group by 1, 2, 3, 4, 5) select bhid, k as "window", w0 as "from", arg_min(l_returnflag, (-n, top, l_returnflag)) as l_returnflag, count(*) > 1 as mixed from m group by bhid, k, w0""")
 def dh_composite_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drillhole.composite(_single(spark, sf_dir), 3.0, {"l_discount": "mean"}, {"l_returnflag": "majority"})
+    rows = drillhole.composite(_single(spark, sf_dir), 3.0, {"l_discount": "mean"}, {"l_returnflag": "majority"}, by_hole=True)
     return rows.select("bhid", "window", "from", "l_returnflag", "mixed")
 
 
@@ -186,7 +187,7 @@ def dh_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     c as (select bhid, f d from a union select bhid, t from a union select bhid, f from b union select bhid, t from b), s as (select bhid, d f, lead(d) over (partition by bhid order by d) t from c), m as (select *, (f + t) / 2 mid from s where t is not null)
     select m.bhid, cast(m.f as double) as "from", cast(m.t as double) as "to", a.qa, b.qb from m left join a on m.bhid = a.bhid and a.f <= mid and mid <= a.t left join b on m.bhid = b.bhid and b.f <= mid and mid <= b.t where a.qa is not null or b.qb is not null""")
 def dh_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iv = intervals(spark, sf_dir)
+    iv = dealt(intervals(spark, sf_dir), "bhid")
     a = iv.groupBy("bhid", "from", "to").agg(F.sum("l_quantity").alias("qa"))
     b = iv.groupBy("bhid", (0.75 * F.col("from")).alias("from"), (0.75 * F.col("to")).alias("to")).agg(F.max("l_discount").alias("qb"))
     return drillhole.merge(a, b)[0]
@@ -197,7 +198,7 @@ def dh_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 'gap-a' as check_id, count(*) filter (na = 0 and nb > 0) as "count" from j union all select 'gap-b', count(*) filter (na > 0 and nb = 0 and bhid in (select bhid from h)) from j union all select 'overlap-a', count(*) filter (na > 1) from j union all select 'overlap-b', count(*) filter (nb > 1) from j
     union all select 'hole-only-a', count(*) from (select distinct bhid from a where bhid not in (select bhid from h)) union all select 'hole-only-b', 0 union all select 'column-collision', 1""")
 def dh_merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = intervals(spark, sf_dir).select("bhid", "from", "to").distinct().withColumn("v", F.lit(1))
+    a = dealt(intervals(spark, sf_dir).select("bhid", "from", "to"), "bhid").distinct().withColumn("v", F.lit(1))
     return drillhole.merge(a, a.where("to > 2"))[1]
 
 
@@ -212,6 +213,7 @@ _THREE = """a as (select cast(l_orderkey as varchar) bhid, cast(l_linenumber - 1
 def _three(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Intervals of one line, of three quarters of one, and of 2.625 of every other one, which overlap."""
     iv = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("bhid"), (F.col("l_linenumber") - 1).cast("double").alias("from"), F.col("l_linenumber").cast("double").alias("to"), "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    iv = dealt(iv, "bhid")
     a = iv.groupBy("bhid", "from", "to").agg(F.sum("l_quantity").alias("q"))
     b = iv.groupBy("bhid", (0.75 * F.col("from")).alias("from"), (0.75 * F.col("to")).alias("to")).agg(F.max("l_discount").alias("q"))
     c = iv.where("l_linenumber % 2 = 0").groupBy("bhid", "from", (F.col("to") + 1.625).alias("to")).agg(F.min("l_tax").alias("q"), F.count("*").alias("n"))
