@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import categories, drillhole, statistics
 from ..plans.dataset import Dataset
-from ..plans.storage import shared_dir
+from ..plans.storage import shared_dir, tasks_for
 from ..sources import paged, sinks, text, zipped
 from .registry import block_model, query, rounded, table
 
@@ -181,7 +181,7 @@ def paged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     rows = o.select(F.col("o_orderkey").alias("KEY"), F.col("o_totalprice").alias("PRICE"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("STATUS"), F.concat(F.lit("priority "), "o_orderpriority").alias("PRIORITY"))
     folder = _folder(spark)
-    paged.write_paged(rows.repartition(3), folder)
+    paged.write_paged(rows.repartition(max(3, tasks_for(spark, o.count()))), folder)
     return rounded(paged.read_paged(spark, folder, partition_bytes=1 << 16), PRICE=6)
 
 

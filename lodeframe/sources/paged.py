@@ -128,6 +128,8 @@ def decode_pages(content: bytes, header: Header, first: int, count: int, names:
 
 #: Bytes that one task reads of a file, a whole number of pages of either size, and pages decoded at a time.
 PARTITION_BYTES, BATCH_PAGES = 64 << 20, 1024
+#: Ranges above which they become larger than was asked for, up to ``PARTITION_BYTES``: a task costs more than to read a few pages.
+MOST_RANGES = 256
 
 
 @dataclass
@@ -166,7 +168,10 @@ class PagedReader(DataSourceReader):
         self.bytes = max(1, partition_bytes // (PAGE_WORDS * 8)) * PAGE_WORDS * 8
 
     def partitions(self) -> list[Range]:
-        return [Range(path, a, a + self.bytes) for path, length in listed(self.path) for a in range(0, max(length, 1), self.bytes)]
+        files, page = listed(self.path), PAGE_WORDS * 8
+        even = -(-sum(length for _, length in files) // (MOST_RANGES * page)) * page
+        size = max(self.bytes, min(even, PARTITION_BYTES))
+        return [Range(path, a, a + size) for path, length in files for a in range(0, max(length, 1), size)]
 
     def read(self, partition: Range):
         """The pages that begin inside the range.  Beyond the end of a truncated file there is nothing; its last page gives what it holds."""
@@ -280,7 +285,7 @@ def write_paged(df: DataFrame, path: str, word: int = 8, text_words: int = 4, ov
 def read_paged(spark: SparkSession, path: str, columns: list[str] | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """A paged binary file, or a folder of files of one layout, as a typed table; ``columns`` reads only those.
 
-    Tasks read ranges of about ``partition_bytes``.  A file that ends before its header says, inside a page or between two, gives the records
+    Tasks read ranges of about ``partition_bytes``; of tables of more than ``MOST_RANGES`` such ranges, larger ones up to 64 MB.  A file that ends before its header says, inside a page or between two, gives the records
     that it holds, whatever its size.
     """
     spark.dataSource.register(PagedSource)

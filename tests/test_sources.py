@@ -338,3 +338,17 @@ def test_marginals_of_ten_thousand_categories(spark):
     assert both == Dataset(rows.repartition(7), {"w": "v * 2"}, "w < 500 and cast(k as int) % 4 = 0 and flag").marginal_estimate(["v"], ["k", "flag"], draws).first()
     none = Dataset(rows.where("v < 0"), where="v is null").marginal_estimate(["v"], ["k"], 10).first()
     assert none["draws"] == 10 and none["kept_pct"] == 100
+
+
+def test_ranges_of_a_large_paged_table_grow_instead_of_their_number(spark, tmp_path, monkeypatch):
+    """Two thousand pages asked for one by one are read in some tens of ranges where that is the most, each row once."""
+    path = str(tmp_path / "t")
+    paged.write_paged(spark.range(400_000).select(F.col("id").alias("N"), (F.col("id") / 4).alias("V")).repartition(2), path)
+    monkeypatch.setattr(paged, "MOST_RANGES", 30, raising=False)
+    reader = paged.PagedReader(path, 4096, ["N", "V"])
+    ranges = reader.partitions()
+    assert sum(length for _, length in files.listed(path)) > 1000 * 4096 and 20 <= len(ranges) <= 32
+    seen = [n for r in ranges for batch in reader.read(r) for n in batch.column(0).to_pylist()]
+    assert sorted(seen) == list(range(400_000))
+    monkeypatch.setattr(paged, "PARTITION_BYTES", 8192)
+    assert len(reader.partitions()) > 500
